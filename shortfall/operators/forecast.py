@@ -104,7 +104,7 @@ def fold_number(eval_date: Column, last_day: Column, folds: int = 3, horizon: in
     return (F.lit(folds) + 1 - F.datediff(last_day, eval_date) / horizon).cast("int")
 
 
-def test_rows(panel: DataFrame, cutoffs: Sequence[Column], horizon: int = HORIZON) -> DataFrame:
+def holdout_rows(panel: DataFrame, cutoffs: Sequence[Column], horizon: int = HORIZON) -> DataFrame:
     """Actual rows of each fold's test window."""
     return at_cutoffs(panel, "date", cutoffs, 0, horizon)
 
@@ -124,7 +124,7 @@ def split_bounds(panel: DataFrame, cutoffs: Sequence[Column], horizon: int = HOR
         F.min(F.when(is_test, F.col("date"))).alias("test_start"),
         F.max(F.when(is_test, F.col("date"))).alias("test_end"),
         F.count(F.when(is_test, F.col("date"))).alias("test_days"),
-        F.sum(F.when(is_test, F.col("n")).otherwise(0)).alias("test_rows"),
+        F.sum(F.when(is_test, F.col("n")).otherwise(0)).alias("holdout_rows"),
     )
 
 

@@ -1 +1,6 @@
+"""Named queries by theme."""
 
+from shortfall.plans import tables  # noqa: F401
+from shortfall.plans.registry import QUERIES
+
+__all__ = ["QUERIES"]
