@@ -51,7 +51,7 @@ WHOLE = r"(\d{1,3}(?:[,，]\d{3})+|\d+)"
 TAGGED = r"⟦([ocz])([\d,，]+)⟧"
 PRESENTATION: tuple[tuple[str, str], ...] = (
     (r"(第)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦o$2⟧"),
-    (r"(?m)^(\s*(?:[-+*]\s*)?(?:\*\*)?)" + WHOLE + r"(?=(?:\*\*)?(?:\.(?!\d)|[．、)）:：]))", "$1⟦o$2⟧"),
+    (r"(?m)^(\s*(?:[-+]\s+|\*\s*)?(?:\*\*)?)" + WHOLE + r"(?=(?:\*\*)?(?:\.(?!\d)|[．、)）:：]))", "$1⟦o$2⟧"),
     (r"()(?<![A-Za-z0-9_.,，+±−-])" + WHOLE + r"(?=\s{0,2}[个项条家种款位行])", "$1⟦c$2⟧"),
     (r"((?:前|[Tt][Oo][Pp])\s*)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦c$2⟧"),
     (r"((?:大于|超过|不为|非|>|≥)\s*)(0)(?![\d.,%％A-Za-z_])", "$1⟦z$2⟧"),
@@ -243,23 +243,54 @@ def match_claims(claims: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     )
 
 
-def exempt_context(claims: DataFrame, context: DataFrame, key: str) -> DataFrame:
-    """Claims without those whose value or day already occurs in the question or other owned text."""
+def identifier_numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Digit groups of the identifiers in a text, as numbers of the context."""
+    digits = F.flatten(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)),
+            lambda found: F.regexp_extract_all(found, F.lit(r"\d+"), F.lit(0)),
+        )
+    )
+    return texts.select(key, F.explode(digits).alias("digits")).select(
+        key, F.col("digits").try_cast("double").alias("value")
+    ).distinct()
+
+
+def exempt_context(claims: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Claims without those whose number or day already occurs in the question or other owned text.
+
+    A percentage counts with its value and with its hundredth on both sides; the digits of
+    identifiers in the text count as numbers.
+    """
+    context = extract_claims(texts, key, text)
     numbers = context.where(F.col("value").isNotNull())
-    share = numbers.where("kind = 'percentage'").select(key, (F.col("value") / 100).alias("value"))
-    values = numbers.select(key, "value").unionByName(share).distinct()
+    values = (
+        numbers.select(key, "value")
+        .unionByName(numbers.where("kind = 'percentage'").select(key, (F.col("value") / 100).alias("value")))
+        .unionByName(identifier_numbers(texts, key, text))
+        .distinct()
+    )
     days = context.where(F.col("day").isNotNull())
     all_days = days.select(key, "day").unionByName(
         days.where("kind = 'date'").select(key, F.substring("day", 6, 5).alias("day"))
     )
-    kept = claims.join(values, [key, "value"], "left_anti")
-    return kept.join(all_days.distinct(), [key, "day"], "left_anti")
+    hundredths = values.withColumnRenamed("value", "hundredth")
+    return (
+        claims.withColumn("hundredth", F.when(F.col("kind") == "percentage", F.col("value") / 100))
+        .join(values, [key, "value"], "left_anti")
+        .join(hundredths, [key, "hundredth"], "left_anti")
+        .join(all_days.distinct(), [key, "day"], "left_anti")
+        .select(*claims.columns)
+    )
 
 
 def exempt_row_count(claims: DataFrame, row_counts: DataFrame, key: str) -> DataFrame:
     """Claims without those that only state the number of result rows."""
     stated = row_counts.select(key, F.col("row_count").cast("double").alias("value"))
-    return claims.join(stated, [key, "value"], "left_anti")
+    others = claims.where("kind <> 'number'")
+    return claims.where("kind = 'number'").join(stated, [key, "value"], "left_anti").select(
+        *claims.columns
+    ).unionByName(others)
 
 
 def exempt_years(claims: DataFrame, cells: DataFrame, key: str) -> DataFrame:

@@ -58,29 +58,41 @@ def apply_mapping(upload: DataFrame, mapping: dict[str, str | None]) -> DataFram
 
 
 def flag_rows(
-    upload: DataFrame, materials: DataFrame, suppliers: DataFrame, open_po: DataFrame
+    upload: DataFrame,
+    materials: DataFrame,
+    suppliers: DataFrame,
+    open_po: DataFrame,
+    file: str | None = None,
 ) -> DataFrame:
-    """Every row with one nullable error code per field.
+    """Every row with one nullable error code per field. With `file`, rows of several files are
+    checked together and duplicates are looked for inside each file.
 
     The first row of an order number comes from a minimum per number, combined before the shuffle.
     Rows without a number look themselves up under their own reference, so they never meet in one
     task.
     """
     text = {f: F.trim(F.coalesce(F.col(f), F.lit(""))) for f in FIELDS}
+    same_file = [file] if file else []
     rows = upload.select(
         "row_ref",
+        *same_file,
         *FIELDS,
         *[text[f].alias(f"{f}_text") for f in ("po_id", "material_pn", "supplier_id")],
         strict_positive_integer(F.col("qty")).alias("qty_value"),
         strict_iso_date(F.col("eta_date")).alias("eta_value"),
-    ).withColumn("lookup_po", F.when(F.col("po_id_text") == "", F.concat(F.lit("?"), "row_ref")).otherwise(F.col("po_id_text")))
-    first_use = rows.groupBy("lookup_po").agg(F.min("row_ref").alias("first_ref"))
+    ).withColumn(
+        "lookup_po",
+        F.when(F.col("po_id_text") == "", F.concat(F.lit("?"), "row_ref")).otherwise(
+            F.col("po_id_text")
+        ),
+    )
+    first_use = rows.groupBy("lookup_po", *same_file).agg(F.min("row_ref").alias("first_ref"))
 
     def known(frame: DataFrame, key: str, name: str, flag: str) -> DataFrame:
         return frame.select(F.col(key).alias(name)).distinct().withColumn(flag, F.lit(True))
 
     joined = (
-        rows.join(first_use, "lookup_po")
+        rows.join(first_use, ["lookup_po", *same_file])
         .join(known(open_po, "po_id", "lookup_po", "po_known"), "lookup_po", "left")
         .join(known(materials, "material_pn", "material_pn_text", "material_known"), "material_pn_text", "left")
         .join(known(suppliers, "supplier_id", "supplier_id_text", "supplier_known"), "supplier_id_text", "left")

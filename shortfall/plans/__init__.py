@@ -1,6 +1,6 @@
 """Named queries by theme."""
 
-from shortfall.plans import planning, tables  # noqa: F401
+from shortfall.plans import business, evidence, intake, planning, scans, tables  # noqa: F401
 from shortfall.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

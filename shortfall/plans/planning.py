@@ -767,3 +767,25 @@ def dq_composition(p):
         F.count(F.lit(1)).alias("expected_count")
     )
     return quality.composition(labelled, "lang", "doc_id", ["text", "quality"], expected)
+
+
+# -- model questions of the catalogue -------------------------------------------------------
+
+BEST_SQL = """SELECT {0} FROM (SELECT model_name, avg(mape) AS m, avg(wrmsse) AS w FROM scorecard GROUP BY model_name)
+    ORDER BY m, model_name LIMIT 1"""
+
+
+def best_model(p) -> DataFrame:
+    return metrics.model_means(scorecard(p)).orderBy("mape", "model_name").limit(1)
+
+
+@query("q_t19", BEST_SQL.format(f"model_name, {rnd('m', 4)} AS avg_mape, {rnd('w', 4)} AS avg_wrmsse"), FOLDS)
+def q_t19(p):
+    return best_model(p).select(
+        "model_name", round_to(F.col("mape"), 4).alias("avg_mape"), round_to(F.col("wrmsse"), 4).alias("avg_wrmsse")
+    )
+
+
+@query("q_o19", BEST_SQL.format("model_name"), FOLDS)
+def q_o19(p):
+    return best_model(p).select("model_name")

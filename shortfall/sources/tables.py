@@ -16,6 +16,7 @@ from shortfall.functions.numbers import unit_cents
 from shortfall.operators import forecast as fc
 from shortfall.operators import risk as rk
 from shortfall.operators import shape
+from shortfall.sources.workspace import scratch_path
 
 PARTS_PER_SKU = 20
 PARTNERS = 10
@@ -296,6 +297,16 @@ class PlanningTables:
         """The snapshot at T with the inputs of each grade."""
         return self.risk_at(self.now)
 
+    def stored(self, frame: DataFrame, label: str) -> DataFrame:
+        """The frame written once to the shared folder, for plans that read it several times."""
+        path = scratch_path(self.spark, label)
+        frame.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    @cached_property
+    def stored_risk(self) -> DataFrame:
+        return self.stored(self.risk_detail, "risk")
+
     @cached_property
     def material_risk(self) -> DataFrame:
         return self.risk_detail.select(*rk.RISK_COLUMNS)
