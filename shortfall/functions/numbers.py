@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -32,7 +33,7 @@ def fold_width(text: Column) -> Column:
     return F.translate(text, FULL_WIDTH, HALF_WIDTH)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """General Unicode compatibility folding, for the few rows that width folding cannot serve."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))

@@ -42,19 +42,29 @@ def seasonal_naive(sales: DataFrame, cutoffs: Sequence[Column], horizon: int = H
     """Repeat the last seven days of every series over the horizon.
 
     The series is taken as a regular daily panel: a day without a row is a day without sales.
-    A series counts from its first sale on, and stays in the forecast after its last.
+    A series counts from its first sale on, and stays in the forecast after its last. One pass over
+    the sales serves all cutoffs: seven conditional sums per cutoff, combined before the shuffle.
     """
-    first_sale = F.min("date").alias("first_sale")
-    known = sales.groupBy("sku_id").agg(first_sale)
-    week = at_cutoffs(sales, "date", cutoffs, SEASON, 0)
-    position = F.lit(SEASON - 1) - F.datediff("eval_date", "date")
-    recent = week.groupBy("sku_id", "eval_date").agg(
-        day_sums(F.col("units_sold"), position, SEASON).alias("season")
+
+    def season_end(cutoff: Column) -> Column:
+        position = F.lit(SEASON - 1) - F.datediff(cutoff, "date")
+        return day_sums(F.col("units_sold"), position, SEASON)
+
+    per_sku = sales.groupBy("sku_id").agg(
+        F.min("date").alias("first_sale"),
+        *[season_end(c).alias(f"season_{i}") for i, c in enumerate(cutoffs)],
+    )
+    versions = F.array(
+        *[
+            F.struct(c.alias("eval_date"), F.col(f"season_{i}").alias("season"))
+            for i, c in enumerate(cutoffs)
+        ]
+    )
+    keyed = per_sku.select("sku_id", "first_sale", F.explode(versions).alias("v")).select(
+        F.col("v.eval_date").alias("eval_date"), "sku_id", "first_sale", F.col("v.season").alias("season")
     )
-    zeros = F.array_repeat(F.lit(0.0), SEASON)
-    started = each_cutoff(known, cutoffs, lambda c: c >= F.col("first_sale")).drop("first_sale")
-    season = F.coalesce(F.col("season"), zeros)
-    return started.join(recent, ["sku_id", "eval_date"], "left").select(
+    season = F.col("season")
+    return keyed.where(F.col("first_sale") <= F.col("eval_date")).select(
         "eval_date",
         "sku_id",
         F.lit("seasonal_naive").alias("model_name"),

@@ -11,6 +11,7 @@ from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from shortfall.functions.dates import HORIZON, SEASON, day_span
@@ -39,7 +40,7 @@ def feature_panel(
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def smooth_series(series: pd.Series) -> pd.Series:
     """Additive smoothing with a weekly season and fixed weights over arrays of daily values.
 

@@ -319,7 +319,7 @@ def explain(risk: DataFrame, contributors: DataFrame) -> DataFrame:
 
     gap = F.format_number(F.col("gap_qty"), 0)
     doi = F.format_string("%.1f", "doi_days")
-    share = F.format_string("%.0f%%", "supplier_concentration")
+    share = F.concat(F.bround("supplier_concentration", 0).cast("int").cast("string"), F.lit("%"))
     sentence = F.concat_ws(
         "; ",
         part(

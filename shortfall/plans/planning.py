@@ -159,9 +159,32 @@ def sample_weights(p):
     return p.sales_daily.select("sku_id", "date", fc.sample_weight(F.col("units_sold")).alias("weight"))
 
 
-@query("forecast_smoothing")
+SMOOTHING = {
+    "series": "SELECT sku_id, list(units_sold::DOUBLE ORDER BY date) AS v FROM sales_daily GROUP BY sku_id",
+    # Day by day over all series at once; the season is a list that is rotated to the current day.
+    "smoothed": """SELECT * FROM (WITH RECURSIVE state AS (
+        SELECT sku_id, 7 AS i, len(v) AS n, list_sum(v[1:7]) / 7 AS level,
+          [v[1] - list_sum(v[1:7]) / 7, v[2] - list_sum(v[1:7]) / 7, v[3] - list_sum(v[1:7]) / 7, v[4] - list_sum(v[1:7]) / 7,
+           v[5] - list_sum(v[1:7]) / 7, v[6] - list_sum(v[1:7]) / 7, v[7] - list_sum(v[1:7]) / 7] AS season FROM series
+        UNION ALL SELECT sku_id, i + 1, n, level_new, list_append(season[2:7],
+            0.1::DOUBLE * (y - level_new) + (1 - 0.1::DOUBLE) * season[1]) FROM (
+          SELECT s.sku_id, i, n, season, v[i + 1] AS y,
+            0.2::DOUBLE * (v[i + 1] - season[1]) + (1 - 0.2::DOUBLE) * level AS level_new
+          FROM state s JOIN series USING (sku_id) WHERE i < n))
+        SELECT sku_id, level, season FROM state WHERE i = n)""",
+}
+
+
+@query(
+    "forecast_smoothing",
+    f"""SELECT t AS eval_date, sku_id, 'smoothing' AS model_name, (t + h::INTEGER)::DATE AS date,
+        {rnd("greatest(level + season[(h - 1) % 7 + 1], 0)", 6)} AS yhat
+        FROM smoothed, bounds, (SELECT unnest(range(1, 29)) AS h)""",
+    SMOOTHING,
+)
 def forecast_smoothing(p):
-    return fc.daily_rows(models.smoothing_forecast(p.sales_daily, p.now))
+    daily = fc.daily_rows(models.smoothing_forecast(p.sales_daily, p.now))
+    return daily.withColumn("yhat", round_to(F.col("yhat"), 6))
 
 
 @query("forecast_tweedie")
@@ -286,7 +309,42 @@ def risk_by_supplier(p):
     return p.risk_by_supplier
 
 
-@query("risk_explained")
+def reason_sql(code: str, text: str) -> str:
+    return f"CASE WHEN list_contains(string_split(risk_reasons, ';'), '{code}') THEN {text} END"
+
+
+GAP_TEXT, DOI_TEXT = "format('{:,}', gap_qty)", "printf('%.1f', doi_days)"
+SHARE_TEXT = "round_even(supplier_concentration, 0)::INTEGER || '%'"
+EXPLAIN_SQL = ", ".join(
+    [
+        reason_sql(
+            "GAP_BEFORE_LT",
+            f"'runs out on ' || gap_date || ', stock lasts ' || {DOI_TEXT} || ' days, shortest lead time ' || min_lt || ' days, too late to expedite, short by ' || {GAP_TEXT}",
+        ),
+        reason_sql(
+            "GAP_IN_HORIZON",
+            f"'short by ' || {GAP_TEXT} || ' from ' || gap_date || ', still reachable within the lead time of ' || min_lt || ' days'",
+        ),
+        reason_sql(
+            "LOW_DOI_SINGLE_SOURCE",
+            f"'single source ' || primary_supplier_id || ' holds ' || {SHARE_TEXT} || ', stock lasts ' || {DOI_TEXT} || ' days, under half the lead time'",
+        ),
+        reason_sql("LOW_DOI", f"'stock of ' || {DOI_TEXT} || ' days is under the lead time of ' || min_lt || ' days'"),
+        reason_sql("HIGH_CONCENTRATION", f"'supplier share ' || {SHARE_TEXT} || ' with stock under 1.5 lead times'"),
+        "CASE WHEN risk_reasons = '' THEN 'no shortage, stock or concentration rule matched' END",
+        "'demand comes from SKUs ' || skus",
+    ]
+)
+
+
+@query(
+    "risk_explained",
+    f"""SELECT material_pn, eval_date, risk_level, concat_ws('; ', {EXPLAIN_SQL}) AS explanation FROM risk_detail
+        LEFT JOIN (SELECT material_pn, string_agg(sku_id::VARCHAR, ', ' ORDER BY demand_qty DESC, sku_id) AS skus FROM (
+          SELECT material_pn, sku_id, sum(yhat * qty_per_unit) AS demand_qty FROM forecast_daily JOIN bom USING (sku_id)
+          GROUP BY material_pn, sku_id QUALIFY row_number() OVER (PARTITION BY material_pn
+            ORDER BY sum(yhat * qty_per_unit) DESC, sku_id) <= 3) GROUP BY material_pn) USING (material_pn)""",
+)
 def risk_explained(p):
     return rk.explain(p.risk_detail, rk.top_contributors(p.forecast, p.bom))
 
