@@ -49,12 +49,12 @@ def number_value(text: Column) -> Column:
 # whose letter hides it from the general number pattern.
 WHOLE = r"(\d{1,3}(?:[,，]\d{3})+|\d+)"
 TAGGED = r"⟦([ocz])([\d,，]+)⟧"
-PRESENTATION: tuple[tuple[str, str], ...] = (
-    (r"(第)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦o$2⟧"),
-    (r"(?m)^(\s*(?:[-+]\s+|\*\s*)?(?:\*\*)?)" + WHOLE + r"(?=(?:\*\*)?(?:\.(?!\d)|[．、)）:：]))", "$1⟦o$2⟧"),
-    (r"()(?<![A-Za-z0-9_.,，+±−-])" + WHOLE + r"(?=\s{0,2}[个项条家种款位行])", "$1⟦c$2⟧"),
-    (r"((?:前|[Tt][Oo][Pp])\s*)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦c$2⟧"),
-    (r"((?:大于|超过|不为|非|>|≥)\s*)(0)(?![\d.,%％A-Za-z_])", "$1⟦z$2⟧"),
+PRESENTATION: tuple[tuple[str, str, str], ...] = (
+    (r"(第)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦o$2⟧", "第"),
+    (r"(?m)^(\s*(?:[-+]\s+|\*\s*)?(?:\*\*)?)" + WHOLE + r"(?=(?:\*\*)?(?:\.(?!\d)|[．、)）:：]))", "$1⟦o$2⟧", r"[0-9*][.．、)）:：]"),
+    (r"()(?<![A-Za-z0-9_.,，+±−-])" + WHOLE + r"(?=\s{0,2}[个项条家种款位行])", "$1⟦c$2⟧", "[个项条家种款位行]"),
+    (r"((?:前|[Tt][Oo][Pp])\s*)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦c$2⟧", "前|[Tt][Oo][Pp]"),
+    (r"((?:大于|超过|不为|非|>|≥)\s*)(0)(?![\d.,%％A-Za-z_])", "$1⟦z$2⟧", "大于|超过|不为|非|>|≥"),
 )
 
 
@@ -65,18 +65,29 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
     kind, pos (order within its kind), raw, value (numbers), day (dates) and place (ordinal, count
     or zero for numbers that only describe the presentation).
     """
-    step = texts.select(key, F.regexp_replace(text, IDENTIFIER, " ").alias("t0"))
+    # Every claim holds a digit, so texts without one need no further pass.
+    step = texts.where(F.col(text).rlike("[0-9]")).select(
+        key, F.regexp_replace(text, IDENTIFIER, " ").alias("t0")
+    )
     # The masks keep the character class that the neighbouring patterns look at.
-    masks = ((ISO_DATE, "x"), (CHINESE_DATE, "日"), *zip(MONTH_DAYS, ("日", "x", "x")))
-    for i, (pattern, mask) in enumerate(masks):
-        step = step.select("*", F.regexp_replace(f"t{i}", pattern, mask).alias(f"t{i + 1}"))
-    tags = F.col(f"t{len(masks)}")
-    for pattern, replacement in PRESENTATION:
-        tags = F.regexp_replace(tags, pattern, replacement)
-    step = step.select("*", tags.alias("tagged"))
+    # A pattern runs only where its fixed sign occurs.
+    masks = ((ISO_DATE, "x", "-"), (CHINESE_DATE, "日", "日"), *zip(MONTH_DAYS, ("日", "x", "x"), ("日", "-", "/")))
+    for i, (pattern, mask, sign) in enumerate(masks):
+        before = F.col(f"t{i}")
+        masked = F.when(before.contains(sign), F.regexp_replace(before, pattern, mask)).otherwise(before)
+        step = step.select("*", masked.alias(f"t{i + 1}"))
+    step = step.withColumn("tagged", F.col(f"t{len(masks)}"))
+    for pattern, replacement, signs in PRESENTATION:
+        before = F.col("tagged")
+        step = step.withColumn(
+            "tagged",
+            F.when(before.rlike(signs), F.regexp_replace(before, pattern, replacement)).otherwise(before),
+        )
 
-    def hits(column: str, pattern: str, group: int = 0) -> Column:
-        return F.regexp_extract_all(column, F.lit(pattern), F.lit(group))
+    def hits(column: str, pattern: str, sign: str = "") -> Column:
+        found = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
+        nothing = F.array().cast("array<string>")
+        return F.when(F.col(column).contains(sign), found).otherwise(nothing) if sign else found
 
     def claims_of(kind: str, found: Column) -> Column:
         return F.transform(
@@ -87,8 +98,11 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
         )
 
     found = F.concat(
-        claims_of("date", F.concat(hits("t0", ISO_DATE), hits("t1", CHINESE_DATE))),
-        claims_of("month_day", F.concat(*[hits(f"t{i + 2}", p) for i, p in enumerate(MONTH_DAYS)])),
+        claims_of("date", F.concat(hits("t0", ISO_DATE, "-"), hits("t1", CHINESE_DATE, "日"))),
+        claims_of(
+            "month_day",
+            F.concat(*[hits(f"t{i + 2}", p, sign) for i, (p, sign) in enumerate(zip(MONTH_DAYS, "日-/"))]),
+        ),
         claims_of("number", hits("tagged", f"{NUMBER}|{TAGGED}")),
     )
     claims = step.select(key, F.explode(found).alias("c")).select(key, "c.kind", "c.pos", "c.raw")
@@ -285,12 +299,12 @@ def exempt_context(claims: DataFrame, texts: DataFrame, key: str, text: str) ->
 
 
 def exempt_row_count(claims: DataFrame, row_counts: DataFrame, key: str) -> DataFrame:
-    """Claims without those that only state the number of result rows."""
-    stated = row_counts.select(key, F.col("row_count").cast("double").alias("value"))
-    others = claims.where("kind <> 'number'")
-    return claims.where("kind = 'number'").join(stated, [key, "value"], "left_anti").select(
-        *claims.columns
-    ).unionByName(others)
+    """Claims without plain numbers that only state the number of result rows."""
+    stated = row_counts.select(key, F.col("row_count").cast("double").alias("stated"))
+    restated = (F.col("kind") == "number") & (F.col("value") == F.col("stated"))
+    return (
+        claims.join(stated, key, "left").where(~F.coalesce(restated, F.lit(False))).drop("stated")
+    )
 
 
 def exempt_years(claims: DataFrame, cells: DataFrame, key: str) -> DataFrame:

@@ -121,12 +121,14 @@ def holdout_rows(panel: DataFrame, cutoffs: Sequence[Column], horizon: int = HOR
 
 def split_bounds(panel: DataFrame, cutoffs: Sequence[Column], horizon: int = HORIZON) -> DataFrame:
     """Per fold: training and test bounds, row counts and test days."""
-    keyed = panel.select("sku_id", "date", F.explode(F.array(*cutoffs)).alias("eval_date"))
     is_train = F.col("date") <= F.col("eval_date")
     is_test = (F.col("date") > F.col("eval_date")) & (
         F.col("date") <= F.date_add("eval_date", horizon)
     )
-    per_day = keyed.groupBy("eval_date", "date").agg(F.count(F.lit(1)).alias("n"))
+    # Rows are counted per day first; the folds then repeat days, not rows.
+    per_day = panel.groupBy("date").agg(F.count(F.lit(1)).alias("n")).select(
+        "date", "n", F.explode(F.array(*cutoffs)).alias("eval_date")
+    )
     return per_day.groupBy("eval_date").agg(
         F.min(F.when(is_train, F.col("date"))).alias("train_start"),
         F.max(F.when(is_train, F.col("date"))).alias("train_end"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from shortfall.functions.dates import HORIZON, SEASON, day_span
+from shortfall.functions.dates import HORIZON, SEASON
 from shortfall.operators import shape
 from shortfall.operators.forecast import sample_weight
 
@@ -22,17 +22,19 @@ ROLLING: tuple[str, ...] = ("rolling_mean_7", "rolling_mean_28", "rolling_std_28
 
 
 def feature_panel(
-    panel: DataFrame, last_day: Column, calendar: DataFrame, prices: DataFrame, horizon: int = HORIZON
+    sales: DataFrame,
+    first_day: Column,
+    last_day: Column,
+    calendar: DataFrame,
+    prices: DataFrame,
+    horizon: int = HORIZON,
 ) -> DataFrame:
     """Training and horizon rows with features known 28 days ahead; rows with a missing feature are
     left out. Horizon rows have null units."""
-    horizon_days = day_span(F.date_add(last_day, 1), F.date_add(last_day, horizon))
-    future = panel.select("sku_id").distinct().select(
-        "sku_id", F.explode(horizon_days).alias("date"), F.lit(None).cast("bigint").alias("units_sold")
-    )
-    rows = shape.rolling_features(shape.lag_features(panel.unionByName(future)))
-    priced = shape.asof_price(rows, prices)
-    flagged = shape.calendar_flags(priced, calendar)
+    panel = shape.priced_panel(sales, prices, first_day, last_day, F.date_add(last_day, horizon))
+    # Lags and rolling windows share the panel's partitioning and one sort by date.
+    featured = shape.rolling_features(shape.lag_features(panel))
+    flagged = shape.calendar_flags(featured, calendar)
     lags = [f"lag_{n}" for n in shape.LAGS]
     return flagged.dropna(subset=[*lags, *ROLLING, "sell_price"]).select(
         "sku_id", "date", "units_sold", *lags, *ROLLING,
@@ -123,10 +125,10 @@ def model_columns(panel: DataFrame) -> DataFrame:
 
 
 def tweedie_forecast(
-    panel: DataFrame, last_day: Column, calendar: DataFrame, prices: DataFrame
+    sales: DataFrame, first_day: Column, last_day: Column, calendar: DataFrame, prices: DataFrame
 ) -> DataFrame:
     """One global model on the last 730 days, applied to the 28 days after `last_day`."""
-    features = model_columns(feature_panel(panel, last_day, calendar, prices))
+    features = model_columns(feature_panel(sales, first_day, last_day, calendar, prices))
     # The fit reads the rows once per iteration; they stay on the executors' disks meanwhile and are
     # recomputed where an executor is lost.
     recent = features.where(

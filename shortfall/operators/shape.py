@@ -62,6 +62,60 @@ def densify(
     )
 
 
+def priced_panel(
+    sales: DataFrame, prices: DataFrame, first_day: Column, last_sale: Column, last_day: Column
+) -> DataFrame:
+    """Dense daily panel up to last_day with the price known on each day; days after last_sale have
+    null units, days before the first price take that price.
+
+    Sales and prices meet as a union of sparse rows that is shuffled once by SKU. Between two rows
+    of a SKU nothing changes, so the days in between are written in place.
+    """
+    events = (
+        sales.select("sku_id", "date", F.col("units_sold").alias("units"), F.lit(None).cast("double").alias("price"))
+        .unionByName(
+            prices.select(
+                "sku_id",
+                F.col("week_start").alias("date"),
+                F.lit(None).cast(sales.schema["units_sold"].dataType).alias("units"),
+                F.col("sell_price").cast("double").alias("price"),
+            )
+        )
+        .where(F.col("date") <= last_day)
+        .repartition("sku_id")
+        .groupBy("sku_id", "date")
+        .agg(F.max("units").alias("units"), F.max("price").alias("price"))
+    )
+    by_key = Window.partitionBy("sku_id").orderBy("date")
+    so_far = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    opening = F.lag("date").over(by_key).isNull()
+    spans = events.select(
+        "sku_id",
+        F.col("date").alias("observed_on"),
+        "units",
+        F.coalesce(F.last("price", True).over(so_far), F.first("price", True).over(whole)).alias("sell_price"),
+        F.when(opening, first_day).otherwise(F.greatest(F.col("date"), first_day)).alias("span_start"),
+        F.coalesce(F.date_sub(F.lead("date").over(by_key), 1), last_day).alias("span_end"),
+    ).where(F.col("span_start") <= F.col("span_end"))
+    days = spans.select(
+        "sku_id",
+        F.explode(day_span(F.col("span_start"), F.col("span_end"))).alias("date"),
+        "observed_on",
+        "units",
+        "sell_price",
+    )
+    sold = F.when(F.col("date") == F.col("observed_on"), F.col("units"))
+    return days.select(
+        "sku_id",
+        "date",
+        F.when(F.col("date") <= last_sale, F.coalesce(sold, F.lit(0)))
+        .cast(sales.schema["units_sold"].dataType)
+        .alias("units_sold"),
+        "sell_price",
+    )
+
+
 def join_event_names(first: Column, second: Column) -> Column:
     """First non-null name; both names joined with ';'."""
     joined = F.concat_ws(";", F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
@@ -70,8 +124,13 @@ def join_event_names(first: Column, second: Column) -> Column:
 
 def calendar_flags(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """Weekday number (Monday 0), weekend and event flags; a date missing from the calendar still
-    gets its weekend flag from the weekday."""
-    known = calendar.select("date", "event_name", F.col("is_weekend").alias("listed_weekend"))
+    gets its weekend flag from the weekday.
+
+    The calendar has one row per date, some ten thousand rows for decades, so it is broadcast.
+    """
+    known = F.broadcast(
+        calendar.select("date", "event_name", F.col("is_weekend").alias("listed_weekend"))
+    )
     weekday = F.weekday("date")
     return days.join(known, "date", "left").select(
         *days.columns,

@@ -101,14 +101,16 @@ CLAIM_TABLES = {
 
 def answer_claims(p) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers, their claims after all exemptions, and the evidence cells."""
-    answers = derived.answers(p)
+    answers = p.stored(derived.answers(p), "answers")
     claims = evidence.extract_claims(answers, "answer_id", "answer")
     cells = evidence_rows(p)
     counts = answers.select("answer_id", "row_count")
     kept = evidence.exempt_context(claims, answers, "answer_id", "question")
     kept = evidence.exempt_row_count(kept, counts, "answer_id")
     kept = evidence.exempt_presentation(kept, counts, "answer_id")
-    return answers, evidence.exempt_years(kept, cells, "answer_id"), cells
+    kept = evidence.exempt_years(kept, cells, "answer_id")
+    # Matching reads the claims several times; the texts are only parsed once.
+    return answers, p.stored(kept, "claims"), cells
 
 
 def evidence_rows(p) -> DataFrame:

@@ -23,15 +23,18 @@ def references(p) -> tuple[DataFrame, DataFrame]:
 
 
 def flagged(p, rows: DataFrame | None = None, target: DataFrame | None = None) -> DataFrame:
+    """Checked upload, stored like an upload file would be, since the check reads it twice."""
     materials, suppliers = references(p)
     return po.flag_rows(
-        derived.upload(p) if rows is None else rows, materials, suppliers,
+        p.stored(derived.upload(p), "upload") if rows is None else rows, materials, suppliers,
         p.open_po if target is None else target,
     )
 
 
-def candidates(p) -> DataFrame:
-    return po.repair_candidates(flagged(p), *references(p), p.open_po)
+def repaired(p) -> tuple[DataFrame, DataFrame]:
+    """The stored result of the first check, and the repair candidates."""
+    first = p.stored(flagged(p), "flagged")
+    return first, po.repair_candidates(first, *references(p), p.open_po)
 
 
 @query("intake_mapped", "SELECT row_ref, po_id, material_pn, supplier_id, qty, eta_date FROM upload", INTAKE)
@@ -77,14 +80,14 @@ def intake_preview(p):
     INTAKE,
 )
 def intake_repair_diff(p):
-    return po.repair_diff(candidates(p))
+    return po.repair_diff(repaired(p)[1])
 
 
 @query("intake_revalidated", errors("reflagged"), INTAKE)
 def intake_revalidated(p):
-    first = flagged(p)
-    repaired = po.repaired_upload(first, po.repair_candidates(first, *references(p), p.open_po))
-    return po.error_rows(flagged(p, repaired))
+    first, candidates = repaired(p)
+    rows = p.stored(po.repaired_upload(first, candidates), "repaired")
+    return po.error_rows(flagged(p, rows))
 
 
 def imported(p) -> DataFrame:
@@ -105,7 +108,7 @@ def intake_import(p):
 
 @query("intake_rollback", f"SELECT po_id, qty FROM (SELECT {IMPORTED} FROM imported) WHERE batch_id <> 'ING-1999'", INTAKE)
 def intake_rollback(p):
-    rows = imported(p)
+    rows = p.stored(imported(p), "imported")
     return po.undo_batch(rows, rows.select("po_id", "batch_id"), "ING-1999").select("po_id", "qty")
 
 

@@ -144,7 +144,7 @@ def forecast_naive(p):
     },
 )
 def feature_panel(p):
-    panel = models.feature_panel(p.sales_daily, p.today, p.calendar, p.prices)
+    panel = models.feature_panel(p.sales, p.first_day, p.today, p.calendar, p.prices)
     rolled = ("rolling_mean_7", "rolling_mean_28", "rolling_std_28")
     return panel.select(
         *[round_to(F.col(c), 6).alias(c) if c in rolled else F.col(c) for c in panel.columns]
@@ -189,7 +189,7 @@ def forecast_smoothing(p):
 
 @query("forecast_tweedie")
 def forecast_tweedie(p):
-    return models.tweedie_forecast(p.sales_daily, p.today, p.calendar, p.prices)
+    return models.tweedie_forecast(p.sales, p.first_day, p.today, p.calendar, p.prices)
 
 
 # -- accuracy ----------------------------------------------------------------------------
@@ -432,13 +432,13 @@ def scenario_worsened(p):
     return scenario.worsened(outage(p), p.supply_split, outage_target(p))
 
 
-def exposure(p) -> DataFrame:
-    return scenario.sku_exposure(outage(p), p.forecast, p.bom, p.prices, p.today, OUTAGE_DAYS)
+def exposure(p, compared: DataFrame) -> DataFrame:
+    return scenario.sku_exposure(compared, p.forecast, p.bom, p.prices, p.today, OUTAGE_DAYS)
 
 
 @query("scenario_sku_exposure", "SELECT * FROM exposure", OUTAGE)
 def scenario_sku_exposure(p):
-    return exposure(p)
+    return exposure(p, outage(p))
 
 
 @query(
@@ -452,7 +452,8 @@ def scenario_sku_exposure(p):
     OUTAGE,
 )
 def scenario_summary(p):
-    return scenario.summary(outage(p), exposure(p))
+    compared = p.stored(outage(p), "outage")
+    return scenario.summary(compared, exposure(p, compared))
 
 
 @query(

@@ -38,20 +38,31 @@ class PlanningTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     # -- anchors -------------------------------------------------------------------------
 
     @cached_property
     def today(self) -> Column:
-        """T, the last order date, as a scalar subquery."""
-        return self.read("orders").agg(F.max("o_orderdate").cast("date")).scalar()
+        """T, the last order date. One aggregated value is fetched, so that every date filter is a
+        literal and reaches the file scans."""
+        return self._one_date(self.read("orders").agg(F.max("o_orderdate").cast("date")))
 
     @cached_property
     def first_day(self) -> Column:
-        return self.read("lineitem").agg(F.min("l_shipdate").cast("date")).scalar()
+        return self._one_date(self.read("lineitem").agg(F.min("l_shipdate").cast("date")))
+
+    @staticmethod
+    def _one_date(aggregate: DataFrame) -> Column:
+        value = aggregate.first()[0]
+        if value is None:
+            raise ValueError("the source table is empty")
+        return F.lit(value)
 
     # -- order lines ---------------------------------------------------------------------
 
