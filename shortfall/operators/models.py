@@ -92,7 +92,7 @@ def smoothing_forecast(panel: DataFrame, cutoffs: Sequence[Column]) -> DataFrame
     )
 
 
-SKU_BUCKETS = 64
+HASHED_COLUMNS = 32
 
 
 def tweedie_pipeline() -> Pipeline:
@@ -100,7 +100,7 @@ def tweedie_pipeline() -> Pipeline:
     indicator columns, so the model does not widen with the number of series."""
     numeric = [f"log_{c}" for c in (*[f"lag_{n}" for n in shape.LAGS], *ROLLING, "sell_price")]
     hasher = FeatureHasher(
-        inputCols=["sku_bucket", "day_name"], outputCol="hashed", numFeatures=SKU_BUCKETS
+        inputCols=["sku_bucket", "day_name"], outputCol="hashed", numFeatures=HASHED_COLUMNS
     )
     assembler = VectorAssembler(
         inputCols=[*numeric, "is_weekend", "has_event", "hashed"], outputCol="features"
@@ -117,7 +117,7 @@ def model_columns(panel: DataFrame) -> DataFrame:
     return panel.select(
         "sku_id", "date", "units_sold", "is_weekend", "has_event",
         *[F.log1p(F.col(c)).alias(f"log_{c}") for c in logged],
-        F.concat(F.lit("s"), F.pmod(F.xxhash64("sku_id"), F.lit(SKU_BUCKETS // 2)).cast("string")).alias("sku_bucket"),
+        F.concat(F.lit("s"), F.pmod(F.xxhash64("sku_id"), F.lit(HASHED_COLUMNS // 2)).cast("string")).alias("sku_bucket"),
         F.concat(F.lit("d"), F.col("day_of_week").cast("string")).alias("day_name"),
         F.col("units_sold").cast("double").alias("label"),
         sample_weight(F.col("units_sold")).alias("weight"),

@@ -10,18 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.functions.numbers import FULL_WIDTH, HALF_WIDTH
-from shortfall.sources.tables import PlanningTables, po_number
+from shortfall.sources.tables import PlanningTables, compact_day, po_number, zero_padded
 
 WIDE_DIGITS = FULL_WIDTH[HALF_WIDTH.index("0") : HALF_WIDTH.index("9") + 1]
 ALLOWED_SENDERS = ("purchase", "Signup ", "click")
 
 
 def material_code(pn: Column) -> Column:
-    return F.format_string("PN-%05d", pn)
+    return F.concat(F.lit("PN-"), zero_padded(pn, 5))
 
 
 def supplier_code(supplier: Column) -> Column:
-    return F.format_string("SUP-%03d", supplier)
+    return F.concat(F.lit("SUP-"), zero_padded(supplier, 3))
 
 
 def coded_materials(p: PlanningTables) -> DataFrame:
@@ -44,9 +44,8 @@ def upload(p: PlanningTables) -> DataFrame:
     return p.lines.select(
         F.concat_ws(
             "-",
-            F.format_string("%012d", "l_orderkey"), F.format_string("%02d", "l_linenumber"),
-            F.format_string("%012d", "material_pn"), F.date_format("date", "yyyyMMdd"),
-            F.format_string("%012d", cents),
+            zero_padded(F.col("l_orderkey"), 12), zero_padded(F.col("l_linenumber"), 2),
+            zero_padded(F.col("material_pn"), 12), compact_day(day), zero_padded(cents, 12),
         ).alias("row_ref"),
         F.when(kind == 9, "").when(kind == 13, short).when(kind == 14, F.lower(short))
         .otherwise(number).alias("po_id"),
@@ -62,9 +61,9 @@ def upload(p: PlanningTables) -> DataFrame:
         F.when(kind == 0, F.date_format(day, "yyyy/M/d"))
         .when(kind == 1, F.date_format(day, "yyyy年M月d日"))
         .when(kind == 7, "2016/2/30")
-        .when(kind == 10, F.date_format(day, "yyyyMMdd"))
+        .when(kind == 10, compact_day(day))
         .when(kind == 12, F.date_format(day, "yyyy.M.d"))
-        .otherwise(F.date_format(day, "yyyy-MM-dd")).alias("eta_date"),
+        .otherwise(day.cast("string")).alias("eta_date"),
     )
 
 

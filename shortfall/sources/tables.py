@@ -253,7 +253,8 @@ class PlanningTables:
     @cached_property
     def inventory_onhand(self) -> DataFrame:
         """Weekly snapshots, a varying number of days of the average demand."""
-        units = self.past_lines.groupBy("sku_id").agg(F.sum("quantity").alias("units"))
+        # Summed from the daily sales, so that plans which also forecast share their shuffle.
+        units = self.sales.groupBy("sku_id").agg(F.sum("units_sold").alias("units"))
         days = F.datediff(self.today, self.first_day) + 1
         base = (
             units.join(self.bom, "sku_id")
@@ -350,5 +351,16 @@ def po_number(keys: list[str]) -> Column:
         F.lit("PO-"),
         F.concat_ws("-", *[F.col(k).cast("string") for k in numbers]),
         F.lit("-"),
-        F.date_format(day, "yyyyMMdd"),
+        compact_day(F.col(day)),
     )
+
+
+def compact_day(day: Column) -> Column:
+    """YYYYMMDD."""
+    return F.replace(day.cast("string"), F.lit("-"), F.lit(""))
+
+
+def zero_padded(number: Column, width: int) -> Column:
+    """Decimal digits with leading zeros; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
