@@ -151,6 +151,71 @@ def evidence_cells(
     )
 
 
+def string_cells(table: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Text cells as long rows: a cell that is a whole number text or date text counts as such, any
+    other text of two characters or more is a literal."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.trim(c).alias("text")) for c in columns]
+    )
+    rows = table.select(key, F.explode(cells).alias("c")).select(key, "c.column_name", "c.text")
+    text = F.col("text")
+    plain = text.rlike(f"^(?:{NUMBER})$") & ~text.rlike("[%％]$")
+    is_date = text.rlike(f"^(?:{ISO_DATE})$") | text.rlike(f"^(?:{CHINESE_DATE})$")
+    return rows.where(text.isNotNull()).select(
+        key,
+        "column_name",
+        F.when(plain, number_value(text)).alias("number"),
+        F.when(is_date, date_key(text)).alias("day"),
+        F.when(~plain & (F.length(text) >= 2), text).alias("literal"),
+    )
+
+
+def mask_literals(texts: DataFrame, key: str, text: str, literals: DataFrame) -> DataFrame:
+    """Texts with every literal of their own key blanked where it stands alone, longer ones first.
+
+    Only literals that occur in the text are gathered, so the list is bounded by the text itself.
+    """
+    present = (
+        literals.where(F.col("literal").isNotNull())
+        .select(key, "literal")
+        .distinct()
+        .join(texts.select(key, F.col(text).alias("_text")), key)
+        .where(F.col("_text").contains(F.col("literal")))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_set(F.struct((-F.length("literal")).alias("o"), "literal"))).alias("_present"))
+    )
+
+    def blank(done: Column, entry: Column) -> Column:
+        quoted = F.concat(
+            F.lit(r"(?<![A-Za-z0-9])\Q"), entry["literal"], F.lit(r"\E(?![A-Za-z0-9])")
+        )
+        return F.regexp_replace(done, quoted, F.lit(" "))
+
+    masked = F.aggregate("_present", F.col(text), blank)
+    return (
+        texts.join(present, key, "left")
+        .withColumn(text, F.when(F.size("_present") > 0, masked).otherwise(F.col(text)))
+        .drop("_present")
+    )
+
+
+def checked_claims(answers: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """Claims of each answer that need evidence.
+
+    `answers` has the key, answer, question, exempt_text and row_count; `cells` has number, day and
+    literal per cell of the answer's result.
+    """
+    masked = mask_literals(answers, key, "answer", cells)
+    claims = extract_claims(masked, key, "answer")
+    owned = answers.select(key, F.concat_ws("\n", "question", "exempt_text").alias("owned"))
+    kept = exempt_context(claims, owned, key, "owned")
+    codes = identifier_numbers(cells.where(F.col("literal").isNotNull()), key, "literal")
+    kept = kept.join(codes, [key, "value"], "left_anti").select(*claims.columns)
+    kept = exempt_row_count(kept, answers, key)
+    kept = exempt_presentation(kept, answers, key)
+    return exempt_years(kept, cells, key)
+
+
 BUCKET_WIDTH = 0.02
 
 
