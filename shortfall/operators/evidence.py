@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 from shortfall.functions.dates import calendar_pattern
 
 # Fixed patterns. An identifier is masked as a whole, so its digits are no claims.
+#
+# A date that was taken is replaced by one private character, which the later patterns treat as the
+# digits it stands for: a number that runs into a date is no claim, as it would overlap the date.
+DASHED, WORDED = "\ue000", "\ue001"  # ends in a digit; ends in a character of its own
+NOT_AFTER = r"(?<![A-Za-z0-9\uE000{0}])"
+NOT_BEFORE = r"(?![A-Za-z0-9\uE000\uE001{0}])"
 IDENTIFIER = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]*(?:[-_][A-Z0-9]+)+(?![A-Za-z0-9])"
-ISO_DATE = r"(?<![A-Za-z0-9])" + calendar_pattern("-", "-", "") + r"(?![A-Za-z0-9])"
-CHINESE_DATE = r"(?<![A-Za-z0-9])" + calendar_pattern(r"\s*年\s*", r"\s*月\s*", r"\s*日")
+ISO_DATE = NOT_AFTER.format("") + calendar_pattern("-", "-", "") + NOT_BEFORE.format("")
+CHINESE_DATE = NOT_AFTER.format("") + calendar_pattern(r"\s*年\s*", r"\s*月\s*", r"\s*日")
 MONTH = r"(0?[1-9]|1[0-2])"
 DAY = r"(0?[1-9]|[12]\d|3[01])"
 MONTH_DAYS: tuple[str, ...] = (
-    r"(?<![A-Za-z0-9])" + MONTH + r"\s*月\s*" + DAY + r"\s*日",
-    r"(?<![A-Za-z0-9.\-])" + MONTH + "-" + DAY + r"(?![A-Za-z0-9.\-])",
-    r"(?<![A-Za-z0-9./\-])" + MONTH + "/" + DAY + r"(?![A-Za-z0-9./\-])",
+    NOT_AFTER.format("") + MONTH + r"\s*月\s*" + DAY + r"\s*日",
+    NOT_AFTER.format(r".\-") + MONTH + "-" + DAY + NOT_BEFORE.format(r".\-"),
+    NOT_AFTER.format(r"./\-") + MONTH + "/" + DAY + NOT_BEFORE.format(r"./\-"),
 )
 NUMBER = (
-    r"(?<![A-Za-z0-9_])(?:±|[+\-−])?(?:\d{1,3}(?:[,，]\d{3})+|\d+)(?:\.\d+)?[%％]?(?![A-Za-z0-9_])"
+    r"(?:" + NOT_AFTER.format("_⟧") + r"(?:±|[+\-−])?(?:\d{1,3}(?:[,，]\d{3})+|\d+)|\uE000(?:[,，]\d{3})*)"
+    r"(?:\.\uE001|(?:\.(?:\d+|\uE000))?[%％]?" + NOT_BEFORE.format("_⟦") + ")"
 )
 TOLERANCE = 0.005
 
@@ -50,11 +57,11 @@ def number_value(text: Column) -> Column:
 WHOLE = r"(\d{1,3}(?:[,，]\d{3})+|\d+)"
 TAGGED = r"⟦([ocz])([\d,，]+)⟧"
 PRESENTATION: tuple[tuple[str, str, str], ...] = (
-    (r"(第)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦o$2⟧", "第"),
-    (r"(?m)^(\s*(?:[-+]\s+|\*\s*)?(?:\*\*)?)" + WHOLE + r"(?=(?:\*\*)?(?:\.(?!\d)|[．、)）:：]))", "$1⟦o$2⟧", r"[0-9*][.．、)）:：]"),
+    (r"(第)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦o$2⟧", "第"),
+    (r"(?m)^(\s*(?:[-+]\s+|\*\s*)?(?:\*\*)?)" + WHOLE + r"(?=(?:\*\*)?(?:\.(?![\d])|[．、)）:：]))", "$1⟦o$2⟧", r"[0-9*][.．、)）:：]"),
     (r"()(?<![A-Za-z0-9_.,，+±−-])" + WHOLE + r"(?=\s{0,2}[个项条家种款位行])", "$1⟦c$2⟧", "[个项条家种款位行]"),
-    (r"((?:前|[Tt][Oo][Pp])\s*)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦c$2⟧", "前|[Tt][Oo][Pp]"),
-    (r"((?:大于|超过|不为|非|>|≥)\s*)(0)(?![\d.,%％A-Za-z_])", "$1⟦z$2⟧", "大于|超过|不为|非|>|≥"),
+    (r"((?:前|[Tt][Oo][Pp])\s*)" + WHOLE + r"(?![\d.,%％A-Za-z_])", "$1⟦c$2⟧", "前|[Tt][Oo][Pp]"),
+    (r"((?:大于|超过|不为|非|>|≥)\s*)(0)(?![\d.,%％A-Za-z_])", "$1⟦z$2⟧", "大于|超过|不为|非|>|≥"),
 )
 
 
@@ -67,11 +74,15 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     # Every claim holds a digit, so texts without one need no further pass.
     step = texts.where(F.col(text).rlike("[0-9]")).select(
-        key, F.regexp_replace(text, IDENTIFIER, " ").alias("t0")
+        key,
+        F.regexp_replace(F.translate(text, f"{DASHED}{WORDED}⟦⟧", " " * 4), IDENTIFIER, " ").alias("t0"),
     )
-    # The masks keep the character class that the neighbouring patterns look at.
     # A pattern runs only where its fixed sign occurs.
-    masks = ((ISO_DATE, "x", "-"), (CHINESE_DATE, "日", "日"), *zip(MONTH_DAYS, ("日", "x", "x"), ("日", "-", "/")))
+    masks = (
+        (ISO_DATE, DASHED, "-"),
+        (CHINESE_DATE, WORDED, "日"),
+        *zip(MONTH_DAYS, (WORDED, DASHED, DASHED), ("日", "-", "/")),
+    )
     for i, (pattern, mask, sign) in enumerate(masks):
         before = F.col(f"t{i}")
         masked = F.when(before.contains(sign), F.regexp_replace(before, pattern, mask)).otherwise(before)
@@ -103,7 +114,10 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
             "month_day",
             F.concat(*[hits(f"t{i + 2}", p, sign) for i, (p, sign) in enumerate(zip(MONTH_DAYS, "日-/"))]),
         ),
-        claims_of("number", hits("tagged", f"{NUMBER}|{TAGGED}")),
+        claims_of(
+            "number",
+            F.filter(hits("tagged", f"{NUMBER}|{TAGGED}"), lambda raw: ~raw.rlike("[\\uE000\\uE001]")),
+        ),
     )
     claims = step.select(key, F.explode(found).alias("c")).select(key, "c.kind", "c.pos", "c.raw")
     number = F.col("kind") == "number"

@@ -38,28 +38,31 @@ SQL_MONTH_DAYS = (
     r"\x01" + evidence.MONTH + r"\x04-\x03" + evidence.DAY + r"\x02",
     r"\x01" + evidence.MONTH + r"\x04/\x03" + evidence.DAY + r"\x02",
 )
-SQL_NUMBER = r"(?:±|[+\-−])?\x01(?:\d{1,3}\x02(?:[,，]\x01\d{3}\x02)+|\d+\x02)(?:\.\x01\d+\x02)?[%％]?"
+SQL_NUMBER = (
+    r"(?:(?:±|[+\-−])?\x01(?:\d{1,3}\x02(?:[,，]\x01\d{3}\x02)+|\d+\x02)|\x{E000}(?:[,，]\x01\d{3}\x02)*)"
+    r"(?:\.(?:\x01\d+\x02|[\x{E000}\x{E001}]))?[%％]?"
+)
 
 
 def mask_step(source: str, name: str, pattern: str, mask: str, text: str) -> str:
     """Keeps the marked text as <name>m, and the text after masking as <name>."""
     return (
-        f"SELECT *, {unmarked(f"regexp_replace({name}m, '{pattern}', '{mask}', 'g')")} AS {name} "
+        f"SELECT *, {unmarked(f"regexp_replace({name}m, '{pattern}', {mask}, 'g')")} AS {name} "
         f"FROM (SELECT *, {text} AS {name}m FROM {source})"
     )
 
 
 NUMBER_TEXT = (
-    f"regexp_replace(regexp_replace({marked('s5', 'A-Za-z0-9_')}, '\\x02[+\\-−±]', chr(2) || ' ', 'g'), "
-    "'[%％]\\x01', chr(3) || chr(1), 'g')"
+    f"regexp_replace(regexp_replace({marked('s5', 'A-Za-z0-9_')}, '([\\x02\\x{{E000}}])[+\\-−±]', '\\1 ', 'g'), "
+    "'[%％]([\\x01\\x{E000}\\x{E001}])', chr(3) || '\\1', 'g')"
 )
 DOCUMENT_CLAIMS = {
-    "step0": mask_step("documents", "s0", SQL_IDENTIFIER, " ", marked("text")),
-    "step1": mask_step("step0", "s1", SQL_ISO, "x", marked("s0")),
-    "step2": mask_step("step1", "s2", SQL_CHINESE, "日", marked("s1")),
-    "step3": mask_step("step2", "s3", SQL_MONTH_DAYS[0], "日", marked("s2")),
-    "step4": mask_step("step3", "s4", SQL_MONTH_DAYS[1], "x", around(marked("s3"), ".\\-")),
-    "step5": mask_step("step4", "s5", SQL_MONTH_DAYS[2], "x", around(marked("s4"), "./\\-")),
+    "step0": mask_step("documents", "s0", SQL_IDENTIFIER, "' '", marked("text")),
+    "step1": mask_step("step0", "s1", SQL_ISO, "chr(57344)", marked("s0")),
+    "step2": mask_step("step1", "s2", SQL_CHINESE, "chr(57345)", marked("s1")),
+    "step3": mask_step("step2", "s3", SQL_MONTH_DAYS[0], "chr(57345)", marked("s2")),
+    "step4": mask_step("step3", "s4", SQL_MONTH_DAYS[1], "chr(57344)", around(marked("s3"), ".\\-")),
+    "step5": mask_step("step4", "s5", SQL_MONTH_DAYS[2], "chr(57344)", around(marked("s4"), "./\\-")),
     "hits": f"""SELECT doc_id, 'date' AS kind, unnest(list_concat(regexp_extract_all(s1m, '{SQL_ISO}'), regexp_extract_all(s2m, '{SQL_CHINESE}'))) AS raw FROM step5
         UNION ALL SELECT doc_id, 'month_day', unnest(list_concat(list_concat(regexp_extract_all(s3m, '{SQL_MONTH_DAYS[0]}'),
           regexp_extract_all(s4m, '{SQL_MONTH_DAYS[1]}')), regexp_extract_all(s5m, '{SQL_MONTH_DAYS[2]}'))) FROM step5
@@ -68,7 +71,8 @@ DOCUMENT_CLAIMS = {
         CASE WHEN kind = 'number' THEN translate({unmarked('raw')}, '−,，%％±+', '-')::DOUBLE END AS value,
         CASE kind WHEN 'date' THEN lpad(d[1], 4, '0') || '-' || lpad(d[2], 2, '0') || '-' || lpad(d[3], 2, '0')
           WHEN 'month_day' THEN lpad(d[1], 2, '0') || '-' || lpad(d[2], 2, '0') END AS day
-        FROM (SELECT *, regexp_extract_all({unmarked('raw')}, '[0-9]+') AS d FROM hits)""",
+        FROM (SELECT *, regexp_extract_all({unmarked('raw')}, '[0-9]+') AS d FROM hits
+          WHERE NOT contains(raw, chr(57344)) AND NOT contains(raw, chr(57345)))""",
 }
 
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_private: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by spark.checkpoint.dir; a private one only for local sessions without it."""
@@ -15,9 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="shortfall-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _private:
+        _private[application] = tempfile.mkdtemp(prefix="shortfall-")
+    return _private[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
