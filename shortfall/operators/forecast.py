@@ -27,14 +27,25 @@ def at_cutoffs(
     )
 
 
-def day_sums(value: Column, position: Column, size: int) -> Column:
-    """Array whose i-th element sums the values at position i (0-based); empty positions are 0."""
-    zero = F.lit(0.0)
-    return F.array(
-        *[
-            F.coalesce(F.sum(F.when(position == i, value.cast("double"))), zero)
-            for i in range(size)
-        ]
+def day_sums(value: str, position: str, size: int, running: bool = False) -> Column:
+    """Array whose i-th element sums `value` at position i (0-based), or up to position i when
+    `running`; an element without rows is 0. Both arguments are SQL expressions.
+
+    One text is parsed instead of building hundreds of column objects.
+    """
+    test = "<=" if running else "="
+    low = f"({position}) >= 0 AND " if running else ""
+    sums = [
+        f"coalesce(sum(CASE WHEN {low}({position}) {test} {i} THEN CAST({value} AS DOUBLE) END), 0D)"
+        for i in range(size)
+    ]
+    return F.expr(f"array({', '.join(sums)})")
+
+
+def running_totals(values: str, size: int) -> Column:
+    """Prefix sums of an array column."""
+    return F.expr(
+        f"transform(sequence(1, {size}), n -> aggregate(slice({values}, 1, n), 0D, (a, v) -> a + v))"
     )
 
 
@@ -45,14 +56,17 @@ def seasonal_naive(sales: DataFrame, cutoffs: Sequence[Column], horizon: int = H
     A series counts from its first sale on, and stays in the forecast after its last. One pass over
     the sales serves all cutoffs: seven conditional sums per cutoff, combined before the shuffle.
     """
-
-    def season_end(cutoff: Column) -> Column:
-        position = F.lit(SEASON - 1) - F.datediff(cutoff, "date")
-        return day_sums(F.col("units_sold"), position, SEASON)
-
-    per_sku = sales.groupBy("sku_id").agg(
+    dated = sales.select(
+        "sku_id", "date", "units_sold", *[c.alias(f"cutoff_{i}") for i, c in enumerate(cutoffs)]
+    )
+    per_sku = dated.groupBy("sku_id").agg(
         F.min("date").alias("first_sale"),
-        *[season_end(c).alias(f"season_{i}") for i, c in enumerate(cutoffs)],
+        *[
+            day_sums("units_sold", f"{SEASON - 1} - datediff(cutoff_{i}, date)", SEASON).alias(
+                f"season_{i}"
+            )
+            for i in range(len(cutoffs))
+        ],
     )
     versions = F.array(
         *[
@@ -61,14 +75,15 @@ def seasonal_naive(sales: DataFrame, cutoffs: Sequence[Column], horizon: int = H
         ]
     )
     keyed = per_sku.select("sku_id", "first_sale", F.explode(versions).alias("v")).select(
-        F.col("v.eval_date").alias("eval_date"), "sku_id", "first_sale", F.col("v.season").alias("season")
+        "v.eval_date", "sku_id", "first_sale", "v.season"
     )
-    season = F.col("season")
-    return keyed.where(F.col("first_sale") <= F.col("eval_date")).select(
+    return keyed.where("first_sale <= eval_date").select(
         "eval_date",
         "sku_id",
         F.lit("seasonal_naive").alias("model_name"),
-        F.array(*[F.greatest(season[i % SEASON], F.lit(0.0)) for i in range(horizon)]).alias("yhat"),
+        F.expr(
+            f"transform(sequence(0, {horizon - 1}), h -> greatest(season[h % {SEASON}], 0D))"
+        ).alias("yhat"),
     )
 
 
@@ -99,9 +114,8 @@ def daily_rows(forecast: DataFrame) -> DataFrame:
 
 def horizon_arrays(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Daily forecast rows back to one array per (eval_date, sku_id, model_name)."""
-    position = F.datediff("date", "eval_date") - 1
     return daily.groupBy("eval_date", "sku_id", "model_name").agg(
-        day_sums(F.col("yhat"), position, horizon).alias("yhat")
+        day_sums("yhat", "datediff(date, eval_date) - 1", horizon).alias("yhat")
     )
 
 

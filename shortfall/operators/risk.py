@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shortfall.functions.dates import HORIZON, each_cutoff, latest
 from shortfall.functions.numbers import round_to
-from shortfall.operators.forecast import at_cutoffs, day_sums
+from shortfall.operators.forecast import at_cutoffs, day_sums, running_totals
 
 NO_DEMAND_DOI = 999.0
 LEVELS: tuple[str, ...] = ("RED", "ORANGE", "YELLOW", "GREEN")
@@ -44,14 +44,24 @@ def explode_bom(forecast: DataFrame, bom: DataFrame, horizon: int = HORIZON) ->
     The join carries one row per BOM line, not one per line and day; the 28 sums are combined on
     the map side before the shuffle to materials.
     """
-    qty = F.col("qty_per_unit")
+    sums = ", ".join(f"sum(yhat[{i}] * qty_per_unit)" for i in range(horizon))
     return (
         forecast.join(bom, "sku_id")
         .groupBy("eval_date", "material_pn")
-        .agg(F.array(*[F.sum(F.col("yhat")[i] * qty) for i in range(horizon)]).alias("demand"))
+        .agg(F.expr(f"array({sums})").alias("demand"))
     )
 
 
+def demand_to_date(forecast: DataFrame, bom: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Material demand from the first day of the horizon up to each day.
+
+    The totals run over the SKU's forecast before the BOM is applied; sums of running totals are the
+    running totals of the sums, so no material has to be scanned day by day.
+    """
+    upto = forecast.select("eval_date", "sku_id", running_totals("yhat", horizon).alias("yhat"))
+    return explode_bom(upto, bom, horizon).withColumnRenamed("demand", "demand_upto")
+
+
 def demand_rows(demand: DataFrame) -> DataFrame:
     """Daily demand rows (material_pn, date, demand_qty)."""
     return demand.select(
@@ -92,66 +102,52 @@ def latest_inventory(inventory: DataFrame, cutoffs: Sequence[Column]) -> DataFra
 
 
 def receipts(
-    open_po: DataFrame, cutoffs: Sequence[Column], keys: Sequence[str] = (), horizon: int = HORIZON
+    open_po: DataFrame, cutoffs: Sequence[Column], running: bool = True, horizon: int = HORIZON
 ) -> DataFrame:
-    """Receipts per day of the horizon. Orders due at or before the cutoff count as received."""
-    position = F.datediff("eta_date", "eval_date") - 1
+    """Receipts up to each day of the horizon, or on each day when not `running`. Orders due at or
+    before the cutoff count as received."""
     due = at_cutoffs(open_po, "eta_date", cutoffs, 0, horizon)
-    return due.groupBy("eval_date", "material_pn", *keys).agg(
-        day_sums(F.col("qty"), position, horizon).alias("receipts")
+    name = "receipts_upto" if running else "receipts"
+    return due.groupBy("eval_date", "material_pn").agg(
+        day_sums("qty", "datediff(eta_date, eval_date) - 1", horizon, running).alias(name)
     )
 
 
-def balance_path(opening: Column, received: Column, demand: Column) -> Column:
-    """Running balance over the horizon; receipts land before the same day's demand.
+def with_shortage(frame: DataFrame, received: str = "receipts_upto") -> DataFrame:
+    """Adds gap_date, the first day with a negative balance, and gap_qty, the deepest shortage
+    rounded up.
 
-    Returns struct(balance, lowest, first_short): closing balance, lowest balance (at most 0) and
-    the 1-based day of the first negative balance.
+    The balance of a day is the stock plus all receipts minus all demand up to that day, so receipts
+    land before the same day's demand.
     """
-    start = F.struct(
-        opening.cast("double").alias("balance"),
-        F.lit(0.0).alias("lowest"),
-        F.lit(None).cast("int").alias("first_short"),
-        F.lit(0).alias("day"),
+    balance = F.expr(
+        f"CASE WHEN {received} IS NULL THEN transform(demand_upto, d -> qty_onhand - d) "
+        f"ELSE zip_with({received}, demand_upto, (r, d) -> qty_onhand + r - d) END"
     )
-    net = F.zip_with(received, demand, lambda r, d: r - d)
-
-    def step(state: Column, change: Column) -> Column:
-        balance = state["balance"] + change
-        day = state["day"] + 1
-        return F.struct(
-            balance.alias("balance"),
-            F.least(state["lowest"], balance).alias("lowest"),
-            F.coalesce(state["first_short"], F.when(balance < 0, day)).alias("first_short"),
-            day.alias("day"),
+    return (
+        frame.withColumn("balance", balance)
+        .withColumn("lowest", F.array_min("balance"))
+        .withColumn(
+            "gap_date",
+            F.expr(
+                "CASE WHEN lowest < 0 THEN date_add(eval_date, "
+                "cast(array_position(transform(balance, b -> b < 0), true) as int)) END"
+            ),
         )
-
-    return F.aggregate(net, start, step)
+        .withColumn("gap_qty", F.ceil(F.greatest(-F.col("lowest"), F.lit(0.0))).cast("bigint"))
+        .drop("balance", "lowest")
+    )
 
 
-def projected_shortage(
-    demand: DataFrame, received: DataFrame, inventory: DataFrame, keys: Sequence[str] = ()
-) -> DataFrame:
-    """First short day and deepest shortage (rounded up) per material; joins the three inputs."""
+def projected_shortage(demand: DataFrame, received: DataFrame, inventory: DataFrame) -> DataFrame:
+    """First short day and deepest shortage per material, from demand and receipts to date."""
     on = ["eval_date", "material_pn"]
-    nothing = F.transform("demand", lambda _: F.lit(0.0))
-    path = balance_path(
-        F.col("qty_onhand"), F.coalesce(F.col("receipts"), nothing), F.col("demand")
-    )
-    return (
-        demand.join(inventory, on)
-        .join(received, [*on, *keys], "left")
-        .withColumn("path", path)
-        .withColumn("gap_date", F.date_add("eval_date", F.col("path.first_short")))
-        .withColumn("gap_qty", F.ceil(-F.col("path.lowest")).cast("bigint"))
-        .drop("path")
-    )
+    return with_shortage(demand.join(inventory, on).join(received, on, "left"))
 
 
 def doi_and_coverage(frame: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Days of inventory (999 without demand) and its ratio to the shortest lead time."""
-    total = F.aggregate("demand", F.lit(0.0), lambda a, v: a + v)
-    average = total / horizon
+    average = F.element_at("demand_upto", -1) / horizon
     doi = F.when(average == 0, F.lit(NO_DEMAND_DOI)).otherwise(
         round_to(F.col("qty_onhand") / average, 1)
     )
@@ -193,14 +189,12 @@ def assess(
     received: DataFrame,
     inventory: DataFrame,
     profile: DataFrame,
-    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Full risk rows with the inputs of each grade."""
-    shortage = projected_shortage(demand, received, inventory, keys)
+    shortage = projected_shortage(demand, received, inventory)
     graded = classify(doi_and_coverage(shortage.join(profile, "material_pn")))
     return graded.select(
         *RISK_COLUMNS,
-        *keys,
         F.col("qty_onhand").alias("inventory_qty"),
         "min_lt",
         "supplier_count",
@@ -218,7 +212,7 @@ def material_risk(
 ) -> DataFrame:
     """Risk snapshot of every material with demand rows, for each cutoff."""
     return assess(
-        explode_bom(forecast, bom),
+        demand_to_date(forecast, bom),
         receipts(open_po, cutoffs),
         latest_inventory(inventory, cutoffs),
         supply_profile(supply_split),

@@ -57,16 +57,16 @@ def compare(
     today: Column,
     days: int,
 ) -> DataFrame:
-    """Baseline and scenario level and gap of every material.
+    """Baseline and scenario level and gap of every material, from the demand to date.
 
     Both receipt arrays are built in one aggregation, so every input is read and shuffled once.
     """
     due = both_scenarios(open_po, supplier, today, days).withColumn("eval_date", today)
-    position = F.datediff("eta_date", "eval_date") - 1
 
     def arrivals(name: str) -> Column:
-        mine = F.when(F.col("scenario") == name, F.col("qty"))
-        return rk.day_sums(mine, position, HORIZON).alias(f"receipts_{name}")
+        mine = f"CASE WHEN scenario = '{name}' THEN qty END"
+        position = "datediff(eta_date, eval_date) - 1"
+        return rk.day_sums(mine, position, HORIZON, True).alias(f"receipts_{name}")
 
     both = due.groupBy("eval_date", "material_pn").agg(arrivals("baseline"), arrivals("scenario"))
     base = demand.join(inventory, ["eval_date", "material_pn"]).join(
@@ -92,20 +92,11 @@ def compare(
 
 def _graded(frame: DataFrame, name: str) -> DataFrame:
     """Adds gap and level of one scenario."""
-    nothing = F.transform("demand", lambda _: F.lit(0.0))
-    path = rk.balance_path(
-        F.col("qty_onhand"), F.coalesce(F.col(f"receipts_{name}"), nothing), F.col("demand")
-    )
-    with_gap = (
-        frame.withColumn("path", path)
-        .withColumn("gap_date", F.date_add("eval_date", F.col("path.first_short")))
-        .withColumn("gap_qty", F.ceil(-F.col("path.lowest")).cast("bigint"))
-    )
-    graded = rk.classify(rk.doi_and_coverage(with_gap))
+    graded = rk.classify(rk.doi_and_coverage(rk.with_shortage(frame, f"receipts_{name}")))
     return (
         graded.withColumnRenamed("gap_qty", f"gap_qty_{name}")
         .withColumnRenamed("risk_level", f"risk_level_{name}")
-        .drop("path", "gap_date", "doi_days", "lt_coverage", "risk_reasons")
+        .drop("gap_date", "doi_days", "lt_coverage", "risk_reasons")
     )
 
 

@@ -269,7 +269,7 @@ def model_improvement(p):
 @query("projected_shortage", "SELECT material_pn, eval_date, gap_date, gap_qty FROM risk_detail")
 def projected_shortage(p):
     shortage = rk.projected_shortage(
-        p.material_demand, rk.receipts(p.open_po, p.now), rk.latest_inventory(p.inventory_onhand, p.now)
+        p.demand_to_date, rk.receipts(p.open_po, p.now), rk.latest_inventory(p.inventory_onhand, p.now)
     )
     return shortage.select("material_pn", "eval_date", "gap_date", "gap_qty")
 
@@ -402,7 +402,7 @@ def outage_target(p):
 
 def outage(p) -> DataFrame:
     return scenario.compare(
-        p.material_demand, p.open_po, rk.latest_inventory(p.inventory_onhand, p.now), p.profile,
+        p.demand_to_date, p.open_po, rk.latest_inventory(p.inventory_onhand, p.now), p.profile,
         outage_target(p), p.today, OUTAGE_DAYS,
     )
 

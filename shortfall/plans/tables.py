@@ -19,14 +19,14 @@ LAST_DAYS = 28
 
 def wide_days(p: PlanningTables) -> DataFrame:
     """Sales of the last 28 days with one column per day, d_1 the oldest."""
-    position = F.datediff("date", p.today) + LAST_DAYS
-    recent = p.sales.where(F.col("date") > F.date_sub(p.today, LAST_DAYS))
-    return recent.groupBy("sku_id").agg(
-        *[
-            F.coalesce(F.sum(F.when(position == i, F.col("units_sold"))), F.lit(0)).alias(f"d_{i}")
-            for i in range(1, LAST_DAYS + 1)
-        ]
+    recent = p.sales.where(F.col("date") > F.date_sub(p.today, LAST_DAYS)).select(
+        "sku_id", "units_sold", (F.datediff("date", p.today) + LAST_DAYS).alias("n")
     )
+    sums = [
+        F.expr(f"coalesce(sum(CASE WHEN n = {i} THEN units_sold END), 0)").alias(f"d_{i}")
+        for i in range(1, LAST_DAYS + 1)
+    ]
+    return recent.groupBy("sku_id").agg(*sums)
 
 
 # -- reshaping ---------------------------------------------------------------------------
@@ -464,7 +464,7 @@ def projected_balance(p):
     received = F.coalesce(F.col("receipts"), nothing)
     daily = (
         p.material_demand.join(rk.latest_inventory(p.inventory_onhand, p.now), ["eval_date", "material_pn"])
-        .join(rk.receipts(p.open_po, p.now), ["eval_date", "material_pn"], "left")
+        .join(rk.receipts(p.open_po, p.now, running=False), ["eval_date", "material_pn"], "left")
         .select(
             "eval_date", "material_pn", "qty_onhand",
             F.posexplode(F.arrays_zip(F.col("demand"), received.alias("received"))).alias("pos", "d"),

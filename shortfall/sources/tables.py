@@ -294,6 +294,10 @@ class PlanningTables:
     def material_demand(self) -> DataFrame:
         return rk.explode_bom(self.forecast, self.bom)
 
+    @cached_property
+    def demand_to_date(self) -> DataFrame:
+        return rk.demand_to_date(self.forecast, self.bom)
+
     def risk_at(self, cutoffs: list[Column]) -> DataFrame:
         return rk.material_risk(
             fc.seasonal_naive(self.sales, cutoffs),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -20,9 +21,12 @@ def cutoffs(text=T):
 
 
 def arrays(spark, per_material):
-    """Demand arrays from {pn: {day index: quantity}}."""
-    data = [(day(T), pn, [float(v.get(i, 0)) for i in range(28)]) for pn, v in per_material.items()]
-    return spark.createDataFrame(data, "eval_date date, material_pn string, demand array<double>")
+    """Demand to date from {pn: {day index: quantity}}."""
+    data = [
+        (day(T), pn, list(itertools.accumulate(float(v.get(i, 0)) for i in range(28))))
+        for pn, v in per_material.items()
+    ]
+    return spark.createDataFrame(data, "eval_date date, material_pn string, demand_upto array<double>")
 
 
 def inventory(spark, stock):
@@ -140,7 +144,7 @@ def test_views_add_up_to_the_base_table(small):
 def test_outage_never_shrinks_a_gap(small, supplier):
     stock = rk.latest_inventory(small.inventory_onhand, small.now)
     compared = scenario.compare(
-        small.material_demand, small.open_po, stock, small.profile, supplier, small.today, 14
+        small.demand_to_date, small.open_po, stock, small.profile, supplier, small.today, 14
     )
     assert scenario.monotonic_violations(compared).count() == 0
     assert compared.where("level_delta < 0").count() == 0
