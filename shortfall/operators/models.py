@@ -95,9 +95,9 @@ def smoothing_forecast(panel: DataFrame, cutoffs: Sequence[Column]) -> DataFrame
 HASHED_COLUMNS = 32
 
 
-def tweedie_pipeline() -> Pipeline:
-    """Log-link Tweedie regression, variance power 1.2. Series are hashed to a bounded number of
-    indicator columns, so the model does not widen with the number of series."""
+def feature_vectors() -> Pipeline:
+    """Series are hashed to a bounded number of indicator columns, so the model does not widen with
+    the number of series."""
     numeric = [f"log_{c}" for c in (*[f"lag_{n}" for n in shape.LAGS], *ROLLING, "sell_price")]
     hasher = FeatureHasher(
         inputCols=["sku_bucket", "day_name"], outputCol="hashed", numFeatures=HASHED_COLUMNS
@@ -105,11 +105,15 @@ def tweedie_pipeline() -> Pipeline:
     assembler = VectorAssembler(
         inputCols=[*numeric, "is_weekend", "has_event", "hashed"], outputCol="features"
     )
-    regression = GeneralizedLinearRegression(
+    return Pipeline(stages=[hasher, assembler])
+
+
+def tweedie_regression() -> GeneralizedLinearRegression:
+    """Log-link Tweedie regression with variance power 1.2."""
+    return GeneralizedLinearRegression(
         family="tweedie", variancePower=1.2, linkPower=0.0, regParam=1e-3, maxIter=15,
         featuresCol="features", labelCol="label", weightCol="weight", predictionCol="yhat",
     )
-    return Pipeline(stages=[hasher, assembler, regression])
 
 
 def model_columns(panel: DataFrame) -> DataFrame:
@@ -128,17 +132,23 @@ def tweedie_forecast(
     sales: DataFrame, first_day: Column, last_day: Column, calendar: DataFrame, prices: DataFrame
 ) -> DataFrame:
     """One global model on the last 730 days, applied to the 28 days after `last_day`."""
-    features = model_columns(feature_panel(sales, first_day, last_day, calendar, prices))
-    # The fit reads the rows once per iteration; they stay on the executors' disks meanwhile and are
+    columns = model_columns(feature_panel(sales, first_day, last_day, calendar, prices))
+    # Neither stage learns from the rows; the vectors are built once, before the iterations.
+    vectors = feature_vectors().fit(columns).transform(columns)
+    # The fit reads the vectors once per iteration; they stay with the executors meanwhile and are
     # recomputed where an executor is lost.
-    recent = features.where(
-        F.col("units_sold").isNotNull() & (F.col("date") > F.date_sub(last_day, 730))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    recent = (
+        vectors.where(
+            F.col("units_sold").isNotNull() & (F.col("date") > F.date_sub(last_day, 730))
+        )
+        .select("features", "label", "weight")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
-        model = tweedie_pipeline().fit(recent)
+        model = tweedie_regression().fit(recent)
     finally:
         recent.unpersist()
-    future = features.where(F.col("units_sold").isNull())
+    future = vectors.where(F.col("units_sold").isNull())
     return model.transform(future).select(
         "sku_id", "date", F.lit("tweedie").alias("model_name"),
         F.greatest(F.col("yhat"), F.lit(0.0)).alias("yhat"),

@@ -182,19 +182,39 @@ def lag_features(panel: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:
 
 def rolling_features(panel: DataFrame, lead: int = 28) -> DataFrame:
     """Means over 7 and 28 days and the population deviation over 28 days, all ending `lead` days
-    earlier; a window that is not full gives null."""
-    by_day = Window.partitionBy("sku_id").orderBy("date")
-
-    def full(window_days: int, value: Column) -> Column:
-        frame = by_day.rowsBetween(-(lead + window_days - 1), -lead)
-        return F.when(F.count("units_sold").over(frame) == window_days, value.over(frame))
+    earlier; a window that is not full gives null.
 
+    Windows are differences of running totals, which Spark updates by one row per day instead of
+    adding up every window again. Whole units keep the totals exact.
+    """
+    by_day = Window.partitionBy("sku_id").orderBy("date")
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     units = F.col("units_sold").cast("double")
-    return panel.select(
+    totals = panel.select(
         "*",
-        full(7, F.avg(units)).alias("rolling_mean_7"),
-        full(28, F.avg(units)).alias("rolling_mean_28"),
-        full(28, F.stddev_pop(units)).alias("rolling_std_28"),
+        F.sum(units).over(so_far).alias("_sum"),
+        F.sum(units * units).over(so_far).alias("_squares"),
+        F.count(units).over(so_far).alias("_count"),
+    )
+
+    def inside(total: str, days: int) -> Column:
+        before = F.coalesce(F.lag(total, lead + days).over(by_day), F.lit(0))
+        return F.lag(total, lead).over(by_day) - before
+
+    windows = totals.select(
+        *panel.columns,
+        *[
+            inside(total, days).alias(f"{total}_{days}")
+            for days in (7, 28)
+            for total in ("_sum", "_squares", "_count")
+        ],
+    )
+    spread = F.greatest(28 * F.col("_squares_28") - F.col("_sum_28") * F.col("_sum_28"), F.lit(0.0))
+    return windows.select(
+        *panel.columns,
+        F.when(F.col("_count_7") == 7, F.col("_sum_7") / 7).alias("rolling_mean_7"),
+        F.when(F.col("_count_28") == 28, F.col("_sum_28") / 28).alias("rolling_mean_28"),
+        F.when(F.col("_count_28") == 28, F.sqrt(spread) / 28).alias("rolling_std_28"),
     )
 
 
