@@ -28,6 +28,9 @@ FULL_WIDTH = "".join(chr(code + 0xFEE0) for code in range(ord("!"), ord("~") + 1
 HALF_WIDTH = "".join(chr(code) for code in range(ord("!"), ord("~") + 1)) + " "
 
 
+WIDE_DIGITS = FULL_WIDTH[HALF_WIDTH.index("0") : HALF_WIDTH.index("9") + 1]
+
+
 def fold_width(text: Column) -> Column:
     """Full-width characters to ASCII, inside the JVM."""
     return F.translate(text, FULL_WIDTH, HALF_WIDTH)
@@ -40,9 +43,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def strict_positive_integer(text: Column) -> Column:
-    """Digits only, greater than zero; anything else is null."""
-    digits = F.trim(text)
-    return F.when(digits.rlike(r"^\d+$"), positive_int(digits))
+    """Digits only, greater than zero; anything else is null. Full-width digits are digits too."""
+    digits = F.translate(F.trim(text), WIDE_DIGITS, "0123456789")
+    return F.when(digits.rlike(r"^[0-9]+$"), positive_int(digits))
 
 
 def positive_int(digits: Column) -> Column:

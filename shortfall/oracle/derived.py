@@ -9,8 +9,7 @@ SUPPLIER = "printf('SUP-%03d', supplier_id)"
 DAY = "year(date) || '{0}' || month(date) || '{1}' || day(date) || '{2}'"
 
 
-def first_text(column: str) -> str:
-    return f"trim(coalesce({column}, ''))"
+WIDE = "translate({0}, '０１２３４５６７８９', '0123456789')"
 
 
 def flags(upload: str, target: str) -> str:
@@ -22,7 +21,8 @@ def flags(upload: str, target: str) -> str:
         CASE WHEN trim(supplier_id) NOT IN (SELECT code FROM supplier_codes) THEN 'unknown_supplier' END AS supplier_id_error,
         CASE WHEN qty_value IS NULL THEN 'invalid_positive_integer' END AS qty_error,
         CASE WHEN eta_value IS NULL THEN 'invalid_date' END AS eta_date_error FROM (
-        SELECT *, CASE WHEN regexp_full_match(trim(qty), '[0-9]+') AND trim(qty)::BIGINT > 0 THEN trim(qty)::INTEGER END AS qty_value,
+        SELECT *, CASE WHEN regexp_full_match({WIDE.format('trim(qty)')}, '[0-9]+') AND {WIDE.format('trim(qty)')}::BIGINT > 0
+          THEN {WIDE.format('trim(qty)')}::INTEGER END AS qty_value,
         CASE WHEN regexp_full_match(trim(eta_date), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(trim(eta_date) AS DATE) END AS eta_value
         FROM {upload}) u"""
 
@@ -38,7 +38,6 @@ def errors(flagged: str) -> str:
     )
 
 
-WIDE = "translate({0}, '０１２３４５６７８９', '0123456789')"
 
 INTAKE: dict[str, str] = {
     "material_codes": f"SELECT {CODE} AS code FROM materials",

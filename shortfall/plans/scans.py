@@ -171,7 +171,8 @@ def scalar_strings(p):
 
 @query(
     "scalar_numeric_parse",
-    f"""SELECT row_ref, qty, CASE WHEN regexp_full_match(trim(qty), '[0-9]+') AND trim(qty)::BIGINT > 0 THEN trim(qty)::INTEGER END AS strict_qty,
+    f"""SELECT row_ref, qty, CASE WHEN regexp_full_match({WIDE.format('qty')}, '[0-9]+') AND {WIDE.format('qty')}::BIGINT > 0
+          THEN {WIDE.format('qty')}::INTEGER END AS strict_qty,
         CASE WHEN regexp_full_match({WIDE.format('qty')}, '[1-9][0-9]{{0,2}}(,[0-9]{{3}})+') THEN replace(qty, ',', '')::INTEGER
           WHEN regexp_full_match({WIDE.format('qty')}, '[0-9]+[.]0+') THEN split_part(qty, '.', 1)::INTEGER
           WHEN regexp_full_match({WIDE.format('qty')}, '[0-9]+') THEN {WIDE.format('qty')}::INTEGER END AS repaired_qty,

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortfall.functions.numbers import FULL_WIDTH, HALF_WIDTH
+from shortfall.functions.numbers import WIDE_DIGITS
 from shortfall.sources.tables import PlanningTables, compact_day, po_number, zero_padded
 
-WIDE_DIGITS = FULL_WIDTH[HALF_WIDTH.index("0") : HALF_WIDTH.index("9") + 1]
 ALLOWED_SENDERS = ("purchase", "Signup ", "click")
 
 
