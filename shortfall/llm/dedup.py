@@ -84,12 +84,14 @@ def refine(docs: DataFrame, doc: str = "doc_id", text: str = "text", all_hashes:
         F.monotonically_increasing_id().alias("row"),
     )
     rows = stored(narrow, "dedup-rows")
-    groups = (
+    # Stored, so that the join below is free to split the rows of a hot group.
+    groups = stored(
         rows.where("open")
         .groupBy("full_hash")
         .agg(F.count(F.lit(1)).alias("n"), F.max(_best("doc_id", "chars", "row")).alias("best"))
         .where("n > 1")
-        .withColumnRenamed("full_hash", "shared_hash")
+        .withColumnRenamed("full_hash", "shared_hash"),
+        "dedup-groups",
     )
     joined = rows.join(groups, F.col("full_hash") == F.col("shared_hash"), "left")
     alone = F.col("n").isNull()
