@@ -155,12 +155,14 @@ def blocks(html: str) -> list[Block]:
 
 def shared(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Share of the longer path that two paths have in common from the root."""
+    if a == b:
+        return 1.0
     same = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
             break
         same += 1
-    return same / max(len(a), len(b), 1)
+    return same / max(len(a), len(b))
 
 
 def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
