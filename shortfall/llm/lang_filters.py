@@ -120,7 +120,7 @@ def make_filters(grams: dict[str, np.ndarray], common: str | None) -> Filters:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: float = MIN_SHARE) -> Filters:
     """Filters from doc_id, text, lang."""
-    labelled = labelled.where("text is not null and lang is not null")
+    labelled = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes, "lang-sizes")  # a row per language
     rates = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("rate"))
