@@ -92,7 +92,10 @@ def count_tokens(
         .mapInArrow(encode, "digest binary, n_tokens bigint")
     )
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    known = cached_counts(spark, cache, version)
+    # One stored row per digest at hand, so that the join below is free to split the rows of a hot text.
+    known = stored(
+        rows.select("digest").distinct().join(cached_counts(spark, cache, version), "digest"), "token-counts"
+    )
     return rows.join(known, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
