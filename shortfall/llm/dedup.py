@@ -137,7 +137,14 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     stays = F.col("shared_hash").isNull() | (
         (F.col("chars") == F.col("best_chars")) & F.col("id").eqNullSafe(F.col("best_id"))
     )
-    joined = hashed.join(groups, F.col("full_hash") == F.col("shared_hash"), "left").where(stays)
+    # Settled rows have no hash; a name of their own deals them out. Sides are shuffled at any size, so
+    # that what a stage needs grows evenly.
+    dealt = F.coalesce("full_hash", F.concat(F.lit("settled "), F.xxhash64("id", "chars", F.substring("body", 1, PREFIX))))
+    joined = (
+        hashed.withColumn("dealt", dealt)
+        .join(groups.hint("shuffle_hash"), F.col("dealt") == F.col("shared_hash"), "left")
+        .where(stays)
+    )
     once = joined.where("same is null or same = 1").select("whole.*")
     if groups.where("same > 1").isEmpty():
         return once

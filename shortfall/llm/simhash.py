@@ -214,4 +214,6 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs whose doc_id names their component, all columns; rows without a doc_id stay."""
     groups = near_groups(docs.select("doc_id", "text"), **settings)
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stored(dropped, "near-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    # Sides are shuffled at any size, so that what a stage needs grows evenly.
+    dropped = stored(dropped, "near-dropped").hint("shuffle_hash")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
