@@ -31,6 +31,7 @@ NUMBER = (
     r"(?:\.\uE001|(?:\.(?:\d+|\uE000))?[%％]?" + NOT_BEFORE.format("_⟦") + ")"
 )
 TOLERANCE = 0.005
+WIDE_DIGITS = "０１２３４５６７８９"
 
 
 def date_key(text: Column) -> Column:
@@ -72,10 +73,11 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
     kind, pos (order within its kind), raw, value (numbers), day (dates) and place (ordinal, count
     or zero for numbers that only describe the presentation).
     """
-    # Every claim holds a digit, so texts without one need no further pass.
-    step = texts.where(F.col(text).rlike("[0-9]")).select(
-        key,
-        F.regexp_replace(F.translate(text, f"{DASHED}{WORDED}⟦⟧", " " * 4), IDENTIFIER, " ").alias("t0"),
+    # Every claim holds a digit, so texts without one need no further pass. Full-width digits count; they
+    # become ASCII one by one, so places stay.
+    plain = F.translate(text, f"{WIDE_DIGITS}{DASHED}{WORDED}⟦⟧", "0123456789" + " " * 4)
+    step = texts.where(F.col(text).rlike(f"[0-9{WIDE_DIGITS}]")).select(
+        key, F.regexp_replace(plain, IDENTIFIER, " ").alias("t0")
     )
     # A pattern runs only where its fixed sign occurs.
     masks = (

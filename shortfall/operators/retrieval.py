@@ -34,30 +34,38 @@ def blocks(vectors: DataFrame, id_column: str, count: Column, label: str) -> Dat
         .select(
             f"{label}_block",
             F.transform("v", lambda r: r["id"]).alias(f"{label}_ids"),
+            F.array_distinct(F.transform("v", lambda r: F.size(r["embedding"]))).alias(f"{label}_sizes"),
             F.flatten(F.transform("v", lambda r: r["embedding"])).alias(f"{label}_matrix"),
         )
     )
 
 
-def _unit_rows(flat: np.ndarray, rows: int) -> np.ndarray:
-    """Rows scaled to length one; a zero vector stays zero and so gets similarity zero."""
-    matrix = np.asarray(flat, dtype=np.float64).reshape(rows, -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+def block_top_k(k: int, leave_one_out: bool, minimum: float | None):
+    """Arrow function: best k index rows of one block for each query of another block.
+
+    It brings all it needs along, so workers need not import this package.
+    """
 
+    def unit_rows(flat, rows: int):
+        """Rows scaled to length one; a zero vector stays zero and so gets similarity zero."""
+        matrix = np.asarray(flat, dtype=np.float64).reshape(rows, -1)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
-def block_top_k(k: int, leave_one_out: bool, minimum: float | None):
-    """Arrow function: best k index rows of one block for each query of another block."""
+    digits = RANK_DIGITS
 
     def best(batches):
         for batch in batches:
             found = {"query_id": [], "vec_id": [], "similarity": []}
             for row in batch.itertuples(index=False):
+                sizes = {*row.q_sizes, *row.x_sizes}
+                if len(sizes) != 1:
+                    raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
                 query_ids, index_ids = np.asarray(row.q_ids), np.asarray(row.x_ids)
                 scores = np.round(
-                    _unit_rows(row.q_matrix, len(query_ids))
-                    @ _unit_rows(row.x_matrix, len(index_ids)).T,
-                    RANK_DIGITS,
+                    unit_rows(row.q_matrix, len(query_ids))
+                    @ unit_rows(row.x_matrix, len(index_ids)).T,
+                    digits,
                 )
                 by_id = np.argsort(index_ids, kind="stable")
                 index_ids, scores = index_ids[by_id], scores[:, by_id]
@@ -102,7 +110,7 @@ def cosine_top_k(
     )
     local = (
         x.join(q, "q_block")
-        .select("q_ids", "q_matrix", "x_ids", "x_matrix")
+        .select("q_ids", "q_sizes", "q_matrix", "x_ids", "x_sizes", "x_matrix")
         .mapInPandas(
             block_top_k(k, leave_one_out, minimum),
             "query_id bigint, vec_id bigint, similarity double",

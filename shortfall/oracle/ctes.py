@@ -41,12 +41,13 @@ CTES: dict[str, str] = {
         FROM (SELECT DISTINCT sku_id FROM sales) s
         CROSS JOIN (SELECT unnest(generate_series(d0, t, INTERVAL 1 DAY))::DATE AS date FROM bounds) c
         LEFT JOIN sales x ON x.sku_id = s.sku_id AND x.date = c.date""",
-    "raw_calendar": """SELECT date, CASE strftime(date, '%m-%d') WHEN '01-01' THEN 'NewYear'
-        WHEN '02-14' THEN 'Valentines' WHEN '05-01' THEN 'LaborDay' WHEN '07-04' THEN 'MidsummerFair'
-        WHEN '10-01' THEN 'HarvestFair' WHEN '10-31' THEN 'Halloween' WHEN '12-25' THEN 'Christmas'
-        ELSE '' END AS event_name_1,
+    "event_peaks": """SELECT peak, min(event_type) AS name FROM (
+        SELECT event_type, arg_max(dom, n * 100 - dom) AS peak FROM (
+        SELECT event_type, day(ts) AS dom, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type) GROUP BY peak""",
+    "raw_calendar": """SELECT date, coalesce(name, '') AS event_name_1,
         CASE WHEN day(date) = 1 AND month(date) % 3 = 1 THEN 'QuarterStart' ELSE '' END AS event_name_2
-        FROM (SELECT unnest(generate_series(d0, t + 28, INTERVAL 1 DAY))::DATE AS date FROM bounds)""",
+        FROM (SELECT unnest(generate_series(d0, t + 28, INTERVAL 1 DAY))::DATE AS date FROM bounds)
+        LEFT JOIN event_peaks ON peak = day(date)""",
     "calendar": """SELECT date, dayname(date) AS weekday,
         CASE WHEN event_name_1 <> '' AND event_name_2 <> '' THEN event_name_1 || ';' || event_name_2
              ELSE coalesce(nullif(event_name_1, ''), nullif(event_name_2, '')) END AS event_name,

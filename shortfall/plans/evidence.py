@@ -57,7 +57,9 @@ NUMBER_TEXT = (
     "'[%％]([\\x01\\x{E000}\\x{E001}])', chr(3) || '\\1', 'g')"
 )
 DOCUMENT_CLAIMS = {
-    "step0": mask_step("documents", "s0", SQL_IDENTIFIER, "' '", marked("text")),
+    # Every seventh text has its digits widened, so that both kinds occur.
+    "wide_documents": f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN translate(text, '0123456789', '{evidence.WIDE_DIGITS}') ELSE text END AS wide FROM documents""",
+    "step0": mask_step("wide_documents", "s0", SQL_IDENTIFIER, "' '", marked(f"translate(wide, '{evidence.WIDE_DIGITS}', '0123456789')")),
     "step1": mask_step("step0", "s1", SQL_ISO, "chr(57344)", marked("s0")),
     "step2": mask_step("step1", "s2", SQL_CHINESE, "chr(57345)", marked("s1")),
     "step3": mask_step("step2", "s3", SQL_MONTH_DAYS[0], "chr(57345)", marked("s2")),
@@ -78,7 +80,9 @@ DOCUMENT_CLAIMS = {
 
 @query("claim_extract", "SELECT doc_id, kind, value, day FROM document_claims", DOCUMENT_CLAIMS)
 def claim_extract(p):
-    claims = evidence.extract_claims(p.read("documents"), "doc_id", "text")
+    wide = F.translate("text", "0123456789", evidence.WIDE_DIGITS)
+    texts = p.read("documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, wide).otherwise(F.col("text")).alias("text"))
+    claims = evidence.extract_claims(texts, "doc_id", "text")
     return claims.select("doc_id", "kind", "value", "day")
 
 

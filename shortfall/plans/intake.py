@@ -206,11 +206,9 @@ def stream_dedup(p):
     item once."""
     target = scratch_path(p.spark, "dedup")
     keep = streaming.once_only(p.spark, target)
-    for offset in (0, 1_000_000):
+    for name in ("first", "second"):
         checkpoint = scratch_path(p.spark, "dedup-checkpoint")
-        streaming.run_once(
-            event_stream(p), checkpoint, target, keep, offset
-        )
+        streaming.run_once(event_stream(p), checkpoint, target, keep, name)
     return p.spark.read.parquet(target).select("message_uid", "sha256", "item_id")
 
 
@@ -221,7 +219,7 @@ def dropped_upload(p) -> DataFrame:
     """The upload written as dropped CSV files, each order in one file, and read as a stream."""
     folder = scratch_path(p.spark, "drop")
     by_order = F.substring("row_ref", 1, 12)
-    derived.upload(p).repartition(4, by_order).write.option("header", True).csv(folder)
+    derived.upload(p).repartition(by_order).write.option("header", True).csv(folder)
     return streaming.file_drop(p.spark, folder, UPLOAD_SCHEMA)
 
 

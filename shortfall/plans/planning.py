@@ -19,11 +19,9 @@ OUTAGE_DAYS = 14
 # -- source builds -----------------------------------------------------------------------
 
 
-@query("build_sales_daily", "SELECT sku_id, date, units_sold FROM sales_daily WHERE sku_id IN (SELECT sku_id FROM sales GROUP BY sku_id ORDER BY sum(units_sold) DESC, sku_id LIMIT 100)")
+@query("build_sales_daily", "SELECT sku_id, date, units_sold FROM sales_daily")
 def build_sales_daily(p):
-    best = shape.top_n_keys(p.sales, "sku_id", F.sum("units_sold"), 100)
-    kept = p.sales.join(best, "sku_id", "left_semi")
-    return shape.densify(kept, "sku_id", "units_sold", p.first_day, p.today)
+    return p.sales_daily.select("sku_id", "date", "units_sold")
 
 
 @query("build_calendar", "SELECT date, weekday, event_name, is_weekend FROM calendar")
@@ -31,13 +29,9 @@ def build_calendar(p):
     return p.calendar
 
 
-@query(
-    "build_prices",
-    "SELECT sku_id, week_start, sell_price FROM prices WHERE sku_id IN (SELECT sku_id FROM sales GROUP BY sku_id ORDER BY sum(units_sold) DESC, sku_id LIMIT 100)",
-)
+@query("build_prices", "SELECT sku_id, week_start, sell_price FROM prices")
 def build_prices(p):
-    best = shape.top_n_keys(p.sales, "sku_id", F.sum("units_sold"), 100)
-    return p.prices.join(best, "sku_id", "left_semi")
+    return p.prices
 
 
 @query(

@@ -10,7 +10,7 @@ from shortfall.functions.numbers import round_to
 from shortfall.oracle.ctes import RISK_LIST, rnd
 from shortfall.oracle.derived import INTAKE, WIDE
 from shortfall.plans.registry import query
-from shortfall.plans.tables import wide_days
+from shortfall.plans.tables import day_columns, wide_days
 from shortfall.sources import derived, readers, sinks
 from shortfall.sources.workspace import scratch_path
 
@@ -32,7 +32,7 @@ def scan_typed(p):
 @query(
     "scan_csv_filtered",
     """SELECT 'SKU' || sku_id AS item_id, 'CA_' || sku_id % 3 AS store_id, sum(units_sold)::BIGINT AS units_sold
-       FROM sales, bounds WHERE date > t - 28 AND sku_id % 2 = 0 AND sku_id % 4 <> 3 AND sku_id % 5 <> 4 GROUP BY sku_id""",
+       FROM sales WHERE sku_id % 2 = 0 AND sku_id % 4 <> 3 AND sku_id % 5 <> 4 GROUP BY sku_id""",
 )
 def scan_csv_filtered(p):
     """Wide daily sales written as CSV, then scanned with the category, department and store filter."""
@@ -43,11 +43,12 @@ def scan_csv_filtered(p):
         F.when(sku % 4 == 3, "FOODS_2").otherwise("FOODS_3").alias("dept_id"),
         F.when(sku % 2 == 0, "FOODS").otherwise("HOBBIES").alias("cat_id"),
         F.concat(F.when(sku % 5 == 4, "TX_").otherwise("CA_"), (sku % 3).cast("string")).alias("store_id"),
-        *[f"d_{i}" for i in range(1, 29)],
+        *day_columns(p),
     )
     wide.write.option("header", True).csv(path)
     kept = readers.read_wide_sales(p.spark, path, "FOODS", "FOODS_3", "CA_")
-    total = sum((F.col(f"d_{i}").cast("bigint") for i in range(1, 29)), F.lit(0).cast("bigint"))
+    days = F.array(*(F.col(name).cast("bigint") for name in day_columns(p)))
+    total = F.aggregate(days, F.lit(0).cast("bigint"), lambda total, units: total + units)
     return kept.select("item_id", "store_id", total.alias("units_sold"))
 
 

@@ -14,41 +14,34 @@ from shortfall.oracle.ctes import RISK_LIST, level_counts, rnd
 from shortfall.plans.registry import query
 from shortfall.sources.tables import PlanningTables
 
-LAST_DAYS = 28
+
+def day_columns(p: PlanningTables) -> list[str]:
+    """d_1 ... d_n, one for every day from the first sale to T."""
+    count = p.spark.range(1).select(F.datediff(p.today, p.first_day) + 1).first()[0]
+    return [f"d_{i}" for i in range(1, count + 1)]
 
 
 def wide_days(p: PlanningTables) -> DataFrame:
-    """Sales of the last 28 days with one column per day, d_1 the oldest."""
-    recent = p.sales.where(F.col("date") > F.date_sub(p.today, LAST_DAYS)).select(
-        "sku_id", "units_sold", (F.datediff("date", p.today) + LAST_DAYS).alias("n")
-    )
-    sums = [
-        F.expr(f"coalesce(sum(CASE WHEN n = {i} THEN units_sold END), 0)").alias(f"d_{i}")
-        for i in range(1, LAST_DAYS + 1)
+    """Sales with one column per day, d_1 the first. A SKU has at most one entry a calendar day."""
+    entry = F.struct((F.datediff("date", p.first_day) + 1).alias("n"), "units_sold")
+    by_day = p.sales.groupBy("sku_id").agg(F.map_from_entries(F.collect_list(entry)).alias("sold"))
+    zero = F.lit(0).cast("bigint")
+    filled = [
+        F.coalesce(F.try_element_at("sold", F.lit(i)), zero).alias(name)
+        for i, name in enumerate(day_columns(p), 1)
     ]
-    return recent.groupBy("sku_id").agg(*sums)
+    return by_day.select("sku_id", *filled)
 
 
 # -- reshaping ---------------------------------------------------------------------------
 
 
-@query(
-    "unpivot_days",
-    """SELECT sku_id, date, coalesce(units_sold, 0)::BIGINT AS units_sold FROM (
-       SELECT DISTINCT sku_id FROM sales, bounds WHERE date > t - 28) CROSS JOIN (
-       SELECT unnest(generate_series(t - 27, t, INTERVAL 1 DAY))::DATE AS date FROM bounds)
-       LEFT JOIN sales USING (sku_id, date)""",
-)
+@query("unpivot_days", "SELECT sku_id, date, units_sold FROM sales_daily")
 def unpivot_days(p):
-    names = [f"d_{i}" for i in range(1, LAST_DAYS + 1)]
+    names = day_columns(p)
     long = shape.unpivot_columns(wide_days(p), ["sku_id"], names, "d", "units_sold")
-    day_map = p.day_spine.where(
-        (F.col("date") > F.date_sub(p.today, LAST_DAYS)) & (F.col("date") <= p.today)
-    ).select(
-        F.concat(F.lit("d_"), (F.datediff("date", p.today) + LAST_DAYS).cast("string")).alias("d"),
-        "date",
-    )
-    return long.join(day_map, "d").select("sku_id", "date", "units_sold")
+    day = F.date_add(p.first_day, F.substring("d", 3, 10).cast("int") - 1)
+    return long.select("sku_id", day.alias("date"), "units_sold")
 
 
 @query(
@@ -482,12 +475,13 @@ def projected_balance(p):
     )
 
 
-@query(
-    "sku_history_tail",
-    "SELECT sku_id, date, units_sold FROM sales QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY date DESC) <= 90",
-)
+@query("sku_history_tail", "SELECT s.* FROM sales_daily s, bounds WHERE date > t - 90")
 def sku_history_tail(p):
-    return shape.last_n_per_key(p.sales, "sku_id", "date", 90)
+    """The last 90 days of every SKU, days without a sale as zero. Only these days are written out."""
+    recent = p.sales.where(F.col("date") > F.date_sub(p.today, 90))
+    last_day = p.sales.select("sku_id", p.today.alias("date"), F.lit(0).cast("bigint").alias("units_sold")).distinct()
+    sparse = recent.unionByName(last_day).groupBy("sku_id", "date").agg(F.sum("units_sold").alias("units_sold"))
+    return shape.densify(sparse, "sku_id", "units_sold", F.date_sub(p.today, 89), p.today)
 
 
 @query(

@@ -22,17 +22,6 @@ PARTS_PER_SKU = 20
 PARTNERS = 10
 SNAPSHOTS = 9
 
-# Recurring events by month and day; a day may also open a quarter.
-EVENT_DAYS: tuple[tuple[int, int, str], ...] = (
-    (1, 1, "NewYear"),
-    (2, 14, "Valentines"),
-    (5, 1, "LaborDay"),
-    (7, 4, "MidsummerFair"),
-    (10, 1, "HarvestFair"),
-    (10, 31, "Halloween"),
-    (12, 25, "Christmas"),
-)
-
 
 class PlanningTables:
     def __init__(self, spark: SparkSession, folder: str):
@@ -102,24 +91,31 @@ class PlanningTables:
 
     @cached_property
     def day_spine(self) -> DataFrame:
-        """Every date from the first sale to the end of the horizon."""
-        return self.spark.range(1).select(
-            F.explode(day_span(self.first_day, F.date_add(self.today, HORIZON))).alias("date")
+        """Every date from the first sale to the end of the horizon: order dates and the days between."""
+        ordered = self.read("orders").select(
+            F.lit(0).alias("all"), F.col("o_orderdate").cast("date").alias("date"), F.lit(0).alias("none")
+        )
+        dense = shape.densify(
+            ordered.where(F.col("date").isNotNull()).distinct(), "all", "none", self.first_day, F.date_add(self.today, HORIZON)
         )
+        return dense.where(F.col("date") >= self.first_day).select("date")
+
+    @cached_property
+    def event_peaks(self) -> DataFrame:
+        """Day of the month on which an event type has most rows, and its name; at most 31 rows."""
+        by_day = self.read("events").groupBy("event_type", F.dayofmonth("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        best = by_day.groupBy("event_type").agg(F.max_by("day", F.struct("n", -F.col("day"))).alias("day"))
+        return best.groupBy("day").agg(F.min("event_type").alias("name"))
 
     @cached_property
     def raw_calendar(self) -> DataFrame:
-        """Dates with two event columns, empty strings where there is none."""
-        first = F.lit("")
-        for month, day, name in EVENT_DAYS:
-            first = F.when(
-                (F.month("date") == month) & (F.dayofmonth("date") == day), F.lit(name)
-            ).otherwise(first)
+        """Dates with two event columns, empty strings where there is none. Event types come back every
+        month on their busiest day; a day may also open a quarter."""
         opens_quarter = (F.dayofmonth("date") == 1) & (F.month("date") % 3 == 1)
         second = F.when(opens_quarter, F.lit("QuarterStart")).otherwise(F.lit(""))
-        return self.day_spine.select(
-            "date", first.alias("event_name_1"), second.alias("event_name_2")
-        )
+        return self.day_spine.join(
+            F.broadcast(self.event_peaks), F.dayofmonth("date") == F.col("day"), "left"
+        ).select("date", F.coalesce("name", F.lit("")).alias("event_name_1"), second.alias("event_name_2"))
 
     @cached_property
     def calendar(self) -> DataFrame:
