@@ -112,6 +112,28 @@ def forecast_cte(cutoffs: str) -> str:
           AND s.date = c.eval_date - 6 + ((h.h - 1) % 7)::INTEGER"""
 
 
+def smoothing_ctes(cutoffs: str, prefix: str) -> dict[str, str]:
+    """Weekly smoothing at every cutoff, to two decimals. Day by day over all series at once; the season
+    is a list that is rotated to the current day."""
+    head = "list_sum(v[1:7]) / 7"
+    season = ", ".join(f"v[{i}] - {head}" for i in range(1, 8))
+    return {
+        f"{prefix}_series": f"""SELECT eval_date, sku_id, list(units_sold::DOUBLE ORDER BY date) AS v
+            FROM sales_daily JOIN {cutoffs} ON date <= eval_date GROUP BY eval_date, sku_id""",
+        f"{prefix}_state": f"""SELECT * FROM (WITH RECURSIVE state AS (
+            SELECT eval_date, sku_id, 7 AS i, len(v) AS n, {head} AS level, [{season}] AS season FROM {prefix}_series
+            UNION ALL SELECT eval_date, sku_id, i + 1, n, level_new, list_append(season[2:7],
+                0.1::DOUBLE * (y - level_new) + (1 - 0.1::DOUBLE) * season[1]) FROM (
+              SELECT s.eval_date, s.sku_id, i, n, season, v[i + 1] AS y,
+                0.2::DOUBLE * (v[i + 1] - season[1]) + (1 - 0.2::DOUBLE) * level AS level_new
+              FROM state s JOIN {prefix}_series r ON r.eval_date = s.eval_date AND r.sku_id = s.sku_id WHERE i < n))
+            SELECT eval_date, sku_id, level, season FROM state WHERE i = n)""",
+        f"{prefix}_smoothing": f"""SELECT eval_date, sku_id, 'smoothing' AS model_name, (eval_date + h::INTEGER)::DATE AS date,
+            {rnd("greatest(level + season[(h - 1) % 7 + 1], 0)", 2)} AS yhat
+            FROM {prefix}_state, (SELECT unnest(range(1, 29)) AS h)""",
+    }
+
+
 def demand_cte(forecast: str) -> str:
     return f"""SELECT f.eval_date, b.material_pn, f.date, sum(f.yhat * b.qty_per_unit) AS demand_qty
         FROM {forecast} f JOIN bom b USING (sku_id) GROUP BY f.eval_date, b.material_pn, f.date"""
@@ -160,6 +182,8 @@ def risk_cte(demand: str, inventory: str, cutoffs: str, orders: str = "open_po",
 
 
 CTES["forecast_daily"] = forecast_cte("cutoffs")
+CTES |= smoothing_ctes("cutoffs", "now")
+CTES["published_forecasts"] = "SELECT * FROM forecast_daily UNION ALL SELECT * FROM now_smoothing"
 CTES["material_demand"] = demand_cte("forecast_daily")
 CTES["latest_inventory"] = inventory_cte("cutoffs")
 CTES["risk_detail"] = risk_cte("material_demand", "latest_inventory", "cutoffs")

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shortfall.functions.numbers import round_to
 from shortfall.operators import report, shape
 from shortfall.operators import risk as rk
+from shortfall.oracle.ctes import rnd
 from shortfall.plans.registry import query
 
 MATERIAL = 3
@@ -332,10 +334,10 @@ def f04(p):
     return p.risk_by_commodity.orderBy(F.desc("red_count"), F.desc("orange_count"), "commodity")
 
 
-@save("f05", """SELECT model_name, sum(yhat) AS forecast_units, (SELECT sum(units_sold)::BIGINT FROM sales, bounds WHERE date > t - 28) AS actual_units
-    FROM forecast_daily GROUP BY model_name""")
+@save("f05", f"""SELECT model_name, {rnd("sum(yhat)", 2)} AS forecast_units, (SELECT sum(units_sold)::BIGINT FROM sales, bounds WHERE date > t - 28) AS actual_units
+    FROM published_forecasts GROUP BY model_name""")
 def f05(p):
-    by_model = forecast_totals(p).groupBy("model_name").agg(F.sum("forecast_units").alias("forecast_units"))
+    by_model = p.published_forecasts.groupBy("model_name").agg(round_to(F.sum("yhat"), 2).alias("forecast_units"))
     return by_model.select("model_name", "forecast_units", recent_total(p).alias("actual_units"))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shortfall.functions.dates import HORIZON
 from shortfall.functions.numbers import round_to
 from shortfall.operators import diagnose, metrics, quality, report, scenario, shape
 from shortfall.operators import forecast as fc
 from shortfall.operators import models
 from shortfall.operators import risk as rk
-from shortfall.oracle.ctes import CTES, RISK_LIST, forecast_cte, level_counts, risk_cte, rnd
+from shortfall.oracle.ctes import CTES, RISK_LIST, forecast_cte, level_counts, risk_cte, rnd, smoothing_ctes
 from shortfall.plans.registry import query
 from shortfall.plans.tables import SEVERITY, lag_sql, rolling_sql
 
@@ -53,7 +54,9 @@ def avg_material_demand(p):
 
 FOLDS = {
     "folds": "SELECT (4 - k)::INTEGER AS fold, (t - 28 * k::INTEGER)::DATE AS eval_date FROM bounds, (SELECT unnest(range(1, 4)) AS k)",
-    "fold_forecast": forecast_cte("folds"),
+    "naive_folds": forecast_cte("folds"),
+    **smoothing_ctes("folds", "fold"),
+    "fold_forecast": "SELECT * FROM naive_folds UNION ALL SELECT * FROM fold_smoothing",
     "scored": """SELECT f.eval_date, f.sku_id, f.model_name, f.date, f.yhat, s.units_sold
         FROM fold_forecast f JOIN sales_daily s ON s.sku_id = f.sku_id AND s.date = f.date""",
     "errors": """SELECT eval_date, model_name,
@@ -85,12 +88,13 @@ def folds_of(p):
 
 
 def fold_forecasts(p) -> DataFrame:
-    """Seasonal-naive daily forecasts of the three folds."""
-    return fc.daily_rows(fc.seasonal_naive(p.sales, folds_of(p)))
+    """Daily forecasts of both models in the three folds."""
+    return p.published_at(folds_of(p))
 
 
 def scored(p) -> DataFrame:
-    return metrics.scored_rows(p.sales_daily, fold_forecasts(p), folds_of(p))
+    # The three folds test the last 84 days.
+    return metrics.scored_rows(p.recent_daily(3 * HORIZON), fold_forecasts(p), folds_of(p))
 
 
 def with_fold(p, frame: DataFrame) -> DataFrame:
@@ -153,32 +157,10 @@ def sample_weights(p):
     return p.sales_daily.select("sku_id", "date", fc.sample_weight(F.col("units_sold")).alias("weight"))
 
 
-SMOOTHING = {
-    "series": "SELECT sku_id, list(units_sold::DOUBLE ORDER BY date) AS v FROM sales_daily GROUP BY sku_id",
-    # Day by day over all series at once; the season is a list that is rotated to the current day.
-    "smoothed": """SELECT * FROM (WITH RECURSIVE state AS (
-        SELECT sku_id, 7 AS i, len(v) AS n, list_sum(v[1:7]) / 7 AS level,
-          [v[1] - list_sum(v[1:7]) / 7, v[2] - list_sum(v[1:7]) / 7, v[3] - list_sum(v[1:7]) / 7, v[4] - list_sum(v[1:7]) / 7,
-           v[5] - list_sum(v[1:7]) / 7, v[6] - list_sum(v[1:7]) / 7, v[7] - list_sum(v[1:7]) / 7] AS season FROM series
-        UNION ALL SELECT sku_id, i + 1, n, level_new, list_append(season[2:7],
-            0.1::DOUBLE * (y - level_new) + (1 - 0.1::DOUBLE) * season[1]) FROM (
-          SELECT s.sku_id, i, n, season, v[i + 1] AS y,
-            0.2::DOUBLE * (v[i + 1] - season[1]) + (1 - 0.2::DOUBLE) * level AS level_new
-          FROM state s JOIN series USING (sku_id) WHERE i < n))
-        SELECT sku_id, level, season FROM state WHERE i = n)""",
-}
-
 
-@query(
-    "forecast_smoothing",
-    f"""SELECT t AS eval_date, sku_id, 'smoothing' AS model_name, (t + h::INTEGER)::DATE AS date,
-        {rnd("greatest(level + season[(h - 1) % 7 + 1], 0)", 6)} AS yhat
-        FROM smoothed, bounds, (SELECT unnest(range(1, 29)) AS h)""",
-    SMOOTHING,
-)
+@query("forecast_smoothing", "SELECT eval_date, sku_id, model_name, date, yhat FROM now_smoothing")
 def forecast_smoothing(p):
-    daily = fc.daily_rows(models.smoothing_forecast(p.sales_daily, p.now))
-    return daily.withColumn("yhat", round_to(F.col("yhat"), 6))
+    return p.published_forecasts.where("model_name = 'smoothing'")
 
 
 @query("forecast_tweedie")
@@ -221,39 +203,23 @@ def backtest_scorecard(p):
     return metrics.rounded_metrics(scorecard(p)).drop("eval_date")
 
 
-ACTUAL_MODELS = {
-    **FOLDS,
-    # The actual sales one week earlier serve as the second model to compare with.
-    "two_models": """SELECT eval_date, model_name, mape, wmape FROM errors UNION ALL SELECT eval_date, 'last_week' AS model_name,
-        avg(CASE WHEN y > 0 THEN abs(y - f) / y END) * 100, sum(abs(y - f)) / sum(y) * 100 FROM (
-        SELECT o.eval_date, s.units_sold AS y, w.units_sold::DOUBLE AS f FROM folds o
-        JOIN sales_daily s ON s.date > o.eval_date AND s.date <= o.eval_date + 28
-        JOIN sales_daily w ON w.sku_id = s.sku_id AND w.date = s.date - 28) GROUP BY eval_date""",
-    "means": "SELECT model_name, avg(mape) AS mape, avg(wmape) AS wmape FROM two_models GROUP BY model_name",
-}
+GAINS = ("mape", "wmape", "wrmsse")
 
 
 @query(
     "model_improvement",
-    f"""SELECT {rnd("c.mape", 4)} AS candidate_mape, {rnd("b.mape", 4)} AS baseline_mape,
-        {rnd("(b.mape - c.mape) / b.mape * 100", 4)} AS mape_gain_pct,
-        {rnd("(b.wmape - c.wmape) / b.wmape * 100", 4)} AS wmape_gain_pct,
+    f"""SELECT {", ".join(f"{rnd(f'c.{m}', 4)} AS candidate_{m}, {rnd(f'b.{m}', 4)} AS baseline_{m}, "
+                          f"{rnd(f'(b.{m} - c.{m}) / b.{m} * 100', 4)} AS {m}_gain_pct" for m in GAINS)},
         {rnd("100 - c.wmape", 4)} AS forecast_accuracy_pct
-        FROM (SELECT * FROM means WHERE model_name = 'last_week') c
+        FROM (SELECT * FROM means WHERE model_name = 'smoothing') c
         CROSS JOIN (SELECT * FROM means WHERE model_name = 'seasonal_naive') b""",
-    ACTUAL_MODELS,
+    {**FOLDS, "means": "SELECT model_name, avg(mape) AS mape, avg(wmape) AS wmape, avg(wrmsse) AS wrmsse FROM scorecard GROUP BY model_name"},
 )
 def model_improvement(p):
-    cutoffs = folds_of(p)
-    naive = scored(p).select("eval_date", "model_name", "units_sold", "yhat")
-    earlier = p.sales_daily.select("sku_id", F.date_add("date", 28).alias("date"), F.col("units_sold").cast("double").alias("yhat"))
-    shifted = (
-        fc.holdout_rows(p.sales_daily, cutoffs).join(earlier, ["sku_id", "date"])
-        .select("eval_date", F.lit("last_week").alias("model_name"), "units_sold", "yhat")
-    )
-    errors = metrics.error_metrics(naive.unionByName(shifted), ["eval_date", "model_name"])
-    gains = metrics.improvement(errors.withColumn("wrmsse", F.lit(1.0)), "last_week", "seasonal_naive")
-    names = ["candidate_mape", "baseline_mape", "mape_gain_pct", "wmape_gain_pct", "forecast_accuracy_pct"]
+    """Smoothing against the seasonal-naive forecast."""
+    gains = metrics.improvement(scorecard(p), "smoothing", "seasonal_naive")
+    names = [f"{role}_{m}" for m in GAINS for role in ("candidate", "baseline")]
+    names += [f"{m}_gain_pct" for m in GAINS] + ["forecast_accuracy_pct"]
     return gains.select(*[round_to(F.col(n), 4).alias(n) for n in names])
 
 

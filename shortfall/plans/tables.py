@@ -47,13 +47,14 @@ def unpivot_days(p):
 @query(
     "forecast_wide",
     """SELECT coalesce(h.sku_id, f.sku_id) AS sku_id, coalesce(h.date, f.date) AS date,
-       h.units_sold AS history, f.yhat AS seasonal_naive
+       h.units_sold AS history, f.seasonal_naive, f.smoothing
        FROM (SELECT s.* FROM sales_daily s, bounds WHERE date > t - 90) h
-       FULL JOIN forecast_daily f ON f.sku_id = h.sku_id AND f.date = h.date""",
+       FULL JOIN (SELECT sku_id, date, max(yhat) FILTER (WHERE model_name = 'seasonal_naive') AS seasonal_naive,
+           max(yhat) FILTER (WHERE model_name = 'smoothing') AS smoothing FROM published_forecasts GROUP BY sku_id, date) f
+       ON f.sku_id = h.sku_id AND f.date = h.date""",
 )
 def forecast_wide(p):
-    history = p.sales_daily.where(F.col("date") > F.date_sub(p.today, 90))
-    return shape.pivot_models(p.forecast_daily, history, ["seasonal_naive"])
+    return shape.pivot_models(p.published_forecasts, p.recent_daily(90), ["seasonal_naive", "smoothing"])
 
 
 @query("calendar_events", "SELECT date, event_name FROM calendar WHERE event_name IS NOT NULL")
@@ -142,15 +143,15 @@ def filter_semi(p):
 
 @query(
     "forecast_union",
-    """SELECT sku_id, date, model_name, yhat FROM forecast_daily UNION ALL
+    """SELECT sku_id, date, model_name, yhat FROM published_forecasts UNION ALL
        SELECT sku_id, date, 'actual', units_sold::DOUBLE FROM sales_daily, bounds WHERE date > t - 28""",
 )
 def forecast_union(p):
-    actual = p.sales_daily.where(F.col("date") > F.date_sub(p.today, HORIZON)).select(
+    actual = p.recent_daily(HORIZON).select(
         "sku_id", "date", F.lit("actual").alias("model_name"),
         F.col("units_sold").cast("double").alias("yhat"),
     )
-    return p.forecast_daily.drop("eval_date").unionByName(actual)
+    return p.published_forecasts.drop("eval_date").unionByName(actual)
 
 
 # -- joins -------------------------------------------------------------------------------
@@ -379,7 +380,8 @@ def dim_date(p):
        GROUP BY sku_id, week_start HAVING count(*) = 7""",
 )
 def weekly_complete(p):
-    return shape.complete_weeks(forecast_wide(p), ["sku_id"], ["history", "seasonal_naive"])
+    wide = forecast_wide(p)
+    return shape.complete_weeks(wide, ["sku_id"], ["history", "seasonal_naive"])
 
 
 @query(
@@ -478,10 +480,7 @@ def projected_balance(p):
 @query("sku_history_tail", "SELECT s.* FROM sales_daily s, bounds WHERE date > t - 90")
 def sku_history_tail(p):
     """The last 90 days of every SKU, days without a sale as zero. Only these days are written out."""
-    recent = p.sales.where(F.col("date") > F.date_sub(p.today, 90))
-    last_day = p.sales.select("sku_id", p.today.alias("date"), F.lit(0).cast("bigint").alias("units_sold")).distinct()
-    sparse = recent.unionByName(last_day).groupBy("sku_id", "date").agg(F.sum("units_sold").alias("units_sold"))
-    return shape.densify(sparse, "sku_id", "units_sold", F.date_sub(p.today, 89), p.today)
+    return p.recent_daily(90)
 
 
 @query(

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shortfall.functions.dates import HORIZON, cutoff_dates, day_span, week_start
-from shortfall.functions.numbers import unit_cents
+from shortfall.functions.numbers import round_to, unit_cents
 from shortfall.operators import forecast as fc
 from shortfall.operators import risk as rk
-from shortfall.operators import shape
+from shortfall.operators import models, shape
 from shortfall.sources.workspace import scratch_path
 
 PARTS_PER_SKU = 20
@@ -28,6 +28,7 @@ class PlanningTables:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._read: dict[str, DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -89,6 +90,15 @@ class PlanningTables:
         """Every SKU on every day up to T."""
         return shape.densify(self.sales, "sku_id", "units_sold", self.first_day, self.today)
 
+    def recent_daily(self, days: int) -> DataFrame:
+        """Every SKU on each of the last days up to T; no earlier day is written out."""
+        recent = self.sales.where(F.col("date") > F.date_sub(self.today, days))
+        last_day = self.sales.select(
+            "sku_id", self.today.alias("date"), F.lit(0).cast("bigint").alias("units_sold")
+        ).distinct()
+        sparse = recent.unionByName(last_day).groupBy("sku_id", "date").agg(F.sum("units_sold").alias("units_sold"))
+        return shape.densify(sparse, "sku_id", "units_sold", F.date_sub(self.today, days - 1), self.today)
+
     @cached_property
     def day_spine(self) -> DataFrame:
         """Every date from the first sale to the end of the horizon: order dates and the days between."""
@@ -286,6 +296,16 @@ class PlanningTables:
     def forecast_daily(self) -> DataFrame:
         return fc.daily_rows(self.forecast)
 
+    def published_at(self, cutoffs: list[Column]) -> DataFrame:
+        """Daily forecasts of both models at every cutoff, to two decimals."""
+        naive = fc.daily_rows(fc.seasonal_naive(self.sales, cutoffs))
+        smooth = fc.daily_rows(models.smoothing_forecast(self.sales_daily, cutoffs))
+        return naive.unionByName(smooth).withColumn("yhat", round_to(F.col("yhat"), 2))
+
+    @cached_property
+    def published_forecasts(self) -> DataFrame:
+        return self.published_at(self.now)
+
     @cached_property
     def material_demand(self) -> DataFrame:
         return rk.explode_bom(self.forecast, self.bom)
@@ -310,10 +330,13 @@ class PlanningTables:
         return self.risk_at(self.now)
 
     def stored(self, frame: DataFrame, label: str) -> DataFrame:
-        """The frame written once to the shared folder, for plans that read it several times."""
-        path = scratch_path(self.spark, label)
-        frame.write.parquet(path)
-        return self.spark.read.parquet(path)
+        """The frame written to the shared folder, for plans that read it several times; a label is
+        written once per instance and stands for one frame."""
+        if label not in self._stored:
+            path = scratch_path(self.spark, label)
+            frame.write.parquet(path)
+            self._stored[label] = self.spark.read.parquet(path)
+        return self._stored[label]
 
     @cached_property
     def stored_risk(self) -> DataFrame:
