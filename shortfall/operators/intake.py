@@ -104,6 +104,7 @@ def flag_rows(
     )
     return joined.select(
         "row_ref",
+        *same_file,
         *FIELDS,
         "po_id_text",
         "material_pn_text",
@@ -133,8 +134,9 @@ def valid_rows(flagged: DataFrame) -> DataFrame:
     )
 
 
-def error_rows(flagged: DataFrame) -> DataFrame:
-    """One row per rejected cell."""
+def error_rows(flagged: DataFrame, file: str | None = None) -> DataFrame:
+    """One row per rejected cell, with the name of its file where rows of several are checked."""
+    place = ["row_ref", *([file] if file else [])]
     cells = F.array(
         *[
             F.when(
@@ -144,8 +146,8 @@ def error_rows(flagged: DataFrame) -> DataFrame:
             for f in FIELDS
         ]
     )
-    return flagged.select("row_ref", F.explode(F.array_compact(cells)).alias("e")).select(
-        "row_ref", "e.field", "e.code"
+    return flagged.select(*place, F.explode(F.array_compact(cells)).alias("e")).select(
+        *place, "e.field", "e.code"
     )
 
 

@@ -13,7 +13,12 @@ from shortfall.functions.dates import day_span, week_start
 def unpivot_columns(
     frame: DataFrame, keys: Sequence[str], values: Sequence[str], name: str, value: str
 ) -> DataFrame:
-    return frame.unpivot(list(keys), list(values), name, value)
+    """One row per key and value column. Cells travel as one array, so a plan over thousands of columns
+    stays small."""
+    columns = F.expr(f"array({', '.join(f'`{v}`' for v in values)})")
+    names = F.split(F.lit("\n".join(values)), "\n")
+    cells = frame.select(*keys, F.posexplode(columns).alias("_at", value))
+    return cells.select(*keys, F.element_at(names, F.col("_at") + 1).alias(name), value)
 
 
 def pivot_models(forecast: DataFrame, history: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -722,10 +724,19 @@ def dq_date_gaps(p):
 
 @query(
     "dq_missing_lookup",
-    "SELECT material_pn FROM materials WHERE material_pn NOT IN (SELECT material_pn FROM open_po)",
+    """SELECT material_pn, 'inventory' AS lookup FROM materials WHERE material_pn NOT IN (SELECT material_pn FROM latest_inventory)
+       UNION ALL SELECT material_pn, 'profile' FROM materials WHERE material_pn NOT IN (SELECT material_pn FROM profile)
+       UNION ALL SELECT material_pn, 'open_po' FROM materials WHERE material_pn NOT IN (SELECT material_pn FROM open_po)""",
 )
 def dq_missing_lookup(p):
-    return quality.missing_lookup(p.materials, p.open_po, "material_pn")
+    """Materials without a stock snapshot at T or a supply profile, which cannot be graded, and those
+    without an open order."""
+    lookups = {"inventory": rk.latest_inventory(p.inventory_onhand, p.now), "profile": p.profile, "open_po": p.open_po}
+    found = [
+        quality.missing_lookup(p.materials, lookup, "material_pn").withColumn("lookup", F.lit(name))
+        for name, lookup in lookups.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 DRIFT = {

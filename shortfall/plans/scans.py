@@ -47,7 +47,7 @@ def scan_csv_filtered(p):
     )
     wide.write.option("header", True).csv(path)
     kept = readers.read_wide_sales(p.spark, path, "FOODS", "FOODS_3", "CA_")
-    days = F.array(*(F.col(name).cast("bigint") for name in day_columns(p)))
+    days = F.expr(f"cast(array({', '.join(day_columns(p))}) AS array<bigint>)")
     total = F.aggregate(days, F.lit(0).cast("bigint"), lambda total, units: total + units)
     return kept.select("item_id", "store_id", total.alias("units_sold"))
 

@@ -25,12 +25,14 @@ def wide_days(p: PlanningTables) -> DataFrame:
     """Sales with one column per day, d_1 the first. A SKU has at most one entry a calendar day."""
     entry = F.struct((F.datediff("date", p.first_day) + 1).alias("n"), "units_sold")
     by_day = p.sales.groupBy("sku_id").agg(F.map_from_entries(F.collect_list(entry)).alias("sold"))
+    names = day_columns(p)
     zero = F.lit(0).cast("bigint")
-    filled = [
-        F.coalesce(F.try_element_at("sold", F.lit(i)), zero).alias(name)
-        for i, name in enumerate(day_columns(p), 1)
-    ]
-    return by_day.select("sku_id", *filled)
+    filled = F.transform(
+        F.sequence(F.lit(1), F.lit(len(names))), lambda n: F.coalesce(F.try_element_at("sold", n), zero)
+    )
+    return by_day.select("sku_id", filled.alias("days")).selectExpr(
+        "sku_id", *(f"days[{i}] AS {name}" for i, name in enumerate(names))
+    )
 
 
 # -- reshaping ---------------------------------------------------------------------------

@@ -211,7 +211,7 @@ class PlanningTables:
             "supplier_id",
             F.col("s.s_name").alias("supplier_name"),
             F.col("r_name").alias("region"),
-        )
+        ).hint("broadcast")  # at most PARTNERS rows by construction
 
     @cached_property
     def supply_split(self) -> DataFrame:

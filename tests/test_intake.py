@@ -109,7 +109,9 @@ def test_recheck_sees_a_changed_target(spark, known):
 def test_duplicates_stay_inside_their_file(spark, known):
     data = upload(spark, [("PO-1", "PN-00001", "SUP-001", "1", "2026-01-01")] * 3)
     filed = data.withColumn("file", F.when(F.col("row_ref") == "000004", "b").otherwise("a"))
-    assert errors(po.flag_rows(filed, *known, file="file")) == [(3, "po_id", "duplicate_in_file")]
+    flagged = po.flag_rows(filed, *known, file="file")
+    assert errors(flagged) == [(3, "po_id", "duplicate_in_file")]
+    assert [(r.file, r.row_ref) for r in po.error_rows(flagged, "file").collect()] == [("a", "000003")]
 
 
 def test_value_repairs(spark):
