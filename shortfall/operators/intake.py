@@ -237,11 +237,21 @@ def repair_diff(candidates: DataFrame) -> DataFrame:
 
 def repaired_upload(flagged: DataFrame, candidates: DataFrame) -> DataFrame:
     """The upload after repair: accepted rows as they came, rejected rows with their new cells."""
-    untouched = flagged.where(is_valid()).select("row_ref", *FIELDS)
-    fixed = candidates.select(
-        "row_ref", *[F.coalesce(f"{f}_new", f).alias(f) for f in FIELDS]
-    )
-    return untouched.unionByName(fixed)
+    return flagged.where(is_valid()).select("row_ref", *FIELDS).unionByName(repaired_rows(candidates))
+
+
+def repaired_rows(candidates: DataFrame) -> DataFrame:
+    return candidates.select("row_ref", *[F.coalesce(f"{f}_new", f).alias(f) for f in FIELDS])
+
+
+def touched_rows(flagged: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows that a check after repair can grade anew: all rejected rows with their new cells, and the
+    accepted ones that share an order number with them. No other row's error can change, as errors of
+    the other fields depend on the row alone."""
+    repaired = repaired_rows(candidates)
+    numbers = repaired.select(F.trim(F.coalesce("po_id", F.lit(""))).alias("po_id_text")).where("po_id_text <> ''")
+    accepted = flagged.where(is_valid()).join(numbers.distinct(), "po_id_text", "left_semi")
+    return repaired.unionByName(accepted.select("row_ref", *FIELDS))
 
 
 def with_batch(valid: DataFrame, batch: Column) -> DataFrame:

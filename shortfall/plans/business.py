@@ -85,8 +85,8 @@ def o04(p):
 
 @save("t05", "SELECT material_pn, gap_date, gap_qty FROM material_risk WHERE gap_date = (SELECT min(gap_date) FROM material_risk)")
 def t05(p):
-    first = p.material_risk.agg(F.min("gap_date")).scalar()
-    return p.material_risk.where(F.col("gap_date") == first).select("material_pn", "gap_date", "gap_qty")
+    first = p.stored_risk.agg(F.min("gap_date")).scalar()
+    return p.stored_risk.where(F.col("gap_date") == first).select("material_pn", "gap_date", "gap_qty")
 
 
 @save("t06", "SELECT material_pn FROM supply_split GROUP BY material_pn HAVING count(*) = 1")

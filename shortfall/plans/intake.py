@@ -23,10 +23,11 @@ def references(p) -> tuple[DataFrame, DataFrame]:
 
 
 def flagged(p, rows: DataFrame | None = None, target: DataFrame | None = None) -> DataFrame:
-    """Checked upload, stored like an upload file would be, since the check reads it twice."""
+    """Checked upload. The check reads it twice, but a row of it is only a projection of an order line, so
+    it is derived twice rather than written out first."""
     materials, suppliers = references(p)
     return po.flag_rows(
-        p.stored(derived.upload(p), "upload") if rows is None else rows, materials, suppliers,
+        derived.upload(p) if rows is None else rows, materials, suppliers,
         p.open_po if target is None else target,
     )
 
@@ -66,7 +67,7 @@ def intake_counts(p):
     INTAKE,
 )
 def intake_preview(p):
-    found = po.error_rows(flagged(p))
+    found = p.stored(po.error_rows(flagged(p)), "errors")
     total = found.agg(F.count(F.lit(1))).scalar()
     return found.orderBy("row_ref", "field").limit(500).withColumn("all_errors", total)
 
@@ -86,7 +87,7 @@ def intake_repair_diff(p):
 @query("intake_revalidated", errors("reflagged"), INTAKE)
 def intake_revalidated(p):
     first, candidates = repaired(p)
-    rows = p.stored(po.repaired_upload(first, candidates), "repaired")
+    rows = p.stored(po.touched_rows(first, candidates), "touched")
     return po.error_rows(flagged(p, rows))
 
 

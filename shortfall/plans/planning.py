@@ -461,7 +461,7 @@ def commodity_distribution(p):
        (SELECT t - 14 FROM bounds)) AS rows_on_day FROM risk_history""",
 )
 def snapshot_availability(p):
-    return report.availability(p.risk_history, F.date_sub(p.today, 14))
+    return report.availability(p.snapshots, F.date_sub(p.today, 14))
 
 
 @query("list_skus", "SELECT sku_id, product_name, product_family FROM products ORDER BY sku_id")
@@ -476,7 +476,7 @@ def list_metrics(p):
 
 @query("list_snapshots", "SELECT DISTINCT eval_date FROM risk_history ORDER BY eval_date DESC")
 def list_snapshots(p):
-    return p.risk_history.select("eval_date").distinct().orderBy(F.desc("eval_date"))
+    return p.snapshots.select("eval_date").distinct().orderBy(F.desc("eval_date"))
 
 
 @query(
@@ -760,11 +760,11 @@ def metric_drift(p):
         )
 
     # The snapshot of a week ago plays the frozen part; the total gap is never recomputed.
-    week_ago = p.risk_history.where(F.col("eval_date") == F.date_sub(p.today, 7))
-    total = p.material_risk.agg(F.sum("gap_qty").cast("double").alias("value")).select(
+    week_ago, now = (p.snapshots.where(F.col("eval_date") == F.date_sub(p.today, n)) for n in (7, 0))
+    total = now.agg(F.sum("gap_qty").cast("double").alias("value")).select(
         F.lit("TOTAL_GAP").alias("metric"), "value"
     )
-    return quality.metric_drift(by_level(p.material_risk), by_level(week_ago).unionByName(total), 3)
+    return quality.metric_drift(by_level(now), by_level(week_ago).unionByName(total), 3)
 
 
 @query(

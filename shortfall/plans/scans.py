@@ -123,7 +123,7 @@ def sink_replace(p):
 def sink_snapshot_replace(p):
     """All snapshots are stored under a placeholder level; then today's is replaced, twice."""
     path = scratch_path(p.spark, "snapshots")
-    rows = p.stored(p.risk_history, "history").select("material_pn", "eval_date", "risk_level", "gap_qty")
+    rows = p.snapshots.select("material_pn", "eval_date", "risk_level", "gap_qty")
     sinks.replace_snapshots(rows.withColumn("risk_level", F.lit("OLD")), path)
     today = rows.where(F.col("eval_date") == p.today)
     for _ in range(2):

@@ -98,7 +98,7 @@ def week_buckets(p):
     f"SELECT {RISK_LIST} FROM risk_history WHERE eval_date = (SELECT max(eval_date) FROM risk_history)",
 )
 def risk_latest(p):
-    return report.latest_snapshot(p.risk_history)
+    return report.latest_snapshot(p.snapshots)
 
 
 SEARCH_COLUMNS = "material_pn, material_name, commodity, item_group, risk_level, doi_days, gap_qty, gap_date"
@@ -200,8 +200,8 @@ def fk_orphans(p):
 )
 def report_missing_dates(p):
     # Reports exist for the even weeks.
-    reports = p.risk_history.select("eval_date").where(F.weekofyear("eval_date") % 2 == 0).distinct()
-    return report.missing_dates(p.risk_history, reports)
+    reports = p.snapshots.select("eval_date").where(F.weekofyear("eval_date") % 2 == 0).distinct()
+    return report.missing_dates(p.snapshots, reports)
 
 
 @query(
@@ -337,8 +337,8 @@ def shared_ratio(p):
        WHERE gap_date = (SELECT min(gap_date) FROM material_risk)""",
 )
 def earliest_gap_ties(p):
-    earliest = p.material_risk.agg(F.min("gap_date")).scalar()
-    return p.material_risk.where(F.col("gap_date") == earliest).select(
+    earliest = p.stored_risk.agg(F.min("gap_date")).scalar()
+    return p.stored_risk.where(F.col("gap_date") == earliest).select(
         "material_pn", "gap_date", "gap_qty"
     )
 
@@ -369,7 +369,7 @@ def risk_level_counts(p):
        FROM (SELECT DISTINCT eval_date AS date FROM risk_history)""",
 )
 def dim_date(p):
-    return report.date_dimension(p.risk_history)
+    return report.date_dimension(p.snapshots)
 
 
 @query(

@@ -16,6 +16,7 @@ from shortfall.functions.numbers import round_to, unit_cents
 from shortfall.operators import forecast as fc
 from shortfall.operators import risk as rk
 from shortfall.operators import models, shape
+from shortfall.sources.sinks import replace_snapshots
 from shortfall.sources.workspace import scratch_path
 
 PARTS_PER_SKU = 20
@@ -351,6 +352,15 @@ class PlanningTables:
         """Snapshots at the eight past cutoffs and at T, computed together."""
         return self.risk_at([*self.past_cutoffs, self.today]).select(*rk.RISK_COLUMNS)
 
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """The history stored with one folder per date: a filter on `eval_date` prunes the other folders,
+        and a list of dates reads no data column."""
+        path = scratch_path(self.spark, "history")
+        replace_snapshots(self.risk_history, path)
+        stored = self.spark.read.schema(self.risk_history.schema).parquet(path)
+        return stored.select(*rk.RISK_COLUMNS)
+
     @cached_property
     def profile(self) -> DataFrame:
         return rk.supply_profile(self.supply_split)
