@@ -87,14 +87,17 @@ def claim_extract(p):
 
 
 CLAIM_TABLES = {
-    "answers": """SELECT material_pn AS answer_id, gap_date, doi_days, supplier_concentration, min_lt, gap_qty,
+    "answers": """SELECT material_pn AS answer_id, gap_date, doi_days, supplier_concentration, min_lt, gap_qty, primary_supplier_id,
         CASE WHEN material_pn % 5 = 0 THEN ceil(gap_qty * 1.02::DOUBLE)::BIGINT + 1 ELSE gap_qty END AS stated FROM risk_detail""",
-    "claims": f"""SELECT answer_id, 'number' AS kind, stated::DOUBLE AS value, NULL AS day FROM answers
-        UNION ALL SELECT answer_id, 'number', {rnd("doi_days", 1)}, NULL FROM answers
-        UNION ALL SELECT answer_id, 'percentage', supplier_concentration, NULL FROM answers
-        UNION ALL SELECT answer_id, 'date', NULL, gap_date::VARCHAR FROM answers WHERE gap_date IS NOT NULL""",
-    "checked": """SELECT * FROM claims WHERE NOT coalesce(value IN (28, answer_id), false)
-        AND NOT coalesce(kind = 'percentage' AND value / 100 IN (28, answer_id), false)
+    # A right bay is a literal of the table and a right supplier the number of a code in it, so neither is a claim.
+    "claims": f"""SELECT answer_id, primary_supplier_id, 'number' AS kind, stated::DOUBLE AS value, NULL AS day FROM answers
+        UNION ALL SELECT answer_id, primary_supplier_id, 'number', {rnd("doi_days", 1)}, NULL FROM answers
+        UNION ALL SELECT answer_id, primary_supplier_id, 'percentage', supplier_concentration, NULL FROM answers
+        UNION ALL SELECT answer_id, primary_supplier_id, 'number', 100 + (answer_id + 1) % 800, NULL FROM answers WHERE answer_id % 9 = 0
+        UNION ALL SELECT answer_id, primary_supplier_id, 'number', primary_supplier_id + 40, NULL FROM answers WHERE answer_id % 11 = 0
+        UNION ALL SELECT answer_id, primary_supplier_id, 'date', NULL, gap_date::VARCHAR FROM answers WHERE gap_date IS NOT NULL""",
+    "checked": """SELECT answer_id, kind, value, day FROM claims WHERE NOT coalesce(value IN (14, 28, answer_id, primary_supplier_id), false)
+        AND NOT coalesce(kind = 'percentage' AND value / 100 IN (14, 28, answer_id), false)
         AND NOT coalesce(kind = 'number' AND value = 1, false)""",
     "cells": """SELECT answer_id, unnest([gap_qty::DOUBLE, doi_days, supplier_concentration, min_lt::DOUBLE]) AS number,
         gap_date::VARCHAR AS day FROM answers""",
@@ -109,16 +112,15 @@ CLAIM_TABLES = {
 
 def answer_claims(p) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers, their claims after all exemptions, and the evidence cells."""
-    answers = p.stored(derived.answers(p), "answers")
-    claims = evidence.extract_claims(answers, "answer_id", "answer")
-    cells = evidence_rows(p)
-    counts = answers.select("answer_id", "row_count")
-    kept = evidence.exempt_context(claims, answers, "answer_id", "question")
-    kept = evidence.exempt_row_count(kept, counts, "answer_id")
-    kept = evidence.exempt_presentation(kept, counts, "answer_id")
-    kept = evidence.exempt_years(kept, cells, "answer_id")
+    answers, cells = p.stored(derived.answers(p), "answers"), evidence_rows(p)
+    named = p.stored_risk.select(
+        F.col("material_pn").alias("answer_id"),
+        derived.bay(F.col("material_pn")).alias("bay"),
+        derived.supplier_code(F.col("primary_supplier_id")).alias("supplier"),
+    )
+    cells = cells.unionByName(evidence.string_cells(named, "answer_id", ["bay", "supplier"]), allowMissingColumns=True)
     # Matching reads the claims several times; the texts are only parsed once.
-    return answers, p.stored(kept, "claims"), cells
+    return answers, p.stored(evidence.checked_claims(answers, cells, "answer_id"), "claims"), cells
 
 
 def evidence_rows(p) -> DataFrame:

@@ -78,8 +78,10 @@ def mail_items(p: PlanningTables) -> DataFrame:
 
 
 def answers(p: PlanningTables) -> DataFrame:
-    """One generated sentence per material; every fifth material states its gap 2 % too high."""
-    wrong = F.col("material_pn") % 5 == 0
+    """One generated sentence per material. Every fifth material states its gap 2 % too high, every ninth
+    another bay than its own, every eleventh another supplier."""
+    pn = F.col("material_pn")
+    wrong = pn % 5 == 0
     stated = F.when(wrong, F.ceil(F.col("gap_qty") * 1.02) + 1).otherwise(F.col("gap_qty"))
     return p.stored_risk.select(
         F.col("material_pn").alias("answer_id"),
@@ -89,7 +91,16 @@ def answers(p: PlanningTables) -> DataFrame:
             F.lit(" days, top share "), F.format_string("%.2f%%", "supplier_concentration"),
             F.lit(", lead time "), F.col("min_lt").cast("string"), F.lit("d, short from "),
             F.coalesce(F.col("gap_date").cast("string"), F.lit("never")),
+            F.lit(", kept in "), bay(F.when(pn % 9 == 0, pn + 1).otherwise(pn)), F.lit(", sent by supplier "),
+            F.when(pn % 11 == 0, F.col("primary_supplier_id") + 40).otherwise(F.col("primary_supplier_id")).cast("string"),
+            F.lit(", seen over 14 days"),
         ).alias("answer"),
         F.concat(F.lit("How is "), material_code(F.col("material_pn")), F.lit(" within 28 days?")).alias("question"),
+        F.lit("Changes are seen over 14 days.").alias("exempt_text"),
         F.lit(1).cast("bigint").alias("row_count"),
     )
+
+
+def bay(pn: Column) -> Column:
+    """Name of the storage place of a material; its number stays under a thousand."""
+    return F.concat(F.lit("Bay "), (100 + pn % 800).cast("string"))
