@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortfall.llm import dedup, lang_filters, mixing, packing, simhash
+from shortfall.llm import dedup, lang_filters, mixing, near_texts, packing
 from shortfall.llm.common import stored
 from shortfall.llm.queries import language_filters, table
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, by the fingerprints of op10."""
-    return simhash.keep_one(docs)
+    """One row of each group of texts that share four fifths of their five-word shingles."""
+    return near_texts.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
