@@ -47,6 +47,8 @@ TREE_NODES = 4096
 SEARCH_ROWS = 128
 HELD_PAIRS = 1 << 20
 FORESTS = 3
+MANY_ROWS = 256
+LEADERS = 64
 CHUNK = 1 << 16
 
 
@@ -217,45 +219,82 @@ def forest(count: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndar
     return order[np.concatenate(chosen)] if chosen else order[:0]
 
 
-def cell_links(cell: pd.DataFrame, reach: int, words: int = BITS // 64) -> tuple[list[bytes], list[bytes], list[int]]:
-    """The nearest links between what one tree and one part of a shard have within reach."""
+def leaders(values: np.ndarray, sure: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Cluster of each fingerprint by sure links to a few of them, and these links. One pass for each
+    leader, always outside the largest cluster, so that a large group of copies needs no pairs."""
+    label, links = np.arange(len(values)), []
+    for turn in range(LEADERS):
+        outside = np.flatnonzero(label != np.bincount(label).argmax())
+        if not len(outside):
+            break
+        leader = outside[turn * 7919 % len(outside)]
+        distance = distances(values, values[leader][None, :])
+        near = np.flatnonzero((distance <= sure) & (label != label[leader]))
+        near = near[np.unique(label[near], return_index=True)[1]]  # one link to each cluster
+        ends = np.full(len(near), leader)
+        links.append((ends, near, distance[near]))
+        label = joined(len(values), [(label[ends], label[near])])[label]
+    return label, links
+
+
+def cell_links(
+    cell: pd.DataFrame, reach: int, sure: int, words: int = BITS // 64
+) -> tuple[list[bytes], list[bytes], list[int]]:
+    """The nearest links between what one tree and one part of a shard have within reach.
+
+    In a cell with many rows those of the largest cluster of sure links are joined already; the tree
+    is of the others, and all rows ask it. Pairs that sure links have joined are not kept.
+    """
     values = np.frombuffer(b"".join(cell["print"]), np.uint64).reshape(-1, words)
     nodes, askers = np.flatnonzero(cell["in_tree"].to_numpy(bool)), np.flatnonzero(cell["asks"].to_numpy(bool))
     if not len(nodes) or not len(askers):
         return [], [], []
-    whole = len(nodes) == len(askers) == len(values)  # each pair is found from both ends
-    a = b = far = np.zeros(0, np.int64)
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def thinned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, y, z = (np.concatenate(c) for c in zip((a, b, far), *waiting, strict=True))
+    label = np.arange(len(values))
+    fixed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(label[:0],) * 3]
+    if len(values) >= MANY_ROWS:
+        label, links = leaders(values, sure)
+        fixed += links
+        nodes, askers = np.flatnonzero(label != np.bincount(label).argmax()), np.arange(len(values))
+    held, waiting = 0, [(label[:0],) * 3]
+
+    def thinned() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        x, y, z = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        once = np.unique(x * len(values) + y, return_index=True)[1]  # found from both ends
+        once = once[label[x[once]] != label[y[once]]]
+        x, y, z = x[once], y[once], z[once]
         kept, rest = [], np.arange(len(x))
         for _ in range(FORESTS):
             took = forest(len(values), x[rest], y[rest], z[rest])
             kept.append(rest[took])
             rest = np.delete(rest, took)
         keep = np.concatenate(kept)
-        return x[keep], y[keep], z[keep]
+        return [(x[keep], y[keep], z[keep])]
 
-    for query, node, distance in Tree(values[nodes]).search(values[askers], reach):
+    for query, node, distance in Tree(values[nodes]).search(values[askers], reach) if len(nodes) else ():
         x, y = askers[query], nodes[node]
-        apart = x < y if whole else x != y
-        waiting.append((x[apart], y[apart], distance[apart]))
-        held += int(apart.sum())
-        if held > HELD_PAIRS:  # a forest at a time, so that pairs are not kept
-            a, b, far = thinned()
-            waiting, held = [], 0
-    a, b, far = thinned()
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        apart = label[x] != label[y]
+        x, y, distance = x[apart], y[apart], distance[apart]
+        close = np.flatnonzero(distance <= sure)
+        if len(close):
+            took = close[forest(len(values), label[x[close]], label[y[close]], distance[close])]
+            fixed.append((x[took], y[took], distance[took]))
+            label = joined(len(values), [(label[x[took]], label[y[took]])])[label]
+            apart = label[x] != label[y]
+            x, y, distance = x[apart], y[apart], distance[apart]
+        waiting.append((x, y, distance))
+        held += len(x)
+        if held > HELD_PAIRS:  # forests at a time, so that pairs are not kept
+            waiting, held = thinned(), 0
+    a, b, far = (np.concatenate(c) for c in zip(*fixed, *thinned(), strict=True))
     names = cell["print"].tolist()
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    return [names[i] for i in low], [names[i] for i in high], far.tolist()
+    return [names[i] for i in a], [names[i] for i in b], far.tolist()
 
 
 # -- links and groups --------------------------------------------------------------------
 
 
-def near_links(rows: DataFrame, reach: int, tree_nodes: int = TREE_NODES) -> DataFrame:
+def near_links(rows: DataFrame, reach: int, sure: int, tree_nodes: int = TREE_NODES) -> DataFrame:
     """a, b, far: links between distinct prints that share a shard and are within reach."""
     members = stored(
         rows.select("print", F.explode("shards").alias("shard")).distinct().withColumn("node", F.xxhash64("print")),
@@ -299,7 +338,7 @@ def near_links(rows: DataFrame, reach: int, tree_nodes: int = TREE_NODES) -> Dat
     def links(pack: pd.DataFrame) -> pd.DataFrame:
         found: tuple[list, list, list] = [], [], []
         for _, cell in pack.groupby(["shard", "tree", "part"], sort=False):
-            for column, more in zip(found, cell_links(cell, reach), strict=True):
+            for column, more in zip(found, cell_links(cell, reach, sure), strict=True):
                 column += more
         a, b, far = found
         return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "far": pd.Series(far, dtype="int64")})
@@ -346,7 +385,7 @@ def dropped_rows(
     rows = stored(prints(docs.select("doc_id", "text").where("doc_id is not null"), width, seed), "near-prints")
     first = F.struct("doc_id", "text_key")
     known = stored(rows.groupBy("print").agg(F.min(first).alias("first")), "near-known")
-    links = stored(near_links(rows, reach_of(similarity), tree_nodes), "near-found")
+    links = stored(near_links(rows, reach_of(similarity), sure_of(similarity), tree_nodes), "near-found")
     roots = components(checked(links, docs, known, width, similarity, seed), "a", "b")
     rooted = known.join(roots, F.col("print") == F.col("node"), "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")
