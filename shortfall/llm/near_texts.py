@@ -10,9 +10,11 @@ are chosen by content: each text goes to `BANDS` shards, each named by its least
 member never. A shard has a BK-tree, in which a search follows only edges within the reach of its own
 distance; fuller shards are cut into several trees, and every tree is sent to every part of its own shard.
 
-A cell (tree, part) returns its nearest links as `FORESTS` forests without a common link, not all pairs.
-Links too far for the fingerprint to decide are checked on the exact sets of shingles; so each link has the
-similarity asked for, and two groups stay apart wrongly only if three nearer links between them fail.
+A cell (tree, part) first returns its nearest links as `FORESTS` forests without a common link, not all
+pairs. Links too far for the fingerprint to decide are checked on the exact sets of shingles, so each link
+has the similarity asked for. Cells that have held back pairs are asked again for pairs of groups that are
+still apart, nearest first and more in each round, until each pair of a shard within reach is checked or
+inside one group.
 
 Defined results: null, empty and blank texts are equal; texts of fewer words than a shingle are one
 shingle; of a group the row with the least doc_id, then the least hash of the text stays; rows without a
@@ -47,6 +49,8 @@ TREE_NODES = 4096
 SEARCH_ROWS = 128
 HELD_PAIRS = 1 << 20
 FORESTS = 3
+# Pairs of a cell in the first round after the forests; each further round takes ROUND_GROWTH times as many.
+ROUND_PAIRS, ROUND_GROWTH, MOST_PAIRS = 1 << 12, 4, 1 << 18
 MANY_ROWS = 256
 LEADERS = 64
 CHUNK = 1 << 16
@@ -239,8 +243,9 @@ def leaders(values: np.ndarray, sure: int) -> tuple[np.ndarray, list[tuple[np.nd
 
 def cell_links(
     cell: pd.DataFrame, reach: int, sure: int, words: int = BITS // 64
-) -> tuple[list[bytes], list[bytes], list[int]]:
-    """The nearest links between what one tree and one part of a shard have within reach.
+) -> tuple[list[bytes], list[bytes], list[int], bool]:
+    """The nearest links between what one tree and one part of a shard have within reach, and whether
+    pairs were held back.
 
     In a cell with many rows those of the largest cluster of sure links are joined already; the tree
     is of the others, and all rows ask it. Pairs that sure links have joined are not kept.
@@ -248,16 +253,17 @@ def cell_links(
     values = np.frombuffer(b"".join(cell["print"]), np.uint64).reshape(-1, words)
     nodes, askers = np.flatnonzero(cell["in_tree"].to_numpy(bool)), np.flatnonzero(cell["asks"].to_numpy(bool))
     if not len(nodes) or not len(askers):
-        return [], [], []
+        return [], [], [], False
     label = np.arange(len(values))
     fixed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(label[:0],) * 3]
     if len(values) >= MANY_ROWS:
         label, links = leaders(values, sure)
         fixed += links
         nodes, askers = np.flatnonzero(label != np.bincount(label).argmax()), np.arange(len(values))
-    held, waiting = 0, [(label[:0],) * 3]
+    held, waiting, back = 0, [(label[:0],) * 3], False
 
     def thinned() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        nonlocal back
         x, y, z = (np.concatenate(c) for c in zip(*waiting, strict=True))
         once = np.unique(x * len(values) + y, return_index=True)[1]  # found from both ends
         once = once[label[x[once]] != label[y[once]]]
@@ -268,6 +274,7 @@ def cell_links(
             kept.append(rest[took])
             rest = np.delete(rest, took)
         keep = np.concatenate(kept)
+        back |= len(rest) > 0
         return [(x[keep], y[keep], z[keep])]
 
     for query, node, distance in Tree(values[nodes]).search(values[askers], reach) if len(nodes) else ():
@@ -288,14 +295,51 @@ def cell_links(
             waiting, held = thinned(), 0
     a, b, far = (np.concatenate(c) for c in zip(*fixed, *thinned(), strict=True))
     names = cell["print"].tolist()
-    return [names[i] for i in a], [names[i] for i in b], far.tolist()
+    return [names[i] for i in a], [names[i] for i in b], far.tolist(), back
+
+
+def next_links(
+    cell: pd.DataFrame, reach: int, done: int, limit: int, words: int = BITS // 64
+) -> tuple[list[bytes], list[bytes], list[int], int]:
+    """Links beyond the distance `done` between rows of different roots, whole distances nearest first until
+    there are `limit`, and the distance up to which they are complete."""
+    values = np.frombuffer(b"".join(cell["print"]), np.uint64).reshape(-1, words)
+    label = pd.factorize(cell["root"])[0]
+    nodes, askers = np.flatnonzero(cell["in_tree"].to_numpy(bool)), np.flatnonzero(cell["asks"].to_numpy(bool))
+    if len(values) >= MANY_ROWS:
+        nodes, askers = np.flatnonzero(label != np.bincount(label).argmax()), np.arange(len(values))
+    upto, held, waiting = reach, 0, [(label[:0],) * 3]
+
+    def nearest() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        nonlocal upto
+        x, y, z = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        once = np.unique(x * len(values) + y, return_index=True)[1]  # found from both ends
+        if len(once) > limit:
+            upto = min(upto, int(np.partition(z[once], limit - 1)[limit - 1]))
+            once = once[z[once] <= upto]
+        return [(x[once], y[once], z[once])]
+
+    for query, node, distance in Tree(values[nodes]).search(values[askers], reach) if len(nodes) else ():
+        x, y = askers[query], nodes[node]
+        asked = (distance > done) & (distance <= upto) & (label[x] != label[y])
+        x, y, distance = x[asked], y[asked], distance[asked]
+        waiting.append((np.minimum(x, y), np.maximum(x, y), distance))
+        held += len(x)
+        if held > HELD_PAIRS:
+            waiting, held = nearest(), 0
+    [(a, b, far)] = nearest()
+    names = cell["print"].tolist()
+    return [names[i] for i in a], [names[i] for i in b], far.tolist(), upto
 
 
 # -- links and groups --------------------------------------------------------------------
 
 
-def near_links(rows: DataFrame, reach: int, sure: int, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """a, b, far: links between distinct prints that share a shard and are within reach."""
+FOUND = "shard bigint, tree int, part int, a binary, b binary, far bigint"
+
+
+def dealt_cells(rows: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """pack, shard, tree, part, print, in_tree, asks: the cells in which distinct prints of a shard meet."""
     members = stored(
         rows.select("print", F.explode("shards").alias("shard")).distinct().withColumn("node", F.xxhash64("print")),
         "near-members",
@@ -318,7 +362,7 @@ def near_links(rows: DataFrame, reach: int, sure: int, tree_nodes: int = TREE_NO
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda k: F.struct(F.least(k, F.col("own")).alias("tree"), F.greatest(k, F.col("own")).alias("part")),
     )
-    dealt = (
+    return (
         searched.withColumn("own", own)
         .select("shard", "print", "own", "parts", F.explode(cells).alias("cell"))
         .select(
@@ -335,16 +379,70 @@ def near_links(rows: DataFrame, reach: int, sure: int, tree_nodes: int = TREE_NO
         )
     )
 
+
+def cell_rows(cell: tuple, a: list, b: list, far: list, more: int | None) -> pd.DataFrame:
+    """The links of a cell; a row without ends says that more lie beyond a distance."""
+    if more is not None:
+        a, b, far = [*a, None], [*b, None], [*far, more]
+    shard, tree, part = cell
+    return pd.DataFrame(
+        {"shard": shard, "tree": tree, "part": part, "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "far": pd.Series(far, dtype="int64")}
+    ).astype({"shard": "int64", "tree": "int32", "part": "int32"})
+
+
+def first_links(cells: DataFrame, reach: int, sure: int) -> DataFrame:
+    """Sure links and forests of the others, of all cells."""
+
+    def links(pack: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for name, cell in pack.groupby(["shard", "tree", "part"], sort=False):
+            a, b, far, back = cell_links(cell, reach, sure)
+            found.append(cell_rows(name, a, b, far, sure if back else None))
+        return pd.concat(found)
+
+    return cells.groupBy("pack").applyInPandas(links, FOUND)
+
+
+def more_links(cells: DataFrame, reach: int, limit: int) -> DataFrame:
+    """The next links of cells (with root of each print, and done) that have held back pairs."""
+
     def links(pack: pd.DataFrame) -> pd.DataFrame:
-        found: tuple[list, list, list] = [], [], []
-        for _, cell in pack.groupby(["shard", "tree", "part"], sort=False):
-            for column, more in zip(found, cell_links(cell, reach, sure), strict=True):
-                column += more
-        a, b, far = found
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "far": pd.Series(far, dtype="int64")})
+        found = []
+        for name, cell in pack.groupby(["shard", "tree", "part"], sort=False):
+            a, b, far, upto = next_links(cell, reach, int(cell["done"].iloc[0]), limit)
+            found.append(cell_rows(name, a, b, far, upto if upto < reach else None))
+        return pd.concat(found)
+
+    return cells.groupBy("pack").applyInPandas(links, FOUND)
+
 
-    found = dealt.groupBy("pack").applyInPandas(links, "a binary, b binary, far bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far").distinct()
+def links_of(found: DataFrame) -> DataFrame:
+    return found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far").distinct()
+
+
+def near_roots(
+    rows: DataFrame, docs: DataFrame, known: DataFrame, width: int, similarity: float, seed: int, tree_nodes: int
+) -> DataFrame:
+    """node, root: the least print of the group of each print that has links."""
+    reach, sure = reach_of(similarity), sure_of(similarity)
+    cells = dealt_cells(rows, tree_nodes)
+    found = stored(first_links(cells, reach, sure), "near-found")
+    roots = components(checked(links_of(found), docs, known, width, similarity, seed), "a", "b")
+    limit = ROUND_PAIRS
+    while not (back := found.where("a is null").select("shard", "tree", "part", F.col("far").alias("done"))).isEmpty():
+        rooted = (
+            cells.join(back, ["shard", "tree", "part"])
+            .join(roots.withColumnRenamed("node", "print"), "print", "left")
+            .withColumn("root", F.coalesce("root", "print"))
+        )
+        found = stored(more_links(rooted, reach, limit), "near-found")
+        links = links_of(found)
+        if not links.isEmpty():
+            passed = checked(links, docs, known, width, similarity, seed)
+            joins = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(passed)
+            roots = components(joins, "a", "b")
+        limit = min(MOST_PAIRS, limit * ROUND_GROWTH)
+    return roots
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
@@ -385,8 +483,7 @@ def dropped_rows(
     rows = stored(prints(docs.select("doc_id", "text").where("doc_id is not null"), width, seed), "near-prints")
     first = F.struct("doc_id", "text_key")
     known = stored(rows.groupBy("print").agg(F.min(first).alias("first")), "near-known")
-    links = stored(near_links(rows, reach_of(similarity), sure_of(similarity), tree_nodes), "near-found")
-    roots = components(checked(links, docs, known, width, similarity, seed), "a", "b")
+    roots = near_roots(rows, docs, known, width, similarity, seed, tree_nodes)
     rooted = known.join(roots, F.col("print") == F.col("node"), "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")
     )

@@ -89,6 +89,23 @@ def test_odd_rows(spark):
     assert sorted(d for d, _ in got) == sorted(min(ids) for ids in sets.values())
 
 
+def two_groups(seed, size=6):
+    """Two groups of near copies that meet in one pair at exactly 0.8, among many just under it."""
+    pick = random.Random(seed)
+    first = [f"w{pick.randrange(9**6)}" for _ in range(400)]
+    second = [*first[:50], *(f"y{pick.randrange(9**6)}" for _ in range(40)), *first[90:]]
+    ends = [[], *([f"z{i}"] for i in range(1, size))]
+    return [" ".join([*base, *(f"{k}{x}" for x in end)]) for k, base in enumerate((first, second)) for end in ends]
+
+
+@pytest.mark.parametrize("pairs", [1, 4096])
+def test_one_link_among_nearer_pairs_that_fail(spark, monkeypatch, pairs):
+    monkeypatch.setattr(near_texts, "ROUND_PAIRS", pairs)
+    docs = documents(spark, two_groups(16))
+    assert set(plain_groups(docs).values()) == {0}
+    assert kept_ids(near_texts.keep_one(docs)) == [0]
+
+
 def test_same_id_other_text(spark):
     texts = copies(seed=8, count=4)
     docs = documents(spark, [texts[1], texts[0], texts[2]], ids=[7, 7, 1])
