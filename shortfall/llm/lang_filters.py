@@ -9,6 +9,10 @@ Fitting takes at most about PER_LANGUAGE documents of each language, chosen by h
 bound of the sample, whole texts); prediction takes every row. Trigrams that fewer than MIN_SHARE of a
 language's sampled documents have are left out as noise.
 
+A text is accepted if the winner knows enough of it: at least `OF_LOW` of the share that all but the lowest
+`LOW` of the winner's own labelled sample reach, less `SPREADS` binomial spread for the text's length. A
+sampled text's trigrams that no other one has do not count for it, so a small sample does not raise the bar.
+
 Defined results: texts that are null or have no letter are `und` with score 0; letters that no filter
 knows give the most frequent learned language with score 0; without a learned language all rows are
 `und`; equal shares go to the first language by name; null keys and repeated rows are predicted like any
@@ -18,7 +22,7 @@ other; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,8 @@ MIN_SHARE = 0.005
 HASHES = 3
 SLOTS_PER_GRAM = 8
 CHUNK = 1 << 20
-MIN_COVERAGE = 0.1
+MIN_COVERAGE = 0.1  # where a language has too few texts for a bar of its own
+LOW, OF_LOW, SPREADS = 0.01, 0.75, 1.0
 # Odd multipliers of the slot hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -69,6 +74,7 @@ class Filters:
     table: np.ndarray  # slots x words of 64 languages
     false_hits: np.ndarray  # by language
     common: int  # most frequent language
+    least: np.ndarray | None = None  # by language: share of a long text that is enough
 
     def slots(self, grams: np.ndarray) -> Iterator[np.ndarray]:
         bits = np.uint64(64 - (len(self.table) - 1).bit_length())
@@ -94,7 +100,9 @@ class Filters:
 
     def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float, float]:
         """Language, score, and the language's share of the text."""
-        codes = letters_of(text or "", letters)
+        return self.judge(letters_of(text or "", letters))
+
+    def judge(self, codes: np.ndarray) -> tuple[str, float, float]:
         if len(codes) < 3 or not self.languages:
             return "und", 0.0, 0.0
         shares = self.shares(codes)
@@ -103,6 +111,16 @@ class Filters:
             return self.languages[self.common], 0.0, 0.0
         return self.languages[best], float(shares[best] / shares.sum()), float(shares[best])
 
+    def accepts(self, text: str | None, letters: np.ndarray, floor: float) -> bool:
+        """Whether the winner knows enough of the text."""
+        codes = letters_of(text or "", letters)
+        lang, _, share = self.judge(codes)
+        if lang == "und":
+            return False
+        bar = 0.0 if self.least is None else float(self.least[self.languages.index(lang)])
+        spread = (bar * (1 - bar) / np.count_nonzero(codes != 32)) ** 0.5
+        return bool(share >= max(floor, bar - SPREADS * spread))
+
 
 def make_filters(grams: dict[str, np.ndarray], common: str | None) -> Filters:
     """Filters of the languages' distinct trigrams."""
@@ -118,8 +136,10 @@ def make_filters(grams: dict[str, np.ndarray], common: str | None) -> Filters:
     return made
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: float = MIN_SHARE) -> Filters:
-    """Filters from doc_id, text, lang."""
+def fit(
+    labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: float = MIN_SHARE, bars: bool = True
+) -> Filters:
+    """Filters from doc_id, text, lang; with bars, also the least shares of accepted texts."""
     labelled = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes, "lang-sizes")  # a row per language
@@ -148,13 +168,38 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share: float
         .agg(F.sum("docs").alias("docs"))
         .join(F.broadcast(sizes), "lang")
         .where((F.col("docs") >= least) | (F.col("n") < 2 / min_share))
-        .select("lang", "gram")
+        .select("lang", "gram", "docs")
         .toPandas()  # what a bounded sample has
     )
     frequent = sizes.orderBy(F.desc("n"), "lang").first()
-    return make_filters(
-        {lang: part.to_numpy(np.int64) for lang, part in kept.groupby("lang")["gram"]}, frequent and frequent["lang"]
-    )
+    common = frequent and frequent["lang"]
+    made = make_filters({lang: x.to_numpy(np.int64) for lang, x in kept.groupby("lang")["gram"]}, common)
+    if not bars or not made.languages:
+        return made
+    shared_grams = kept[kept["docs"] > 1].groupby("lang")["gram"]
+    others = make_filters({lang: x.to_numpy(np.int64) for lang, x in shared_grams}, common)
+    return replace(made, least=least_shares(sample.select("lang", "text"), made.languages, others))
+
+
+def least_shares(sample: DataFrame, languages: tuple[str, ...], filters: Filters) -> np.ndarray:
+    """By language, the bar for long texts from the shares of its own sampled ones."""
+    shared = sample.sparkSession.sparkContext.broadcast(astuple(filters))  # bounded by the sample
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table()
+        model = Filters(*shared.value)
+        for part in slices(batches):
+            langs, shares = [], []
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                codes = letters_of(text, letters)
+                if len(codes) > 2:
+                    langs.append(lang)
+                    shares.append(float(model.shares(codes)[model.languages.index(lang)]) if lang in model.languages else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(shares, pa.float64())], ["lang", "share"])
+
+    low = sample.mapInArrow(own, "lang string, share double").groupBy("lang").agg(F.percentile_approx("share", LOW, 10_000).alias("low"))
+    found = {r["lang"]: r["low"] for r in low.collect()}  # a row per language
+    return np.array([OF_LOW * found.get(lang, 0.0) for lang in languages])
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -184,7 +229,6 @@ def accepts(spark: SparkSession, text: Column, filters: Filters, min_coverage: f
     def test(texts: pd.Series) -> pd.Series:
         letters = letter_table()
         model = Filters(*shared.value)
-        found = (model.predict(t, letters) for t in texts)
-        return pd.Series([lang != "und" and share >= min_coverage for lang, _, share in found], dtype=bool)
+        return pd.Series([model.accepts(t, letters, min_coverage) for t in texts], dtype=bool)
 
     return test(text)

@@ -88,13 +88,13 @@ def op8_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_paths.extract(table(spark, folder, "pages"))
 
 
-def language_filters(docs: DataFrame) -> lang_filters.Filters:
-    return lang_filters.fit(docs.where(fold(4) != 2).select("doc_id", "text", "lang"))
+def language_filters(docs: DataFrame, bars: bool = True) -> lang_filters.Filters:
+    return lang_filters.fit(docs.where(fold(4) != 2).select("doc_id", "text", "lang"), bars=bars)
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = lang_filters.predict(docs, language_filters(docs))
+    found = lang_filters.predict(docs, language_filters(docs, bars=False))
     return found.select(
         "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage"
     )

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from conftest import rows
 from llm_cases import documents, empty, fold, odd_documents, with_clashing
 from pyspark.sql import functions as F
 
 from shortfall.llm import lang_filters
-from shortfall.llm.queries import op9_language_id
+from shortfall.llm.queries import language_filters, op9_language_id
 
 SAYS = {
     "en": "the weather was fine and they went out to the garden with their children",
@@ -91,3 +92,26 @@ def test_held_out_accuracy(spark):
     long = [r for r in held if len(r["text"]) >= 40]
     assert sum(r["lang"] == r["lang_pred"] for r in long) >= 0.98 * len(long)
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+
+
+OTHERS = [
+    "Het weer was mooi en zij gingen met hun kinderen naar buiten in de tuin om daar samen te spelen",
+    "Il tempo era bello e sono usciti in giardino con i loro bambini per giocare insieme tutto il pomeriggio",
+    "Hava güzeldi ve çocuklarıyla birlikte bahçeye çıktılar, bütün öğleden sonra oyun oynadılar",
+    "Pogoda była piękna i wyszli z dziećmi do ogrodu, żeby razem bawić się przez całe popołudnie",
+]
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_unlearned_languages_of_the_same_script_go(spark, folder):
+    given = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    test = lang_filters.accepts(spark, F.col("text"), language_filters(given))
+    others = documents(spark, OTHERS + [" ".join([x] * 20) for x in OTHERS])
+    assert others.where(test).count() == 0
+    assert given.where(test).count() == given.count()
+
+
+def test_a_single_text_sets_no_bar(spark):
+    model = lang_filters.fit(documents(spark, [SAYS["en"], SAYS["de"]], langs=["en", "de"]))
+    new = documents(spark, ["the children of the garden and the weather of the town"])
+    assert new.where(lang_filters.accepts(spark, F.col("text"), model)).count() == 1
