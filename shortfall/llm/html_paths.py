@@ -5,7 +5,8 @@ punctuation are summed per path and divided by the path's number of blocks; the
 over the blocks around (weighted by how much of the path they share), fused to one score, and paths over
 a share of the best score are content. Headings and lists that hang in a content path's container go
 with it. Paths through navigation, forms, scripts, notices, adverts, comments and the like are left out
-first, by tag, role and class; if the page marks its article, only paths inside count.
+first, by tag, role and class. A page's mark of its article is a weight: scores of paths outside it are
+multiplied by `UNMARKED`, and the same threshold holds for all paths.
 
 Pages are independent, so this is one pass without a shuffle. Defined results: null html is the empty
 page, with empty text; markup that breaks off is read as far as it goes; null keys and repeated rows
@@ -31,6 +32,7 @@ by_value(__name__)
 SHARE = 0.15
 NEIGHBOURS = 2
 LINKED = 0.5
+UNMARKED = 0.5
 # Tags of HTML by what they do here.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
@@ -193,24 +195,26 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     return fused
 
 
+def is_header(label: str) -> bool:
+    return re.search(r"(?:^|[.-])header(?:$|[.-])", label, re.I) is not None
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    inside = [b for b in found if b.marked]
-    candidates = inside or found
-    if not candidates:
+    if not found:
         return ""
-    scores = path_scores(candidates)
-    if inside:  # all of a marked article but its lists of links
-        content = {p for p, score in scores.items() if score > 0}
-    else:
-        bar = SHARE * max(scores.values())
-        content = {p for p, score in scores.items() if score > 0 and score >= bar}
+    scores = path_scores(found)
+    inside = {b.path for b in found if b.marked}
+    if inside:
+        scores = {p: score if p in inside else UNMARKED * score for p, score in scores.items()}
+    bar = SHARE * max(scores.values())
+    content = {p for p, score in scores.items() if score > 0 and score >= bar}
     holders = {p[:-1] for p in content}
     kept = [
         b.text
-        for b in candidates
+        for b in found
         if b.path in content
-        or (b.path and b.path[-1].split(".")[0] in HEADINGS and b.path[:-1] in holders)
+        or (b.path and b.path[-1].split(".")[0] in HEADINGS and (b.path[:-1] in holders or b.path[:-2] in holders and is_header(b.path[-2])))
     ]
     return "\n".join(kept)
 

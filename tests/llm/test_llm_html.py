@@ -72,3 +72,21 @@ def test_given_pages(spark):
         blocks = re.split(r"</?(?:p|h1)>", article)
         plain = [" ".join(html.unescape(re.sub(r"<[^>]*>?", " " if "<br" in b else "", b)).split()) for b in blocks]
         assert html_paths.main_text(r["html"]) == "\n".join(b for b in plain if b)
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (page(f"<div class=content>{PARAGRAPHS}</div><div><article><a href=x>Teaser of another page</a></article></div>"), PLAIN),
+        (page(f"<div class=content>{PARAGRAPHS}</div><div class=x><div class=y><article><p>Card</p></article></div></div>"), f"{PLAIN}\nCard"),
+        (page(f"<main><div><p>{TEXT * 8}</p><p>{TEXT * 9}</p></div><div class=x>{'<div class=z>Buy</div>' * 12}</div></main>"), f"{TEXT * 8}\n{TEXT * 9}"),
+    ],
+)
+def test_marks_are_only_a_weight(html, expected):
+    assert html_paths.main_text(html) == expected
+
+
+def test_given_pages_without_marks(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert "<article" not in plain and html_paths.main_text(plain) == html_paths.main_text(r["html"])
