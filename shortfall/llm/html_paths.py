@@ -5,7 +5,10 @@ punctuation are summed per path and divided by the path's number of blocks; the
 over the blocks around (weighted by how much of the path they share), fused to one score, and paths over
 a share of the best score are content. Headings and lists that hang in a content path's container go
 with it. Paths through navigation, forms, scripts, notices, adverts, comments and the like are left out
-first, by tag, role and class. A page's mark of its article is a weight: scores of paths outside it are
+first, by tag, or by a word in class, id or role. A word that is part of a name
+leaves out no element that holds a heading of the first rank or, without a marked article elsewhere, over half
+of the page's text; words that are the whole name, or mean readers' comments, yield only to the page's first
+such heading. If nothing is left, no word counts. A page's mark of its article is a weight: scores of paths outside it are
 multiplied by `UNMARKED`, and the same threshold holds for all paths.
 
 Pages are independent, so this is one pass without a shuffle. Defined results: null html is the empty
@@ -59,6 +62,13 @@ ASIDE = re.compile(
     r"navigation|form)(?:$|[\s_-])",
     re.I,
 )
+# Of these, words for what readers write; and compounds that say what an element has or allows, not what it is.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|reply|replies|discussion)(?:$|[\s_-])", re.I)
+MODIFIER = re.compile(
+    r"(?<!\S)(?:\S+[_-])?(?:has|with|no|without)[_-]\S+|(?<!\S)\S+[_-](?:enabled|disabled|open|closed)(?!\S)", re.I
+)
+WHOLE = re.compile(ASIDE.pattern.replace(r"[\s_-]", r"\s"), re.I)
+HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
 MARKED = re.compile(r"^(?:article|main)$")
 
 
@@ -68,6 +78,17 @@ class Block:
     text: str
     linked: int
     marked: bool
+    asides: tuple[int, ...] = ()
+
+
+@dataclass
+class Aside:
+    """An element whose class, id or role has a word of what is not the article."""
+
+    plain: bool  # the word is the whole name, or means what readers write
+    chars: int = 0
+    marked: int = 0  # characters inside marked articles
+    heading: int = 0  # number of its first h1 on the page
 
 
 class Blocks(HTMLParser):
@@ -75,7 +96,9 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # label, dropped, inside a marked article
+        self.stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # label, dropped, inside a marked article, asides
+        self.asides: list[Aside] = []
+        self.headings = 0
         self.tags: list[str] = []
         self.found: list[Block] = []
         self.parts: list[str] = []
@@ -86,8 +109,12 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(label for label, _, _ in self.stack)
-            self.found.append(Block(path, text, self.linked, bool(self.stack) and self.stack[-1][2]))
+            path = tuple(x[0] for x in self.stack)
+            marked, asides = self.stack[-1][2:] if self.stack else (False, ())
+            self.found.append(Block(path, text, self.linked, marked, asides))
+            for i in asides:
+                self.asides[i].chars += len(text)
+                self.asides[i].marked += len(text) * marked
         self.parts, self.linked = [], 0
 
     def pop(self, count: int) -> None:
@@ -122,13 +149,24 @@ class Blocks(HTMLParser):
             or (tag == "header" and not inside)
             or "hidden" in given
             or given.get("aria-hidden") == "true"
-            or (tag not in ("html", "body") and not MARKED.match(tag) and bool(ASIDE.search(names)))
             or (MARKED.match(tag) is not None and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I) is not None)
         )
         label = f"{tag}.{'.'.join(sorted(given.get('class', '').split()))}".rstrip(".")
+        asides = self.stack[-1][3] if self.stack else ()
+        named = MODIFIER.sub(" ", names)
+        if inside:  # an article's own header
+            named = HEADER.sub(" ", named)
+        if tag not in ("html", "body") and not MARKED.match(tag) and ASIDE.search(named):
+            asides = (*asides, len(self.asides))
+            whole = any(WHOLE.match(x) for x in named.split())
+            self.asides.append(Aside(whole or READERS.search(named) is not None))
         self.tags.append(tag)
-        self.stack.append((label, dropped, inside or is_marked))
+        self.stack.append((label, dropped, inside or is_marked, asides))
         self.hidden += dropped
+        if tag == "h1" and not self.hidden:
+            self.headings += 1
+            for i in asides:
+                self.asides[i].heading = self.asides[i].heading or self.headings
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
@@ -152,7 +190,18 @@ def blocks(html: str) -> list[Block]:
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.found
+    return shown(reader.found, reader.asides)
+
+
+def shown(found: list[Block], asides: list[Aside]) -> list[Block]:
+    """The blocks outside what words leave out."""
+    total, marked = sum(len(b.text) for b in found), sum(len(b.text) for b in found if b.marked)
+    hidden = set()
+    for i, aside in enumerate(asides):
+        most = 2 * aside.chars > total and aside.marked == marked
+        if aside.heading != 1 if aside.plain else not aside.heading and not most:
+            hidden.add(i)
+    return [b for b in found if hidden.isdisjoint(b.asides)] or found
 
 
 def shared(a: tuple[str, ...], b: tuple[str, ...]) -> float:

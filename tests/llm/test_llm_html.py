@@ -90,3 +90,21 @@ def test_given_pages_without_marks(spark):
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
         plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
         assert "<article" not in plain and html_paths.main_text(plain) == html_paths.main_text(r["html"])
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (page(f"<div class='content has-sidebar'>{PARAGRAPHS}</div><div class=sidebar>{TEXT}</div>"), PLAIN),
+        (page(f"<div class='two-col with-sidebar'>{PARAGRAPHS}</div><div class=comments><p>{TEXT}</p></div>"), PLAIN),
+        (page(f"<div class='post share-enabled comments-open'>{PARAGRAPHS}</div>"), PLAIN),
+        (page(f"<div class='sidebar-layout'>{PARAGRAPHS}</div><div class='sidebar'><p>{TEXT}</p></div>"), PLAIN),
+        (page(f"<article><div class=entry-header><h1>Head</h1></div>{PARAGRAPHS}</article>"), f"Head\n{PLAIN}"),
+        (page(f"<article><div class=post-header><h2>Head</h2></div>{PARAGRAPHS}</article>"), f"Head\n{PLAIN}"),
+        (page(f"<div class=post><div class=entry-header><h1>Head</h1></div>{PARAGRAPHS}</div>"), f"Head\n{PLAIN}"),
+        (page(f"<div class=post>{PARAGRAPHS}</div><div class=comments><p>{TEXT * 20}</p></div>"), PLAIN),
+        (page(f"<div class=discussion>{PARAGRAPHS}</div>"), PLAIN),
+    ],
+)
+def test_words_of_compound_names(html, expected):
+    assert html_paths.main_text(html) == expected
