@@ -6,8 +6,12 @@ text's tokens, divided by the largest that the text's length allows. The texts o
 class (power of two of tokens) have a band for each measure around their median in the corpus; a text
 outside a band is rejected. Bands come from sketches over all rows; texts are encoded whole.
 
-Defined results: null is the empty text; texts of fewer than MIN_TOKENS tokens are not judged by the
-bands, nor are those of a script and length class with fewer than MIN_TEXTS; null keys and repeated
+Texts of MIN_TOKENS tokens or more are judged. A script and length class of fewer than MIN_TEXTS such texts takes the
+band of the nearest fuller class of its script (of two as near the shorter), else that of all texts of the
+script if they are MIN_TEXTS, else that of all texts. The share of the largest entropy falls with length, at
+most as if its bits stayed the same; a band from another class is widened by so much on that side.
+
+Defined results: null is the empty text; texts that fail the base rule make no bands; null keys and repeated
 rows are scored like any other; an empty table gives an empty result.
 """
 
@@ -148,19 +152,33 @@ def measured(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """script, length_class, low and high of each measure. One row per script and power of two."""
+    """script, length_class, low and high of each measure. One row per script and power of two that rows have."""
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
+    levels = rows.groupingSets([["script", "length_class"], ["script"], []], "script", "length_class").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("texts"), *quartiles
+    )
+    levels = stored(levels, "fertility-levels")  # at most scripts x 64 rows, a row a script and one of all
+    classes = levels.where("level = 0").select(F.col("script").alias("for_script"), F.col("length_class").alias("for_class"))
+    usable = (F.col("texts") >= MIN_TEXTS) | (F.col("level") == 3)
+    fits = (F.col("level") == 3) | (F.col("script") == F.col("for_script"))
+    # Each class takes the first of: classes of its script by distance, its script, all.
+    nearest = F.struct("level", F.abs(F.col("length_class") - F.col("for_class")).alias("away"), "length_class")
+    picked = F.struct(*MEASURES)
     found = (
-        rows.where(F.col("n_tokens") >= MIN_TOKENS)
-        .groupBy("script", "length_class")
-        .agg(F.count(F.lit(1)).alias("texts"), *quartiles)
-        .where(F.col("texts") >= MIN_TEXTS)
+        classes.join(F.broadcast(levels.where(usable)), fits)
+        .groupBy("for_script", "for_class")
+        .agg(F.min_by(picked, nearest).alias("band"), F.coalesce(F.min_by("length_class", nearest), "for_class").alias("of_class"))
+        .select(F.col("for_script").alias("script"), F.col("for_class").alias("length_class"), "of_class", "band.*")
     )
     limits = []
     for m in MEASURES:
         # Half the distance of the quartiles, scaled, is the spread; no band is tighter than its least width.
         half = F.greatest(F.lit(SPREADS * 0.741) * (F.col(m)[2] - F.col(m)[0]), F.lit(LEAST_WIDTH[m]))
-        limits += [(F.col(m)[1] - half).alias(f"{m}_low"), (F.col(m)[1] + half).alias(f"{m}_high")]
+        low, high = F.col(m)[1] - half, F.col(m)[1] + half
+        if m == "token_entropy":
+            longer = F.col("of_class") / F.greatest(F.col("length_class"), F.lit(1))
+            low, high = low * F.least(longer, F.lit(1.0)), high * F.greatest(longer, F.lit(1.0))
+        limits += [low.alias(f"{m}_low"), high.alias(f"{m}_high")]
     return found.select("script", "length_class", *limits)
 
 
@@ -172,13 +190,13 @@ def quality_rules(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
         ),
         "fertility-rows",
     )
-    limits = stored(bands(rows), "fertility-bands")  # at most scripts x 64 rows
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    limits = stored(bands(rows.where(~failed)), "fertility-bands")  # at most scripts x 64 rows
     joined = rows.join(F.broadcast(limits), ["script", "length_class"], "left")
     outside = F.lit(False)
     for m in MEASURES:
         outside = outside | ~F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
-    rejected = (F.col("n_tokens") >= MIN_TOKENS) & F.coalesce(outside, F.lit(False))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    rejected = (F.col("n_tokens") >= MIN_TOKENS) & F.coalesce(outside, F.lit(False))  # null only where the base rule fails
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), "script", *MEASURES, "n_tokens",

@@ -88,3 +88,25 @@ def test_good_documents_stay(spark):
     good = [r["kept"] for r in found if r["quality"] == 1]
     bad = [r["kept"] for r in found if r["quality"] == 0]
     assert all(good) and bad.count(False) > 0.2 * len(bad)
+
+
+NAMES = ["river", "house", "street", "winter", "garden", "music", "letter", "bread", "window", "summer", "water", "city"]
+
+
+def prose(pick, words):
+    return " ".join(pick.choice(NAMES) + pick.choice(["", "s", "ed", "ing"]) for _ in range(words))
+
+
+def junk(pick, words):
+    return " ".join(f"{pick.getrandbits(32):x}$%" for _ in range(words))
+
+
+def test_sparse_classes_are_judged(spark):
+    """Classes, scripts and whole corpora of few texts take the nearest band there is."""
+    pick = random.Random(6)
+    texts = [prose(pick, 150) for _ in range(200)] + [prose(pick, 5000), junk(pick, 1200), junk(pick, 300), "яблоко$% " + junk(pick, 40).translate(str.maketrans("abcdef", "абвгде"))]
+    found = {r["doc_id"]: r for r in fertility.quality_rules(documents(spark, texts), RANKS, PATTERN).collect()}
+    assert found[203]["script"] == "cyrillic"
+    assert [found[i]["kept"] for i in range(200, 204)] == [True, False, False, False]
+    few = documents(spark, [prose(pick, 150) for _ in range(20)] + [junk(pick, 300)])
+    assert [r["kept"] for r in fertility.quality_rules(few, RANKS, PATTERN).orderBy("doc_id").collect()] == [True] * 20 + [False]
