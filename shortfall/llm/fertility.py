@@ -6,7 +6,7 @@ text's tokens, divided by the largest that the text's length allows. The texts o
 class (power of two of tokens) have a band for each measure around their median in the corpus; a text
 outside a band is rejected. Bands come from sketches over all rows; texts are encoded whole.
 
-Texts of MIN_TOKENS tokens or more are judged. A script and length class of fewer than MIN_TEXTS such texts takes the
+Each text of enough words is judged. A script and length class of fewer than MIN_TEXTS such texts takes the
 band of the nearest fuller class of its script (of two as near the shorter), else that of all texts of the
 script if they are MIN_TEXTS, else that of all texts. The share of the largest entropy falls with length, at
 most as if its bits stayed the same; a band from another class is widened by so much on that side.
@@ -33,7 +33,6 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-MIN_TOKENS = 100
 MIN_TEXTS = 100
 # Half widths of the bands: spreads (scaled median deviations), and at least so much.
 SPREADS = 4.0
@@ -196,7 +195,7 @@ def quality_rules(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     outside = F.lit(False)
     for m in MEASURES:
         outside = outside | ~F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
-    rejected = (F.col("n_tokens") >= MIN_TOKENS) & F.coalesce(outside, F.lit(False))  # null only where the base rule fails
+    rejected = F.coalesce(outside, F.lit(False))  # null only where the base rule fails
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), "script", *MEASURES, "n_tokens",

@@ -110,3 +110,13 @@ def test_sparse_classes_are_judged(spark):
     assert [found[i]["kept"] for i in range(200, 204)] == [True, False, False, False]
     few = documents(spark, [prose(pick, 150) for _ in range(20)] + [junk(pick, 300)])
     assert [r["kept"] for r in fertility.quality_rules(few, RANKS, PATTERN).orderBy("doc_id").collect()] == [True] * 20 + [False]
+
+
+def test_short_texts_are_judged(spark):
+    pick = random.Random(7)
+    texts = [prose(pick, 40) for _ in range(200)] + [" ".join(["x1"] * 7 + [pick.choice(["aa", "aa", "aa", "zz"]) for _ in range(15)]) for _ in range(3)]
+    texts += [" ".join(pick.choice("$%#&|<>*") * 2 for _ in range(25)) for _ in range(3)]
+    found = [r for r in fertility.quality_rules(documents(spark, texts), RANKS, PATTERN).orderBy("doc_id").collect()]
+    assert all(r["kept"] for r in found[:200])
+    short = [r for r in found[203:] if not r["base_failed"]]
+    assert short and all(20 <= r["n_words"] and r["n_tokens"] < 100 and not r["kept"] for r in short)
