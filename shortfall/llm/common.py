@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,4 +54,18 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
             yield batch.slice(start, rows)
 
 
+def light_slices(batches: Iterator, text: str, rows: int = 256, most: int = 8 << 20) -> Iterator:
+    """Arrow batches in slices of few rows and few bytes of a text column; a longer text comes alone."""
+    for batch in batches:
+        start = size = 0
+        for at, length in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+            length = length or 0
+            if at > start and (at - start == rows or size + length > most):
+                yield batch.slice(start, at - start)
+                start, size = at, 0
+            size += length
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 by_value(__name__)
