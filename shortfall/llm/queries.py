@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortfall.llm import (
+    alignment,
     dedup,
     fertility,
+    grid_codes,
     html_paths,
     lang_filters,
     mixing,
@@ -18,6 +21,7 @@ from shortfall.llm import (
     sharding,
     simhash,
     token_cache,
+    windows,
 )
 from shortfall.sources.workspace import scratch_path
 
@@ -107,6 +111,37 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_align_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    report = alignment.link_report(
+        table(spark, folder, "documents"),
+        vocabulary("byte_bpe_50k.json"),
+        vocabulary("piece_bpe_32k.model"),
+        groups=digest,
+    )
+    return report.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_pack_online(spark: SparkSession, folder: str) -> DataFrame:
+    packed = windows.pack_windows(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_grid_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found = grid_codes.compress(table(spark, folder, "embeddings"))
+    entries = ",".join(map(str, found.codebooks.ravel().tolist()))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    return found.frame.select(
+        "vec_id",
+        code.alias("code"),
+        "error",
+        "label_error",
+        F.lit(hashlib.sha256(entries.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Plan] = {
     plan.__name__: plan
     for plan in (
@@ -120,6 +155,9 @@ QUERIES: dict[str, Plan] = {
         op8_page_text,
         op9_language_id,
         op10_simhash_groups,
+        op11_align_tokens,
+        op12_pack_online,
+        op13_grid_codes,
     )
 }
 
