@@ -21,9 +21,9 @@ further columns do not matter.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator, Sequence
-from itertools import pairwise
+import re
+from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.llm.common import by_value, light_slices, stored, text_or_empty
+from shortfall.llm.memo import Memo, fast_tokenizer
 
 by_value(__name__)
 
+MARK = "\u2581"  # stands for a space in pieces
+PARTING = re.compile(r"(?<=\S) (?=\S)")
+FIRST_STEP = 4  # ends compared at once when a run begins
 SIDE_BITS = 32  # a pair is A's id and, in the lower bits, B's
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, pairs array<bigint>, times array<bigint>"
 
@@ -49,12 +53,7 @@ class ByteLevel:
     """Ids and token bytes of a byte-level vocabulary."""
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.fast = Tokenizer.from_file(model)
-        self.fast.no_truncation()
-        self.fast.no_padding()
+        self.fast = fast_tokenizer(model)
         self.fast.encode_special_tokens = True
         byte = byte_of_letter()
         self.token = {i: bytes(map(byte.__getitem__, t)) for t, i in self.fast.get_vocab(False).items()}
@@ -70,64 +69,130 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=model)
-        self.token = {}
-        for i in range(self.library.get_piece_size()):
-            piece = self.library.id_to_piece(i)
-            self.token[i] = (
-                bytes([int(piece[1:-1], 16)]) if self.library.is_byte(i) else piece.replace("▁", " ").encode()
-            )
+        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        self.token = {
+            i: bytes([int(p[1:-1], 16)]) if self.library.is_byte(i) else p.replace(MARK, " ").encode()
+            for i, p in enumerate(pieces)
+        }
+        # Merges stop at a space if no piece goes on behind one.
+        self.parted = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
 
-def ends(tokens: Sequence[bytes]) -> list[int]:
-    """Byte offset after each token."""
-    return np.cumsum([len(t) for t in tokens]).tolist()
+class Sides:
+    """Both sides' tokens of texts.
 
+    A single space between other characters parts a text for both vocabularies, so a text's tokens are those
+    of its parts, which are remembered. Texts of which a part is not spelled byte by byte are encoded whole.
+    """
 
-def segments(a: Sequence[int], b: Sequence[int]) -> Iterator[tuple[int, int, int, int]]:
+    def __init__(self, a_model: str, b_model: str):
+        self.left, self.right = ByteLevel(a_model), Pieces(b_model)
+        self.memo = Memo(self.encode_parts)
+
+    def encode(self, text: str) -> list[np.ndarray] | None:
+        """Ids of A, ids of B, token lengths of A and of B, if both sides spell the text."""
+        whole = (" " + text).encode()
+        [a], [b] = self.left.encode([text]), self.right.encode([text])
+        of_a, of_b = [self.left.token[i] for i in a], [self.right.token[i] for i in b]
+        if not text or b"".join(of_a) != whole or b"".join(of_b) != whole:
+            return None
+        return [np.array(c, np.int32) for c in (a, b, list(map(len, of_a)), list(map(len, of_b)))]
+
+    def encode_parts(self, parts: list[str]) -> list[tuple[bytes, ...]]:
+        """The arrays of `encode` as bytes for each part: of one line with all parts, or one by one where some
+        part is not spelled (which then has none)."""
+        line = self.encode(" ".join(parts))
+        if line is None:
+            if len(parts) == 1:
+                return [(b"",) * 4]
+            middle = len(parts) // 2
+            return self.encode_parts(parts[:middle]) + self.encode_parts(parts[middle:])
+        ends = np.cumsum([0, *(len(p.encode()) + 1 for p in parts)])
+        cuts = [np.searchsorted(np.cumsum(sizes), ends, side="right").tolist() for sizes in line[2:]] * 2
+        columns = [[c[i:k].tobytes() for i, k in pairwise(at)] for c, at in zip(line, cuts, strict=True)]
+        return list(zip(*columns, strict=True))
+
+    def tokens(self, texts: list[str]) -> list[list[np.ndarray] | None]:
+        """Ids of A, ids of B, end offsets of A and of B for each text that both sides spell."""
+        found: list[list[np.ndarray] | None] = []
+        parted = self.memo([PARTING.split(t) for t in texts]) if self.right.parted else [[(b"",) * 4]] * len(texts)
+        for text, parts in zip(texts, parted, strict=True):
+            if not text:
+                arrays = None
+            elif all([a for a, *_ in parts]):
+                arrays = [np.frombuffer(b"".join(column), np.int32) for column in zip(*parts, strict=True)]
+            else:
+                arrays = self.encode(text)
+            if arrays is not None:
+                arrays = [*arrays[:2], *(np.cumsum(sizes, dtype=np.int64) for sizes in arrays[2:])]
+            found.append(arrays)
+        return found
+
+
+class Speller:
+    """Group texts like `a1,a2|b1;a3|b2,b3` from tables of ids with what follows them."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.bounds = np.cumsum([0, n_a, n_a, n_b])
+        self.table = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
+        """`at_a` and `at_b` are the indexes of the tokens that end at each cut."""
+        if not len(at_a):
+            return ""
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[at_a] = last_b[at_b] = 1
+        before = np.concatenate([[0], at_b[:-1] + 1])  # tokens of B before each group
+        place_a = np.arange(len(a)) + before[np.cumsum(last_a) - last_a]
+        place_b = np.arange(len(b)) + (at_a + 1)[np.cumsum(last_b) - last_b]
+        entry = np.empty(len(a) + len(b), np.int64)
+        entry[place_a] = a + self.bounds[last_a]
+        entry[place_b] = b + self.bounds[2 + last_b]
+        return "".join(map(self.table.__getitem__, entry.tolist()))[:-1]
+
+
+def segments(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(first of a, its end, first of b, its end): a run of one-to-one groups, one irregular group, and so on.
 
-    `a` and `b` are rising and end at the same offset. Runs may be empty.
+    `a` and `b` are rising 64-bit numbers and end at the same offset. Runs may be empty.
     """
-    i = j = 0
-    while i < len(a):
-        i0, j0, step = i, j, 1
-        while i < len(a) and a[i : i + step] == b[j : j + step]:
-            i, j, step = min(i + step, len(a)), min(j + step, len(b)), 2 * step
-        while step > 1 and i < len(a):
-            step //= 2
-            if a[i : i + step] == b[j : j + step]:
+    # Stretches are compared as memory, single ends as numbers.
+    flat_a, flat_b, a, b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
+    last, most, i, j, found = len(flat_a), len(flat_b), 0, 0, []
+    while i < last:
+        i0, j0, step = i, j, 8 * FIRST_STEP
+        while i < last and flat_a[i : i + step] == flat_b[j : j + step]:
+            i, j, step = min(i + step, last), min(j + step, most), 2 * step
+        while step > 8 and i < last:
+            step >>= 1
+            if flat_a[i : i + step] == flat_b[j : j + step]:
                 i, j = i + step, j + step
-        yield i0, i, j0, j
-        if i == len(a):
-            return
-        i0, j0 = i, j
-        while a[i] != b[j]:
-            if a[i] < b[j]:
-                i += 1
+        found.append((i0 >> 3, i >> 3, j0 >> 3, j >> 3))
+        if i == last:
+            break
+        k, m = k0, m0 = i >> 3, j >> 3
+        x, y = a[k], b[m]
+        while x != y:
+            if x < y:
+                k += 1
+                x = a[k]
             else:
-                j += 1
-        i, j = i + 1, j + 1
-        yield i0, i, j0, j
-
-
-def cuts(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Indexes of a and b after each group, from (0, 0)."""
-    found = [(0, 0)]
-    for turn, (i0, i1, j0, j1) in enumerate(segments(a, b)):
-        if turn % 2:
-            found.append((i1, j1))
-        else:
-            found.extend(zip(range(i0 + 1, i1 + 1), range(j0 + 1, j1 + 1), strict=True))
+                m += 1
+                y = b[m]
+        found.append((k0, k + 1, m0, m + 1))
+        i, j = (k + 1) << 3, (m + 1) << 3
     return found
 
 
-def spelled(a: Sequence[int], b: Sequence[int], at: list[tuple[int, int]]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: ids of each group."""
-    a, b = list(map(str, a)), list(map(str, b))
-    return ";".join([",".join(a[i:k]) + "|" + ",".join(b[j:m]) for (i, j), (k, m) in pairwise(at)])
+def last_tokens(found: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the tokens that end at each cut."""
+    table = np.fromiter(chain.from_iterable(found), np.int64, 4 * len(found)).reshape(-1, 4)
+    groups = np.where(np.arange(len(table)) % 2, 1, table[:, 1] - table[:, 0])
+    back = np.repeat(np.cumsum(groups), groups) - np.arange(groups.sum())  # groups from here to the segment's end
+    return np.repeat(table[:, 1], groups) - back, np.repeat(table[:, 3], groups) - back
 
 
 def align(docs: DataFrame, a_model: str, b_model: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,22 +201,19 @@ def align(docs: DataFrame, a_model: str, b_model: str, doc: str = "doc_id", text
     `row` tells rows apart once the result is stored. The models are paths that each worker has.
     """
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = ByteLevel(a_model), Pieces(b_model)
+        sides = Sides(a_model, b_model)
+        spelled = Speller(len(sides.left.token), len(sides.right.token))
         for part in light_slices(batches, "body", most=1 << 20):
-            bodies = part.column("body").to_pylist()
-            found = []
-            for body, ids_a, ids_b in zip(bodies, left.encode(bodies), right.encode(bodies), strict=True):
-                tokens_a, tokens_b = [left.token[i] for i in ids_a], [right.token[i] for i in ids_b]
-                whole = (" " + body).encode()
-                if not body or b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
-                    found.append((0, 0, 0, "", [], []))
+            rows = []
+            for tokens in sides.tokens(part.column("body").to_pylist()):
+                if tokens is None:
+                    rows.append((0, 0, 0, "", [], []))
                     continue
-                at = cuts(ends(tokens_a), ends(tokens_b))
-                last = np.array(at[1:]) - 1
-                linked = (np.array(ids_a)[last[:, 0]] << SIDE_BITS) + np.array(ids_b)[last[:, 1]]
-                pairs, times = np.unique(linked, return_counts=True)
-                found.append((len(ids_a), len(ids_b), len(at) - 1, spelled(ids_a, ids_b, at), pairs, times))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+                a, b, ends_a, ends_b = tokens
+                at_a, at_b = last_tokens(segments(ends_a, ends_b))
+                pairs, times = np.unique((a[at_a].astype(np.int64) << SIDE_BITS) + b[at_b], return_counts=True)
+                rows.append((len(a), len(b), len(at_a), spelled(a, b, at_a, at_b), pairs, times))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *columns], names)
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]

@@ -22,10 +22,9 @@ from one task's output, so a repeated task replaces them as a whole.
 
 from __future__ import annotations
 
-import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -35,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.llm.common import by_value, light_slices, stored, text_or_empty
+from shortfall.llm.memo import MEMO_BYTES, Memo, fast_tokenizer
 
 by_value(__name__)
 
@@ -44,40 +44,29 @@ MERGED = 4
 END_ID = 1
 NUMBER_BITS = 32
 MERGED_BIT = 62  # sequence numbers of merged leftovers have it
-MEMO_BYTES = 32 << 20
-MEMO_WORD = 64  # longer words are encoded each time
 BATCH_ROWS = 4096
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class WordMemo:
-    """Ids of texts, each distinct word encoded once while the memo lasts."""
+class WordIds:
+    """Ids of UTF-8 texts, by way of their words."""
 
     def __init__(self, model: str, most: int = MEMO_BYTES):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.fast = Tokenizer.from_file(model)
-        self.fast.no_truncation()
-        self.fast.no_padding()
-        self.most = most
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.size = 0
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of a UTF-8 text."""
-        words = text.split()  # at [\x20\x09-\x0D], which no token spans
-        if self.size > self.most:
-            self.known, self.size = {}, 0
-        new = list(set(words) - self.known.keys())
-        found = self.fast.encode_batch([w.decode(errors="replace") for w in new], add_special_tokens=False)
-        ids = {word: tuple(e.ids) for word, e in zip(new, found, strict=True)}
-        for word, its in ids.items():
-            if len(word) <= MEMO_WORD:
-                self.known[word] = its
-                self.size += 200 + len(word) + 40 * len(its)
-        lookup = self.known if all(len(w) <= MEMO_WORD for w in new) else {**self.known, **ids}
-        return np.fromiter(chain.from_iterable(map(lookup.__getitem__, words)), "<u4")
+        self.fast = fast_tokenizer(model)
+        self.memo = Memo(self.encode_words, most)
+
+    def encode_words(self, words: list[bytes]) -> list[tuple[bytes]]:
+        """Ids of each word: all are encoded as one line, and a token belongs to the word it begins in."""
+        texts = [w.decode(errors="replace") for w in words]
+        line = self.fast.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        begins = np.array(line.offsets, np.int64).reshape(-1, 2)[:, 0]
+        ids, cuts = np.array(line.ids, "<u4"), np.searchsorted(begins, starts)
+        return [(ids[i:k].tobytes(),) for i, k in pairwise(cuts.tolist())]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        parted = self.memo([text.split() for text in texts])  # at [\x20\x09-\x0D], which no token spans
+        return [np.frombuffer(b"".join([ids for (ids,) in words]), "<u4") for words in parted]
 
 
 class Windows:
@@ -158,7 +147,7 @@ def pack_windows(
     piece. `model` is a path that each worker has."""
 
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, windows = WordMemo(model), Windows(length, most)
+        words, windows = WordIds(model), Windows(length, most)
         base = TaskContext.get().partitionId() << NUMBER_BITS
         rows: list[tuple] = []
 
@@ -175,9 +164,9 @@ def pack_windows(
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for part in light_slices(batches, "body"):
-            bodies = part.column("body").cast(pa.binary()).to_pylist()
-            for doc_id, body in zip(part.column("doc_id").to_pylist(), bodies, strict=True):
-                ids = np.append(memo.encode(body), np.array([end_id], "<u4"))
+            found = words.encode(part.column("body").cast(pa.binary()).to_pylist())
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), found, strict=True):
+                ids = np.append(ids, np.array([end_id], "<u4"))
                 for number, pieces in windows.add(doc_id, ids):
                     take(number, pieces, False)
                 if len(rows) >= BATCH_ROWS:

@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
+import pytest
 from conftest import SMALL, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,8 +29,10 @@ def test_cuts(steps):
     offsets = list(accumulate(n for n, _, _ in steps))
     a = [e for e, (_, x, _) in zip(offsets, steps, strict=True) if x or e == offsets[-1]]
     b = [e for e, (_, _, y) in zip(offsets, steps, strict=True) if y or e == offsets[-1]]
-    assert alignment.cuts(a, b) == plain_cuts(a, b)
-    for turn, (i0, i1, j0, j1) in enumerate(alignment.segments(a, b)):
+    found = alignment.segments(np.array(a), np.array(b))
+    at_a, at_b = alignment.last_tokens(found)
+    assert list(zip(at_a + 1, at_b + 1, strict=True)) == plain_cuts(a, b)[1:]
+    for turn, (i0, i1, j0, j1) in enumerate(found):
         if turn % 2:
             assert a[i1 - 1] == b[j1 - 1] and (i1 - i0 > 1 or j1 - j0 > 1)
         else:
@@ -36,24 +40,61 @@ def test_cuts(steps):
 
 
 def test_long_runs_are_jumped():
-    class Watched(list):
+    class Watched(bytes):
         looks = 0
 
         def __getitem__(self, at):
             Watched.looks += 1
             return super().__getitem__(at)
 
-    a = Watched(range(1, 100_001))
-    assert alignment.cuts(a, list(range(1, 100_001)))[-1] == (100_000, 100_000)
-    assert Watched.looks < 100
+    class Ends:
+        def __init__(self, values):
+            self.values = np.array(values)
+
+        def tobytes(self):
+            return Watched(self.values.tobytes())
+
+        def tolist(self):
+            return self.values.tolist()
+
+    ends = [*range(1, 50_001), *range(50_003, 100_001)]
+    assert alignment.segments(Ends(ends), Ends(range(1, 100_001))) == [
+        (0, 50_000, 0, 50_000), (50_000, 50_001, 50_000, 50_003), (50_001, 99_998, 50_003, 100_000)
+    ]
+    assert Watched.looks < 150
 
 
 def test_no_tokens():
-    assert alignment.cuts([], []) == [(0, 0)]
+    assert alignment.segments(np.array([], np.int64), np.array([], np.int64)) == []
+    assert [len(x) for x in alignment.last_tokens([])] == [0, 0]
 
 
 def test_spelled():
-    assert alignment.spelled([1, 2, 3], [1, 2, 3], [(0, 0), (2, 1), (3, 3)]) == "1,2|1;3|2,3"
+    speller = alignment.Speller(9, 6)
+    ids = np.array([1, 2, 3, 8]), np.array([1, 2, 0, 5])
+    assert speller(*ids, np.array([1, 2, 3]), np.array([0, 1, 3])) == "1,2|1;3|2;8|0,5"
+    assert speller(*(i[:0] for i in ids), np.array([], int), np.array([], int)) == ""
+
+
+@pytest.fixture(scope="module")
+def sides():
+    found = alignment.Sides(A, B)
+    found.memo.most = 3000
+    return found
+
+
+@given(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=10)), max_size=6), st.sampled_from([" ", "\n", "  ", " \u00a0", "\x1c "]))
+@settings(max_examples=300, deadline=None)
+def test_parts_give_the_tokens_of_the_text(sides, texts, between):
+    text = between.join(texts)
+    a, b, of_a, of_b = plain_tokens(text)
+    whole = (" " + text).encode()
+    [tokens] = sides.tokens([text])
+    if not text or b"".join(of_a) != whole or b"".join(of_b) != whole:
+        assert tokens is None
+    else:
+        ends = [list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))]
+        assert [t.tolist() for t in tokens] == [a, b, *ends]
 
 
 def plain_tokens(text):

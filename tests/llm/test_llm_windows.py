@@ -35,16 +35,22 @@ def whole():
 @settings(max_examples=300, deadline=None)
 def test_words_give_the_ids_of_the_text(whole, texts, between):
     text = between.join(texts)
-    memo = test_words_give_the_ids_of_the_text.__dict__.setdefault("memo", windows.WordMemo(MODEL, most=3000))
-    assert memo.encode(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids
+    words = test_words_give_the_ids_of_the_text.__dict__.setdefault("kept", windows.WordIds(MODEL, most=3000))
+    assert words.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_share_new_words(whole):
+    found = windows.WordIds(MODEL).encode([t.encode() for t in [*SOME, *SOME]])
+    assert [f.tolist() for f in found] == [whole.encode(t, add_special_tokens=False).ids for t in [*SOME, *SOME]]
 
 
 def test_memo_forgets(whole):
-    memo = windows.WordMemo(MODEL, most=500)
+    words = windows.WordIds(MODEL, most=500)
     text = " ".join(f"word{i}" for i in range(50)) + " " + "x" * 500
     for _ in range(3):
-        assert memo.encode(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids
-    assert b"x" * 500 not in memo.known and memo.encode(b"one").tolist() and len(memo.known) < 50
+        assert words.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    known = words.memo.known
+    assert b"x" * 500 not in known and words.encode([b"one"])[0].tolist() and len(words.memo.known) == 1 < len(known) == 50
 
 
 @given(st.lists(st.integers(1, 50), max_size=120), st.integers(1, 5))
