@@ -101,15 +101,24 @@ class Sides:
             return None
         return [np.array(c, np.int32) for c in (a, b, list(map(len, of_a)), list(map(len, of_b)))]
 
+    def encode_part(self, part: str) -> tuple[bytes, ...]:
+        """The arrays of `encode` as bytes, empty if the part is not spelled."""
+        found = self.encode(part)
+        return (b"",) * 4 if found is None else tuple(c.tobytes() for c in found)
+
     def encode_parts(self, parts: list[str]) -> list[tuple[bytes, ...]]:
-        """The arrays of `encode` as bytes for each part: of one line with all parts, or one by one where some
-        part is not spelled (which then has none)."""
+        """`encode_part` of each, by way of one line with all parts that a single space can join."""
+        joined = [p for p in parts if p and p == p.strip()]
+        found = dict(zip(joined, self.encode_line(joined), strict=True))
+        return [found[p] if p in found else self.encode_part(p) for p in parts]
+
+    def encode_line(self, parts: list[str]) -> list[tuple[bytes, ...]]:
+        if len(parts) < 2:
+            return [self.encode_part(p) for p in parts]
         line = self.encode(" ".join(parts))
         if line is None:
-            if len(parts) == 1:
-                return [(b"",) * 4]
             middle = len(parts) // 2
-            return self.encode_parts(parts[:middle]) + self.encode_parts(parts[middle:])
+            return self.encode_line(parts[:middle]) + self.encode_line(parts[middle:])
         ends = np.cumsum([0, *(len(p.encode()) + 1 for p in parts)])
         cuts = [np.searchsorted(np.cumsum(sizes), ends, side="right").tolist() for sizes in line[2:]] * 2
         columns = [[c[i:k].tobytes() for i, k in pairwise(at)] for c, at in zip(line, cuts, strict=True)]
