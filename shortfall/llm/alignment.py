@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.llm.common import by_value, light_slices, stored, text_or_empty
-from shortfall.llm.memo import Memo, fast_tokenizer
+from shortfall.llm.memo import Memo, fast_tokenizer, file_digest, of_worker
 
 by_value(__name__)
 
@@ -90,7 +90,7 @@ class Sides:
 
     def __init__(self, a_model: str, b_model: str):
         self.left, self.right = ByteLevel(a_model), Pieces(b_model)
-        self.memo = Memo(self.encode_parts)
+        self.memo = Memo(self.encode_parts, lambda arrays: sum(map(len, arrays)))
 
     def encode(self, text: str) -> list[np.ndarray] | None:
         """Ids of A, ids of B, token lengths of A and of B, if both sides spell the text."""
@@ -209,9 +209,11 @@ def align(docs: DataFrame, a_model: str, b_model: str, doc: str = "doc_id", text
 
     `row` tells rows apart once the result is stored. The models are paths that each worker has.
     """
+    sides_key = ("sides", file_digest(a_model), file_digest(b_model))
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(a_model, b_model)
-        spelled = Speller(len(sides.left.token), len(sides.right.token))
+        sides = of_worker(sides_key, lambda: Sides(a_model, b_model))
+        spelled = of_worker((*sides_key, "spelled"), lambda: Speller(len(sides.left.token), len(sides.right.token)))
         for part in light_slices(batches, "body", most=1 << 20):
             rows = []
             for tokens in sides.tokens(part.column("body").to_pylist()):

@@ -25,6 +25,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import pairwise
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.llm.common import by_value, light_slices, stored, text_or_empty
-from shortfall.llm.memo import MEMO_BYTES, Memo, fast_tokenizer
+from shortfall.llm.memo import MEMO_BYTES, Memo, fast_tokenizer, file_digest, of_worker
 
 by_value(__name__)
 
@@ -53,20 +54,29 @@ class WordIds:
 
     def __init__(self, model: str, most: int = MEMO_BYTES):
         self.fast = fast_tokenizer(model)
-        self.memo = Memo(self.encode_words, most)
+        self.memo = Memo(self.encode_words, len, most)
+        # A vocabulary without capital letters knows fewer words; names of special tokens keep their case.
+        upper, lower = (self.fast.encode(letters).ids for letters in (ascii_uppercase, ascii_lowercase))
+        self.folds = upper == lower
+        self.special = [t.content.lower().encode() for t in self.fast.get_added_tokens_decoder().values()]
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[bytes]]:
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word: all are encoded as one line, and a token belongs to the word it begins in."""
         texts = [w.decode(errors="replace") for w in words]
         line = self.fast.encode(" ".join(texts), add_special_tokens=False)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         begins = np.array(line.offsets, np.int64).reshape(-1, 2)[:, 0]
         ids, cuts = np.array(line.ids, "<u4"), np.searchsorted(begins, starts)
-        return [(ids[i:k].tobytes(),) for i, k in pairwise(cuts.tolist())]
+        flat = ids.tobytes()
+        return [flat[i:k] for i, k in pairwise((4 * cuts).tolist())]
+
+    def folded(self, text: bytes) -> bytes:
+        low = text.lower() if self.folds else text
+        return text if any(name in low for name in self.special) else low
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        parted = self.memo([text.split() for text in texts])  # at [\x20\x09-\x0D], which no token spans
-        return [np.frombuffer(b"".join([ids for (ids,) in words]), "<u4") for words in parted]
+        parted = self.memo([self.folded(text).split() for text in texts])  # at [\x20\x09-\x0D], which no token spans
+        return [np.frombuffer(b"".join(words), "<u4") for words in parted]
 
 
 class Windows:
@@ -146,8 +156,10 @@ def pack_windows(
     """doc_id, start, length, ids (little-endian 32-bit numbers), doc_tokens, sequence_id, offset of every
     piece. `model` is a path that each worker has."""
 
+    words_key = ("window words", file_digest(model))
+
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, windows = WordIds(model), Windows(length, most)
+        words, windows = of_worker(words_key, lambda: WordIds(model)), Windows(length, most)
         base = TaskContext.get().partitionId() << NUMBER_BITS
         rows: list[tuple] = []
 

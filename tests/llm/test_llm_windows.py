@@ -14,7 +14,7 @@ from llm_cases import documents, empty, odd_documents, with_clashing
 from shortfall.llm import queries, windows
 
 MODEL = queries.vocabulary("word_bpe_49k.json")
-SOME = ["a b", "", " \n", "<|endoftext|>", "don't'S", "x<|startoftext|>y z", "ÉTÉ ΣΑΣ ΟΔΟΣ", "é ́e", "a b",
+SOME = ["a b", "", " \n", "<|endoftext|>", "A<|ENDOFTEXT|>B", "B<|endoftext|>C", "don't'S", "x<|startoftext|>y z", "ÉTÉ ΣΑΣ ΟΔΟΣ", "é ́e", "a b",
         "a\x1cb", "a b\x85c", "İI ﬁ ①", "日本語 テキスト", "1234 56", "\x00", "--- ...!?", "a​b", "🙂🙂 ok"]
 
 
@@ -45,12 +45,15 @@ def test_texts_share_new_words(whole):
 
 
 def test_memo_forgets(whole):
-    words = windows.WordIds(MODEL, most=500)
+    words = windows.WordIds(MODEL, most=25_000)
     text = " ".join(f"word{i}" for i in range(50)) + " " + "x" * 500
     for _ in range(3):
         assert words.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
-    known = words.memo.known
-    assert b"x" * 500 not in known and words.encode([b"one"])[0].tolist() and len(words.memo.known) == 1 < len(known) == 50
+    memo = words.memo
+    assert b"x" * 500 not in memo.young and len(memo.young) == 50
+    assert words.encode([b"one word1"])[0].tolist() == whole.encode("one word1", add_special_tokens=False).ids
+    assert set(memo.young) == {b"one", b"word1"} and len(memo.old) == 50  # met again, it moves
+    assert words.encode([b"two"])[0].tolist() and len(memo.old) == 50
 
 
 @given(st.lists(st.integers(1, 50), max_size=120), st.integers(1, 5))
