@@ -37,6 +37,7 @@ by_value(__name__)
 
 MARK = "\u2581"  # stands for a space in pieces
 PARTING = re.compile(r"(?<=\S) (?=\S)")
+LINE_PARTS = 100
 FIRST_STEP = 4  # ends compared at once when a run begins
 SIDE_BITS = 32  # a pair is A's id and, in the lower bits, B's
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, pairs array<bigint>, times array<bigint>"
@@ -59,7 +60,7 @@ class ByteLevel:
         self.token = {i: bytes(map(byte.__getitem__, t)) for t, i in self.fast.get_vocab(False).items()}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.fast.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.fast.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -107,9 +108,10 @@ class Sides:
         return (b"",) * 4 if found is None else tuple(c.tobytes() for c in found)
 
     def encode_parts(self, parts: list[str]) -> list[tuple[bytes, ...]]:
-        """`encode_part` of each, by way of one line with all parts that a single space can join."""
+        """`encode_part` of each, by way of lines of parts that a single space can join."""
         joined = [p for p in parts if p and p == p.strip()]
-        found = dict(zip(joined, self.encode_line(joined), strict=True))
+        lines = [self.encode_line(joined[k : k + LINE_PARTS]) for k in range(0, len(joined), LINE_PARTS)]
+        found = dict(zip(joined, chain.from_iterable(lines), strict=True))
         return [found[p] if p in found else self.encode_part(p) for p in parts]
 
     def encode_line(self, parts: list[str]) -> list[tuple[bytes, ...]]:

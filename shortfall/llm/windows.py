@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import pairwise
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -46,6 +45,8 @@ END_ID = 1
 NUMBER_BITS = 32
 MERGED_BIT = 62  # sequence numbers of merged leftovers have it
 BATCH_ROWS = 4096
+SIGN = "\x1f"
+LINE_WORDS = 100
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -54,6 +55,7 @@ class WordIds:
 
     def __init__(self, model: str, most: int = MEMO_BYTES):
         self.fast = fast_tokenizer(model)
+        self.sign = self.fast.encode(SIGN, add_special_tokens=False).ids
         self.memo = Memo(self.encode_words, len, most)
         # A vocabulary without capital letters knows fewer words; names of special tokens keep their case.
         upper, lower = (self.fast.encode(letters).ids for letters in (ascii_uppercase, ascii_lowercase))
@@ -61,14 +63,26 @@ class WordIds:
         self.special = [t.content.lower().encode() for t in self.fast.get_added_tokens_decoder().values()]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word: all are encoded as one line, and a token belongs to the word it begins in."""
+        """Ids of each word. Many words make a line, with a sign between them that is one token and in none of
+        them; words that hold the sign are lines of their own."""
         texts = [w.decode(errors="replace") for w in words]
-        line = self.fast.encode(" ".join(texts), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        begins = np.array(line.offsets, np.int64).reshape(-1, 2)[:, 0]
-        ids, cuts = np.array(line.ids, "<u4"), np.searchsorted(begins, starts)
-        flat = ids.tobytes()
-        return [flat[i:k] for i, k in pairwise((4 * cuts).tolist())]
+        alone = [i for i, t in enumerate(texts) if SIGN in t or len(self.sign) != 1]
+        found: list[bytes] = [b""] * len(words)
+        for i, e in zip(alone, self.encode_lines([texts[i] for i in alone]), strict=True):
+            found[i] = e.tobytes()
+        joined = sorted(set(range(len(words))).difference(alone)) if alone else range(len(words))
+        starts = range(0, len(joined), LINE_WORDS)
+        lines = [f" {SIGN} ".join([*(texts[i] for i in joined[k : k + LINE_WORDS]), ""]) for k in starts]
+        if lines:
+            ids = np.concatenate(self.encode_lines(lines))
+            ends = 4 * np.flatnonzero(ids == self.sign[0])
+            flat, begins = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
+            for i, begin, end in zip(joined, begins, ends.tolist(), strict=True):
+                found[i] = flat[begin:end]
+        return found
+
+    def encode_lines(self, lines: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.fast.encode_batch_fast(lines, add_special_tokens=False)]
 
     def folded(self, text: bytes) -> bytes:
         low = text.lower() if self.folds else text

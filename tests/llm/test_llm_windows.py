@@ -45,7 +45,7 @@ def test_texts_share_new_words(whole):
 
 
 def test_memo_forgets(whole):
-    words = windows.WordIds(MODEL, most=25_000)
+    words = windows.WordIds(MODEL, most=10_000)
     text = " ".join(f"word{i}" for i in range(50)) + " " + "x" * 500
     for _ in range(3):
         assert words.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
