@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.functions.dates import HORIZON, SEASON, each_cutoff, earliest, latest
+from shortfall.functions.numbers import round_to
 
 
 def at_cutoffs(
@@ -87,16 +88,9 @@ def seasonal_naive(sales: DataFrame, cutoffs: Sequence[Column], horizon: int = H
     )
 
 
-def clamp(forecast: DataFrame) -> DataFrame:
-    """Negative forecasts become zero."""
-    return forecast.withColumn(
-        "yhat", F.transform("yhat", lambda v: F.greatest(v, F.lit(0.0)))
-    )
-
-
 def rounded(forecast: DataFrame, digits: int = 2) -> DataFrame:
-    """The published two-decimal values."""
-    return forecast.withColumn("yhat", F.transform("yhat", lambda v: F.round(v, digits)))
+    """The published values."""
+    return forecast.withColumn("yhat", F.transform("yhat", lambda v: round_to(v, digits)))
 
 
 def daily_rows(forecast: DataFrame) -> DataFrame:

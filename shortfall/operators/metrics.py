@@ -51,6 +51,39 @@ def naive_scale(panel: DataFrame, cutoffs: Sequence[Column]) -> DataFrame:
     return wide.select("sku_id", F.explode(folds).alias("f")).select("sku_id", "f.eval_date", "f.scale")
 
 
+def sparse_scale(sales: DataFrame, first_day: Column, cutoffs: Sequence[Column]) -> DataFrame:
+    """`naive_scale` of the dense series that begins on `first_day`, from the days with sales alone.
+
+    A sale changes the series on its own day, by the difference to the day before, and by its whole size on
+    the day after it if that one has none. All other days change nothing, and their number is known from
+    the dates.
+    """
+    by_day = Window.partitionBy("sku_id").orderBy("date")
+    units = F.col("units_sold").cast("double")
+    next_day = F.date_add("date", 1)
+    sold = sales.select(
+        "sku_id",
+        "date",
+        units.alias("units"),
+        F.when(F.lag("date").over(by_day) == F.date_sub("date", 1), F.lag(units).over(by_day)).otherwise(0.0).alias("before"),
+        (F.lead("date").over(by_day) == next_day).alias("goes_on"),
+    )
+    rise = F.when(F.col("date") > first_day, (F.col("units") - F.col("before")) ** 2).otherwise(0.0)
+    fall = F.when(F.coalesce("goes_on", F.lit(False)), 0.0).otherwise(F.col("units") ** 2)
+    totals = [
+        (
+            F.sum(F.when(F.col("date") <= c, rise).otherwise(0.0) + F.when(next_day <= c, fall).otherwise(0.0))
+            / F.nullif(F.datediff(c, first_day), F.lit(0))
+        ).alias(f"scale_{i}")
+        for i, c in enumerate(cutoffs)
+    ]
+    folds = F.array(
+        *[F.struct(c.alias("eval_date"), F.col(f"scale_{i}").alias("scale")) for i, c in enumerate(cutoffs)]
+    )
+    wide = sold.groupBy("sku_id").agg(*totals)
+    return wide.select("sku_id", F.explode(folds).alias("f")).select("sku_id", "f.eval_date", "f.scale")
+
+
 def revenue_weights(
     panel: DataFrame, prices: DataFrame, cutoffs: Sequence[Column], horizon: int = HORIZON
 ) -> DataFrame:
@@ -89,18 +122,24 @@ def revenue_weights(
 
 
 def wrmsse(
-    scored: DataFrame, panel: DataFrame, prices: DataFrame, cutoffs: Sequence[Column]
+    scored: DataFrame,
+    panel: DataFrame,
+    prices: DataFrame,
+    cutoffs: Sequence[Column],
+    scale: DataFrame | None = None,
 ) -> DataFrame:
     """Revenue-weighted root mean squared scaled error per (eval_date, model_name).
 
-    Series with a zero scale are left out; without any revenue all remaining series weigh the same.
+    Series with a zero scale are left out; without any revenue all remaining series weigh the same. The
+    panel may begin 28 days before the first fold where the scale comes from elsewhere.
     """
+    scale = naive_scale(panel, cutoffs) if scale is None else scale
     error = F.col("units_sold") - F.col("yhat")
     mse = scored.groupBy("eval_date", "model_name", "sku_id").agg(
         F.avg(error * error).alias("mse")
     )
     per_sku = (
-        mse.join(naive_scale(panel, cutoffs).where("scale > 0"), ["sku_id", "eval_date"])
+        mse.join(scale.where("scale > 0"), ["sku_id", "eval_date"])
         .join(revenue_weights(panel, prices, cutoffs), ["sku_id", "eval_date"], "left")
         .select(
             "eval_date",
@@ -120,11 +159,12 @@ def scorecard(
     forecast_daily: DataFrame,
     prices: DataFrame,
     cutoffs: Sequence[Column],
+    scale: DataFrame | None = None,
 ) -> DataFrame:
     """MAPE, WMAPE and WRMSSE per model and fold."""
     scored = scored_rows(panel, forecast_daily, cutoffs)
     errors = error_metrics(scored, ["eval_date", "model_name"])
-    scaled = wrmsse(scored, panel, prices, cutoffs)
+    scaled = wrmsse(scored, panel, prices, cutoffs, scale)
     return errors.join(scaled, ["eval_date", "model_name"])
 
 

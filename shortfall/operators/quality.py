@@ -110,11 +110,21 @@ def missing_lookup(needed: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     return needed.select(key).distinct().join(lookup.select(key), key, "left_anti")
 
 
-def checked_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
-) -> tuple[DataFrame, DataFrame]:
-    """The join and the right-side keys that break the many-to-one promise."""
-    return left.join(right, list(on), how), duplicate_keys(right, on)
+def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """The join of a side with many rows per key to one that promises a single one.
+
+    A key with several rows on the right ends the query. The right side is reduced to a row per key on
+    the partitioning that the join needs anyway, and the key itself carries the check, so that no plan can
+    leave it out.
+    """
+    first, *others = on
+    rest = [c for c in right.columns if c not in on]
+    per_key = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in on])
+    broken = F.raise_error(F.concat(F.lit("join key has several rows: "), shown))
+    kept = F.when(F.col("_n") == 1, F.col(first)).otherwise(broken.cast(right.schema[first].dataType))
+    once = per_key.select(kept.alias(first), *others, *[F.col("_row")[c].alias(c) for c in rest])
+    return left.join(once, list(on), how)
 
 
 def metric_drift(recomputed: DataFrame, frozen: DataFrame, digits: int) -> DataFrame:

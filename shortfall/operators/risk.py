@@ -28,6 +28,10 @@ RISK_COLUMNS: tuple[str, ...] = (
     "risk_level",
     "risk_reasons",
 )
+RISK_SCHEMA = (
+    "material_pn bigint, doi_days double, lt_coverage double, supplier_concentration double, gap_qty bigint, "
+    "gap_date date, risk_level string, risk_reasons string, eval_date date"
+)
 
 
 def level_rank(level: Column) -> Column:
@@ -52,14 +56,20 @@ def explode_bom(forecast: DataFrame, bom: DataFrame, horizon: int = HORIZON) ->
     )
 
 
-def demand_to_date(forecast: DataFrame, bom: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def demand_to_date(
+    forecast: DataFrame, bom: DataFrame, horizon: int = HORIZON, digits: int | None = None
+) -> DataFrame:
     """Material demand from the first day of the horizon up to each day.
 
     The totals run over the SKU's forecast before the BOM is applied; sums of running totals are the
-    running totals of the sums, so no material has to be scanned day by day.
+    running totals of the sums, so no material has to be scanned day by day. Forecasts that are not
+    whole units leave sums that depend on their order in the last bits: `digits` settles them.
     """
     upto = forecast.select("eval_date", "sku_id", running_totals("yhat", horizon).alias("yhat"))
-    return explode_bom(upto, bom, horizon).withColumnRenamed("demand", "demand_upto")
+    totals = explode_bom(upto, bom, horizon).withColumnRenamed("demand", "demand_upto")
+    if digits is None:
+        return totals
+    return totals.withColumn("demand_upto", F.transform("demand_upto", lambda d: round_to(d, digits)))
 
 
 def demand_rows(demand: DataFrame) -> DataFrame:
@@ -209,10 +219,11 @@ def material_risk(
     open_po: DataFrame,
     supply_split: DataFrame,
     cutoffs: Sequence[Column],
+    digits: int | None = None,
 ) -> DataFrame:
     """Risk snapshot of every material with demand rows, for each cutoff."""
     return assess(
-        demand_to_date(forecast, bom),
+        demand_to_date(forecast, bom, digits=digits),
         receipts(open_po, cutoffs),
         latest_inventory(inventory, cutoffs),
         supply_profile(supply_split),

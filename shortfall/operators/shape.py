@@ -68,10 +68,10 @@ def densify(
 
 
 def priced_panel(
-    sales: DataFrame, prices: DataFrame, first_day: Column, last_sale: Column, last_day: Column
+    sales: DataFrame, prices: DataFrame, first_day: Column, last_sale: Column, last_day: Column, backfill: bool = True
 ) -> DataFrame:
     """Dense daily panel up to last_day with the price known on each day; days after last_sale have
-    null units, days before the first price take that price.
+    null units, days before the first price take that price, or none without `backfill`.
 
     Sales and prices meet as a union of sparse rows that is shuffled once by SKU. Between two rows
     of a SKU nothing changes, so the days in between are written in place.
@@ -95,11 +95,12 @@ def priced_panel(
     so_far = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     opening = F.lag("date").over(by_key).isNull()
+    known = F.last("price", True).over(so_far)
     spans = events.select(
         "sku_id",
         F.col("date").alias("observed_on"),
         "units",
-        F.coalesce(F.last("price", True).over(so_far), F.first("price", True).over(whole)).alias("sell_price"),
+        (F.coalesce(known, F.first("price", True).over(whole)) if backfill else known).alias("sell_price"),
         F.when(opening, first_day).otherwise(F.greatest(F.col("date"), first_day)).alias("span_start"),
         F.coalesce(F.date_sub(F.lead("date").over(by_key), 1), last_day).alias("span_end"),
     ).where(F.col("span_start") <= F.col("span_end"))

@@ -119,7 +119,8 @@ def smoothing_ctes(cutoffs: str, prefix: str) -> dict[str, str]:
     season = ", ".join(f"v[{i}] - {head}" for i in range(1, 8))
     return {
         f"{prefix}_series": f"""SELECT eval_date, sku_id, list(units_sold::DOUBLE ORDER BY date) AS v
-            FROM sales_daily JOIN {cutoffs} ON date <= eval_date GROUP BY eval_date, sku_id""",
+            FROM sales_daily JOIN {cutoffs} ON date <= eval_date JOIN first_sales USING (sku_id)
+            WHERE first_sale <= eval_date GROUP BY eval_date, sku_id""",
         f"{prefix}_state": f"""SELECT * FROM (WITH RECURSIVE state AS (
             SELECT eval_date, sku_id, 7 AS i, len(v) AS n, {head} AS level, [{season}] AS season FROM {prefix}_series
             UNION ALL SELECT eval_date, sku_id, i + 1, n, level_new, list_append(season[2:7],
@@ -146,8 +147,12 @@ def inventory_cte(cutoffs: str) -> str:
         JOIN {cutoffs} c ON i.snapshot_date <= c.eval_date) WHERE rn = 1"""
 
 
-def risk_cte(demand: str, inventory: str, cutoffs: str, orders: str = "open_po", key: str = "") -> str:
-    """Grading over (eval_date, material_pn[, key]); key is a column of the order table."""
+def risk_cte(demand: str, inventory: str, cutoffs: str, orders: str = "open_po", key: str = "", digits: int | None = None) -> str:
+    """Grading over (eval_date, material_pn[, key]); key is a column of the order table. With `digits`, demand
+    to date is settled to so many decimals."""
+    def settled(total: str) -> str:
+        return total if digits is None else rnd(total, digits)
+
     extra = f", {key}" if key else ""
     po_key = f", o.{key}" if key else ""
     keyed = f"CROSS JOIN (SELECT DISTINCT {key} FROM {orders}) z" if key else ""
@@ -167,17 +172,17 @@ def risk_cte(demand: str, inventory: str, cutoffs: str, orders: str = "open_po",
           supplier_concentration, supplier_count, primary_supplier_id,
           CASE WHEN total = 0 THEN 999.0::DOUBLE ELSE {rnd("inventory_qty / (total / 28)", 1)} END AS doi_days
         FROM (SELECT eval_date, material_pn{extra}, any_value(qty_onhand) AS inventory_qty,
-            sum(demand_qty) AS total, min(date) FILTER (WHERE balance < 0) AS gap_date,
+            {settled("sum(demand_qty)")} AS total, min(date) FILTER (WHERE balance < 0) AS gap_date,
             ceil(greatest(-min(balance), 0))::BIGINT AS gap_qty FROM (
             SELECT d.eval_date, d.material_pn{z_key}, d.date, d.demand_qty, i.qty_onhand,
-              i.qty_onhand + sum(coalesce(r.qty, 0) - d.demand_qty) OVER (
-                PARTITION BY d.eval_date, d.material_pn{z_key} ORDER BY d.date) AS balance
+              i.qty_onhand + sum(coalesce(r.qty, 0)) OVER days - {settled("sum(d.demand_qty) OVER days")} AS balance
             FROM {demand} d JOIN {inventory} i ON i.eval_date = d.eval_date AND i.material_pn = d.material_pn
             {keyed}
             LEFT JOIN (SELECT o.material_pn, o.eta_date{po_key}, c.eval_date, sum(o.qty)::DOUBLE AS qty
               FROM {orders} o JOIN {cutoffs} c ON o.eta_date > c.eval_date
               GROUP BY o.material_pn, o.eta_date{po_key}, c.eval_date) r
-              ON r.eval_date = d.eval_date AND r.material_pn = d.material_pn AND r.eta_date = d.date{key_on})
+              ON r.eval_date = d.eval_date AND r.material_pn = d.material_pn AND r.eta_date = d.date{key_on}
+            WINDOW days AS (PARTITION BY d.eval_date, d.material_pn{z_key} ORDER BY d.date))
           GROUP BY eval_date, material_pn{extra}) b JOIN profile USING (material_pn))) r"""
 
 

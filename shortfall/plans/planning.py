@@ -13,9 +13,20 @@ from shortfall.operators import diagnose, metrics, quality, report, scenario, sh
 from shortfall.operators import forecast as fc
 from shortfall.operators import models
 from shortfall.operators import risk as rk
-from shortfall.oracle.ctes import CTES, RISK_LIST, forecast_cte, level_counts, risk_cte, rnd, smoothing_ctes
+from shortfall.oracle.ctes import (
+    CTES,
+    RISK_LIST,
+    demand_cte,
+    forecast_cte,
+    inventory_cte,
+    level_counts,
+    risk_cte,
+    rnd,
+    smoothing_ctes,
+)
 from shortfall.plans.registry import query
 from shortfall.plans.tables import SEVERITY, lag_sql, rolling_sql
+from shortfall.sources.tables import DEMAND_DIGITS
 
 OUTAGE_DAYS = 14
 
@@ -94,6 +105,15 @@ def fold_forecasts(p) -> DataFrame:
     return p.published_at(folds_of(p))
 
 
+def before_folds(p) -> DataFrame:
+    """The days that the three folds test, and the 28 before the first of them."""
+    return p.recent_daily(4 * HORIZON)
+
+
+def scales(p) -> DataFrame:
+    return metrics.sparse_scale(p.sales, p.first_day, folds_of(p))
+
+
 def scored(p) -> DataFrame:
     # The three folds test the last 84 days.
     return metrics.scored_rows(p.recent_daily(3 * HORIZON), fold_forecasts(p), folds_of(p))
@@ -187,12 +207,12 @@ def metric_wmape(p):
 
 @query("metric_wrmsse", f"SELECT fold, model_name, {rnd('wrmsse', 6)} AS wrmsse FROM scaled JOIN folds USING (eval_date)", FOLDS)
 def metric_wrmsse(p):
-    scaled = with_fold(p, metrics.wrmsse(scored(p), p.sales_daily, p.prices, folds_of(p)))
+    scaled = with_fold(p, metrics.wrmsse(scored(p), before_folds(p), p.prices, folds_of(p), scales(p)))
     return scaled.select("fold", "model_name", round_to(F.col("wrmsse"), 6).alias("wrmsse"))
 
 
 def scorecard(p) -> DataFrame:
-    card = metrics.scorecard(p.sales_daily, fold_forecasts(p), p.prices, folds_of(p))
+    card = metrics.scorecard(before_folds(p), fold_forecasts(p), p.prices, folds_of(p), scales(p))
     return with_fold(p, card)
 
 
@@ -328,6 +348,47 @@ def risk_backfill_summary(p):
     return rk.snapshot_summary(p.risk_at(p.past_cutoffs))
 
 
+FITTED = {
+    **smoothing_ctes("past_cutoffs", "past"),
+    "fitted_demand": demand_cte("past_smoothing"),
+    "fitted_inventory": inventory_cte("past_cutoffs"),
+    "fitted_risk": risk_cte("fitted_demand", "fitted_inventory", "past_cutoffs", digits=DEMAND_DIGITS),
+}
+
+
+@query("risk_backfill_smoothing", f"SELECT {RISK_LIST} FROM fitted_risk", FITTED)
+def risk_backfill_smoothing(p):
+    """Past snapshots on the smoothing model, fitted at each cutoff on what was known then."""
+    return p.risk_at(p.past_cutoffs, "smoothing").select(*rk.RISK_COLUMNS)
+
+
+@query("risk_backfill_tweedie")
+def risk_backfill_tweedie(p):
+    """Past snapshots on the regression, fitted at each cutoff on what was known then."""
+    return p.risk_at(p.past_cutoffs, "tweedie").select(*rk.RISK_COLUMNS)
+
+
+@query(
+    "risk_model_changes",
+    f"""SELECT n.eval_date, n.risk_level AS naive_level, s.risk_level AS fitted_level, count(*) AS materials,
+        sum(s.gap_qty - n.gap_qty)::BIGINT AS gap_delta FROM risk_history n
+        JOIN fitted_risk s USING (eval_date, material_pn) GROUP BY ALL""",
+    FITTED,
+)
+def risk_model_changes(p):
+    """How levels and gaps of past snapshots differ between the naive and the smoothing model."""
+    naive, fitted = (
+        p.risk_at(p.past_cutoffs, model).select(
+            "eval_date", "material_pn", F.col("risk_level").alias(f"{name}_level"), F.col("gap_qty").alias(f"{name}_gap")
+        )
+        for model, name in (("seasonal_naive", "naive"), ("smoothing", "fitted"))
+    )
+    both = naive.join(fitted, ["eval_date", "material_pn"])
+    return both.groupBy("eval_date", "naive_level", "fitted_level").agg(
+        F.count(F.lit(1)).alias("materials"), F.sum(F.col("fitted_gap") - F.col("naive_gap")).alias("gap_delta")
+    )
+
+
 # -- supplier outage ---------------------------------------------------------------------
 
 OUTAGE = {
@@ -760,7 +821,8 @@ def metric_drift(p):
         )
 
     # The snapshot of a week ago plays the frozen part; the total gap is never recomputed.
-    week_ago, now = (p.snapshots.where(F.col("eval_date") == F.date_sub(p.today, n)) for n in (7, 0))
+    kept = p.snapshots_at([F.date_sub(p.today, 7), p.today])
+    week_ago, now = (kept.where(F.col("eval_date") == F.date_sub(p.today, n)) for n in (7, 0))
     total = now.agg(F.sum("gap_qty").cast("double").alias("value")).select(
         F.lit("TOTAL_GAP").alias("metric"), "value"
     )

@@ -106,13 +106,17 @@ def sink_csv_bom(p):
     return p.spark.read.option("header", True).csv(path)
 
 
-@query("sink_replace", "SELECT sku_id, date, model_name, yhat FROM forecast_daily")
+@query(
+    "sink_replace",
+    "SELECT sku_id, date, model_name, CAST(CAST(yhat AS DECIMAL(10, 2)) AS DOUBLE) AS yhat FROM published_forecasts",
+)
 def sink_replace(p):
+    """Published forecasts as decimals; all rows of the model before are replaced."""
     path = scratch_path(p.spark, "forecast")
-    daily = p.forecast_daily.drop("eval_date")
-    sinks.replace_table(daily.withColumn("yhat", F.lit(-1.0)), path)
+    daily = sinks.published(p.published_forecasts.drop("eval_date"))
+    sinks.replace_table(daily.withColumn("yhat", F.lit(-1).cast(sinks.PUBLISHED)), path)
     sinks.replace_table(daily, path)
-    return p.spark.read.parquet(path)
+    return p.spark.read.parquet(path).withColumn("yhat", F.col("yhat").cast("double"))
 
 
 @query(

@@ -98,7 +98,7 @@ def week_buckets(p):
     f"SELECT {RISK_LIST} FROM risk_history WHERE eval_date = (SELECT max(eval_date) FROM risk_history)",
 )
 def risk_latest(p):
-    return report.latest_snapshot(p.snapshots)
+    return report.latest_snapshot(p.snapshots_at(p.now))
 
 
 SEARCH_COLUMNS = "material_pn, material_name, commodity, item_group, risk_level, doi_days, gap_qty, gap_date"
@@ -270,8 +270,17 @@ def affected_skus_single_source(p):
     "SELECT sku_id, count(*) AS n FROM prices GROUP BY sku_id HAVING count(*) > 1",
 )
 def join_checked(p):
-    _, broken = quality.checked_join(p.products, p.prices, ["sku_id"])
-    return broken
+    """The keys that break a many-to-one promise of the prices."""
+    return quality.duplicate_keys(p.prices, ["sku_id"])
+
+
+@query(
+    "join_many_to_one",
+    "SELECT r.sku_id, week_start, sell_price, product_name, product_family FROM prices r JOIN products USING (sku_id)",
+)
+def join_many_to_one(p):
+    """Every price with its product; a second row of a product would end the query."""
+    return quality.checked_join(p.prices, p.products, ["sku_id"])
 
 
 # -- aggregates --------------------------------------------------------------------------
@@ -382,7 +391,7 @@ def dim_date(p):
        GROUP BY sku_id, week_start HAVING count(*) = 7""",
 )
 def weekly_complete(p):
-    wide = forecast_wide(p)
+    wide = shape.pivot_models(p.forecast_daily, p.recent_daily(90), ["seasonal_naive"])
     return shape.complete_weeks(wide, ["sku_id"], ["history", "seasonal_naive"])
 
 

@@ -26,6 +26,14 @@ def write_csv_bom(frame: DataFrame, path: str) -> None:
     marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
+PUBLISHED = "decimal(10,2)"
+
+
+def published(forecast: DataFrame, column: str = "yhat") -> DataFrame:
+    """Daily forecasts as they are published, with two decimal places."""
+    return forecast.withColumn(column, F.col(column).cast(PUBLISHED))
+
+
 def replace_table(frame: DataFrame, path: str) -> None:
     """All old rows go, the new ones come."""
     frame.write.mode("overwrite").parquet(path)

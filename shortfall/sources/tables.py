@@ -16,12 +16,15 @@ from shortfall.functions.numbers import round_to, unit_cents
 from shortfall.operators import forecast as fc
 from shortfall.operators import risk as rk
 from shortfall.operators import models, shape
-from shortfall.sources.sinks import replace_snapshots
+from shortfall.sources.snapshots import SnapshotStore, input_mark
 from shortfall.sources.workspace import scratch_path
 
 PARTS_PER_SKU = 20
 PARTNERS = 10
 SNAPSHOTS = 9
+PUBLISHED_DIGITS = 2
+DEMAND_DIGITS = 6
+RISK_INPUTS = ("lineitem", "orders", "part")
 
 
 class PlanningTables:
@@ -291,17 +294,29 @@ class PlanningTables:
     @cached_property
     def forecast(self) -> DataFrame:
         """Seasonal-naive forecast from T, one array per SKU."""
-        return fc.seasonal_naive(self.sales, self.now)
+        return self.forecast_at(self.now)
 
     @cached_property
     def forecast_daily(self) -> DataFrame:
         return fc.daily_rows(self.forecast)
 
+    def forecast_at(self, cutoffs: list[Column], model: str = "seasonal_naive") -> DataFrame:
+        """Forecast arrays of a model at every cutoff; those of fitted models are published to two decimals."""
+        if model == "seasonal_naive":
+            return fc.seasonal_naive(self.sales, cutoffs)
+        if model == "smoothing":
+            found = models.smoothing_forecast(self.sales, cutoffs, self.first_day)
+        elif model == "tweedie":
+            inputs = (self.sales, self.first_day, self.today, self.calendar, self.prices)
+            found = models.tweedie_arrays(*inputs, cutoffs=cutoffs)
+        else:
+            raise ValueError(f"no model named {model}")
+        return fc.rounded(found, PUBLISHED_DIGITS)
+
     def published_at(self, cutoffs: list[Column]) -> DataFrame:
         """Daily forecasts of both models at every cutoff, to two decimals."""
-        naive = fc.daily_rows(fc.seasonal_naive(self.sales, cutoffs))
-        smooth = fc.daily_rows(models.smoothing_forecast(self.sales_daily, cutoffs))
-        return naive.unionByName(smooth).withColumn("yhat", round_to(F.col("yhat"), 2))
+        naive = fc.daily_rows(self.forecast_at(cutoffs))
+        return naive.unionByName(fc.daily_rows(self.forecast_at(cutoffs, "smoothing")))
 
     @cached_property
     def published_forecasts(self) -> DataFrame:
@@ -315,14 +330,17 @@ class PlanningTables:
     def demand_to_date(self) -> DataFrame:
         return rk.demand_to_date(self.forecast, self.bom)
 
-    def risk_at(self, cutoffs: list[Column]) -> DataFrame:
+    def risk_at(self, cutoffs: list[Column], model: str = "seasonal_naive") -> DataFrame:
+        """Risk of all materials at every cutoff, on the forecasts of a model at that cutoff."""
         return rk.material_risk(
-            fc.seasonal_naive(self.sales, cutoffs),
+            self.forecast_at(cutoffs, model),
             self.bom,
             self.inventory_onhand,
             self.open_po,
             self.supply_split,
             cutoffs,
+            # The naive forecast has whole units, and its sums are exact.
+            digits=None if model == "seasonal_naive" else DEMAND_DIGITS,
         )
 
     @cached_property
@@ -352,14 +370,21 @@ class PlanningTables:
         """Snapshots at the eight past cutoffs and at T, computed together."""
         return self.risk_at([*self.past_cutoffs, self.today]).select(*rk.RISK_COLUMNS)
 
+    @cached_property
+    def snapshot_store(self) -> SnapshotStore:
+        mark = input_mark(self.spark, self.folder, RISK_INPUTS)
+        return SnapshotStore(self.spark, mark, rk.RISK_SCHEMA)
+
+    def snapshots_at(self, cutoffs: list[Column]) -> DataFrame:
+        """Kept snapshots at these cutoffs; the missing ones are computed and added to the store."""
+        dates = list(self.spark.range(1).select(*cutoffs).first())
+        found = self.snapshot_store.at(dates, lambda days: self.risk_at(days).select(*rk.RISK_COLUMNS))
+        return found.select(*rk.RISK_COLUMNS)
+
     @cached_property
     def snapshots(self) -> DataFrame:
-        """The history stored with one folder per date: a filter on `eval_date` prunes the other folders,
-        and a list of dates reads no data column."""
-        path = scratch_path(self.spark, "history")
-        replace_snapshots(self.risk_history, path)
-        stored = self.spark.read.schema(self.risk_history.schema).parquet(path)
-        return stored.select(*rk.RISK_COLUMNS)
+        """Kept snapshots at the eight past cutoffs and at T."""
+        return self.snapshots_at([*self.past_cutoffs, self.today])
 
     @cached_property
     def profile(self) -> DataFrame:

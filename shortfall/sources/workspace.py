@@ -1,10 +1,12 @@
-"""Where jobs keep checkpoints and intermediate tables."""
+"""Where jobs keep checkpoints and intermediate tables, and how their functions reach the workers."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _private: dict[str, str] = {}
@@ -26,3 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; nothing is created yet."""
     return f"{shared_folder(spark)}/shortfall/{label}-{uuid.uuid4().hex}"
+
+
+def ship_by_value(module: str) -> None:
+    """Ship the functions of a module with each task, so that workers need not import the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

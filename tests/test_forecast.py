@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 import statistics
 
@@ -221,3 +222,111 @@ def test_tweedie_learns_a_weekly_pattern(spark):
     assert got.count() == 6 * 28
     by_day = {r.dow: r.m for r in got.groupBy(F.weekday("date").alias("dow")).agg(F.avg("yhat").alias("m")).collect()}
     assert by_day[5] > 2 * by_day[1] and min(by_day.values()) >= 0
+
+
+def test_sparse_scale_equals_the_dense_one(spark):
+    random.seed(4)
+    rows = [(f"S{i}", d, random.randint(1, 9)) for i in range(6) for d in days("2024-01-01", 60)[i:] if random.random() < 0.2 + 0.15 * i]
+    rows += [("first", day("2024-01-01"), 5), ("last", day("2024-02-20"), 3), ("pair", day("2024-01-10"), 4), ("pair", day("2024-01-11"), 4)]
+    sales = spark.createDataFrame(rows, "sku_id string, date date, units_sold bigint")
+    cutoffs = [lit("2024-01-11"), lit("2024-02-01"), lit("2024-02-20"), lit("2024-02-21")]
+    dense = shape.densify(sales, "sku_id", "units_sold", lit("2024-01-01"), lit("2024-02-29"))
+    wanted = {(r.sku_id, r.eval_date): r.scale for r in metrics.naive_scale(dense, cutoffs).collect()}
+    found = {(r.sku_id, r.eval_date): r.scale for r in metrics.sparse_scale(sales, lit("2024-01-01"), cutoffs).collect()}
+    assert found == {k: pytest.approx(v) for k, v in wanted.items()} and len(found) == 9 * 4
+
+
+def test_smoothing_of_many_cutoffs_equals_each_alone(spark, noisy):
+    _, full = noisy
+    sparse = full.where("units_sold > 0").where("sku_id <> 'S1' OR date > '2024-03-01'")
+    first = lit("2024-01-01")
+    cutoffs = [lit(d) for d in ("2024-01-06", "2024-01-07", "2024-02-28", "2024-07-18")]
+    together = models.smoothing_forecast(sparse, cutoffs, first).collect()
+    alone = [r for c in cutoffs for r in models.smoothing_forecast(sparse, [c], first).collect()]
+    assert sorted(together, key=str) == sorted(alone, key=str)
+    # Six days are not enough, and a series counts from its first sale on.
+    assert {(r.sku_id, str(r.eval_date)) for r in together} == {
+        (f"S{i}", d) for i in range(5) for d in ("2024-01-07", "2024-02-28", "2024-07-18") if i != 1 or d > "2024-03"
+    }
+
+
+def test_models_of_many_cutoffs_equal_a_plain_fit(spark):
+    from shortfall.operators import glm
+
+    rng = np.random.default_rng(3)
+    dates = days("2024-01-01", 120)
+    data = []
+    for i in range(8):
+        for d in dates:
+            x = rng.normal(size=2)
+            own = [None if i == 7 else 0.3 * i, 0.2 * i - 0.1]
+            data.append((i, d, float(rng.poisson(np.exp(0.5 * x[0] + 0.1 * i))), float(rng.uniform(0.1, 1)), x.tolist(), own))
+    schema = "sku_id bigint, date date, label double, weight double, features array<double>, own array<double>"
+    frame = spark.createDataFrame(data, schema).repartition(3)
+    cutoffs, window = [day("2024-03-01"), day("2024-04-20")], 50
+    found = glm.fit(frame, cutoffs, window)
+    for k, cut in enumerate(cutoffs):
+        rows = [r for r in data if cut - datetime.timedelta(window) < r[1] <= cut and r[5][k] is not None]
+        x = np.array([[1, *r[4], r[5][k]] for r in rows])
+        y, w = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        mean = y + 0.5
+        for _ in range(60):
+            weight = w * mean**0.8
+            line = np.log(mean) + (y - mean) / mean
+            gram = (x * weight[:, None]).T @ x
+            hold = 1e-3 * gram[0, 0] * np.diag([0, 1, 1, 1])
+            model = np.linalg.solve(gram + hold, (x * weight[:, None]).T @ line)
+            mean = np.exp(x @ model)
+        assert found[k] == pytest.approx(model, abs=1e-5)
+    ahead = glm.predict(frame, found, cutoffs, 28).collect()
+    assert len(ahead) == (7 + 8) * 28
+    assert all(0 < (r.date - r.eval_date).days <= 28 for r in ahead)
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    random.seed(9)
+    dates = days("2023-01-02", 500)
+    rows = [(i, d, random.randint(1, 6 + i)) for i in range(5) for n, d in enumerate(dates) if random.random() < 0.5 and (i < 4 or n > 300)]
+    quotes = [(i, d, 1.0 + i + random.random()) for i in range(5) for d in dates[::7]]
+    calendar = [(d, "Fair" if d.day == 3 else None, d.weekday() >= 5) for d in days("2023-01-02", 600)]
+    return (
+        spark.createDataFrame(rows, "sku_id bigint, date date, units_sold bigint"),
+        spark.createDataFrame(quotes, "sku_id bigint, week_start date, sell_price double"),
+        spark.createDataFrame(calendar, "date date, event_name string, is_weekend boolean"),
+        dates,
+    )
+
+
+@pytest.mark.parametrize("model", ["seasonal_naive", "smoothing", "tweedie"])
+def test_no_row_after_a_cutoff_is_used(spark, shop, model):
+    sales, prices, calendar, dates = shop
+    cutoffs = [F.lit(dates[-60]), F.lit(dates[-32])]
+    first, last = F.lit(dates[0]), F.lit(dates[-1])
+
+    def forecast(rows, quotes):
+        if model == "seasonal_naive":
+            found = fc.seasonal_naive(rows, cutoffs)
+        elif model == "smoothing":
+            found = models.smoothing_forecast(rows, cutoffs, first)
+        else:
+            found = models.tweedie_arrays(rows, first, last, calendar, quotes, cutoffs=cutoffs)
+        return {(r.eval_date, r.sku_id): r.yhat for r in found.collect()}
+
+    plain = forecast(sales, prices)
+    assert {k[0] for k in plain} == {dates[-60], dates[-32]} and len(plain) == 10
+    later = F.col("date") > cutoffs[1]
+    # Later rows change or come anew, a week that is still open at the cutoff changes its price.
+    changed = sales.withColumn("units_sold", F.when(later, F.col("units_sold") * 50).otherwise(F.col("units_sold")))
+    changed = changed.unionByName(spark.createDataFrame([(99, dates[-10], 7)], sales.schema))
+    open_week = F.date_add("week_start", 6) > cutoffs[1]
+    raised = prices.withColumn("sell_price", F.when(open_week, F.col("sell_price") * 9).otherwise(F.col("sell_price")))
+    assert forecast(changed, raised) == {k: pytest.approx(v, rel=1e-6) for k, v in plain.items()}
+
+
+def test_risk_takes_any_model(small):
+    for model in ("seasonal_naive", "smoothing", "tweedie"):
+        rows = small.risk_at(small.past_cutoffs[:2], model).groupBy("eval_date").count().collect()
+        assert len(rows) == 2 and all(r["count"] > 0 for r in rows)
+    with pytest.raises(ValueError):
+        small.forecast_at(small.now, "oracle")

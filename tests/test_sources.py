@@ -3,7 +3,7 @@ from __future__ import annotations
 import glob
 
 import pytest
-from conftest import day, rows
+from conftest import SMALL, day, rows
 from pyspark.sql import functions as F
 
 from shortfall.operators import intake as po
@@ -137,8 +137,66 @@ def test_keys_ranges_nulls_and_gaps(spark):
     assert rows(gaps) == [(day("2024-01-02"),), (day("2024-01-04"),)]
     ranges = quality.row_ranges({"t": frame}, {"t": (1, 2)}).first()
     assert (ranges.row_count, ranges.in_range) == (3, False)
-    joined, broken = quality.checked_join(frame.select("k").distinct(), frame, ["k"])
-    assert joined.count() == 3 and rows(broken) == [(1, 2)]
+
+
+def test_a_join_that_would_fan_out_ends_the_query(spark):
+    many = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "k int, x string")
+    one = spark.createDataFrame([(1, 10, "p"), (2, 20, None), (4, 40, "q"), (None, 50, "r")], "k int, v int, w string")
+    assert rows(quality.checked_join(many, one, ["k"])) == [(1, "a", 10, "p"), (1, "b", 10, "p"), (2, "c", 20, None)]
+    assert quality.checked_join(many, one, ["k"], "left").count() == 5
+    twice = one.unionByName(one.where("k = 4"))
+    for join in (quality.checked_join(many, twice, ["k"]).select("x"), quality.checked_join(many, twice, ["k"], "left")):
+        with pytest.raises(Exception, match="several rows: 4"):
+            join.collect()
+    with pytest.raises(Exception, match="several rows: 2, c"):
+        quality.checked_join(many, many.where("k = 2").union(many), ["k", "x"]).count()
+
+
+def test_snapshots_are_computed_once_for_their_input(spark, monkeypatch):
+    from shortfall.sources import snapshots
+    from shortfall.sources.tables import PlanningTables
+
+    monkeypatch.setattr(snapshots, "RULES", 99)  # a store of its own
+    asked = []
+    whole = PlanningTables.risk_at
+
+    def counted(self, cutoffs, model="seasonal_naive"):
+        asked.append(len(cutoffs))
+        return whole(self, cutoffs, model)
+
+    monkeypatch.setattr(PlanningTables, "risk_at", counted)
+    first = PlanningTables(spark, SMALL)
+    latest = first.snapshots_at(first.now)
+    assert asked == [1] and rows(latest) == rows(first.material_risk.select(latest.columns))
+    asked.clear()
+    second = PlanningTables(spark, SMALL)
+    history = rows(second.snapshots)
+    assert asked == [8]  # today's is there already
+    third = PlanningTables(spark, SMALL)
+    assert rows(third.snapshots) == history == rows(whole(third, [*third.past_cutoffs, third.today]).select(latest.columns))
+    assert asked == [8] and len(third.snapshot_store.missing([day("1990-01-01")])) == 1
+    paths = {f.split("/")[-1] for f in third.snapshots_at(third.now).inputFiles()}
+    assert paths  # only one date's folder is read
+    plan = third.snapshots_at(third.now)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "eval_date" in plan
+
+
+def test_changed_input_has_another_mark(spark, tmp_path):
+    from shortfall.sources.snapshots import input_mark
+
+    frame = spark.range(5)
+    frame.write.parquet(str(tmp_path / "a.parquet"))
+    mark = input_mark(spark, str(tmp_path), ("a",))
+    assert mark == input_mark(spark, str(tmp_path), ("a",))
+    frame.write.mode("append").parquet(str(tmp_path / "a.parquet"))
+    assert mark != input_mark(spark, str(tmp_path), ("a",))
+
+
+def test_published_forecasts_are_decimals(spark, tmp_path):
+    frame = spark.createDataFrame([("a", 1.25), ("b", 3.0)], "sku_id string, yhat double")
+    sinks.replace_table(sinks.published(frame), str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    assert dict(stored.dtypes)["yhat"] == "decimal(10,2)" and [str(r[1]) for r in rows(stored)] == ["1.25", "3.00"]
 
 
 def test_orphans_and_drift(spark):
