@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,19 +67,22 @@ PRESENTATION: tuple[tuple[str, str, str], ...] = (
 )
 
 
-def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """All numbers, percentages, dates and month-days of every whole text.
+UNSEEN = f"{WIDE_DIGITS}{DASHED}{WORDED}⟦⟧"
+
 
-    Dates are taken first and masked, so their parts are not read again as numbers. Columns: key,
-    kind, pos (order within its kind), raw, value (numbers), day (dates) and place (ordinal, count
-    or zero for numbers that only describe the presentation).
+def claims_column(texts: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows with an array column: all numbers, percentages, dates and month-days of a whole text.
+
+    Dates are taken first and masked, so their parts are not read again as numbers. An element has kind,
+    pos (order within its kind), raw, value (numbers), day (dates) and place (ordinal, count or zero for
+    numbers that only describe the presentation).
     """
+    kept, at = texts.columns, [f"_{name}_{i}" for i in range(len(MONTH_DAYS) + 3)]
     # Every claim holds a digit, so texts without one need no further pass. Full-width digits count; they
-    # become ASCII one by one, so places stay.
-    plain = F.translate(text, f"{WIDE_DIGITS}{DASHED}{WORDED}⟦⟧", "0123456789" + " " * 4)
-    step = texts.where(F.col(text).rlike(f"[0-9{WIDE_DIGITS}]")).select(
-        key, F.regexp_replace(plain, IDENTIFIER, " ").alias("t0")
-    )
+    # become ASCII one by one, so places stay. Few texts have any, or a sign that is used below.
+    plain = F.when(F.col(text).rlike(f"[{UNSEEN}]"), F.translate(text, UNSEEN, "0123456789" + " " * 4)).otherwise(F.col(text))
+    digits = F.col(text).rlike(f"[0-9{WIDE_DIGITS}]")
+    step = texts.select("*", F.when(digits, F.regexp_replace(plain, IDENTIFIER, " ")).alias(at[0]))
     # A pattern runs only where its fixed sign occurs.
     masks = (
         (ISO_DATE, DASHED, "-"),
@@ -86,61 +90,67 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
         *zip(MONTH_DAYS, (WORDED, DASHED, DASHED), ("日", "-", "/")),
     )
     for i, (pattern, mask, sign) in enumerate(masks):
-        before = F.col(f"t{i}")
+        before = F.col(at[i])
         masked = F.when(before.contains(sign), F.regexp_replace(before, pattern, mask)).otherwise(before)
-        step = step.select("*", masked.alias(f"t{i + 1}"))
-    step = step.withColumn("tagged", F.col(f"t{len(masks)}"))
+        step = step.select("*", masked.alias(at[i + 1]))
+    tagged = f"_{name}_tagged"
+    step = step.withColumn(tagged, F.col(at[len(masks)]))
     for pattern, replacement, signs in PRESENTATION:
-        before = F.col("tagged")
+        before = F.col(tagged)
         step = step.withColumn(
-            "tagged",
+            tagged,
             F.when(before.rlike(signs), F.regexp_replace(before, pattern, replacement)).otherwise(before),
         )
 
     def hits(column: str, pattern: str, sign: str = "") -> Column:
         found = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
         nothing = F.array().cast("array<string>")
-        return F.when(F.col(column).contains(sign), found).otherwise(nothing) if sign else found
+        return F.when(F.col(column).contains(sign), found).otherwise(nothing) if sign else F.coalesce(found, nothing)
 
     def claims_of(kind: str, found: Column) -> Column:
-        return F.transform(
-            found,
-            lambda raw, pos: F.struct(
-                F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), raw.alias("raw")
-            ),
-        )
-
+        def claim(raw: Column, pos: Column) -> Column:
+            number, day = F.lit(None).cast("double"), F.lit(None).cast("string")
+            name_of, place, plain_raw = F.lit(kind), F.lit(None).cast("string"), raw
+            if kind == "number":
+                tag = F.regexp_extract(raw, TAGGED, 1)
+                place = F.when(tag == "o", "ordinal").when(tag == "c", "count").when(tag == "z", "zero")
+                plain_raw = F.when(tag != "", F.regexp_extract(raw, TAGGED, 2)).otherwise(raw)
+                name_of = F.when(raw.rlike("[%％]$"), "percentage").otherwise(kind)
+                number = number_value(plain_raw)
+            else:
+                day = date_key(raw) if kind == "date" else month_day_key(raw)
+            return F.struct(
+                name_of.alias("kind"), pos.cast("int").alias("pos"), plain_raw.alias("raw"), number.alias("value"),
+                day.alias("day"), place.alias("place"),
+            )
+
+        return F.transform(found, claim)
+
+    t = at
+    months = [hits(t[i + 2], p, sign) for i, (p, sign) in enumerate(zip(MONTH_DAYS, "日-/"))]
+    numbers = F.filter(hits(tagged, f"{NUMBER}|{TAGGED}"), lambda raw: ~raw.rlike("[\\uE000\\uE001]"))
     found = F.concat(
-        claims_of("date", F.concat(hits("t0", ISO_DATE, "-"), hits("t1", CHINESE_DATE, "日"))),
-        claims_of(
-            "month_day",
-            F.concat(*[hits(f"t{i + 2}", p, sign) for i, (p, sign) in enumerate(zip(MONTH_DAYS, "日-/"))]),
-        ),
-        claims_of(
-            "number",
-            F.filter(hits("tagged", f"{NUMBER}|{TAGGED}"), lambda raw: ~raw.rlike("[\\uE000\\uE001]")),
-        ),
-    )
-    claims = step.select(key, F.explode(found).alias("c")).select(key, "c.kind", "c.pos", "c.raw")
-    number = F.col("kind") == "number"
-    tag = F.regexp_extract("raw", TAGGED, 1)
-    place = F.when(tag == "o", "ordinal").when(tag == "c", "count").when(tag == "z", "zero")
-    claims = claims.select(
-        "*", F.when(number, place).alias("place"),
-    ).withColumn(
-        "raw", F.when(F.col("place").isNotNull(), F.regexp_extract("raw", TAGGED, 2)).otherwise(F.col("raw"))
-    )
-    return claims.select(
-        key,
-        F.when(number & F.col("raw").rlike("[%％]$"), "percentage").otherwise(F.col("kind")).alias("kind"),
-        "pos",
-        "raw",
-        F.when(number, number_value(F.col("raw"))).alias("value"),
-        F.when(F.col("kind") == "date", date_key(F.col("raw")))
-        .when(F.col("kind") == "month_day", month_day_key(F.col("raw")))
-        .alias("day"),
-        "place",
+        claims_of("date", F.concat(hits(t[0], ISO_DATE, "-"), hits(t[1], CHINESE_DATE, "日"))),
+        claims_of("month_day", F.concat(*months)),
+        claims_of("number", numbers),
     )
+    return step.select(*kept, found.alias(name))
+
+
+def claim_rows(frame: DataFrame, key: str, claims: str, *more: str) -> DataFrame:
+    """One row for each element of a claims column.
+
+    An inner explode would bring a filter on the array's size, and a filter goes through the masking steps
+    down to the text with all of them repeated inside it.
+    """
+    columns = ("kind", "pos", "raw", "value", "day", "place", *more)
+    rows = frame.select(key, F.explode_outer(claims).alias("c")).where(F.col("c").isNotNull())
+    return rows.select(key, *[f"c.{c}" for c in columns])
+
+
+def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """All numbers, percentages, dates and month-days of every whole text, one row each (`claims_column`)."""
+    return claim_rows(claims_column(texts.select(key, text), text, "claims"), key, "claims")
 
 
 def evidence_cells(
@@ -186,35 +196,138 @@ def string_cells(table: DataFrame, key: str, columns: Sequence[str]) -> DataFram
     )
 
 
+def mask_present(text: Column, literals: Column) -> Column:
+    """A text with every one of its literals blanked where it stands alone, the longest that begins at a place
+    first: one alternation, of the literals that occur in the text."""
+    present = F.filter(F.array_distinct(literals), lambda l: F.contains(text, l))
+    longest = F.transform(
+        F.array_sort(F.transform(present, lambda l: F.struct((-F.length(l)).alias("o"), l.alias("l")))), lambda x: x["l"]
+    )
+    # Quoting ends where a literal holds its end mark, so the mark itself is written out.
+    quoted = F.transform(longest, lambda l: F.concat(F.lit(r"\Q"), F.replace(l, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9])(?:"), F.array_join(quoted, "|"), F.lit(")(?![A-Za-z0-9])"))
+    return F.when(F.size(present) > 0, F.regexp_replace(text, pattern, F.lit(" "))).otherwise(text)
+
+
 def mask_literals(texts: DataFrame, key: str, text: str, literals: DataFrame) -> DataFrame:
-    """Texts with every literal of their own key blanked where it stands alone, longer ones first.
+    """Texts with every literal of their own key blanked (`mask_present`).
 
-    Only literals that occur in the text are gathered, so the list is bounded by the text itself.
+    The literals of a key are gathered without its text; `literals` should have few a key.
     """
-    present = (
-        literals.where(F.col("literal").isNotNull())
-        .select(key, "literal")
-        .distinct()
-        .join(texts.select(key, F.col(text).alias("_text")), key)
-        .where(F.col("_text").contains(F.col("literal")))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_set(F.struct((-F.length("literal")).alias("o"), "literal"))).alias("_present"))
+    gathered = literals.where(F.col("literal").isNotNull()).groupBy(key).agg(F.collect_set("literal").alias("_literals"))
+    nothing = F.array().cast("array<string>")
+    return (
+        texts.join(gathered, key, "left")
+        .withColumn(text, mask_present(F.col(text), F.coalesce("_literals", nothing)))
+        .drop("_literals")
     )
 
-    def blank(done: Column, entry: Column) -> Column:
-        quoted = F.concat(
-            F.lit(r"(?<![A-Za-z0-9])\Q"), entry["literal"], F.lit(r"\E(?![A-Za-z0-9])")
+
+MANY_CELLS = 1000
+
+
+def gathered_cells(cells: DataFrame, key: str) -> DataFrame:
+    """key, numbers, days, literals: the distinct cells of each key as arrays."""
+    return cells.groupBy(key).agg(
+        *[F.collect_set(c).alias(f"_{c}s") for c in ("number", "day", "literal")],
+    )
+
+
+def identifier_values(text: Column) -> Column:
+    """Digit groups of the identifiers in a text, as an array of numbers."""
+    digits = F.flatten(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)),
+            lambda found: F.regexp_extract_all(found, F.lit(r"\d+"), F.lit(0)),
         )
-        return F.regexp_replace(done, quoted, F.lit(" "))
+    )
+    return F.transform(digits, lambda d: d.try_cast("double"))
 
-    masked = F.aggregate("_present", F.col(text), blank)
-    return (
-        texts.join(present, key, "left")
-        .withColumn(text, F.when(F.size("_present") > 0, masked).otherwise(F.col(text)))
-        .drop("_present")
+
+def supported(claim: Column, numbers: Column, days: Column) -> Column:
+    """Whether some cell supports a claim: a number within 0.5 % of the cell, a percentage also as a
+    hundredth, a date or month-day exactly."""
+    def near(value: Column) -> Column:
+        def fits(cell: Column) -> Column:
+            size, stated = F.abs(cell), F.abs(value) * 200
+            return (F.signum(cell) == F.signum(value)) & (size * 199 <= stated) & (stated <= size * 201)
+
+        return F.exists(numbers, fits)
+
+    value, day = claim["value"], claim["day"]
+    return F.coalesce(
+        (value.isNotNull() & (near(value) | ((claim["kind"] == "percentage") & near(value / 100))))
+        | (day.isNotNull() & F.exists(days, lambda d: (d == day) | (F.substring(d, 6, 5) == day))),
+        F.lit(False),
     )
 
 
+def needs_evidence(
+    claim: Column, values: Column, days: Column, codes: Column, cell_days: Column, row_count: Column
+) -> Column:
+    """Whether a claim is none of the exempt ones: in the question or owned text, a code of the result, the
+    number of its rows, a list ordinal or count, a threshold of zero, a bare year of a date cell."""
+    def among(value: Column, known: Column) -> Column:
+        return F.exists(known, lambda k: k == value)
+
+    value, place, number = claim["value"], claim["place"], claim["kind"] == "number"
+    in_context = among(value, values) | ((claim["kind"] == "percentage") & among(value / 100, values))
+    day_known = F.exists(days, lambda d: d == claim["day"])
+    within = value.between(F.when(place == "ordinal", 1).otherwise(0), row_count)
+    presented = (place == "zero") | (place.isin("ordinal", "count") & within)
+    year = F.exists(cell_days, lambda d: F.substring(d, 1, 4).cast("double") == value)
+    rules = (in_context, day_known, among(value, codes), number & (value == row_count), presented, number & year)
+    return ~reduce(lambda a, b: a | b, [F.coalesce(r, F.lit(False)) for r in rules])
+
+
+def check_in_rows(answers: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """Checked claims with their flag, from one row per answer that holds its cells as arrays."""
+    nothing = {c: F.array().cast(f"array<{t}>") for c, t in (("number", "double"), ("day", "string"), ("literal", "string"))}
+    rows = answers.join(gathered_cells(cells, key), key, "left").select(
+        key,
+        "answer",
+        F.concat_ws("\n", "question", "exempt_text").alias("_owned"),
+        F.col("row_count").cast("double").alias("_rows"),
+        *[F.coalesce(f"_{c}s", nothing[c]).alias(f"_{c}s") for c in nothing],
+    )
+    rows = rows.withColumn("answer", mask_present(F.col("answer"), F.col("_literals")))
+    rows = claims_column(claims_column(rows, "answer", "_claims"), "_owned", "_context")
+    context_numbers = F.filter("_context", lambda c: c["value"].isNotNull())
+    values = F.concat(
+        F.transform(context_numbers, lambda c: c["value"]),
+        F.transform(F.filter(context_numbers, lambda c: c["kind"] == "percentage"), lambda c: c["value"] / 100),
+        identifier_values(F.col("_owned")),
+    )
+    context_days = F.filter("_context", lambda c: c["day"].isNotNull())
+    days = F.concat(
+        F.transform(context_days, lambda c: c["day"]),
+        F.transform(F.filter(context_days, lambda c: c["kind"] == "date"), lambda c: F.substring(c["day"], 6, 5)),
+    )
+    codes = F.flatten(F.transform("_literals", identifier_values))
+    rows = rows.select("*", values.alias("_values"), days.alias("_owned_days"), codes.alias("_codes"))
+    kept = F.filter(
+        "_claims",
+        lambda c: needs_evidence(c, F.col("_values"), F.col("_owned_days"), F.col("_codes"), F.col("_days"), F.col("_rows")),
+    )
+    flagged = F.transform(kept, lambda c: c.withField("matched", supported(c, F.col("_numbers"), F.col("_days"))))
+    return claim_rows(rows.select(key, flagged.alias("_found")), key, "_found", "matched")
+
+
+def check_answers(answers: DataFrame, cells: DataFrame, key: str, many: int = MANY_CELLS) -> DataFrame:
+    """Claims of each answer that need evidence, each with a flag whether a cell of its result supports it.
+
+    `answers` has the key, answer, question, exempt_text and row_count; `cells` has number, day and literal
+    per cell of the answer's result. An answer meets its cells in one row; answers with more than `many`
+    cells, which would make that row large, are checked by joins instead, to the same result.
+    """
+    large = cells.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > many).select(key)
+    if large.isEmpty():
+        return check_in_rows(answers, cells, key)
+    small = check_in_rows(*(t.join(large, key, "left_anti") for t in (answers, cells)), key)
+    wide, its_cells = (t.join(large, key, "left_semi") for t in (answers, cells))
+    return small.unionByName(match_claims(checked_claims(wide, its_cells, key), its_cells, key))
+
+
 def checked_claims(answers: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     """Claims of each answer that need evidence.
 
@@ -340,15 +453,7 @@ def match_claims(claims: DataFrame, cells: DataFrame, key: str) -> DataFrame:
 
 def identifier_numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Digit groups of the identifiers in a text, as numbers of the context."""
-    digits = F.flatten(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)),
-            lambda found: F.regexp_extract_all(found, F.lit(r"\d+"), F.lit(0)),
-        )
-    )
-    return texts.select(key, F.explode(digits).alias("digits")).select(
-        key, F.col("digits").try_cast("double").alias("value")
-    ).distinct()
+    return texts.select(key, F.explode(identifier_values(F.col(text))).alias("value")).distinct()
 
 
 def exempt_context(claims: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -110,17 +110,16 @@ CLAIM_TABLES = {
 }
 
 
-def answer_claims(p) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Answers, their claims after all exemptions, and the evidence cells."""
-    answers, cells = p.stored(derived.answers(p), "answers"), evidence_rows(p)
+def answer_claims(p) -> tuple[DataFrame, DataFrame]:
+    """Answers, and their claims after all exemptions, each with a flag whether a cell supports it."""
+    answers, cells = derived.answers(p), evidence_rows(p)
     named = p.stored_risk.select(
         F.col("material_pn").alias("answer_id"),
         derived.bay(F.col("material_pn")).alias("bay"),
         derived.supplier_code(F.col("primary_supplier_id")).alias("supplier"),
     )
     cells = cells.unionByName(evidence.string_cells(named, "answer_id", ["bay", "supplier"]), allowMissingColumns=True)
-    # Matching reads the claims several times; the texts are only parsed once.
-    return answers, p.stored(evidence.checked_claims(answers, cells, "answer_id"), "claims"), cells
+    return answers, evidence.check_answers(answers, cells, "answer_id")
 
 
 def evidence_rows(p) -> DataFrame:
@@ -144,10 +143,8 @@ def evidence_cells(p):
 
 @query("claim_match", "SELECT answer_id, kind, value, day, matched FROM matched", CLAIM_TABLES)
 def claim_match(p):
-    _, claims, cells = answer_claims(p)
-    return evidence.match_claims(claims, cells, "answer_id").select(
-        "answer_id", "kind", "value", "day", "matched"
-    )
+    _, matched = answer_claims(p)
+    return matched.select("answer_id", "kind", "value", "day", "matched")
 
 
 @query(
@@ -158,8 +155,8 @@ def claim_match(p):
     CLAIM_TABLES,
 )
 def claim_verdict(p):
-    answers, claims, cells = answer_claims(p)
-    return evidence.verdicts(evidence.match_claims(claims, cells, "answer_id"), answers, "answer_id")
+    answers, matched = answer_claims(p)
+    return evidence.verdicts(matched, answers, "answer_id")
 
 
 # One question per item group: which materials are RED (gold) against which are RED or ORANGE and
@@ -221,6 +218,95 @@ def paired_arms(p):
     return grading.paired(first, second, "question_id")
 
 
+@query(
+    "paired_changes",
+    """SELECT question_id, CASE WHEN superset_ok THEN 'improved' ELSE 'regressed' END AS change
+       FROM (SELECT *, superset_ok AND gold_n = response_n AS exact FROM graded) WHERE superset_ok <> exact""",
+    GRADES,
+)
+def paired_changes(p):
+    """The questions themselves that improved or regressed."""
+    both = graded(p)
+    arms = (both.select("question_id", F.col(c).alias("passed")) for c in ("exact_ok", "superset_ok"))
+    return grading.changed(*arms, "question_id")
+
+
+# Materials of an item group by id or by name: the gold rows are the RED ones; the response has other columns
+# in another order. The check of a question follows from its group, and one question names its answer.
+COLUMN_GRADES = {
+    "asked": """SELECT item_group AS question_id, any_value(commodity) AS category, (length(item_group) + ascii(right(item_group, 1))) % 5 = 0 AS refused,
+        (['exact_set', 'superset', 'contains_values'])[(ascii(right(item_group, 1)) + length(item_group)) % 3 + 1] AS kind,
+        'What is short in ' || item_group || ', besides ' || min(material_pn) || '?' AS question FROM materials GROUP BY item_group""",
+    "gold_rows": """SELECT item_group AS question_id, gap_qty::DOUBLE AS gap, material_name AS name, material_pn::VARCHAR AS pn,
+        row_number() OVER (PARTITION BY item_group ORDER BY material_pn) - 1 AS rn FROM material_risk JOIN materials USING (material_pn) WHERE risk_level = 'RED'""",
+    "gold_cells": """SELECT question_id, 0 AS gc, rn, gap AS number, NULL::VARCHAR AS text FROM gold_rows
+        UNION ALL SELECT question_id, 1, rn, NULL, name FROM gold_rows""",
+    "response_rows": """SELECT item_group AS question_id, doi_days AS doi, material_name AS name, gap_qty * 1.004::DOUBLE AS gap
+        FROM material_risk JOIN materials USING (material_pn) WHERE risk_level = 'RED' OR (gap_qty > 0 AND supplier_concentration > 60)""",
+    "response_cells": """SELECT question_id, 0 AS rc, doi AS number, NULL::VARCHAR AS text FROM response_rows
+        UNION ALL SELECT question_id, 1, gap, NULL FROM response_rows
+        UNION ALL SELECT question_id, 2, NULL, name FROM response_rows WHERE length(question_id) % 2 = 0""",
+    "dgc": "SELECT DISTINCT question_id, gc, number, text FROM gold_cells",
+    "drc": "SELECT DISTINCT question_id, rc, number, text FROM response_cells",
+    "fits": """SELECT g.question_id, gc, rc, bool_and(EXISTS (SELECT 1 FROM drc r WHERE r.question_id = g.question_id AND r.rc = p.rc
+        AND ((199 * g.number <= 200 * r.number AND 200 * r.number <= 201 * g.number) OR r.text = g.text))) AS holds, count(*) AS gold_n
+        FROM dgc g JOIN (SELECT DISTINCT question_id, rc FROM drc) p USING (question_id) GROUP BY g.question_id, gc, rc""",
+    "sized": "SELECT f.*, (SELECT count(*) FROM drc r WHERE r.question_id = f.question_id AND r.rc = f.rc) AS response_n FROM fits f",
+    "column_graded": """SELECT a.*, NOT refused AND CASE kind
+        WHEN 'exact_set' THEN EXISTS (SELECT 1 FROM sized s WHERE s.question_id = a.question_id AND holds AND gold_n = response_n)
+        WHEN 'superset' THEN EXISTS (SELECT 1 FROM sized s WHERE s.question_id = a.question_id AND holds)
+        ELSE NOT EXISTS (SELECT 1 FROM gold_cells g WHERE g.question_id = a.question_id AND rn = 0
+          AND NOT contains(a.question, coalesce(g.text, g.number::BIGINT::VARCHAR))
+          AND NOT EXISTS (SELECT 1 FROM response_cells r WHERE r.question_id = g.question_id
+            AND ((199 * g.number <= 200 * r.number AND 200 * r.number <= 201 * g.number) OR r.text = g.text))) END AS passed FROM asked a""",
+}
+
+
+@query(
+    "grade_columns",
+    f"""SELECT category, kind AS "check", count(*) AS questions, count(*) FILTER (WHERE passed) AS passed,
+        {rnd("count(*) FILTER (WHERE passed) * 100 / count(*)", 2)} AS passed_pct FROM column_graded GROUP BY category, kind""",
+    COLUMN_GRADES,
+)
+def grade_columns(p):
+    """Rates by category and check: any gold column against any response column, and contained values."""
+    rows = p.stored_risk.join(p.materials, "material_pn").withColumnRenamed("item_group", "question_id")
+    red = rows.where("risk_level = 'RED'")
+    near = rows.where("risk_level = 'RED' OR (gap_qty > 0 AND supplier_concentration > 60)")
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def cells(frame: DataFrame, column: str, place: int, number, text, *more) -> DataFrame:
+        return frame.select("question_id", F.lit(place).alias(column), number.alias("number"), text.alias("text"), *more)
+
+    # Only the first row of a group is told apart: it has the least number.
+    least = red.groupBy("question_id").agg(F.min("material_pn").alias("least"))
+    numbered = red.join(least, "question_id").withColumn("row", F.when(F.col("material_pn") == F.col("least"), 0).otherwise(1))
+    gap = F.col("gap_qty").cast("double")
+    gold = cells(numbered, "gold_column", 0, gap, no_text, "row").unionByName(
+        cells(numbered, "gold_column", 1, no_number, F.col("material_name"), "row")
+    )
+    response = (
+        cells(near, "response_column", 0, F.col("doi_days"), no_text)
+        .unionByName(cells(near, "response_column", 1, gap * 1.004, no_text))
+        .unionByName(cells(near.where(F.length("question_id") % 2 == 0), "response_column", 2, no_number, F.col("material_name")))
+    )
+    label = F.length("item_group") + F.ascii(F.right(F.col("item_group"), F.lit(1)))
+    kind = F.element_at(F.array(*[F.lit(c) for c in grading.CHECKS]), (label % 3 + 1).cast("int"))
+    asked = p.materials.groupBy("item_group").agg(F.min("commodity").alias("category"), F.min("material_pn").alias("least"))
+    named = F.concat(F.lit("What is short in "), "item_group", F.lit(", besides "), F.col("least").cast("string"), F.lit("?"))
+    questions = asked.select(
+        F.col("item_group").alias("question_id"), "category", kind.alias("check"), (label % 5 == 0).alias("refused"),
+        named.alias("question"),
+    )
+    graded = grading.grade_columns(questions, gold, response, "question_id")
+    total = F.count(F.lit(1))
+    return graded.groupBy("category", "check").agg(
+        total.alias("questions"),
+        F.count_if("passed").alias("passed"),
+        round_to(F.count_if("passed") * 100 / total, 2).alias("passed_pct"),
+    )
+
+
 # -- retrieval ---------------------------------------------------------------------------
 
 TOP_K = 4

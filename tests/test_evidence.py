@@ -26,13 +26,19 @@ def check(spark, cases):
                 cells.append((i, None, None, cell))
             else:
                 cells.append((i, float(cell), None, None))
-    table = spark.createDataFrame(cells, CELLS)
-    claims = ev.checked_claims(spark.createDataFrame(answers, ANSWERS), table, "id")
-    found = {i: (0, []) for i in range(len(cases))}
-    for r in ev.match_claims(claims, table, "id").collect():
+    table, texts = spark.createDataFrame(cells, CELLS), spark.createDataFrame(answers, ANSWERS)
+    # In one row per answer, by joins, and each for some of the answers.
+    ways = [counted(ev.check_answers(texts, table, "id", many), len(cases)) for many in (ev.MANY_CELLS, 0, 2)]
+    assert ways[0] == ways[1] == ways[2]
+    return ways[0]
+
+
+def counted(matched, cases):
+    found = {i: (0, []) for i in range(cases)}
+    for r in matched.collect():
         n, unmatched = found[r.id]
         found[r.id] = (n + 1, sorted(unmatched if r.matched else [*unmatched, r.raw]))
-    return [found[i] for i in range(len(cases))]
+    return [found[i] for i in range(cases)]
 
 
 def plain(answer, *cells):
@@ -194,3 +200,80 @@ def test_dimension_check(spark):
     mixed = spark.createDataFrame([(1, [1.0]), (2, [2.0, 3.0])], VECTORS)
     empty = spark.createDataFrame([(1, []), (2, [])], VECTORS)
     assert [retrieval.dimension_check(f).first().consistent for f in (same, mixed, empty)] == [True, False, False]
+
+
+def test_retrieval_on_a_grid_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(retrieval, "CELL_ROWS", 40)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5))
+    index = np.concatenate([centres[rng.integers(0, 6, 180)] + 0.01 * rng.normal(size=(180, 5)), np.repeat(centres[:1], 25, axis=0)])
+    asked = np.concatenate([index[::9], np.zeros((1, 5)), rng.normal(size=(10, 5))])
+    frames = [
+        spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(side.astype(np.float32))], VECTORS) for side in (asked, index)
+    ]
+    units = []
+    for side in (asked, index):
+        wide = side.astype(np.float32).astype(np.float64)
+        norms = np.linalg.norm(wide, axis=1)
+        units.append(np.divide(wide, norms[:, None], out=np.zeros_like(wide), where=norms[:, None] > 0))
+    sims = np.round(units[0] @ units[1].T, 9)
+    for k, minimum in ((3, None), (30, None), (4, 0.999)):
+        got = {}
+        for r in retrieval.cosine_top_k(*frames, k, minimum=minimum).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, round(r.similarity, 9)))
+        for q in range(len(asked)):
+            ranked = sorted((-sims[q, x], x) for x in range(len(index)) if minimum is None or sims[q, x] >= minimum)[:k]
+            # Products of blocks may differ from the whole product in the last digit, so near ties may swap.
+            assert [s for _, s in got.get(q, [])] == pytest.approx([-s for s, _ in ranked], abs=2e-9)
+    plan = retrieval.cosine_top_k(*frames, 3)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_blocks_are_skipped_by_centre_and_radius():
+    centres, radii = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]), np.array([0.1, 0.1, 0.1])
+    order, bounds = retrieval.nearest_blocks(centres, radii, np.array([1.0, 0.0]), 0.0)
+    assert order.tolist() == [0, 1, 2] and bounds[0] == 1.0 and bounds[1] < 0.2 and bounds[2] < -0.7
+
+
+def test_literals_are_blanked_longest_first(spark):
+    cases = [
+        ("Bay 12 and Bay 1, not Bay 123", ["Bay 1", "Bay 12"], "  and  , not Bay 123"), (r"a\E b.c x", [r"a\E", "b.c"], "    x"),
+        ("b-c bXc", ["b.c"], "b-c bXc"), ("same same", ["same"], "   "), ("none", [], "none"), ("xBay 1", ["Bay 1"], "xBay 1"),
+    ]
+    texts = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "id int, t string")
+    literals = spark.createDataFrame([(i, l) for i, (_, ls, _) in enumerate(cases) for l in ls], "id int, literal string")
+    masked = ev.mask_literals(texts, "id", "t", literals)
+    assert [r.t for r in masked.orderBy("id").collect()] == [e for _, _, e in cases]
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_columns_are_graded_by_their_check(spark):
+    def cells(data, column):
+        out = []
+        for q, rows_ in data.items():
+            for n, row in enumerate(rows_):
+                for c, value in enumerate(row):
+                    number = float(value) if not isinstance(value, str) else None
+                    out.append((q, c, n, number, None if number is not None else value))
+        return spark.createDataFrame(out, f"q string, {column} int, row int, number double, text string")
+
+    gold = {
+        "ids": [("P1", "bolt"), ("P2", "nut")], "names": [("P1", "bolt"), ("P2", "nut")], "more": [("P1", 5.0)], "exact": [(5.0, "a"), (6.0, "b")],
+        "given": [("P1", 40.0)], "lacks": [("P1", 40.0, 7.0)], "refused": [("x",)],
+    }
+    response = {
+        "ids": [(1.0, "P2"), (2.0, "P1")], "names": [("nut", 3.0), ("bolt", 1.0), ("screw", 2.0)], "more": [("P1", 9.0), ("P3", 9.0)],
+        "exact": [("c", 5.0), ("d", 6.01), ("e", 7.0)], "given": [("zz", 40.1)], "lacks": [("P1", 40.0)], "refused": [("x",)],
+    }
+    questions = spark.createDataFrame(
+        [("ids", "exact_set", False, ""), ("names", "superset", False, ""), ("more", "exact_set", False, ""), ("exact", "exact_set", False, ""),
+         ("given", "contains_values", False, "stock of P1"), ("lacks", "contains_values", False, ""), ("refused", "superset", True, ""),
+         ("nothing", "superset", False, "")],
+        "q string, check string, refused boolean, question string",
+    )
+    graded = grading.grade_columns(questions, cells(gold, "gold_column"), cells(response, "response_column").drop("row"), "q")
+    assert {r.q: r.passed for r in graded.collect()} == {
+        "ids": True, "names": True, "more": False, "exact": False, "given": True, "lacks": False, "refused": False, "nothing": False,
+    }
