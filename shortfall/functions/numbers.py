@@ -36,15 +36,29 @@ def fold_width(text: Column) -> Column:
     return F.translate(text, FULL_WIDTH, HALF_WIDTH)
 
 
+# Every character that counts as white space.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.trim(text, F.lit(WHITE_SPACE))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """General Unicode compatibility folding, for the few rows that width folding cannot serve."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
+def needs_nfkc(text: Column) -> Column:
+    """Whether width folding may not be all that compatibility folding does to a text."""
+    return F.coalesce(text.rlike("[^\\x00-\\x7F\\uFF01-\\uFF5E\\u3000]"), F.lit(False))
+
+
 def strict_positive_integer(text: Column) -> Column:
     """Digits only, greater than zero; anything else is null. Full-width digits are digits too."""
-    digits = F.translate(F.trim(text), WIDE_DIGITS, "0123456789")
+    digits = F.translate(strip(text), WIDE_DIGITS, "0123456789")
     return F.when(digits.rlike(r"^[0-9]+$"), positive_int(digits))
 
 
@@ -53,20 +67,24 @@ def positive_int(digits: Column) -> Column:
     return F.when(number > 0, number)
 
 
+# The spellings of a quantity that can be repaired.
+GROUPED, DECIMAL_ZERO, DIGITS = r"^[1-9]\d{0,2}(?:,\d{3})+$", r"^\d+\.0+$", r"^\d+$"
+
+
 def repaired_quantity(text: Column) -> Column:
     """'1,200', '800.0' and full-width digits to a positive integer; anything else is null."""
-    folded = F.trim(fold_width(text))
+    folded = strip(fold_width(text))
     plain = (
-        F.when(folded.rlike(r"^[1-9]\d{0,2}(?:,\d{3})+$"), F.regexp_replace(folded, ",", ""))
-        .when(folded.rlike(r"^\d+\.0+$"), F.regexp_extract(folded, r"^(\d+)", 1))
-        .when(folded.rlike(r"^\d+$"), folded)
+        F.when(folded.rlike(GROUPED), F.regexp_replace(folded, ",", ""))
+        .when(folded.rlike(DECIMAL_ZERO), F.regexp_extract(folded, r"^(\d+)", 1))
+        .when(folded.rlike(DIGITS), folded)
     )
     return positive_int(plain)
 
 
 def strict_iso_date(text: Column) -> Column:
     """YYYY-MM-DD only."""
-    day = F.trim(text)
+    day = strip(text)
     return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd"))
 
 
@@ -81,7 +99,7 @@ DATE_SPELLINGS: tuple[tuple[str, str], ...] = (
 
 def repaired_date(text: Column) -> Column:
     """One of the known spellings to a date; an impossible day is null."""
-    day = F.trim(text)
+    day = strip(text)
     parsed = None
     for pattern, layout in DATE_SPELLINGS:
         hit = F.when(day.rlike(pattern), F.try_to_date(day, layout))
@@ -89,7 +107,8 @@ def repaired_date(text: Column) -> Column:
     return parsed
 
 
-def repaired_key(text: Column) -> Column:
-    """Folded, trimmed, upper-case key; null when that changes nothing or leaves nothing."""
-    folded = F.upper(F.trim(fold_width(text)))
-    return F.when((folded != "") & (folded != text), folded)
+def repaired_key(text: Column, folded: Column | None = None) -> Column:
+    """Folded, trimmed, upper-case key; null when that changes nothing or leaves nothing. `folded` is the
+    text after a wider folding."""
+    key = F.upper(strip(fold_width(text if folded is None else folded)))
+    return F.when((key != "") & (key != text), key)

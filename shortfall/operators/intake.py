@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.functions.numbers import (
+    needs_nfkc,
+    nfkc,
     repaired_date,
     repaired_key,
     repaired_quantity,
     strict_iso_date,
     strict_positive_integer,
+    strip,
 )
 
 FIELDS: tuple[str, ...] = ("po_id", "material_pn", "supplier_id", "qty", "eta_date")
@@ -32,6 +35,7 @@ HEADER_ALIASES: dict[str, tuple[str, ...]] = {
 
 
 def plain_header(name: str) -> str:
+    """A header without what it may be written with: white space, underscores and capital letters."""
     return re.sub(r"[\s_]", "", name).casefold()
 
 
@@ -71,7 +75,7 @@ def flag_rows(
     Rows without a number look themselves up under their own reference, so they never meet in one
     task.
     """
-    text = {f: F.trim(F.coalesce(F.col(f), F.lit(""))) for f in FIELDS}
+    text = {f: strip(F.coalesce(F.col(f), F.lit(""))) for f in FIELDS}
     same_file = [file] if file else []
     rows = upload.select(
         "row_ref",
@@ -163,6 +167,22 @@ def counts(flagged: DataFrame) -> DataFrame:
     )
 
 
+FOLDED: tuple[str, ...] = ("po_id", "material_pn", "supplier_id", "qty")
+
+
+def widely_folded(rows: DataFrame) -> DataFrame:
+    """The rows with a folded text beside every field that is repaired after folding.
+
+    Only rows with a character that width folding does not cover go through the general folding in Python;
+    for all others the text itself stands, and width folding follows inside the JVM.
+    """
+    odd = F.lit(False)
+    for f in FOLDED:
+        odd = odd | needs_nfkc(F.col(f))
+    plain = rows.where(~odd).select("*", *[F.col(f).alias(f"{f}_wide") for f in FOLDED])
+    return plain.unionByName(rows.where(odd).select("*", *[nfkc(f).alias(f"{f}_wide") for f in FOLDED]))
+
+
 def repair_candidates(
     flagged: DataFrame, materials: DataFrame, suppliers: DataFrame, open_po: DataFrame
 ) -> DataFrame:
@@ -171,7 +191,7 @@ def repair_candidates(
     A key repair counts only when it resolves: a known material or supplier, or an order number that
     is not in the target yet.
     """
-    rejected = flagged.where(~is_valid())
+    rejected = widely_folded(flagged.where(~is_valid()))
 
     def on_error(field: str, candidate: Column) -> Column:
         return F.when(F.col(f"{field}_error").isNotNull(), candidate)
@@ -179,10 +199,10 @@ def repair_candidates(
     offered = rejected.select(
         "row_ref",
         *FIELDS,
-        on_error("po_id", repaired_key(F.col("po_id"))).alias("po_id_offer"),
-        on_error("material_pn", repaired_key(F.col("material_pn"))).alias("material_pn_offer"),
-        on_error("supplier_id", repaired_key(F.col("supplier_id"))).alias("supplier_id_offer"),
-        on_error("qty", repaired_quantity(F.col("qty")).cast("string")).alias("qty_new"),
+        on_error("po_id", repaired_key(F.col("po_id"), F.col("po_id_wide"))).alias("po_id_offer"),
+        on_error("material_pn", repaired_key(F.col("material_pn"), F.col("material_pn_wide"))).alias("material_pn_offer"),
+        on_error("supplier_id", repaired_key(F.col("supplier_id"), F.col("supplier_id_wide"))).alias("supplier_id_offer"),
+        on_error("qty", repaired_quantity(F.col("qty_wide")).cast("string")).alias("qty_new"),
         on_error("eta_date", repaired_date(F.col("eta_date")).cast("string")).alias("eta_date_new"),
     )
 
@@ -249,7 +269,7 @@ def touched_rows(flagged: DataFrame, candidates: DataFrame) -> DataFrame:
     accepted ones that share an order number with them. No other row's error can change, as errors of
     the other fields depend on the row alone."""
     repaired = repaired_rows(candidates)
-    numbers = repaired.select(F.trim(F.coalesce("po_id", F.lit(""))).alias("po_id_text")).where("po_id_text <> ''")
+    numbers = repaired.select(strip(F.coalesce("po_id", F.lit(""))).alias("po_id_text")).where("po_id_text <> ''")
     accepted = flagged.where(is_valid()).join(numbers.distinct(), "po_id_text", "left_semi")
     return repaired.unionByName(accepted.select("row_ref", *FIELDS))
 

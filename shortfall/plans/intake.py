@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortfall.operators import intake as po
-from shortfall.oracle.derived import FIELDS, INTAKE, NO_ERROR, errors, flags
+from shortfall.oracle.derived import FIELDS, INTAKE, NO_ERROR, errors, flags, strip
 from shortfall.plans.registry import query
 from shortfall.sources import derived, sinks
 from shortfall.sources.workspace import scratch_path
@@ -15,7 +15,7 @@ from shortfall.streaming import intake as streaming
 COUNTS = f"""count(*) AS total_rows, count(*) FILTER (WHERE {NO_ERROR}) AS valid_count,
     sum({" + ".join(f"({f}_error IS NOT NULL)::BIGINT" for f in FIELDS)})::BIGINT AS error_count,
     count(*) FILTER (WHERE NOT ({NO_ERROR})) AS rejected_rows"""
-CELLS = "trim(po_id) AS po_id, trim(material_pn) AS material_pn, trim(supplier_id) AS supplier_id, qty_value AS qty, eta_value AS eta_date"
+CELLS = ", ".join(f"{strip(f)} AS {f}" for f in ("po_id", "material_pn", "supplier_id")) + ", qty_value AS qty, eta_value AS eta_date"
 
 
 def references(p) -> tuple[DataFrame, DataFrame]:
@@ -28,14 +28,19 @@ def flagged(p, rows: DataFrame | None = None, target: DataFrame | None = None) -
     materials, suppliers = references(p)
     return po.flag_rows(
         derived.upload(p) if rows is None else rows, materials, suppliers,
-        p.open_po if target is None else target,
+        order_numbers(p) if target is None else target,
     )
 
 
+def order_numbers(p) -> DataFrame:
+    """Numbers of the open orders, which a check and the one after repair look up several times."""
+    return p.stored(p.open_po.select("po_id"), "order-numbers")
+
+
 def repaired(p) -> tuple[DataFrame, DataFrame]:
     """The stored result of the first check, and the repair candidates."""
     first = p.stored(flagged(p), "flagged")
-    return first, po.repair_candidates(first, *references(p), p.open_po)
+    return first, p.stored(po.repair_candidates(first, *references(p), order_numbers(p)), "candidates")
 
 
 @query("intake_mapped", "SELECT row_ref, po_id, material_pn, supplier_id, qty, eta_date FROM upload", INTAKE)
@@ -97,7 +102,7 @@ def imported(p) -> DataFrame:
     return po.with_batch(po.valid_rows(flagged(p)), batch)
 
 
-IMPORTED = "trim(po_id) AS po_id, trim(material_pn) AS material_pn, trim(supplier_id) AS supplier_id, qty_value AS qty, eta_value AS eta_date, batch_id"
+IMPORTED = f"{CELLS}, batch_id"
 
 
 @query("intake_import", f"SELECT {IMPORTED} FROM imported", INTAKE)
@@ -118,7 +123,7 @@ def intake_rollback(p):
     f"SELECT {COUNTS} FROM confirmed",
     {
         **INTAKE,
-        "grown": f"""SELECT po_id FROM open_po UNION ALL SELECT trim(po_id) FROM flagged
+        "grown": f"""SELECT po_id FROM open_po UNION ALL SELECT {strip("po_id")} FROM flagged
             WHERE {NO_ERROR} AND eta_value <= DATE '1998-12-31'""",
         "confirmed": flags("upload", "grown"),
     },

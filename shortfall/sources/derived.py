@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shortfall.functions.numbers import WIDE_DIGITS
 from shortfall.sources.tables import PlanningTables, compact_day, po_number, zero_padded
 
+RAISED_DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 ALLOWED_SENDERS = ("purchase", "Signup ", "click")
 
 
@@ -32,14 +33,20 @@ def coded_suppliers(p: PlanningTables) -> DataFrame:
 
 
 def upload(p: PlanningTables) -> DataFrame:
-    """Every order line as a row of text cells; one in sixteen keys per kind of defect."""
-    kind = F.col("l_orderkey") % 16
+    """Every order line as a row of text cells; one in sixteen keys per kind of defect, and some of each kind
+    with white space around a cell or with characters that only general folding knows."""
+    kind, odd = F.col("l_orderkey") % 16, F.expr("l_orderkey div 16") % 8
     quantity = F.col("quantity").cast("string")
     day = F.col("date")
     number = po_number(["l_orderkey", "l_linenumber", "material_pn", "supplier_id", "date"])
     short = F.concat_ws("-", F.lit("PO"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     code = material_code(F.col("material_pn"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+
+    def spaced(cell: Column, number: int, before: str, after: str) -> Column:
+        return F.when(odd == number, F.concat(F.lit(before), cell, F.lit(after))).otherwise(cell)
+
+    lower_code = F.when(odd == 4, F.translate(code, "0123456789", RAISED_DIGITS)).otherwise(F.lower(code))
     return p.lines.select(
         F.concat_ws(
             "-",
@@ -48,21 +55,25 @@ def upload(p: PlanningTables) -> DataFrame:
         ).alias("row_ref"),
         F.when(kind == 9, "").when(kind == 13, short).when(kind == 14, F.lower(short))
         .otherwise(number).alias("po_id"),
-        F.when(kind == 4, F.lower(code)).when(kind == 6, F.concat(F.lit("X"), code))
-        .otherwise(code).alias("material_pn"),
-        F.when(kind == 8, "SUP-99999").when(kind == 15, F.lower(supplier_code(F.col("supplier_id"))))
-        .otherwise(supplier_code(F.col("supplier_id"))).alias("supplier_id"),
-        F.when(kind == 2, F.concat(F.lit("1,"), F.lpad(quantity, 3, "0")))
+        spaced(
+            F.when(kind == 4, lower_code).when(kind == 6, F.concat(F.lit("X"), code)).otherwise(code), 0, "", "\t"
+        ).alias("material_pn"),
+        spaced(
+            F.when(kind == 8, "SUP-99999").when(kind == 15, F.lower(supplier_code(F.col("supplier_id"))))
+            .otherwise(supplier_code(F.col("supplier_id"))), 1, "\u3000", "",
+        ).alias("supplier_id"),
+        spaced(F.when(kind == 2, F.concat(F.lit("1,"), F.lpad(quantity, 3, "0")))
+        .when((kind == 3) & (odd == 5), F.translate(quantity, "0123456789", RAISED_DIGITS))
         .when(kind == 3, F.translate(quantity, "0123456789", WIDE_DIGITS))
         .when(kind == 5, F.concat(F.lit("-"), quantity))
         .when(kind == 11, F.concat(quantity, F.lit(".0")))
-        .otherwise(quantity).alias("qty"),
-        F.when(kind == 0, F.date_format(day, "yyyy/M/d"))
+        .otherwise(quantity), 2, "\u00a0", "\u00a0").alias("qty"),
+        spaced(F.when(kind == 0, F.date_format(day, "yyyy/M/d"))
         .when(kind == 1, F.date_format(day, "yyyy年M月d日"))
         .when(kind == 7, "2016/2/30")
         .when(kind == 10, compact_day(day))
         .when(kind == 12, F.date_format(day, "yyyy.M.d"))
-        .otherwise(day.cast("string")).alias("eta_date"),
+        .otherwise(day.cast("string")), 3, "\u2003", "").alias("eta_date"),
     )
 
 

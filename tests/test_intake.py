@@ -175,3 +175,37 @@ def test_undo_restores_the_target(spark, known):
     after = before.unionByName(batch)
     assert rows(po.undo_batch(after, batch, "b1")) == rows(before)
     assert po.undo_batch(after, batch, "unknown").count() == 3
+
+
+def test_white_space_of_any_kind_is_no_part_of_a_cell(spark, known):
+    data = [good(i, **{f: b + good(i)[n] + a}) for i, (n, f, b, a) in enumerate([
+        (1, "material_pn", "", "\t"), (2, "supplier_id", "\u3000", ""), (3, "qty", "\u00a0", "\u2003"),
+        (4, "eta_date", "\n", "\x1f"), (0, "po_id", "\u2028", "\r\n"),
+    ])]
+    flagged = po.flag_rows(upload(spark, data), *known)
+    assert tuple(po.counts(flagged).first()) == (5, 5, 0, 0)
+    assert [tuple(r)[1:4] for r in po.valid_rows(flagged).orderBy("row_ref").collect()] == [good(i)[:3] for i in range(5)]
+    blank = po.flag_rows(upload(spark, [good(0, po_id="\u3000\t")]), *known)
+    assert errors(blank) == [(2, "po_id", "required")]
+    assert numbers.WHITE_SPACE.strip() == "" and len(numbers.WHITE_SPACE) == sum(map(str.isspace, map(chr, range(0x110000))))
+
+
+def test_general_folding_repairs_keys_and_quantities(spark):
+    materials = spark.createDataFrame([("FI-00001",), ("カ-2",), ("PN-00003",)], "material_pn string")
+    suppliers = spark.createDataFrame([("SUP-001",)], "supplier_id string")
+    target = spark.createDataFrame([], "po_id string")
+    data = [
+        ("ORD-①", "ﬁ-00001", "SUP-001", "①②", "2031-01-01"), ("ORD-2", "ｶ-²", "ＳＵＰ－００１", "５", "2031-01-01"),
+        ("ORD-3", "pn-00003", "sup-001", "7.00", "2031-01-01"), ("ORD-4", "PN-00003é", "SUP-001", "½", "2031-01-01"),
+    ]
+    flagged = po.flag_rows(upload(spark, data), materials, suppliers, target)
+    found = po.repair_diff(po.repair_candidates(flagged, materials, suppliers, target))
+    assert sorted((int(r.row_ref), r.field, r.new_value) for r in found.collect()) == [
+        (2, "material_pn", "FI-00001"), (2, "qty", "12"), (3, "material_pn", "カ-2"), (3, "supplier_id", "SUP-001"),
+        (4, "material_pn", "PN-00003"), (4, "qty", "7"), (4, "supplier_id", "SUP-001"),
+    ]
+
+
+def test_only_odd_rows_are_folded_in_python(spark):
+    frame = spark.createDataFrame([("abc",), ("ａｂｃ１",), ("ﬁ",), (None,)], "t string")
+    assert [r[0] for r in frame.select(numbers.needs_nfkc(F.col("t"))).collect()] == [False, False, True, False]
