@@ -10,11 +10,10 @@ are chosen by content: each text goes to `BANDS` shards, each named by its least
 member never. A shard has a BK-tree, in which a search follows only edges within the reach of its own
 distance; fuller shards are cut into several trees, and every tree is sent to every part of its own shard.
 
-A cell (tree, part) first returns its nearest links as `FORESTS` forests without a common link, not all
-pairs. Links too far for the fingerprint to decide are checked on the exact sets of shingles, so each link
-has the similarity asked for. Cells that have held back pairs are asked again for pairs of groups that are
-still apart, nearest first and more in each round, until each pair of a shard within reach is checked or
-inside one group.
+A cell (tree, part) holds the shingle sets of its members, so each pair within reach that is not joined yet
+is checked there on the exact sets, nearest first, and only a forest of links with the similarity leaves the
+cell: fewer links than members, whatever the number of pairs. Sets travel once for each cell of a text that
+has company; texts of few shingles, whose fingerprints scatter, are compared without regard to distance.
 
 Defined results: null, empty and blank texts are equal; texts of fewer words than a shingle are one
 shingle; of a group the row with the least doc_id, then the least hash of the text stays; rows without a
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortfall.llm.common import by_value, slices, stored, text_or_empty
+from shortfall.llm.common import by_value, light_slices, stored, text_or_empty
 from shortfall.llm.components import components
 from shortfall.llm.simhash import joined
 
@@ -47,10 +46,10 @@ BANDS = 8
 PER_BAND = 2
 TREE_NODES = 4096
 SEARCH_ROWS = 128
+CELL_BYTES = 32 << 20  # of shingle sets; a shard with more is cut, as one with more members than trees hold
 HELD_PAIRS = 1 << 20
-FORESTS = 3
-# Pairs of a cell in the first round after the forests; each further round takes ROUND_GROWTH times as many.
-ROUND_PAIRS, ROUND_GROWTH, MOST_PAIRS = 1 << 12, 4, 1 << 18
+CHECKED_PAIRS = 1 << 14  # pairs that are checked before joined ones are left out again
+FEW_SHINGLES = 16  # up to here the distance does not count
 MANY_ROWS = 256
 LEADERS = 64
 CHUNK = 1 << 16
@@ -67,11 +66,6 @@ def reach_of(similarity: float) -> int:
     return distance_at(similarity, 4.0)
 
 
-def sure_of(similarity: float) -> int:
-    """Up to this distance pairs have at least the similarity, but for one in several thousand."""
-    return distance_at(similarity, -3.5)
-
-
 # -- fingerprints and shard names --------------------------------------------------------
 
 
@@ -125,13 +119,13 @@ def shard_names(hashes: np.ndarray, multipliers: np.ndarray, bands: int) -> list
 
 
 def prints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, text_key, print, shards of every row."""
-    schema = "doc_id bigint, text_key bigint, print binary, shards array<bigint>"
+    """doc_id, text_key, print, shards and number of shingles of every row."""
+    schema = "doc_id bigint, text_key bigint, print binary, shards array<bigint>, shingles bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_word = constants(BITS // 64, seed)
         by_order = constants(BANDS * PER_BAND, seed + 1)
-        for part in slices(batches):
+        for part in light_slices(batches, "text"):
             hashes = [shingle_hashes(t, width, seed) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -139,8 +133,9 @@ def prints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame
                     part.column("text_key"),
                     pa.array([wide_print(h, by_word) for h in hashes], pa.binary()),
                     pa.array([shard_names(h, by_order, BANDS) for h in hashes], pa.list_(pa.int64())),
+                    pa.array([len(h) for h in hashes], pa.int64()),
                 ],
-                ["doc_id", "text_key", "print", "shards"],
+                ["doc_id", "text_key", "print", "shards", "shingles"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key("text").alias("text_key"), "text").mapInArrow(run, schema)
@@ -223,257 +218,198 @@ def forest(count: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndar
     return order[np.concatenate(chosen)] if chosen else order[:0]
 
 
-def leaders(values: np.ndarray, sure: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Cluster of each fingerprint by sure links to a few of them, and these links. One pass for each
-    leader, always outside the largest cluster, so that a large group of copies needs no pairs."""
-    label, links = np.arange(len(values)), []
-    for turn in range(LEADERS):
-        outside = np.flatnonzero(label != np.bincount(label).argmax())
-        if not len(outside):
-            break
-        leader = outside[turn * 7919 % len(outside)]
-        distance = distances(values, values[leader][None, :])
-        near = np.flatnonzero((distance <= sure) & (label != label[leader]))
-        near = near[np.unique(label[near], return_index=True)[1]]  # one link to each cluster
-        ends = np.full(len(near), leader)
-        links.append((ends, near, distance[near]))
-        label = joined(len(values), [(label[ends], label[near])])[label]
-    return label, links
-
-
-def cell_links(
-    cell: pd.DataFrame, reach: int, sure: int, words: int = BITS // 64
-) -> tuple[list[bytes], list[bytes], list[int], bool]:
-    """The nearest links between what one tree and one part of a shard have within reach, and whether
-    pairs were held back.
-
-    In a cell with many rows those of the largest cluster of sure links are joined already; the tree
-    is of the others, and all rows ask it. Pairs that sure links have joined are not kept.
+class Cell:
+    """Distinct fingerprints of a cell with their shingle sets, and the clusters found so far."""
+
+    def __init__(self, prints: list[bytes], sets: list[bytes], similarity: float):
+        self.values = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+        hashes = [np.frombuffer(x, np.uint64) for x in sets]
+        self.sizes = np.array([len(h) for h in hashes])
+        distinct, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.members = np.split(numbers.ravel(), np.cumsum(self.sizes)[:-1])  # a set as numbers of the cell
+        self.marked = np.zeros(len(distinct), np.int64)
+        self.similarity = similarity
+        self.label = np.arange(len(prints))
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def alike(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have the similarity to one."""
+        low, high = np.minimum(self.sizes[one], self.sizes[others]), np.maximum(self.sizes[one], self.sizes[others])
+        found = (low >= self.similarity * high) & (low > 0)
+        asked = others[found]
+        if len(asked):
+            starts = np.cumsum(self.sizes[asked]) - self.sizes[asked]
+            self.marked[self.members[one]] = 1
+            both = np.add.reduceat(self.marked[np.concatenate([self.members[i] for i in asked])], starts)
+            self.marked[self.members[one]] = 0
+            found[found] = both >= self.similarity * (self.sizes[one] + self.sizes[asked] - both)
+        return found
+
+    def join(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        """Joins clusters by links, of which a forest is kept."""
+        took = forest(len(self.label), self.label[a], self.label[b], far)
+        if len(took):
+            self.links.append((a[took], b[took]))
+            self.label = joined(len(self.label), [(self.label[a[took]], self.label[b[took]])])[self.label]
+
+    def check(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        """Checks pairs, nearest first, and joins by those that have the similarity."""
+        order = np.lexsort((b, a, far))
+        for start in range(0, len(order), CHECKED_PAIRS):
+            part = order[start : start + CHECKED_PAIRS]
+            part = part[self.label[a[part]] != self.label[b[part]]]
+            part = part[np.argsort(a[part], kind="stable")]
+            ones, firsts = np.unique(a[part], return_index=True)
+            good = [run[self.alike(one, b[run])] for one, run in zip(ones, np.split(part, firsts[1:]), strict=True)] if len(part) else []
+            if good:
+                took = np.concatenate(good)
+                self.join(a[took], b[took], far[took])
+
+    def follow_leaders(self, reach: int) -> None:
+        """Clusters around a few fingerprints. One pass for each leader, always outside the largest cluster, so
+        that a large group of copies needs no pairs."""
+        for turn in range(LEADERS):
+            outside = np.flatnonzero(self.label != np.bincount(self.label).argmax())
+            if not len(outside):
+                break
+            leader = outside[turn * 7919 % len(outside)]
+            distance = distances(self.values, self.values[leader][None, :])
+            near = np.flatnonzero((distance <= reach) & (self.label != self.label[leader]))
+            near = near[self.alike(leader, near)]
+            self.join(np.full(len(near), leader), near, distance[near])
+
+    def compare_short(self) -> None:
+        """Pairs of texts of few shingles."""
+        short = np.flatnonzero(self.sizes <= FEW_SHINGLES)
+        for at, one in enumerate(short[:-1]):
+            others = short[at + 1 :]
+            others = others[self.label[others] != self.label[one]]
+            others = others[self.alike(one, others)]
+            if len(others):
+                self.join(np.full(len(others), one), others, np.zeros(len(others), np.int64))
+
+
+def cell_links(rows: pd.DataFrame, reach: int, similarity: float) -> tuple[list[bytes], list[bytes]]:
+    """A forest of the links between what one tree and one part of a shard hold.
+
+    In a cell with many rows those of the largest cluster are joined already; the tree is of the others, and
+    all rows ask it.
     """
-    values = np.frombuffer(b"".join(cell["print"]), np.uint64).reshape(-1, words)
-    nodes, askers = np.flatnonzero(cell["in_tree"].to_numpy(bool)), np.flatnonzero(cell["asks"].to_numpy(bool))
-    if not len(nodes) or not len(askers):
-        return [], [], [], False
-    label = np.arange(len(values))
-    fixed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(label[:0],) * 3]
-    if len(values) >= MANY_ROWS:
-        label, links = leaders(values, sure)
-        fixed += links
-        nodes, askers = np.flatnonzero(label != np.bincount(label).argmax()), np.arange(len(values))
-    held, waiting, back = 0, [(label[:0],) * 3], False
-
-    def thinned() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        nonlocal back
-        x, y, z = (np.concatenate(c) for c in zip(*waiting, strict=True))
-        once = np.unique(x * len(values) + y, return_index=True)[1]  # found from both ends
-        once = once[label[x[once]] != label[y[once]]]
-        x, y, z = x[once], y[once], z[once]
-        kept, rest = [], np.arange(len(x))
-        for _ in range(FORESTS):
-            took = forest(len(values), x[rest], y[rest], z[rest])
-            kept.append(rest[took])
-            rest = np.delete(rest, took)
-        keep = np.concatenate(kept)
-        back |= len(rest) > 0
-        return [(x[keep], y[keep], z[keep])]
-
-    for query, node, distance in Tree(values[nodes]).search(values[askers], reach) if len(nodes) else ():
-        x, y = askers[query], nodes[node]
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        apart = label[x] != label[y]
-        x, y, distance = x[apart], y[apart], distance[apart]
-        close = np.flatnonzero(distance <= sure)
-        if len(close):
-            took = close[forest(len(values), label[x[close]], label[y[close]], distance[close])]
-            fixed.append((x[took], y[took], distance[took]))
-            label = joined(len(values), [(label[x[took]], label[y[took]])])[label]
-            apart = label[x] != label[y]
-            x, y, distance = x[apart], y[apart], distance[apart]
-        waiting.append((x, y, distance))
-        held += len(x)
-        if held > HELD_PAIRS:  # forests at a time, so that pairs are not kept
-            waiting, held = thinned(), 0
-    a, b, far = (np.concatenate(c) for c in zip(*fixed, *thinned(), strict=True))
-    names = cell["print"].tolist()
-    return [names[i] for i in a], [names[i] for i in b], far.tolist(), back
-
-
-def next_links(
-    cell: pd.DataFrame, reach: int, done: int, limit: int, words: int = BITS // 64
-) -> tuple[list[bytes], list[bytes], list[int], int]:
-    """Links beyond the distance `done` between rows of different roots, whole distances nearest first until
-    there are `limit`, and the distance up to which they are complete."""
-    values = np.frombuffer(b"".join(cell["print"]), np.uint64).reshape(-1, words)
-    label = pd.factorize(cell["root"])[0]
-    nodes, askers = np.flatnonzero(cell["in_tree"].to_numpy(bool)), np.flatnonzero(cell["asks"].to_numpy(bool))
-    if len(values) >= MANY_ROWS:
-        nodes, askers = np.flatnonzero(label != np.bincount(label).argmax()), np.arange(len(values))
-    upto, held, waiting = reach, 0, [(label[:0],) * 3]
-
-    def nearest() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        nonlocal upto
-        x, y, z = (np.concatenate(c) for c in zip(*waiting, strict=True))
-        once = np.unique(x * len(values) + y, return_index=True)[1]  # found from both ends
-        if len(once) > limit:
-            upto = min(upto, int(np.partition(z[once], limit - 1)[limit - 1]))
-            once = once[z[once] <= upto]
-        return [(x[once], y[once], z[once])]
-
-    for query, node, distance in Tree(values[nodes]).search(values[askers], reach) if len(nodes) else ():
-        x, y = askers[query], nodes[node]
-        asked = (distance > done) & (distance <= upto) & (label[x] != label[y])
-        x, y, distance = x[asked], y[asked], distance[asked]
-        waiting.append((np.minimum(x, y), np.maximum(x, y), distance))
-        held += len(x)
-        if held > HELD_PAIRS:
-            waiting, held = nearest(), 0
-    [(a, b, far)] = nearest()
-    names = cell["print"].tolist()
-    return [names[i] for i in a], [names[i] for i in b], far.tolist(), upto
+    rows = rows.drop_duplicates("print")
+    if len(rows) < 2:
+        return [], []
+    cell = Cell(rows["print"].tolist(), rows["hashes"].tolist(), similarity)
+    nodes, askers = np.flatnonzero(rows["in_tree"].to_numpy(bool)), np.flatnonzero(rows["asks"].to_numpy(bool))
+    if len(rows) >= MANY_ROWS:
+        cell.follow_leaders(reach)
+        nodes, askers = np.flatnonzero(cell.label != np.bincount(cell.label).argmax()), np.arange(len(rows))
+    cell.compare_short()
+    held, waiting = 0, []
+    if len(nodes) and len(askers):
+        for query, node, distance in Tree(cell.values[nodes]).search(cell.values[askers], reach):
+            x, y = askers[query], nodes[node]
+            apart = cell.label[x] != cell.label[y]
+            waiting.append((np.minimum(x, y)[apart], np.maximum(x, y)[apart], distance[apart]))
+            held += len(waiting[-1][0])
+            if held > HELD_PAIRS:
+                cell.check(*map(np.concatenate, zip(*waiting, strict=True)))
+                held, waiting = 0, []
+    if waiting:
+        a, b, far = map(np.concatenate, zip(*waiting, strict=True))
+        once = np.unique(a * len(rows) + b, return_index=True)[1]  # found from both ends
+        cell.check(a[once], b[once], far[once])
+    names = rows["print"].tolist()
+    return [names[i] for a, _ in cell.links for i in a], [names[i] for _, b in cell.links for i in b]
 
 
 # -- links and groups --------------------------------------------------------------------
 
 
-FOUND = "shard bigint, tree int, part int, a binary, b binary, far bigint"
-
-
 def dealt_cells(rows: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """pack, shard, tree, part, print, in_tree, asks: the cells in which distinct prints of a shard meet."""
+    """print, cells (pack, shard, tree, part, in_tree, asks): where distinct prints of a shard meet."""
     members = stored(
-        rows.select("print", F.explode("shards").alias("shard")).distinct().withColumn("node", F.xxhash64("print")),
+        rows.select("print", "shingles", F.explode("shards").alias("shard"))
+        .groupBy("shard", "print")
+        .agg(F.max("shingles").alias("shingles"))
+        .withColumn("node", F.xxhash64("print")),
         "near-members",
     )
     # Shards with the same members are one: of those with equal counts and sums, the least name stays.
     mark = F.sum(F.xxhash64("node").cast("decimal(38, 0)")).alias("mark")
+    size = F.sum(8 * F.col("shingles") + 64)
     full = (
         members.groupBy("shard")
-        .agg(F.count(F.lit(1)).alias("n"), mark, F.min("node").alias("least"))
+        .agg(F.count(F.lit(1)).alias("n"), mark, F.min("node").alias("least"), size.alias("bytes"))
         .where("n > 1")
-        .groupBy("n", "mark", "least")
+        .groupBy("n", "mark", "least", "bytes")
         .agg(F.min("shard").alias("shard"))
-        .select("shard", F.ceil(F.col("n") / (2 * tree_nodes)).cast("int").alias("parts"))
+        .select(
+            "shard", F.ceil(F.greatest(F.col("n") / (2 * tree_nodes), F.col("bytes") / CELL_BYTES)).cast("int").alias("parts")
+        )
     )
     full = stored(full, "near-shards")
     searched = stored(members.join(full, "shard"), "near-searched")
-    packs = max(1, -(-searched.count() // tree_nodes))
+    count, total = searched.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    packs = max(1, -(-count // tree_nodes), -(-total // CELL_BYTES))
     own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda k: F.struct(F.least(k, F.col("own")).alias("tree"), F.greatest(k, F.col("own")).alias("part")),
     )
+    # Small shards share a task; a cell of a full shard is dealt by itself.
+    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("shard"), F.lit(packs))).otherwise(
+        F.xxhash64("shard", "cell.tree", "cell.part")
+    )
     return (
         searched.withColumn("own", own)
         .select("shard", "print", "own", "parts", F.explode(cells).alias("cell"))
         .select(
-            # Small shards share a task; a cell of a full shard is dealt by itself.
-            F.when(F.col("parts") == 1, F.pmod(F.xxhash64("shard"), F.lit(packs)))
-            .otherwise(F.xxhash64("shard", "cell.tree", "cell.part"))
-            .alias("pack"),
-            "shard",
-            "cell.tree",
-            "cell.part",
             "print",
-            (F.col("own") == F.col("cell.tree")).alias("in_tree"),
-            (F.col("own") == F.col("cell.part")).alias("asks"),
+            F.struct(
+                pack.alias("pack"),
+                "shard",
+                "cell.tree",
+                "cell.part",
+                (F.col("own") == F.col("cell.tree")).alias("in_tree"),
+                (F.col("own") == F.col("cell.part")).alias("asks"),
+            ).alias("cell"),
         )
+        .groupBy("print")
+        .agg(F.collect_list("cell").alias("cells"))
     )
 
 
-def cell_rows(cell: tuple, a: list, b: list, far: list, more: int | None) -> pd.DataFrame:
-    """The links of a cell; a row without ends says that more lie beyond a distance."""
-    if more is not None:
-        a, b, far = [*a, None], [*b, None], [*far, more]
-    shard, tree, part = cell
-    return pd.DataFrame(
-        {"shard": shard, "tree": tree, "part": part, "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "far": pd.Series(far, dtype="int64")}
-    ).astype({"shard": "int64", "tree": "int32", "part": "int32"})
+def with_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
+    """pack, shard, tree, part, in_tree, asks, print, hashes: the wanted texts' shingles in their cells.
 
+    `wanted` names one row for each print by doc_id and text_key; Spark picks the join from its size.
+    """
+    kept = "print binary, cells " + wanted.schema["cells"].dataType.simpleString()
 
-def first_links(cells: DataFrame, reach: int, sure: int) -> DataFrame:
-    """Sure links and forests of the others, of all cells."""
-
-    def links(pack: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for name, cell in pack.groupby(["shard", "tree", "part"], sort=False):
-            a, b, far, back = cell_links(cell, reach, sure)
-            found.append(cell_rows(name, a, b, far, sure if back else None))
-        return pd.concat(found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in light_slices(batches, "text"):
+            sets = [shingle_hashes(t, width, seed).tobytes() for t in part.column("text").to_pylist()]
+            columns = [part.column("print"), part.column("cells"), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["print", "cells", "hashes"])
 
-    return cells.groupBy("pack").applyInPandas(links, FOUND)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key("text").alias("text_key"), "text")
+    found = texts.join(wanted, ["doc_id", "text_key"]).select("print", "cells", "text")
+    return (
+        found.mapInArrow(run, f"{kept}, hashes binary")
+        .select("print", "hashes", F.explode("cells").alias("cell"))
+        .select("cell.*", "print", "hashes")
+    )
 
 
-def more_links(cells: DataFrame, reach: int, limit: int) -> DataFrame:
-    """The next links of cells (with root of each print, and done) that have held back pairs."""
+def near_links(cells: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """a, b: links of all cells, each with the similarity."""
 
     def links(pack: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for name, cell in pack.groupby(["shard", "tree", "part"], sort=False):
-            a, b, far, upto = next_links(cell, reach, int(cell["done"].iloc[0]), limit)
-            found.append(cell_rows(name, a, b, far, upto if upto < reach else None))
-        return pd.concat(found)
+        found = [cell_links(cell, reach, similarity) for _, cell in pack.groupby(["shard", "tree", "part"], sort=False)]
+        return pd.DataFrame({side: pd.Series([x for f in found for x in f[k]], dtype=object) for k, side in enumerate("ab")})
 
-    return cells.groupBy("pack").applyInPandas(links, FOUND)
-
-
-def links_of(found: DataFrame) -> DataFrame:
-    return found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far").distinct()
-
-
-def near_roots(
-    rows: DataFrame, docs: DataFrame, known: DataFrame, width: int, similarity: float, seed: int, tree_nodes: int
-) -> DataFrame:
-    """node, root: the least print of the group of each print that has links."""
-    reach, sure = reach_of(similarity), sure_of(similarity)
-    cells = dealt_cells(rows, tree_nodes)
-    found = stored(first_links(cells, reach, sure), "near-found")
-    roots = components(checked(links_of(found), docs, known, width, similarity, seed), "a", "b")
-    limit = ROUND_PAIRS
-    while not (back := found.where("a is null").select("shard", "tree", "part", F.col("far").alias("done"))).isEmpty():
-        rooted = (
-            cells.join(back, ["shard", "tree", "part"])
-            .join(roots.withColumnRenamed("node", "print"), "print", "left")
-            .withColumn("root", F.coalesce("root", "print"))
-        )
-        found = stored(more_links(rooted, reach, limit), "near-found")
-        links = links_of(found)
-        if not links.isEmpty():
-            passed = checked(links, docs, known, width, similarity, seed)
-            joins = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(passed)
-            roots = components(joins, "a", "b")
-        limit = min(MOST_PAIRS, limit * ROUND_GROWTH)
-    return roots
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
-    """print, hashes: the shingles of the rows (doc_id, text_key) that are wanted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [shingle_hashes(t, width, seed).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("print"), pa.array(sets, pa.list_(pa.int64()))], ["print", "hashes"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key("text").alias("text_key"), "text")
-    # A row that is repeated in the table is read once.
-    once = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "text_key"]).select("print", "text")
-    return once.mapInArrow(run, "print binary, hashes array<bigint>").groupBy("print").agg(F.first("hashes").alias("hashes"))
-
-
-def checked(links: DataFrame, docs: DataFrame, known: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """a, b: the links that have the similarity. Those that the distance leaves open are checked exactly."""
-    sure = F.col("far") <= sure_of(similarity)
-    open_links = links.where(~sure).select("a", "b")
-    ends = open_links.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    wanted = stored(ends.join(known, "print").select("print", "first.doc_id", "first.text_key"), "near-open")
-    sets = stored(shingle_sets(docs, wanted, width, seed), "near-sets")
-    both = F.size(F.array_intersect("x", "y"))
-    passed = (
-        open_links.join(sets.select(F.col("print").alias("a"), F.col("hashes").alias("x")), "a")
-        .join(sets.select(F.col("print").alias("b"), F.col("hashes").alias("y")), "b")
-        .where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
-    )
-    return links.where(sure).select("a", "b").unionByName(passed)
+    found = cells.groupBy("pack").applyInPandas(links, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def dropped_rows(
@@ -483,7 +419,12 @@ def dropped_rows(
     rows = stored(prints(docs.select("doc_id", "text").where("doc_id is not null"), width, seed), "near-prints")
     first = F.struct("doc_id", "text_key")
     known = stored(rows.groupBy("print").agg(F.min(first).alias("first")), "near-known")
-    roots = near_roots(rows, docs, known, width, similarity, seed, tree_nodes)
+    wanted = stored(
+        dealt_cells(rows, tree_nodes).join(known, "print").select("first.doc_id", "first.text_key", "print", "cells"),
+        "near-wanted",
+    )
+    cells = with_sets(docs, wanted, width, seed)
+    roots = components(near_links(cells, reach_of(similarity), similarity), "a", "b")
     rooted = known.join(roots, F.col("print") == F.col("node"), "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")
     )
@@ -500,9 +441,10 @@ def dropped_rows(
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """One row of each group of near texts, all columns."""
-    # Sides are shuffled at any size, so that what a stage needs grows evenly.
-    dropped = stored(dropped_rows(docs, **settings), "near-dropped").select(
-        F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")
+    dropped = stored(dropped_rows(docs, **settings), "near-dropped")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        text_key("text").alias("text_key"),
     )
-    gone = (F.col("doc_id") == F.col("gone_id")) & (text_key("text") == F.col("gone_key"))
-    return docs.join(dropped.hint("shuffle_hash"), gone, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(dropped, ["doc_id", "text_key"], "left_anti").select("whole.*")

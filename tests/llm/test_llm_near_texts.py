@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SMALL, rows
 from llm_cases import Sets, documents, empty, odd_documents, with_clashing, words
@@ -100,7 +101,8 @@ def two_groups(seed, size=6):
 
 @pytest.mark.parametrize("pairs", [1, 4096])
 def test_one_link_among_nearer_pairs_that_fail(spark, monkeypatch, pairs):
-    monkeypatch.setattr(near_texts, "ROUND_PAIRS", pairs)
+    monkeypatch.setattr(near_texts, "HELD_PAIRS", pairs)
+    monkeypatch.setattr(near_texts, "CHECKED_PAIRS", pairs)
     docs = documents(spark, two_groups(16))
     assert set(plain_groups(docs).values()) == {0}
     assert kept_ids(near_texts.keep_one(docs)) == [0]
@@ -148,3 +150,75 @@ def test_forest_is_least():
         joined.join(a[i], b[i])
     assert far[got].sum() == weight
     assert all((sets.find(i) == sets.find(j)) == (joined.find(i) == joined.find(j)) for i in range(30) for j in range(i))
+
+
+def cell_frame(texts, prefix=b""):
+    by_word = near_texts.constants(near_texts.BITS // 64, near_texts.SEED)
+    sets = [near_texts.shingle_hashes(t, 5, near_texts.SEED) for t in texts]
+    return pd.DataFrame({
+        "print": [near_texts.wide_print(h, by_word) for h in sets], "hashes": [h.tobytes() for h in sets],
+        "in_tree": True, "asks": True,
+    })
+
+
+def linked_sets(frame, links):
+    names = frame["print"].tolist()
+    found = Sets(range(len(names)))
+    for a, b in zip(*links, strict=True):
+        assert found.find(names.index(a)) != found.find(names.index(b))  # a forest
+        found.join(names.index(a), names.index(b))
+    return [found.find(i) for i in range(len(names))]
+
+
+@pytest.mark.parametrize("length", [8, 9])
+def test_short_pairs_at_the_least_similarity_are_linked(length):
+    """4 of 5 shingles; the fingerprints of one pair in twenty lie beyond the reach."""
+    pick = random.Random(length)
+    lost = 0
+    for _ in range(750):
+        base = [f"w{pick.randrange(9**6)}" for _ in range(length)]
+        pair = [" ".join(base), " ".join([*base, "more"])] if length == 8 else [" ".join(base), " ".join(base[:-1])]
+        a, b = (shingles(t) for t in pair)
+        assert similarity(a, b) == 0.8
+        frame = cell_frame(pair)
+        lost += len(set(linked_sets(frame, near_texts.cell_links(frame, near_texts.reach_of(0.8), 0.8)))) > 1
+    assert lost == 0
+
+
+def test_a_large_group_under_the_least_similarity_stays_apart():
+    """Templates with own words: all pairs lie a little under 0.8, one pair above."""
+    pick = random.Random(1)
+    shared = [f"w{pick.randrange(9**6)}" for _ in range(160)]
+    texts = [" ".join([*shared, *(f"o{i}x{k}" for k in range(21))]) for i in range(400)]
+    texts.append(texts[0] + " again")
+    sets = [shingles(t) for t in texts]
+    assert 0.7 < similarity(sets[0], sets[1]) < 0.8 < similarity(sets[0], sets[-1])
+    frame = cell_frame(texts)
+    links = near_texts.cell_links(frame, near_texts.reach_of(0.8), 0.8)
+    assert linked_sets(frame, links) == [*range(400), 0] and len(links[0]) == 1
+
+
+def test_cell_equals_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_texts, "MANY_ROWS", 20)
+    monkeypatch.setattr(near_texts, "LEADERS", 3)
+    texts = [*dict.fromkeys([*copies(seed=3, count=25, length=60), "", "a", "a b c d e f", "a b c d e f g h i", "a b c d e f g h"])]
+    frame = cell_frame(texts)
+    frame = frame[~frame["print"].duplicated()].reset_index(drop=True)
+    sets = [shingles(t) for t in texts]
+    expected = Sets(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and similarity(x, y) >= 0.8:
+                expected.join(i, j)
+    assert len(frame) == len(texts)
+    found = linked_sets(frame, near_texts.cell_links(frame, near_texts.reach_of(0.8), 0.8))
+    assert found == [expected.find(i) for i in range(len(texts))]
+
+
+def test_columns_named_like_the_keys(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, copies(seed=2, count=5))
+    wide = docs.select("*", *(F.lit(f"extra {c}").alias(c) for c in ("gone_id", "gone_key", "text_key", "whole", "print", "cells", "shingles")))
+    kept = near_texts.keep_one(wide)
+    assert kept.columns == wide.columns and kept_ids(kept) == kept_ids(near_texts.keep_one(docs))
