@@ -1,9 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Two texts are equal when they are identical after all blanks are deleted. A row is settled as soon as
-nothing shares its length, or its length and prefix hash; the full hash is taken of the rest. What the
-first steps leave open is handed to the second scan as hash buckets, at most `BUCKETS` of them, so it
-is broadcast whatever the size of the corpus and no text is shuffled.
+Two texts are equal when they are identical after all blanks are deleted. Lengths are counted first; the
+prefix hash is taken only of rows that share their length, the full hash only of rows that share length and
+prefix hash too. What the first steps leave open is handed to the last scan as a set of `BUCKETS` bits in
+words of 64, at most a million rows, so it is broadcast whatever the size of the corpus and no text is
+shuffled for it. With so many shared pairs that most bits are set, more rows than need be are hashed.
 
 Defined results: null, empty and blank texts are equal. Of equal texts the row with the most code
 points stays, then the smallest doc_id (null last); of rows that agree in both, exactly one. An empty
@@ -18,49 +19,65 @@ from pyspark.sql import functions as F
 from shortfall.llm.common import SPACE, stored, text_or_empty
 
 PREFIX = 64
-BUCKETS = 1 << 20
+WORD_BITS = 6
+BUCKETS = 1 << 26  # bits of the open pairs; a 64th of it in rows
 
 
 def squeezed(text: str) -> Column:
     return F.regexp_replace(text_or_empty(text), f"[{SPACE}]++", "")
 
 
-def _bucket(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+def with_lengths(docs: DataFrame, text: str) -> DataFrame:
+    """Adds `squeezed` and its `length`."""
+    return docs.withColumn("squeezed", squeezed(text)).withColumn("length", F.length("squeezed"))
 
 
-def open_buckets(docs: DataFrame, text: str) -> DataFrame:
-    """Hash buckets of the (length, prefix hash) pairs that several rows share; at most BUCKETS rows."""
-    short = docs.select(squeezed(text).alias("s")).select(
-        F.length("s").alias("length"), F.xxhash64(F.substring("s", 1, PREFIX)).alias("prefix")
-    )
-    # Counts of pairs; a length is shared when its pairs add up to several rows.
-    pairs = stored(short.groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")), "dedup-pairs")
-    shared = pairs.groupBy("length").agg(F.sum("n").alias("rows")).where("rows > 1").select("length")
+def shared_lengths(docs: DataFrame, text: str) -> DataFrame:
+    """Lengths that several rows have, as `shared`."""
+    lengths = docs.select(text).transform(with_lengths, text).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    return stored(lengths.where("n > 1").select(F.col("length").alias("shared")), "dedup-lengths")
+
+
+def with_prefix(docs: DataFrame, text: str, lengths: DataFrame) -> DataFrame:
+    """Adds `squeezed`, `length` and the hash of the prefix, null where nothing shares the length."""
+    prefix = F.xxhash64(F.substring("squeezed", 1, PREFIX))
     return (
-        pairs.where("n > 1")
-        .join(shared, "length", "left_semi")
-        .select(_bucket("length", "prefix").alias("bucket"))
-        .distinct()
+        with_lengths(docs, text)
+        .join(lengths, F.col("length") == F.col("shared"), "left")
+        .withColumn("prefix", F.when(F.col("shared").isNotNull(), prefix))
+        .drop("shared")
     )
 
 
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("length", "prefix"), F.lit(BUCKETS))
+
+
+def open_words(docs: DataFrame, text: str, lengths: DataFrame) -> DataFrame:
+    """The (length, prefix hash) pairs that several rows share, as bits: word, bits."""
+    pairs = with_prefix(docs.select(text), text, lengths).where("prefix is not null").groupBy("length", "prefix")
+    shared = pairs.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(bucket().alias("bucket"))
+    bit = F.expr(f"shiftleft(1L, cast(bucket & {(1 << WORD_BITS) - 1} as int))")
+    words = shared.groupBy(F.shiftright("bucket", WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return stored(words, "dedup-open")
+
+
 def with_full_hash(docs: DataFrame, text: str, all_rows: bool) -> DataFrame:
     """Adds `open` (not settled by length and prefix) and `full_hash` (null where settled, unless
     `all_rows` asks for it everywhere)."""
-    buckets = open_buckets(docs, text).withColumn("found", F.lit(True))
-    s = squeezed(text)
-    keyed = docs.withColumn(
-        "bucket",
-        F.pmod(F.xxhash64(F.length(s), F.xxhash64(F.substring(s, 1, PREFIX))), F.lit(BUCKETS)),
+    lengths = shared_lengths(docs, text)
+    words = open_words(docs, text, lengths)
+    keyed = with_prefix(docs, text, lengths).withColumn("bucket", F.when(F.col("prefix").isNotNull(), bucket()))
+    found = F.expr(f"getbit(bits, cast(bucket & {(1 << WORD_BITS) - 1} as int)) = 1")
+    flagged = (
+        keyed.withColumn("word", F.shiftright("bucket", WORD_BITS))
+        .join(F.broadcast(words), "word", "left")
+        .withColumn("open", F.coalesce(found, F.lit(False)))
     )
-    flagged = keyed.join(F.broadcast(buckets), "bucket", "left").withColumn(
-        "open", F.coalesce("found", F.lit(False))
+    digest = F.sha2("squeezed", 256)
+    return flagged.withColumn("full_hash", digest if all_rows else F.when(F.col("open"), digest)).drop(
+        "squeezed", "length", "prefix", "bucket", "word", "bits"
     )
-    digest = F.sha2(s, 256)
-    return flagged.withColumn(
-        "full_hash", digest if all_rows else F.when(F.col("open"), digest)
-    ).drop("bucket", "found")
 
 
 def _best(doc: str, chars: str, row: str | None = None) -> Column:
@@ -137,12 +154,12 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     stays = F.col("shared_hash").isNull() | (
         (F.col("chars") == F.col("best_chars")) & F.col("id").eqNullSafe(F.col("best_id"))
     )
-    # Settled rows have no hash; a name of their own deals them out. Sides are shuffled at any size, so
-    # that what a stage needs grows evenly.
+    # Spark sends the groups to the texts while they are small. Beyond, texts are shuffled; settled rows have
+    # no hash, and a name of their own deals them out.
     dealt = F.coalesce("full_hash", F.concat(F.lit("settled "), F.xxhash64("id", "chars", F.substring("body", 1, PREFIX))))
     joined = (
         hashed.withColumn("dealt", dealt)
-        .join(groups.hint("shuffle_hash"), F.col("dealt") == F.col("shared_hash"), "left")
+        .join(groups, F.col("dealt") == F.col("shared_hash"), "left")
         .where(stays)
     )
     once = joined.where("same is null or same = 1").select("whole.*")

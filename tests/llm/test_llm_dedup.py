@@ -45,6 +45,24 @@ def test_digests_only_where_needed(spark):
     assert found[4] != found[5]  # same length and prefix, told apart by the full hash
 
 
+def test_prefixes_only_where_a_length_is_shared(spark):
+    docs = documents(spark, ["abc", "a b d", "longer text", "other  texts", None, "", "four", "seventeen letters"])
+    lengths = dedup.shared_lengths(docs, "text")
+    assert sorted(r[0] for r in lengths.collect()) == [0, 3, 10]
+    found = dedup.with_prefix(docs, "text", lengths).collect()
+    assert {r["doc_id"] for r in found if r["prefix"] is not None} == {0, 1, 2, 3, 4, 5}
+    words = dedup.open_words(docs, "text", lengths).collect()
+    assert len(words) == 1 and bin(words[0]["bits"] & (2**64 - 1)).count("1") == 1  # the two empty texts
+
+
+def test_open_pairs_in_every_bit_of_a_word(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BUCKETS", 128)  # most bits are set, and settled rows may be hashed too
+    docs = documents(spark, [f"t{i // 2} {'x' * (i // 2 % 40)}" for i in range(600)] + [f"single {i}" for i in range(50)])
+    found = dedup.refine(docs, all_hashes=False)
+    assert found.where("kept").count() == 350 and found.where("group_size = 2").count() == 600
+    assert dedup.keep_one(docs).count() == 350
+
+
 def test_keep_one_keeps_columns_and_one_of_each(spark):
     docs = with_clashing(odd_documents(spark))
     kept = dedup.keep_one(docs)
