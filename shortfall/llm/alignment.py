@@ -38,6 +38,8 @@ by_value(__name__)
 MARK = "\u2581"  # stands for a space in pieces
 PARTING = re.compile(r"(?<=\S) (?=\S)")
 LINE_PARTS = 100
+ID_BITS = 20  # of a token's code; its length in bytes is above them
+UNSPELLED = (b"", b"")
 FIRST_STEP = 4  # ends compared at once when a run begins
 SIDE_BITS = 32  # a pair is A's id and, in the lower bits, B's
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, pairs array<bigint>, times array<bigint>"
@@ -91,30 +93,31 @@ class Sides:
 
     def __init__(self, a_model: str, b_model: str):
         self.left, self.right = ByteLevel(a_model), Pieces(b_model)
-        self.memo = Memo(self.encode_parts, lambda arrays: sum(map(len, arrays)))
+        self.memo = Memo(self.encode_parts, lambda codes: len(codes[0]) + len(codes[1]))
 
     def encode(self, text: str) -> list[np.ndarray] | None:
-        """Ids of A, ids of B, token lengths of A and of B, if both sides spell the text."""
+        """Codes of A's and B's tokens (the id, and above it the length in bytes), if both sides spell the text."""
         whole = (" " + text).encode()
         [a], [b] = self.left.encode([text]), self.right.encode([text])
         of_a, of_b = [self.left.token[i] for i in a], [self.right.token[i] for i in b]
         if not text or b"".join(of_a) != whole or b"".join(of_b) != whole:
             return None
-        return [np.array(c, np.int32) for c in (a, b, list(map(len, of_a)), list(map(len, of_b)))]
+        sides = (a, of_a), (b, of_b)
+        return [np.array(ids, np.uint32) + (np.array(list(map(len, of)), np.uint32) << ID_BITS) for ids, of in sides]
 
-    def encode_part(self, part: str) -> tuple[bytes, ...]:
-        """The arrays of `encode` as bytes, empty if the part is not spelled."""
+    def encode_part(self, part: str) -> tuple[bytes, bytes]:
+        """The codes as bytes, none if the part is not spelled."""
         found = self.encode(part)
-        return (b"",) * 4 if found is None else tuple(c.tobytes() for c in found)
+        return UNSPELLED if found is None else (found[0].tobytes(), found[1].tobytes())
 
-    def encode_parts(self, parts: list[str]) -> list[tuple[bytes, ...]]:
+    def encode_parts(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
         """`encode_part` of each, by way of lines of parts that a single space can join."""
         joined = [p for p in parts if p and p == p.strip()]
         lines = [self.encode_line(joined[k : k + LINE_PARTS]) for k in range(0, len(joined), LINE_PARTS)]
         found = dict(zip(joined, chain.from_iterable(lines), strict=True))
         return [found[p] if p in found else self.encode_part(p) for p in parts]
 
-    def encode_line(self, parts: list[str]) -> list[tuple[bytes, ...]]:
+    def encode_line(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
         if len(parts) < 2:
             return [self.encode_part(p) for p in parts]
         line = self.encode(" ".join(parts))
@@ -122,24 +125,27 @@ class Sides:
             middle = len(parts) // 2
             return self.encode_line(parts[:middle]) + self.encode_line(parts[middle:])
         ends = np.cumsum([0, *(len(p.encode()) + 1 for p in parts)])
-        cuts = [np.searchsorted(np.cumsum(sizes), ends, side="right").tolist() for sizes in line[2:]] * 2
-        columns = [[c[i:k].tobytes() for i, k in pairwise(at)] for c, at in zip(line, cuts, strict=True)]
+        columns = []
+        for codes in line:
+            flat, cuts = codes.tobytes(), 4 * np.searchsorted(np.cumsum(codes >> ID_BITS), ends, side="right")
+            columns.append([flat[i:k] for i, k in pairwise(cuts.tolist())])
         return list(zip(*columns, strict=True))
 
     def tokens(self, texts: list[str]) -> list[list[np.ndarray] | None]:
         """Ids of A, ids of B, end offsets of A and of B for each text that both sides spell."""
         found: list[list[np.ndarray] | None] = []
-        parted = self.memo([PARTING.split(t) for t in texts]) if self.right.parted else [[(b"",) * 4]] * len(texts)
+        parted = self.memo([PARTING.split(t) for t in texts]) if self.right.parted else [[UNSPELLED]] * len(texts)
         for text, parts in zip(texts, parted, strict=True):
             if not text:
-                arrays = None
-            elif all([a for a, *_ in parts]):
-                arrays = [np.frombuffer(b"".join(column), np.int32) for column in zip(*parts, strict=True)]
+                codes = None
+            elif UNSPELLED in parts:
+                codes = self.encode(text)
             else:
-                arrays = self.encode(text)
-            if arrays is not None:
-                arrays = [*arrays[:2], *(np.cumsum(sizes, dtype=np.int64) for sizes in arrays[2:])]
-            found.append(arrays)
+                codes = [np.frombuffer(b"".join([p[side] for p in parts]), np.uint32) for side in (0, 1)]
+            if codes is not None:
+                ids = [(c & ((1 << ID_BITS) - 1)).astype(np.int64) for c in codes]
+                codes = [*ids, *(np.cumsum(c >> ID_BITS, dtype=np.int64) for c in codes)]
+            found.append(codes)
         return found
 
 
@@ -224,7 +230,7 @@ def align(docs: DataFrame, a_model: str, b_model: str, doc: str = "doc_id", text
                     continue
                 a, b, ends_a, ends_b = tokens
                 at_a, at_b = last_tokens(segments(ends_a, ends_b))
-                pairs, times = np.unique((a[at_a].astype(np.int64) << SIDE_BITS) + b[at_b], return_counts=True)
+                pairs, times = np.unique((a[at_a] << SIDE_BITS) + b[at_b], return_counts=True)
                 rows.append((len(a), len(b), len(at_a), spelled(a, b, at_a, at_b), pairs, times))
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *columns], names)
