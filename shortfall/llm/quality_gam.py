@@ -207,8 +207,9 @@ def featured(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Additive:
-    """Model from doc_id, text and doc_id, label. At most `train_rows` labels are used, so the side that
-    is broadcast and the rows that reach the driver are bounded."""
+    """Model from doc_id, text and doc_id, label. At most `train_rows` labels are used, and of rows that share a
+    doc_id those with the least features, so the side that is broadcast and the rows that reach the driver are
+    bounded."""
     chosen = (
         labels.where("doc_id is not null and label is not null")
         .groupBy("doc_id")
@@ -217,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Add
         .limit(train_rows)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = featured(sample).join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
+    once = featured(sample).groupBy("doc_id").agg(F.min("features").alias("features"))
+    rows = once.join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
     if not len(rows):
         return Additive()
     return boost(np.array(rows["features"].tolist()), rows["label"].to_numpy(float))

@@ -74,3 +74,14 @@ def test_held_out_quality(spark):
     y, s = (np.array([r[c] for r in held], float) for c in ("quality", "score"))
     assert area(y, s) > 0.95
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in found)
+
+
+def test_rows_of_one_id_are_one_training_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_gam, "boost", lambda features, labels: seen.append((features, labels)))
+    texts = [f"text number {i % 7} of some words" for i in range(2000)] + ["another one", "a third"]
+    docs = documents(spark, texts, ids=[5] * 2000 + [6, 7])
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 1), (5, 1)], "doc_id bigint, label int")
+    quality_gam.fit(docs, labels)
+    features, found = seen[0]
+    assert features.shape[0] == 3 and found.tolist() == [1.0, 0.0, 1.0]
