@@ -3,13 +3,20 @@
 A page is read into blocks of text, each with its path of block tags from the root. Text length and
 punctuation are summed per path and divided by the path's number of blocks; the two ratios are smoothed
 over the blocks around (weighted by how much of the path they share), fused to one score, and paths over
-a share of the best score are content. Headings and lists that hang in a content path's container go
-with it. Paths through navigation, forms, scripts, notices, adverts, comments and the like are left out
-first, by tag, or by a word in class, id or role. A word that is part of a name
-leaves out no element that holds a heading of the first rank or, without a marked article elsewhere, over half
-of the page's text; words that are the whole name, or mean readers' comments, yield only to the page's first
-such heading. If nothing is left, no word counts. A page's mark of its article is a weight: scores of paths outside it are
-multiplied by `UNMARKED`, and the same threshold holds for all paths.
+a share of the best score are content. A page's mark of its article is a weight: scores of paths outside it
+are multiplied by `UNMARKED`, and the same threshold holds for all paths.
+
+A content path vouches for its container, the element around its paragraphs, lists and tables. All
+paragraphs, headings, captions, list items, terms and table cells of such a container go with it, short and
+linked ones too; lists and tables that are mostly links do not, nor does a container that is.
+
+Parts that are not the article by their own account are left out first: navigation, forms, scripts, side
+boxes and the like by tag, and elements of which a class, id or role names such a part (a name all of whose
+words do, or go with them, as in `share-buttons`; not `share-of-market`). A name leaves out no element that
+holds a heading of the first rank or, without a marked article elsewhere, over half of the page's text; names
+that are one such word, or mean readers' comments, yield only to the page's first such heading. If nothing is
+left, no name counts. Elements inside a sentence do not end it, whether their text counts or not. A last
+block of its own that begins as a copyright line is a footer.
 
 Pages are independent, so this is one pass without a shuffle. Defined results: null html is the empty
 page, with empty text; markup that breaks off is read as far as it goes; null keys and repeated rows
@@ -39,31 +46,43 @@ UNMARKED = 0.5
 # Tags of HTML by what they do here.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr".split()
+    "samp small span strike strong sub sup time tt u var wbr input "
+    "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd semantics".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input iframe object "
-    "embed svg math canvas audio video map dialog menu".split()
+# Without text of the page, and no end to the sentence around them.
+MUTED = frozenset(
+    "script style noscript template button select textarea iframe object svg canvas audio video map annotation annotation-xml".split()
 )
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+DROPPED = frozenset("head title nav footer aside form option dialog menu".split())
+# Tags that hold the text of their container, and what they hang in: a path ends in them below its container.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li ul ol dt dd dl figure figcaption caption details summary address center".split())
+CELLS = frozenset("td th tr tbody thead tfoot table".split())
+ITEMS = frozenset("li dt dd td th".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words of class, id and role that name what is not the article.
+# Words of class, id and role that name what is not the article, and words that go with them.
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|"
     r"overlay|newsletter|subscribe|subscription|signup|login|sidebar|side-bar|aside|widget\w*|nav\w*|menu\w*|breadcrumbs?|"
     r"topbar|toolbar|masthead|header|footer|footnav|copyright|share|sharing|social|related|recommend\w*|comments?|"
     r"commentlist|disqus|respond|reply|replies|discussion|pagination|pager|search|skip|contentinfo|complementary|"
-    r"navigation|form)(?:$|[\s_-])",
+    r"navigation|form|latest|teasers?|popular|trending|readers?)(?:$|[\s_-])",
     re.I,
 )
+COMPANIONS = frozenset(
+    "box block container wrapper wrap area section bar panel list item items content inner outer top bottom left right "
+    "site page global text link links button buttons icon icons row col column module region zone slot unit group media "
+    "posts articles stories news topics tags talk letters voices opinions post primary secondary mobile desktop fixed "
+    "small large new main first last".split()
+)
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 # Of these, words for what readers write; and compounds that say what an element has or allows, not what it is.
-READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|reply|replies|discussion)(?:$|[\s_-])", re.I)
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|reply|replies|discussion|readers?)(?:$|[\s_-])", re.I)
 MODIFIER = re.compile(
     r"(?<!\S)(?:\S+[_-])?(?:has|with|no|without)[_-]\S+|(?<!\S)\S+[_-](?:enabled|disabled|open|closed)(?!\S)", re.I
 )
@@ -72,6 +91,14 @@ HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
 MARKED = re.compile(r"^(?:article|main)$")
 
 
+def is_aside(name: str) -> bool:
+    """Whether a name says what is not the article: a word of ASIDE, and all others such words or companions."""
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    aside = [ASIDE.fullmatch(w) is not None for w in words]
+    known = all(a or w.lower() in COMPANIONS or w.isdigit() for a, w in zip(aside, words, strict=True))
+    return ASIDE.fullmatch(name) is not None or (any(aside) and known)
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]
@@ -105,6 +132,7 @@ class Blocks(HTMLParser):
         self.linked = 0
         self.links = 0
         self.hidden = 0
+        self.muted: list[str] = []  # open elements without text, inside a sentence
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -123,6 +151,13 @@ class Blocks(HTMLParser):
             self.hidden -= self.stack.pop()[1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in MUTED or (self.muted and tag not in ENDS_PARAGRAPH):
+            if tag in MUTED:
+                self.muted.append(tag)
+            return
+        if self.muted and self.muted[0] != "button":  # what follows in a template or a picture
+            return
+        self.muted.clear()  # a button does not hold blocks
         if tag in INLINE:
             if tag == "br":
                 self.parts.append(" ")
@@ -156,10 +191,11 @@ class Blocks(HTMLParser):
         named = MODIFIER.sub(" ", names)
         if inside:  # an article's own header
             named = HEADER.sub(" ", named)
-        if tag not in ("html", "body") and not MARKED.match(tag) and ASIDE.search(named):
+        found = [x for x in named.split() if is_aside(x)]
+        if tag not in ("html", "body") and not MARKED.match(tag) and found:
             asides = (*asides, len(self.asides))
-            whole = any(WHOLE.match(x) for x in named.split())
-            self.asides.append(Aside(whole or READERS.search(named) is not None))
+            whole = any(WHOLE.match(x) for x in found)
+            self.asides.append(Aside(whole or any(READERS.search(x) for x in found)))
         self.tags.append(tag)
         self.stack.append((label, dropped, inside or is_marked, asides))
         self.hidden += dropped
@@ -169,6 +205,12 @@ class Blocks(HTMLParser):
                 self.asides[i].heading = self.asides[i].heading or self.headings
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in self.muted:
+            del self.muted[len(self.muted) - 1 - self.muted[::-1].index(tag) :]
+            return
+        if self.muted and tag not in self.tags:
+            return
+        self.muted.clear()
         if tag in INLINE:
             if tag == "a" and self.links:
                 self.links -= 1
@@ -179,7 +221,7 @@ class Blocks(HTMLParser):
             self.pop(self.tags[::-1].index(tag) + 1)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.hidden and not self.muted:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
@@ -248,6 +290,34 @@ def is_header(label: str) -> bool:
     return re.search(r"(?:^|[.-])header(?:$|[.-])", label, re.I) is not None
 
 
+def tag_of(label: str) -> str:
+    return label.split(".")[0]
+
+
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The element that a path's paragraph, list or table stands in. A cell with paragraphs of its own may be
+    part of a page's layout, so it is a container itself."""
+    end = len(path)
+    if end and tag_of(path[-1]) in ("td", "th"):
+        while end and tag_of(path[end - 1]) in CELLS:
+            end -= 1
+    while end and tag_of(path[end - 1]) in TEXTUAL:
+        end -= 1
+    if end and is_header(path[end - 1]):  # a heading's own box
+        end -= 1
+    return path[:end]
+
+
+def mostly_links(found: list[Block], key) -> set[tuple[str, ...]]:
+    """Keys of blocks of which more than `LINKED` is link text."""
+    chars: dict[tuple[str, ...], int] = defaultdict(int)
+    linked: dict[tuple[str, ...], int] = defaultdict(int)
+    for block in found:
+        chars[key(block.path)] += len(block.text)
+        linked[key(block.path)] += block.linked
+    return {k for k in chars if linked[k] > LINKED * chars[k]}
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
@@ -257,15 +327,15 @@ def main_text(html: str | None) -> str:
     if inside:
         scores = {p: score if p in inside else UNMARKED * score for p, score in scores.items()}
     bar = SHARE * max(scores.values())
-    content = {p for p, score in scores.items() if score > 0 and score >= bar}
-    holders = {p[:-1] for p in content}
-    kept = [
-        b.text
-        for b in found
-        if b.path in content
-        or (b.path and b.path[-1].split(".")[0] in HEADINGS and (b.path[:-1] in holders or b.path[:-2] in holders and is_header(b.path[-2])))
-    ]
-    return "\n".join(kept)
+    linked = mostly_links(found, lambda p: p)
+    holders = {container(p) for p, score in scores.items() if score > 0 and score >= bar} - mostly_links(found, container)
+    # Links alone, in a list, a table or straight in the container, are no part of the text; a linked paragraph is.
+    linked = {p for p in linked if p == container(p) or tag_of(p[-1]) in ITEMS}
+    kept = [b for b in found if container(b.path) in holders and b.path not in linked]
+    last = kept[-1] if kept else None
+    if last and len(kept) > 1 and COPYRIGHT.match(last.text) and container(last.path) != container(kept[-2].path):
+        kept.pop()
+    return "\n".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
