@@ -1,10 +1,11 @@
 """Quality rules from tokenizer fertility.
 
-A public byte-level vocabulary measures how well a text is covered: code points per token, the share of
-tokens that are less than a character (the vocabulary falls back to bytes), and the entropy of the
-text's tokens, divided by the largest that the text's length allows. The texts of a script and a length
-class (power of two of tokens) have a band for each measure around their median in the corpus; a text
-outside a band is rejected. Bands come from sketches over all rows; texts are encoded whole.
+Two public vocabularies measure how well a text is covered: code points per token of a byte-level one and of
+one with byte fallback, the share of the latter's tokens that are fallback bytes (without white space, which
+it has no pieces for), and the entropy of the former's tokens, divided by the largest that the text's length
+allows. The texts of a script and a length class (power of two of tokens) have a band for each measure around
+their median in the corpus; a text outside a band is rejected. Bands come from exact quartiles of all rows'
+measures to three decimals, so reruns agree; texts are encoded whole.
 
 Each text of enough words is judged. A script and length class of fewer than MIN_TEXTS such texts takes the
 band of the nearest fuller class of its script (of two as near the shorter), else that of all texts of the
@@ -25,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortfall.llm.common import by_value, slices, stored
+from shortfall.llm.alignment import PARTING, Pieces
+from shortfall.llm.common import by_value, light_slices, stored
+from shortfall.llm.memo import Memo, file_digest, of_worker
 
 by_value(__name__)
 
@@ -36,7 +39,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_TEXTS = 100
 # Half widths of the bands: spreads (scaled median deviations), and at least so much.
 SPREADS = 4.0
-LEAST_WIDTH = {"chars_per_token": 0.5, "fallback_share": 0.05, "token_entropy": 0.1}
+LEAST_WIDTH = {"chars_per_token": 0.5, "chars_per_piece": 0.5, "fallback_share": 0.02, "token_entropy": 0.1}
 MEASURES = tuple(LEAST_WIDTH)
 # Unicode blocks of scripts, first and last code point.
 SCRIPTS = {
@@ -110,34 +113,57 @@ class Vocabulary:
         with open(ranks_file, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.partial = np.zeros(max(ranks.values()) + 1, bool)
-        for token, rank in ranks.items():
-            try:
-                token.decode()
-            except UnicodeDecodeError:
-                self.partial[rank] = True
-
-    def measure(self, text: str) -> tuple[float, float, float, int]:
-        """Code points per token, share of partial characters, entropy, number of tokens."""
+        self.size = len(ranks)
+
+    def measure(self, text: str) -> tuple[float, float, int]:
+        """Code points per token, entropy, number of tokens."""
         ids = self.encoding.encode_to_numpy(text, disallowed_special=())
         n = len(ids)
         if not n:
-            return 0.0, 0.0, 0.0, 0
+            return 0.0, 0.0, 0
         share = np.unique(ids, return_counts=True)[1] / n
         entropy = float(-(share * np.log2(share)).sum())
-        most = np.log2(min(n, len(self.partial)))
-        return len(text) / n, float(self.partial[ids].mean()), float(entropy / max(1.0, most)), n
+        most = np.log2(min(n, self.size))
+        return len(text) / n, float(entropy / max(1.0, most)), n
+
+
+class Fallback:
+    """A vocabulary with byte fallback. A text's tokens are those of its parts, which are remembered."""
+
+    def __init__(self, model: str):
+        self.pieces = Pieces(model)
+        library = self.pieces.library
+        # Line ends and tabs are bytes too in vocabularies that have no pieces for them.
+        self.fallback = {i for i, b in self.pieces.token.items() if library.is_byte(i) and not b.isspace()}
+        self.memo = Memo(self.count, lambda counts: 0)
+
+    def count(self, parts: list[str]) -> list[tuple[int, int]]:
+        """Tokens and fallback bytes of each part."""
+        return [(len(ids), sum(i in self.fallback for i in ids)) for ids in self.pieces.encode(parts)]
+
+    def measure(self, texts: list[str]) -> list[tuple[float, float]]:
+        """Code points per token and share of fallback bytes of each text."""
+        parted = self.memo([PARTING.split(t) for t in texts]) if self.pieces.parted else [[c] for c in self.count(texts)]
+        found = []
+        for text, counts in zip(texts, parted, strict=True):
+            n = sum([c[0] for c in counts])
+            found.append((len(text) / n, sum([c[1] for c in counts]) / n) if n else (0.0, 0.0))
+        return found
 
 
-def measured(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+def measured(docs: DataFrame, ranks_file: str, pattern: str, pieces_model: str) -> DataFrame:
     """Base counts, script and measures of every text."""
+    pieces_key = ("fallback", file_digest(pieces_model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(ranks_file, pattern)
-        scripts = script_table()
-        for part in slices(batches):
+        scripts, fallback = script_table(), of_worker(pieces_key, lambda: Fallback(pieces_model))
+        for part in light_slices(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            rows = [(*base_counts(t), script_of(t, scripts), *vocabulary.measure(t)) for t in texts]
+            rows = []
+            for t, (per_piece, share) in zip(texts, fallback.measure(texts), strict=True):
+                per_token, entropy, n = vocabulary.measure(t)
+                rows.append((*base_counts(t), script_of(t, scripts), per_token, per_piece, share, entropy, n))
             columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
             if columns:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
@@ -152,7 +178,8 @@ def measured(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
 
 def bands(rows: DataFrame) -> DataFrame:
     """script, length_class, low and high of each measure. One row per script and power of two that rows have."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
+    # Of three decimals there are few distinct values, which is what an exact percentile holds.
+    quartiles = [F.percentile(F.round(m, 3), [0.25, 0.5, 0.75]).alias(m) for m in MEASURES]
     levels = rows.groupingSets([["script", "length_class"], ["script"], []], "script", "length_class").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("texts"), *quartiles
     )
@@ -181,10 +208,10 @@ def bands(rows: DataFrame) -> DataFrame:
     return found.select("script", "length_class", *limits)
 
 
-def quality_rules(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+def quality_rules(docs: DataFrame, ranks_file: str, pattern: str, pieces_model: str) -> DataFrame:
     """Base counts, base_failed, kept, script and measures of every row."""
     rows = stored(
-        measured(docs, ranks_file, pattern).withColumn(
+        measured(docs, ranks_file, pattern, pieces_model).withColumn(
             "length_class", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
         ),
         "fertility-rows",

@@ -74,7 +74,10 @@ def op5_fertility_rules(spark: SparkSession, folder: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     return fertility.quality_rules(
-        table(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN
+        table(spark, folder, "documents"),
+        vocabulary("byte_bpe_multi_50k.tiktoken"),
+        PATTERN,
+        vocabulary("piece_bpe_32k.model"),
     )
 
 

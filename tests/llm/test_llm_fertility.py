@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from math import floor
 
 from conftest import rows
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from shortfall.llm import fertility
 from shortfall.llm.queries import op5_fertility_rules
 
 RANKS = path("byte_bpe_multi_50k.tiktoken")
+PIECES = path("piece_bpe_32k.model")
 
 
 def plain_counts(text):
@@ -43,13 +45,77 @@ def test_base_counts_of_long_texts():
 def test_measures():
     vocabulary = fertility.Vocabulary(RANKS, PATTERN)
     plain = vocabulary.measure("the house and the garden and the street of the town " * 5)
-    bytes_only = vocabulary.measure("".join(chr(0x1F300 + i) for i in range(120)))
     repeated = vocabulary.measure("word " * 200)
-    assert plain[0] > 3 and plain[1] == 0
-    assert bytes_only[1] > 0.9 and bytes_only[0] < 1
-    assert repeated[2] < 0.1 < plain[2]
-    assert vocabulary.measure("") == (0.0, 0.0, 0.0, 0)
-    assert vocabulary.measure("<|endoftext|>")[3] > 1  # ordinary text
+    assert plain[0] > 3 and repeated[1] < 0.1 < plain[1]
+    assert vocabulary.measure("") == (0.0, 0.0, 0)
+    assert vocabulary.measure("<|endoftext|>")[2] > 1  # ordinary text
+
+
+def plain_fallback(text):
+    """By the library, on the whole text."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=PIECES)
+    ids = library.encode(text)
+    fell = [i for i in ids if library.is_byte(i) and library.id_to_piece(i) not in ("<0x0A>", "<0x09>", "<0x0D>", "<0x0B>", "<0x0C>", "<0x20>")]
+    return (len(text) / len(ids), len(fell) / len(ids)) if ids else (0.0, 0.0)
+
+
+def test_fallback_bytes():
+    texts = ["the house\nand the\tgarden", "".join(chr(0x13000 + i) for i in range(120)), "", " ", "plain 𓀀 and  two  spaces ", "a b" * 50]
+    found = fertility.Fallback(PIECES).measure(texts)
+    assert found == [plain_fallback(t) for t in texts]
+    assert found[0][1] == 0 and found[1][1] > 0.9 and found[1][0] < 0.5
+
+
+def plain_bands(found):
+    """low and high of each measure by script and length class, and the verdicts, from sorted lists."""
+    judged = [r for r in found if not r["base_failed"]]
+    length = {r["doc_id"]: max(1, r["n_tokens"]).bit_length() - 1 for r in found}
+
+    def quartiles(rows_, m):
+        values = sorted(floor(r[m] * 1000 + 0.5) / 1000 for r in rows_)
+        out = []
+        for q in (0.25, 0.5, 0.75):
+            at = (len(values) - 1) * q
+            low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            out.append(low + (high - low) * (at - int(at)))
+        return out
+
+    def group(script, klass):
+        classes = {}
+        for r in judged:
+            if r["script"] == script:
+                classes.setdefault(length[r["doc_id"]], []).append(r)
+        full = [k for k, rows_ in classes.items() if len(rows_) >= fertility.MIN_TEXTS]
+        if full:
+            best = min(full, key=lambda k: (abs(k - klass), k))
+            return best, classes[best]
+        whole = [r for rows_ in classes.values() for r in rows_]
+        return klass, whole if len(whole) >= fertility.MIN_TEXTS else judged
+
+    verdicts = {}
+    for r in judged:
+        klass = length[r["doc_id"]]
+        of_class, rows_ = group(r["script"], klass)
+        inside = True
+        for m in fertility.MEASURES:
+            low, middle, high = quartiles(rows_, m)
+            half = max(fertility.SPREADS * 0.741 * (high - low), fertility.LEAST_WIDTH[m])
+            bottom, top = middle - half, middle + half
+            if m == "token_entropy":
+                longer = of_class / max(1, klass)
+                bottom, top = bottom * min(longer, 1), top * max(longer, 1)
+            inside &= bottom <= r[m] <= top
+        verdicts[r["doc_id"]] = inside
+    return verdicts
+
+
+def test_verdicts_equal_plain_bands(spark):
+    found = op5_fertility_rules(spark, "/root/testdata/sf0.01").collect()
+    expected = plain_bands(found)
+    assert {r["doc_id"]: r["kept"] for r in found if not r["base_failed"]} == expected
+    assert 0 < list(expected.values()).count(False) < 0.2 * len(expected)
 
 
 def test_scripts():
@@ -64,7 +130,7 @@ def test_rows_outside_the_bands_go(spark):
     names = ["river", "house", "street", "winter", "garden", "music", "letter", "bread", "window", "summer", "water", "city"]
     clean = [" ".join(pick.choice(names) + pick.choice(["", "s", "ed", "ing"]) for _ in range(150)) for _ in range(300)]
     junk = [" ".join(f"{pick.getrandbits(32):x}$%" for _ in range(30)) for _ in range(5)]
-    found = fertility.quality_rules(with_clashing(documents(spark, clean + junk)), RANKS, PATTERN).collect()
+    found = fertility.quality_rules(with_clashing(documents(spark, clean + junk)), RANKS, PATTERN, PIECES).collect()
     kept = {r["doc_id"]: r["kept"] for r in found}
     assert all(kept[i] for i in range(300))
     assert not any(r["kept"] for r in found if r["doc_id"] >= 300 and r["n_tokens"] >= 256)
@@ -72,13 +138,13 @@ def test_rows_outside_the_bands_go(spark):
 
 def test_odd_rows(spark):
     docs = odd_documents(spark)
-    found = fertility.quality_rules(docs, RANKS, PATTERN).collect()
+    found = fertility.quality_rules(docs, RANKS, PATTERN, PIECES).collect()
     expected = Counter((r["doc_id"], *plain_counts(r["text"] or "")) for r in docs.collect())
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in found) == expected
     for r in found:
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
         assert not (r["base_failed"] and r["kept"])
-    assert rows(fertility.quality_rules(empty(spark), RANKS, PATTERN)) == []
+    assert rows(fertility.quality_rules(empty(spark), RANKS, PATTERN, PIECES)) == []
 
 
 def test_good_documents_stay(spark):
@@ -105,18 +171,18 @@ def test_sparse_classes_are_judged(spark):
     """Classes, scripts and whole corpora of few texts take the nearest band there is."""
     pick = random.Random(6)
     texts = [prose(pick, 150) for _ in range(200)] + [prose(pick, 5000), junk(pick, 1200), junk(pick, 300), "яблоко$% " + junk(pick, 40).translate(str.maketrans("abcdef", "абвгде"))]
-    found = {r["doc_id"]: r for r in fertility.quality_rules(documents(spark, texts), RANKS, PATTERN).collect()}
+    found = {r["doc_id"]: r for r in fertility.quality_rules(documents(spark, texts), RANKS, PATTERN, PIECES).collect()}
     assert found[203]["script"] == "cyrillic"
     assert [found[i]["kept"] for i in range(200, 204)] == [True, False, False, False]
     few = documents(spark, [prose(pick, 150) for _ in range(20)] + [junk(pick, 300)])
-    assert [r["kept"] for r in fertility.quality_rules(few, RANKS, PATTERN).orderBy("doc_id").collect()] == [True] * 20 + [False]
+    assert [r["kept"] for r in fertility.quality_rules(few, RANKS, PATTERN, PIECES).orderBy("doc_id").collect()] == [True] * 20 + [False]
 
 
 def test_short_texts_are_judged(spark):
     pick = random.Random(7)
     texts = [prose(pick, 40) for _ in range(200)] + [" ".join(["x1"] * 7 + [pick.choice(["aa", "aa", "aa", "zz"]) for _ in range(15)]) for _ in range(3)]
     texts += [" ".join(pick.choice("$%#&|<>*") * 2 for _ in range(25)) for _ in range(3)]
-    found = [r for r in fertility.quality_rules(documents(spark, texts), RANKS, PATTERN).orderBy("doc_id").collect()]
+    found = [r for r in fertility.quality_rules(documents(spark, texts), RANKS, PATTERN, PIECES).orderBy("doc_id").collect()]
     assert all(r["kept"] for r in found[:200])
     short = [r for r in found[203:] if not r["base_failed"]]
     assert short and all(20 <= r["n_words"] and r["n_tokens"] < 100 and not r["kept"] for r in short)
