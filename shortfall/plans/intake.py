@@ -196,7 +196,7 @@ def event_stream(p) -> DataFrame:
 def stream_intake(p):
     """New items of the stream, deduplicated and routed; two runs, the second adds nothing."""
     target, checkpoint = scratch_path(p.spark, "items"), scratch_path(p.spark, "items-checkpoint")
-    fresh = streaming.once_only(p.spark, target)
+    fresh = streaming.once_only(p.spark, scratch_path(p.spark, "items-seen"))
 
     def routed(items: DataFrame, number: int) -> DataFrame:
         return po.route_items(fresh(items, number), derived.ALLOWED_SENDERS)
@@ -211,7 +211,7 @@ def stream_dedup(p):
     """The same events through two streams with their own checkpoints; the stored keys keep every
     item once."""
     target = scratch_path(p.spark, "dedup")
-    keep = streaming.once_only(p.spark, target)
+    keep = streaming.once_only(p.spark, scratch_path(p.spark, "dedup-seen"))
     for name in ("first", "second"):
         checkpoint = scratch_path(p.spark, "dedup-checkpoint")
         streaming.run_once(event_stream(p), checkpoint, target, keep, name)
@@ -225,7 +225,8 @@ def dropped_upload(p) -> DataFrame:
     """The upload written as dropped CSV files, each order in one file, and read as a stream."""
     folder = scratch_path(p.spark, "drop")
     by_order = F.substring("row_ref", 1, 12)
-    derived.upload(p).repartition(by_order).write.option("header", True).csv(folder)
+    files = derived.upload(p).repartition(by_order).write.option("header", True)
+    files.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return streaming.file_drop(p.spark, folder, UPLOAD_SCHEMA)
 
 
@@ -249,3 +250,36 @@ def stream_validate(p):
     check = streaming.validated(*references(p), p.open_po)
     streaming.run_once(dropped_upload(p), checkpoint, target, check)
     return p.spark.read.parquet(target).select("row_ref", "field", "code")
+
+
+CSV_CELL = """CASE WHEN {0} = '' THEN '""' WHEN contains({0}, ',') THEN '"' || {0} || '"' ELSE {0} END"""
+
+
+@query(
+    "stream_files",
+    f"""SELECT drop_no, length(text)::BIGINT AS n_chars, sha256(text) AS sha256, 2::BIGINT AS copies FROM (
+        SELECT row_ref[1:12]::BIGINT % 4 AS drop_no, 'row_ref,po_id,qty,eta_date' || chr(10) || string_agg(row_ref || ',' ||
+          {CSV_CELL.format("po_id")} || ',' || {CSV_CELL.format("qty")} || ',' || eta_date, chr(10) ORDER BY row_ref) || chr(10) AS text
+        FROM upload GROUP BY 1)""",
+    INTAKE,
+)
+def stream_files(p):
+    """Whole files as a stream, kept once by their content: each file is dropped twice, in two folders."""
+    folder, target = scratch_path(p.spark, "files"), scratch_path(p.spark, "files-kept")
+    rows = derived.upload(p).select("row_ref", "po_id", "qty", "eta_date")
+    dealt = rows.withColumn("drop", F.substring("row_ref", 1, 12).cast("bigint") % 4).repartition("drop")
+    for copy in ("a", "b"):
+        files = dealt.sortWithinPartitions("drop", "row_ref").write.partitionBy("drop").option("header", True)
+        files.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/copy={copy}")
+    fresh = streaming.once_only(p.spark, scratch_path(p.spark, "files-seen"))
+    stream = streaming.binary_drop(p.spark, f"{folder}/copy=*/drop=*").select(
+        F.lit(0).cast("bigint").alias("message_uid"),
+        F.xxhash64("path").alias("item_id"),
+        F.regexp_extract("path", "drop=([0-9]+)", 1).cast("bigint").alias("drop_no"),
+        "content",
+    )
+    checkpoint = scratch_path(p.spark, "files-checkpoint")
+    for _ in range(2):  # the second run has nothing new
+        streaming.run_once(stream, checkpoint, target, fresh)
+    text = F.decode("content", "UTF-8")
+    return p.spark.read.parquet(target).select("drop_no", F.length(text).cast("bigint").alias("n_chars"), "sha256", "copies")

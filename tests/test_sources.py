@@ -63,6 +63,47 @@ def test_upload_header_rules_and_row_cap(spark, tmp_path):
     assert readers.read_upload(spark, many, limit=6).count() == 6
 
 
+def test_rows_are_numbered_as_in_their_file(spark, tmp_path):
+    folder = tmp_path / "drop"
+    folder.mkdir()
+    sizes = {"a.csv": 700, "b.csv": 1, "c.csv": 0, "d.csv": 350}
+    for name, n in sizes.items():
+        (folder / name).write_text("po_id,qty\n" + "".join(f"{name}-{i},{i}\n" for i in range(2, n + 2)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")  # several splits a file
+    try:
+        found = readers.read_upload(spark, str(folder)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted(r.po_id for r in found) == sorted(f"{name}-{i}" for name, n in sizes.items() for i in range(2, n + 2))
+    assert all(r.row_number == int(r.qty) for r in found)
+    assert len({r.row_ref for r in found}) == len(found)
+    order = [(r.po_id.split("-")[0], r.row_number) for r in sorted(found, key=lambda r: r.row_ref)]
+    assert order == sorted(order)
+
+
+def test_a_file_with_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("po_id,qty\nx,1\n")
+    (tmp_path / "b.csv").write_text("qty,po_id\n1,x\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_upload(spark, str(tmp_path)).collect()
+
+
+def test_a_batch_reads_the_seen_keys_of_its_own_parts(spark, tmp_path):
+    items = "message_uid bigint, item_id bigint, content binary"
+    seen = str(tmp_path / "seen")
+    keep = streaming.once_only(spark, seen, parts=8)
+    first = spark.createDataFrame([(i, i, bytes([i])) for i in range(60)], items)
+    assert keep(first, "s-0").count() == 60
+    again = spark.createDataFrame([(7, 100, bytes([7])), (61, 101, b"new")], items)
+    assert [r.item_id for r in keep(again, "s-1").collect()] == [101]
+    assert keep(again, "s-1").count() == 1  # a repeated batch gives the same
+    parts = {f.split("part=")[1].split("/")[0] for f in streaming.seen_keys(spark, seen).where("part = 3").inputFiles()}
+    known = streaming.seen_keys(spark, seen).where("part = 3")
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "part" in plan and known.count() < 60 and parts
+
+
 def test_snapshot_replace_touches_only_its_dates(spark, tmp_path):
     path = str(tmp_path / "risk")
     old = spark.createDataFrame([("a", day("2024-01-01"), "RED"), ("a", day("2024-01-08"), "RED")], RISK)
@@ -261,7 +302,7 @@ def test_once_only_items_survive_a_replay(spark, tmp_path):
     inbox, target = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "item_id bigint, message_uid bigint, sender string, filename string, content binary"
     spark.createDataFrame([(1, 1, "a", "f", b"x"), (2, 1, "a", "f", b"x"), (3, 2, "a", "f", b"x")], schema).write.parquet(inbox)
-    keep = streaming.once_only(spark, target)
+    keep = streaming.once_only(spark, f"{target}-seen")
     for attempt in range(2):
         stream = spark.readStream.schema(schema).parquet(inbox)
         streaming.run_once(stream, str(tmp_path / f"cp{attempt}"), target, keep, attempt * 1000)
