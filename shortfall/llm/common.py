@@ -47,6 +47,41 @@ def fraction(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) * F.lit(2.0**-53)
 
 
+WORD_BITS = 6
+BUCKETS = 1 << 26  # bits of a set of hashes; a 64th of it in rows
+
+
+def bucket(columns: tuple[str, ...], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets))
+
+
+def hash_bits(keys: DataFrame, *columns: str, buckets: int = BUCKETS) -> DataFrame:
+    """A set of keys as bits in words of 64 (word, bits): at most a million rows, however many keys there are.
+    With so many that most bits are set, more keys than these seem to be in it."""
+    bit = F.expr(f"shiftleft(1L, cast(bucket & {(1 << WORD_BITS) - 1} as int))")
+    words = (
+        keys.select(bucket(columns, buckets).alias("bucket"))
+        .groupBy(F.shiftright("bucket", WORD_BITS).alias("word"))
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+    return stored(words, "hash-bits")
+
+
+def with_mark(rows: DataFrame, bits: DataFrame, *columns: str, buckets: int = BUCKETS) -> DataFrame:
+    """Adds `marked`: false where the row's key is certainly not in the set, or has a null."""
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    found = F.expr(f"getbit(bits, cast(bucket & {(1 << WORD_BITS) - 1} as int)) = 1")
+    return (
+        rows.withColumn("bucket", F.when(known, bucket(columns, buckets)))
+        .withColumn("word", F.shiftright("bucket", WORD_BITS))
+        .join(F.broadcast(bits), "word", "left")
+        .withColumn("marked", F.coalesce(found, F.lit(False)))
+        .drop("bucket", "word", "bits")
+    )
+
+
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches in small slices, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -2,9 +2,9 @@
 
 Two texts are equal when they are identical after all blanks are deleted. Lengths are counted first; the
 prefix hash is taken only of rows that share their length, the full hash only of rows that share length and
-prefix hash too. What the first steps leave open is handed to the last scan as a set of `BUCKETS` bits in
-words of 64, at most a million rows, so it is broadcast whatever the size of the corpus and no text is
-shuffled for it. With so many shared pairs that most bits are set, more rows than need be are hashed.
+prefix hash too. What the first steps leave open is handed to the last scan as a set of bits, which is broadcast
+whatever the size of the corpus (`hash_bits`), so no text is shuffled for it. With so many shared pairs that
+most bits are set, more rows than need be are hashed.
 
 Defined results: null, empty and blank texts are equal. Of equal texts the row with the most code
 points stays, then the smallest doc_id (null last); of rows that agree in both, exactly one. An empty
@@ -16,11 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortfall.llm.common import SPACE, stored, text_or_empty
+from shortfall.llm.common import BUCKETS, SPACE, hash_bits, stored, text_or_empty, with_mark
 
 PREFIX = 64
-WORD_BITS = 6
-BUCKETS = 1 << 26  # bits of the open pairs; a 64th of it in rows
 
 
 def squeezed(text: str) -> Column:
@@ -49,34 +47,23 @@ def with_prefix(docs: DataFrame, text: str, lengths: DataFrame) -> DataFrame:
     )
 
 
-def bucket() -> Column:
-    return F.pmod(F.xxhash64("length", "prefix"), F.lit(BUCKETS))
-
-
-def open_words(docs: DataFrame, text: str, lengths: DataFrame) -> DataFrame:
-    """The (length, prefix hash) pairs that several rows share, as bits: word, bits."""
+def open_pairs(docs: DataFrame, text: str, lengths: DataFrame) -> DataFrame:
+    """The (length, prefix hash) pairs that several rows share."""
     pairs = with_prefix(docs.select(text), text, lengths).where("prefix is not null").groupBy("length", "prefix")
-    shared = pairs.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(bucket().alias("bucket"))
-    bit = F.expr(f"shiftleft(1L, cast(bucket & {(1 << WORD_BITS) - 1} as int))")
-    words = shared.groupBy(F.shiftright("bucket", WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return stored(words, "dedup-open")
+    return pairs.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def with_full_hash(docs: DataFrame, text: str, all_rows: bool) -> DataFrame:
     """Adds `open` (not settled by length and prefix) and `full_hash` (null where settled, unless
     `all_rows` asks for it everywhere)."""
     lengths = shared_lengths(docs, text)
-    words = open_words(docs, text, lengths)
-    keyed = with_prefix(docs, text, lengths).withColumn("bucket", F.when(F.col("prefix").isNotNull(), bucket()))
-    found = F.expr(f"getbit(bits, cast(bucket & {(1 << WORD_BITS) - 1} as int)) = 1")
-    flagged = (
-        keyed.withColumn("word", F.shiftright("bucket", WORD_BITS))
-        .join(F.broadcast(words), "word", "left")
-        .withColumn("open", F.coalesce(found, F.lit(False)))
-    )
+    bits = hash_bits(open_pairs(docs, text, lengths), "length", "prefix", buckets=BUCKETS)
+    flagged = with_mark(with_prefix(docs, text, lengths), bits, "length", "prefix", buckets=BUCKETS)
     digest = F.sha2("squeezed", 256)
-    return flagged.withColumn("full_hash", digest if all_rows else F.when(F.col("open"), digest)).drop(
-        "squeezed", "length", "prefix", "bucket", "word", "bits"
+    return (
+        flagged.withColumnRenamed("marked", "open")
+        .withColumn("full_hash", digest if all_rows else F.when(F.col("open"), digest))
+        .drop("squeezed", "length", "prefix")
     )
 
 
@@ -154,15 +141,14 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     stays = F.col("shared_hash").isNull() | (
         (F.col("chars") == F.col("best_chars")) & F.col("id").eqNullSafe(F.col("best_id"))
     )
-    # Spark sends the groups to the texts while they are small. Beyond, texts are shuffled; settled rows have
-    # no hash, and a name of their own deals them out.
-    dealt = F.coalesce("full_hash", F.concat(F.lit("settled "), F.xxhash64("id", "chars", F.substring("body", 1, PREFIX))))
+    # Settled rows go past the join; only the texts of open ones are shuffled.
+    settled = hashed.where(~F.col("open")).select("whole.*")
     joined = (
-        hashed.withColumn("dealt", dealt)
-        .join(groups, F.col("dealt") == F.col("shared_hash"), "left")
+        hashed.where("open")
+        .join(groups.hint("shuffle_hash"), F.col("full_hash") == F.col("shared_hash"), "left")
         .where(stays)
     )
-    once = joined.where("same is null or same = 1").select("whole.*")
+    once = settled.unionByName(joined.where("same is null or same = 1").select("whole.*"))
     if groups.where("same > 1").isEmpty():
         return once
     # Rows that agree in length, id and squeezed text: one of each remains.

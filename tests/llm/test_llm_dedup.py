@@ -51,8 +51,29 @@ def test_prefixes_only_where_a_length_is_shared(spark):
     assert sorted(r[0] for r in lengths.collect()) == [0, 3, 10]
     found = dedup.with_prefix(docs, "text", lengths).collect()
     assert {r["doc_id"] for r in found if r["prefix"] is not None} == {0, 1, 2, 3, 4, 5}
-    words = dedup.open_words(docs, "text", lengths).collect()
-    assert len(words) == 1 and bin(words[0]["bits"] & (2**64 - 1)).count("1") == 1  # the two empty texts
+    assert [(r["length"], r["n"]) for r in dedup.open_pairs(docs, "text", lengths).collect()] == [(0, 2)]  # the empty texts
+
+
+def test_settled_texts_are_not_shuffled(spark):
+    docs = documents(spark, ["abc", "a b c", *(f"text {i}" + "x" * i for i in range(40))])
+    plan = dedup.keep_one(docs)._jdf.queryExecution().optimizedPlan().toString()
+    settled, joined = plan.index("Union"), plan.index("LeftOuter", plan.index("Union"))
+    assert settled < joined and dedup.keep_one(docs).count() == 41
+
+
+def test_sets_of_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from shortfall.llm.common import hash_bits, with_mark
+
+    keys = spark.range(5000).select(F.col("id").alias("a"), F.lit("x").alias("b"))
+    bits = hash_bits(keys, "a", "b")
+    asked = spark.range(20000).select(F.col("id").alias("a"), F.lit("x").alias("b"))
+    found = with_mark(asked, bits, "a", "b")
+    assert found.where("marked and a < 5000").count() == 5000 and found.where("marked and a >= 5000").count() < 20
+    assert with_mark(asked.withColumn("b", F.lit(None).cast("string")), bits, "a", "b").where("marked").count() == 0
+    few = hash_bits(keys, "a", "b", buckets=64)
+    assert few.count() == 1 and with_mark(asked, few, "a", "b", buckets=64).where("marked").count() == 20000
 
 
 def test_open_pairs_in_every_bit_of_a_word(spark, monkeypatch):
