@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortfall.llm.common import by_value, light_slices, stored, text_or_empty
+from shortfall.llm.common import by_value, hash_bits, light_slices, stored, text_or_empty, with_mark
 from shortfall.llm.components import components
 from shortfall.llm.simhash import joined
 
@@ -382,7 +382,8 @@ def dealt_cells(rows: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
 def with_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
     """pack, shard, tree, part, in_tree, asks, print, hashes: the wanted texts' shingles in their cells.
 
-    `wanted` names one row for each print by doc_id and text_key; Spark picks the join from its size.
+    `wanted` names one row for each print by doc_id and text_key. Texts that are certainly not wanted stay where
+    they are; the others meet their names in a shuffle.
     """
     kept = "print binary, cells " + wanted.schema["cells"].dataType.simpleString()
 
@@ -393,7 +394,8 @@ def with_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> Data
             yield pa.RecordBatch.from_arrays(columns, ["print", "cells", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key("text").alias("text_key"), "text")
-    found = texts.join(wanted, ["doc_id", "text_key"]).select("print", "cells", "text")
+    likely = with_mark(texts, hash_bits(wanted, "doc_id", "text_key"), "doc_id", "text_key").where("marked")
+    found = likely.join(wanted.hint("shuffle_hash"), ["doc_id", "text_key"]).select("print", "cells", "text")
     return (
         found.mapInArrow(run, f"{kept}, hashes binary")
         .select("print", "hashes", F.explode("cells").alias("cell"))
@@ -447,4 +449,8 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         text_key("text").alias("text_key"),
     )
-    return rows.join(dropped, ["doc_id", "text_key"], "left_anti").select("whole.*")
+    # Rows that certainly stay go past the join; only the texts of the others are shuffled.
+    marked = with_mark(rows, hash_bits(dropped, "doc_id", "text_key"), "doc_id", "text_key")
+    stay = marked.where(~F.col("marked")).select("whole.*")
+    open_rows = marked.where("marked").join(dropped.hint("shuffle_hash"), ["doc_id", "text_key"], "left_anti")
+    return stay.unionByName(open_rows.select("whole.*"))
