@@ -115,3 +115,32 @@ def test_a_single_text_sets_no_bar(spark):
     model = lang_filters.fit(documents(spark, [SAYS["en"], SAYS["de"]], langs=["en", "de"]))
     new = documents(spark, ["the children of the garden and the weather of the town"])
     assert new.where(lang_filters.accepts(spark, F.col("text"), model)).count() == 1
+
+
+def test_decisions_equal_plain_sets(spark):
+    """Languages by the share of a text's trigrams that are in a language's set, without filters."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    seen, number = {}, {}
+    for doc, text, lang in table:
+        if fold(doc, 4) != 2 and text is not None and lang is not None:
+            number[lang] = number.get(lang, 0) + 1
+            for gram in set(plain_grams(text)):
+                seen.setdefault(lang, {}).setdefault(gram, 0)
+                seen[lang][gram] += 1
+    least = {lang: max(2, min(n, lang_filters.PER_LANGUAGE) * lang_filters.MIN_SHARE) for lang, n in number.items()}
+    few = {lang for lang, n in number.items() if n < 2 / lang_filters.MIN_SHARE}
+    sets = {lang: {g for g, n in grams.items() if n >= least[lang] or lang in few} for lang, grams in seen.items()}
+    found = {r["doc_id"]: r for r in op9_language_id(spark, "/root/testdata/sf0.001").collect()}
+    judged = 0
+    for doc, text, _ in table:
+        grams = plain_grams(text or "")
+        if not grams:
+            assert found[doc]["lang_pred"] == "und"
+            continue
+        shares = sorted(((sum(g in s for g in grams) / len(grams), lang) for lang, s in sets.items()), reverse=True)
+        if shares[0][0] - shares[1][0] > 0.02:  # filters give shares to about a hundredth
+            assert found[doc]["lang_pred"] == shares[0][1]
+            assert found[doc]["coverage"] == pytest.approx(shares[0][0], abs=0.02)
+            judged += 1
+    assert judged > 0.9 * len(table)

@@ -73,3 +73,35 @@ def test_heavier_region_only_gains(spark):
 
 def test_empty_table(spark):
     assert rows(sharding.assign(empty(spark), TREE, GROWN)) == []
+
+
+def plain_shard(key, tree):
+    """Each level's draws by the hash library."""
+    import math
+
+    import xxhash
+
+    def draw(place, weight):
+        seed = 42 if key is None else xxhash.xxh64_intdigest((key % 2**64).to_bytes(8, "little"), 42)
+        h = xxhash.xxh64_intdigest(place.encode(), seed)
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+    leaves, above = [x for x in tree if x.weight > 0], ""
+    for name in ("region", "rack", "shard"):
+        below = {}
+        for leaf in leaves:
+            below.setdefault(f"{above}/{getattr(leaf, name)}", []).append(leaf)
+        above = min(below, key=lambda p: (draw(p, sum(x.weight for x in below[p])), p))
+        leaves = below[above]
+    return leaves[0].shard
+
+
+def test_shards_equal_a_plain_descent(spark):
+    from pyspark.sql import functions as F
+
+    uneven = [sharding.Leaf("a", "x", 0, 2.0), sharding.Leaf("a", "y", 1), sharding.Leaf("b", "z", 2, 0.5), sharding.Leaf("b", "z", 3, 3.0), sharding.Leaf("b", "w", 4, 0.0)]
+    keys = [None, 0, 1, -5, 2**62, *range(100, 500)]
+    table = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    for tree in (sharding.planned_tree(16), sharding.grown_tree(sharding.planned_tree(16)), uneven, uneven[:1]):
+        found = {r["k"]: r["s"] for r in table.select("k", sharding.descend(F.col("k"), tree).alias("s")).collect()}
+        assert found == {k: plain_shard(k, tree) for k in keys}
