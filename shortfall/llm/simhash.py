@@ -208,12 +208,3 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, radius:
         rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root"
     ).select(F.col("fp").alias("print"), "component_id")
     return rows.join(named, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs whose doc_id names their component, all columns; rows without a doc_id stay."""
-    groups = near_groups(docs.select("doc_id", "text"), **settings)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # Sides are shuffled at any size, so that what a stage needs grows evenly.
-    dropped = stored(dropped, "near-dropped").hint("shuffle_hash")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -131,13 +131,5 @@ def test_groups_of_the_small_documents(spark):
     assert sorted(got, key=str) == plain_groups(docs)
 
 
-def test_one_of_each_group_stays(spark):
-    docs = with_clashing(documents(spark, [*near_copies(count=30), None, "", " "]))
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in plain_groups(docs)})
-
-
 def test_empty_table(spark):
     assert rows(simhash.near_groups(empty(spark))) == []
-    assert rows(simhash.keep_one(empty(spark))) == []
