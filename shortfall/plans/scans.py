@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from shortfall.functions import numbers
 from shortfall.functions.numbers import round_to
 from shortfall.oracle.ctes import RISK_LIST, rnd
-from shortfall.oracle.derived import INTAKE, WIDE
+from shortfall.oracle.derived import INTAKE, WIDE, strip
 from shortfall.plans.registry import query
 from shortfall.plans.tables import day_columns, wide_days
 from shortfall.sources import derived, readers, sinks
@@ -188,13 +188,13 @@ def scalar_strings(p):
 
 @query(
     "scalar_numeric_parse",
-    f"""SELECT row_ref, qty, CASE WHEN regexp_full_match({WIDE.format('qty')}, '[0-9]+') AND {WIDE.format('qty')}::BIGINT > 0
-          THEN {WIDE.format('qty')}::INTEGER END AS strict_qty,
-        CASE WHEN regexp_full_match({WIDE.format('qty')}, '[1-9][0-9]{{0,2}}(,[0-9]{{3}})+') THEN replace(qty, ',', '')::INTEGER
-          WHEN regexp_full_match({WIDE.format('qty')}, '[0-9]+[.]0+') THEN split_part(qty, '.', 1)::INTEGER
-          WHEN regexp_full_match({WIDE.format('qty')}, '[0-9]+') THEN {WIDE.format('qty')}::INTEGER END AS repaired_qty,
-        coalesce(try_strptime(eta_date, '%Y/%m/%d'), try_strptime(eta_date, '%Y.%m.%d'), try_strptime(eta_date, '%Y年%m月%d日'),
-          CASE WHEN regexp_full_match(eta_date, '[0-9]{{8}}') THEN try_strptime(eta_date, '%Y%m%d') END)::DATE AS repaired_eta FROM upload""",
+    f"""SELECT row_ref, qty, CASE WHEN regexp_full_match(w, '[0-9]+') AND w::BIGINT > 0 THEN w::INTEGER END AS strict_qty,
+        CASE WHEN regexp_full_match(w, '[1-9][0-9]{{0,2}}(,[0-9]{{3}})+') THEN replace(w, ',', '')::INTEGER
+          WHEN regexp_full_match(w, '[0-9]+[.]0+') THEN split_part(w, '.', 1)::INTEGER
+          WHEN regexp_full_match(w, '[0-9]+') THEN w::INTEGER END AS repaired_qty,
+        coalesce(try_strptime(d, '%Y/%m/%d'), try_strptime(d, '%Y.%m.%d'), try_strptime(d, '%Y年%m月%d日'),
+          CASE WHEN regexp_full_match(d, '[0-9]{{8}}') THEN try_strptime(d, '%Y%m%d') END)::DATE AS repaired_eta
+        FROM (SELECT *, {WIDE.format(strip('qty'))} AS w, {strip('eta_date')} AS d FROM upload)""",
     INTAKE,
 )
 def scalar_numeric_parse(p):
