@@ -11,8 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shortfall.functions.dates import HORIZON, cutoff_dates, day_span, week_start
-from shortfall.functions.numbers import round_to, unit_cents
+from shortfall.functions.dates import HORIZON, cutoff_dates, week_start
+from shortfall.functions.numbers import unit_cents
 from shortfall.operators import forecast as fc
 from shortfall.operators import risk as rk
 from shortfall.operators import models, shape
