@@ -38,8 +38,9 @@ def order_numbers(p) -> DataFrame:
 
 
 def repaired(p) -> tuple[DataFrame, DataFrame]:
-    """The stored result of the first check, and the repair candidates."""
-    first = p.stored(flagged(p), "flagged")
+    """The stored result of the first check, and the repair candidates. A result that is written as a whole is
+    cheaper on rows that were written before."""
+    first = p.stored(flagged(p, p.stored(derived.upload(p), "upload")), "flagged")
     return first, p.stored(po.repair_candidates(first, *references(p), order_numbers(p)), "candidates")
 
 
