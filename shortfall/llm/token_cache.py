@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortfall.llm.common import by_value, slices, stored, text_or_empty
+from shortfall.llm.common import by_value, light_slices, stored, text_or_empty
 
 by_value(__name__)
 
@@ -80,10 +80,14 @@ def count_tokens(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(model)
-        for part in slices(batches):
-            counts = count(part.column("body").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+        count, done = token_counter(model), set()  # rows of a digest are shuffled to one task
+        for part in light_slices(batches, "body"):
+            digests = part.column("digest").to_pylist()
+            new = [i for i, d in enumerate(digests) if not (d in done or done.add(d))]
+            bodies = part.column("body").take(pa.array(new, pa.int64())).to_pylist()
+            counts = count(bodies) if bodies else []
+            found = [pa.array([digests[i] for i in new], pa.binary()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, ["digest", "n_tokens"])
 
     counted = (
         docs.select(body.alias("body"), digest.alias("digest"), chosen.alias("stands"))

@@ -62,3 +62,11 @@ def test_only_distinct_misses_are_encoded_and_appended(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert rows(token_cache.count_tokens(empty(spark), MODEL, str(tmp_path / "cache"))) == []
+
+
+def test_a_repeated_row_is_encoded_once(spark, tmp_path):
+    docs = documents(spark, ["one text here", "another"], ids=[4, 4])
+    docs = docs.unionByName(docs).unionByName(docs.limit(1))
+    cache = str(tmp_path / "cache")
+    found = token_cache.count_tokens(docs, path("piece_bpe_32k.model"), cache)
+    assert found.count() == 5 and spark.read.parquet(cache).count() == 2
