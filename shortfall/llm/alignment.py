@@ -6,7 +6,8 @@ tokens of both end cut the two sequences into groups; the tokens on both sides o
 Diagonal run skipping finds the cuts: at a cut, the end offsets of both sides are compared at the current
 index shift, in stretches that double while they agree and halve after they do not, so that one-to-one
 stretches are jumped. An irregular group is resolved on the spot, by moving on the side that lags until
-both end together; the shift is then what the indexes say.
+both end together; the shift is then what the indexes say. It runs over lines of text parts that a worker has
+not met lately; a text's groups are put together from those of its parts.
 
 Counts of linked id pairs are sums over all texts: one row per text and distinct pair, combined before
 the shuffle. The table of pairs meets the texts' rows in a join that Spark chooses from its size; a pair
@@ -37,11 +38,12 @@ by_value(__name__)
 
 MARK = "\u2581"  # stands for a space in pieces
 PARTING = re.compile(r"(?<=\S) (?=\S)")
+WIDE = re.compile(r" (?:(?<!\S )|(?!\S))")  # a space beside white space or an end of the text
 LINE_PARTS = 100
-ID_BITS = 20  # of a token's code; its length in bytes is above them
-UNSPELLED = (b"", b"")
+LINKED_BYTES = 150  # of a part's entry in memory, besides its groups and pairs
 FIRST_STEP = 4  # ends compared at once when a run begins
 SIDE_BITS = 32  # a pair is A's id and, in the lower bits, B's
+Linked = tuple[str, bytes, int, int]
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, pairs array<bigint>, times array<bigint>"
 
 
@@ -52,6 +54,13 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def lengths(token: dict[int, bytes]) -> np.ndarray:
+    """Bytes of each id's token."""
+    found = np.zeros(max(token) + 1, np.int64)
+    found[list(token)] = list(map(len, token.values()))
+    return found
+
+
 class ByteLevel:
     """Ids and token bytes of a byte-level vocabulary."""
 
@@ -60,6 +69,7 @@ class ByteLevel:
         self.fast.encode_special_tokens = True
         byte = byte_of_letter()
         self.token = {i: bytes(map(byte.__getitem__, t)) for t, i in self.fast.get_vocab(False).items()}
+        self.length = lengths(self.token)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.fast.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -77,77 +87,93 @@ class Pieces:
             i: bytes([int(p[1:-1], 16)]) if self.library.is_byte(i) else p.replace(MARK, " ").encode()
             for i, p in enumerate(pieces)
         }
+        self.length = lengths(self.token)
         # Merges stop at a space if no piece goes on behind one.
         self.parted = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+        return [self.library.encode(t) for t in texts]  # a list would start a pool of threads on each call
 
 
 class Sides:
-    """Both sides' tokens of texts.
+    """Both sides' tokens of texts, and the groups that they make.
 
-    A single space between other characters parts a text for both vocabularies, so a text's tokens are those
-    of its parts, which are remembered. Texts of which a part is not spelled byte by byte are encoded whole.
+    A single space between other characters parts a text for both vocabularies, and tokens of both end before it.
+    A text's groups are therefore those of its parts, which are aligned in lines of many and remembered. Texts of
+    which a part is not spelled byte by byte are aligned whole.
+
+    What is linked is told as group texts with a `;` after each, pairs as bytes, and how many tokens A and B have.
     """
 
     def __init__(self, a_model: str, b_model: str):
         self.left, self.right = ByteLevel(a_model), Pieces(b_model)
-        self.memo = Memo(self.encode_parts, lambda codes: len(codes[0]) + len(codes[1]))
-
-    def encode(self, text: str) -> list[np.ndarray] | None:
-        """Codes of A's and B's tokens (the id, and above it the length in bytes), if both sides spell the text."""
-        whole = (" " + text).encode()
-        [a], [b] = self.left.encode([text]), self.right.encode([text])
-        of_a, of_b = [self.left.token[i] for i in a], [self.right.token[i] for i in b]
-        if not text or b"".join(of_a) != whole or b"".join(of_b) != whole:
-            return None
-        sides = (a, of_a), (b, of_b)
-        return [np.array(ids, np.uint32) + (np.array(list(map(len, of)), np.uint32) << ID_BITS) for ids, of in sides]
-
-    def encode_part(self, part: str) -> tuple[bytes, bytes]:
-        """The codes as bytes, none if the part is not spelled."""
-        found = self.encode(part)
-        return UNSPELLED if found is None else (found[0].tobytes(), found[1].tobytes())
-
-    def encode_parts(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
-        """`encode_part` of each, by way of lines of parts that a single space can join."""
-        joined = [p for p in parts if p and p == p.strip()]
-        lines = [self.encode_line(joined[k : k + LINE_PARTS]) for k in range(0, len(joined), LINE_PARTS)]
-        found = dict(zip(joined, chain.from_iterable(lines), strict=True))
-        return [found[p] if p in found else self.encode_part(p) for p in parts]
-
-    def encode_line(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
-        if len(parts) < 2:
-            return [self.encode_part(p) for p in parts]
-        line = self.encode(" ".join(parts))
-        if line is None:
-            middle = len(parts) // 2
-            return self.encode_line(parts[:middle]) + self.encode_line(parts[middle:])
-        ends = np.cumsum([0, *(len(p.encode()) + 1 for p in parts)])
-        columns = []
-        for codes in line:
-            flat, cuts = codes.tobytes(), 4 * np.searchsorted(np.cumsum(codes >> ID_BITS), ends, side="right")
-            columns.append([flat[i:k] for i, k in pairwise(cuts.tolist())])
-        return list(zip(*columns, strict=True))
+        self.spelled = Speller(len(self.left.token), len(self.right.token))
+        self.memo = Memo(self.link_parts, lambda found: LINKED_BYTES + len(found[0]) + len(found[1]) if found else 0)
 
     def tokens(self, texts: list[str]) -> list[list[np.ndarray] | None]:
         """Ids of A, ids of B, end offsets of A and of B for each text that both sides spell."""
         found: list[list[np.ndarray] | None] = []
-        parted = self.memo([PARTING.split(t) for t in texts]) if self.right.parted else [[UNSPELLED]] * len(texts)
-        for text, parts in zip(texts, parted, strict=True):
-            if not text:
-                codes = None
-            elif UNSPELLED in parts:
-                codes = self.encode(text)
+        for text, *ids in zip(texts, self.left.encode(texts), self.right.encode(texts), strict=True):
+            whole = (" " + text).encode()
+            sides = list(zip(ids, (self.left, self.right), strict=True))
+            if not text or any(b"".join(map(side.token.__getitem__, of)) != whole for of, side in sides):
+                found.append(None)
+            else:
+                ends = [np.cumsum(side.length[of]) for of, side in sides]
+                found.append([*(np.array(of, np.int64) for of in ids), *ends])
+        return found
+
+    def linked(self, tokens: list[np.ndarray], cuts: np.ndarray) -> list[Linked]:
+        """What is linked between one cut and the next; the cuts are offsets at which tokens of both sides end."""
+        a, b, ends_a, ends_b = tokens
+        at_a, at_b = last_tokens(segments(ends_a, ends_b))
+        entries = self.spelled.entries(a, b, at_a, at_b)
+        flat = ((a[at_a] << SIDE_BITS) + b[at_b]).tobytes()
+        before = [np.searchsorted(ends, cuts, side="right") for ends in (ends_a[at_a], ends_a, ends_b)]
+        return [
+            ("".join(entries[i_a + i_b : k_a + k_b]), flat[8 * i : 8 * k], k_a - i_a, k_b - i_b)
+            for (i, i_a, i_b), (k, k_a, k_b) in pairwise(zip(*(n.tolist() for n in before), strict=True))
+        ]
+
+    def link_whole(self, text: str) -> Linked | None:
+        [tokens] = self.tokens([text])
+        return None if tokens is None else self.linked(tokens, np.array([0, tokens[2][-1]]))[0]
+
+    def link_parts(self, parts: list[str]) -> list[Linked | None]:
+        """`link_whole` of each, by way of lines of parts that a single space can join."""
+        joined = [p for p in parts if p and p == p.strip()]
+        lines = self.link_lines([joined[k : k + LINE_PARTS] for k in range(0, len(joined), LINE_PARTS)])
+        found = dict(zip(joined, lines, strict=True))
+        return [found[p] if p in found else self.link_whole(p) for p in parts]
+
+    def link_lines(self, lines: list[list[str]]) -> list[Linked | None]:
+        found: list[Linked | None] = []
+        for parts, tokens in zip(lines, self.tokens([" ".join(parts) for parts in lines]), strict=True):
+            if tokens is not None:
+                found += self.linked(tokens, np.cumsum([0, *(len(p.encode()) + 1 for p in parts)]))
+            elif len(parts) == 1:
+                found.append(None)
             else:
-                codes = [np.frombuffer(b"".join([p[side] for p in parts]), np.uint32) for side in (0, 1)]
-            if codes is not None:
-                ids = [(c & ((1 << ID_BITS) - 1)).astype(np.int64) for c in codes]
-                codes = [*ids, *(np.cumsum(c >> ID_BITS, dtype=np.int64) for c in codes)]
-            found.append(codes)
+                middle = len(parts) // 2
+                found += self.link_lines([parts[:middle], parts[middle:]])
         return found
 
+    def links(self, texts: list[str]) -> Iterator[Linked | None]:
+        """What is linked in each text that both sides spell."""
+        if not self.right.parted:
+            yield from map(self.link_whole, texts)
+            return
+        parted = [PARTING.split(t) if WIDE.search(t) else t.split(" ") for t in texts]
+        parts = list(set().union(*parted))
+        known = dict(zip(parts, *self.memo([parts]), strict=True))
+        unspelled = {p for p, found in known.items() if found is None}
+        for text, own in zip(texts, parted, strict=True):
+            if not unspelled.isdisjoint(own):
+                yield self.link_whole(text)
+            else:
+                groups, pairs, n_a, n_b = zip(*map(known.__getitem__, own), strict=True)
+                yield "".join(groups), b"".join(pairs), sum(n_a), sum(n_b)
+
 
 class Speller:
     """Group texts like `a1,a2|b1;a3|b2,b3` from tables of ids with what follows them."""
@@ -157,9 +183,12 @@ class Speller:
         self.table = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
 
     def __call__(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
-        """`at_a` and `at_b` are the indexes of the tokens that end at each cut."""
+        return "".join(self.entries(a, b, at_a, at_b))[:-1]
+
+    def entries(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[str]:
+        """Each token with what follows it; `at_a` and `at_b` are the indexes of the tokens that end at each cut."""
         if not len(at_a):
-            return ""
+            return []
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         last_a[at_a] = last_b[at_b] = 1
         before = np.concatenate([[0], at_b[:-1] + 1])  # tokens of B before each group
@@ -168,7 +197,7 @@ class Speller:
         entry = np.empty(len(a) + len(b), np.int64)
         entry[place_a] = a + self.bounds[last_a]
         entry[place_b] = b + self.bounds[2 + last_b]
-        return "".join(map(self.table.__getitem__, entry.tolist()))[:-1]
+        return list(map(self.table.__getitem__, entry.tolist()))
 
 
 def segments(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -221,17 +250,15 @@ def align(docs: DataFrame, a_model: str, b_model: str, doc: str = "doc_id", text
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = of_worker(sides_key, lambda: Sides(a_model, b_model))
-        spelled = of_worker((*sides_key, "spelled"), lambda: Speller(len(sides.left.token), len(sides.right.token)))
         for part in light_slices(batches, "body", most=1 << 20):
             rows = []
-            for tokens in sides.tokens(part.column("body").to_pylist()):
-                if tokens is None:
+            for found in sides.links(part.column("body").to_pylist()):
+                if found is None:
                     rows.append((0, 0, 0, "", [], []))
                     continue
-                a, b, ends_a, ends_b = tokens
-                at_a, at_b = last_tokens(segments(ends_a, ends_b))
-                pairs, times = np.unique((a[at_a] << SIDE_BITS) + b[at_b], return_counts=True)
-                rows.append((len(a), len(b), len(at_a), spelled(a, b, at_a, at_b), pairs, times))
+                groups, flat, n_a, n_b = found
+                pairs, times = np.unique(np.frombuffer(flat, np.int64), return_counts=True)
+                rows.append((n_a, n_b, len(flat) >> 3, groups[:-1], pairs, times))
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *columns], names)
 

@@ -97,6 +97,30 @@ def test_parts_give_the_tokens_of_the_text(sides, texts, between):
         assert [t.tolist() for t in tokens] == [a, b, *ends]
 
 
+@given(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=10)), max_size=6), st.sampled_from([" ", "\n", "  ", " \u00a0", "\x1c "]))
+@settings(max_examples=300, deadline=None)
+def test_parts_give_the_groups_of_the_text(sides, texts, between):
+    text = between.join(texts)
+    [found] = sides.links([text])
+    [(_, n_a, n_b, n_groups, *_, sha)] = plain([(1, text)])
+    if not n_groups:
+        assert found is None
+        return
+    groups, pairs, *counts = found
+    assert counts == [n_a, n_b] and hashlib.sha256(groups[:-1].encode()).hexdigest() == sha
+    last = [[side.split(",")[-1] for side in group.split("|")] for group in groups[:-1].split(";")]
+    assert np.frombuffer(pairs, np.int64).tolist() == [(int(a) << alignment.SIDE_BITS) + int(b) for a, b in last]
+
+
+def test_a_repeated_part_is_aligned_once(monkeypatch):
+    sides, seen, real = alignment.Sides(A, B), [], alignment.segments
+    monkeypatch.setattr(alignment, "segments", lambda a, b: seen.append(len(a) + len(b)) or real(a, b))
+    text = " ".join(["naïve", "tokenizers", "agree", "rarely,", "don't", "they?"] * 2000)
+    first, again = sides.links([text, text])
+    assert first == again and first[2] + first[3] > 24_000
+    assert sum(seen) < 100
+
+
 def plain_tokens(text):
     """Ids and bytes of both sides, by the libraries alone."""
     import tiktoken  # noqa: F401  (the same vocabulary as ranks gives the bytes of A)
