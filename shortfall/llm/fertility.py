@@ -5,7 +5,8 @@ one with byte fallback, the share of the latter's tokens that are fallback bytes
 it has no pieces for), and the entropy of the former's tokens, divided by the largest that the text's length
 allows. The texts of a script and a length class (power of two of tokens) have a band for each measure around
 their median in the corpus; a text outside a band is rejected. Bands come from exact quartiles of all rows'
-measures to three decimals, so reruns agree; texts are encoded whole.
+measures to three decimals, so reruns agree; texts are measured whole. Their tokens are those of their parts where
+neither vocabulary joins what a single space parts, so that a repeated part is encoded once.
 
 Each text of enough words is judged. A script and length class of fewer than MIN_TEXTS such texts takes the
 band of the nearest fuller class of its script (of two as near the shorter), else that of all texts of the
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortfall.llm.alignment import PARTING, Pieces
+from shortfall.llm.alignment import LINE_PARTS, PARTING, WIDE, Pieces, lengths
 from shortfall.llm.common import by_value, light_slices, stored
 from shortfall.llm.memo import Memo, file_digest, of_worker
 
@@ -41,6 +42,10 @@ MIN_TEXTS = 100
 SPREADS = 4.0
 LEAST_WIDTH = {"chars_per_token": 0.5, "chars_per_piece": 0.5, "fallback_share": 0.02, "token_entropy": 0.1}
 MEASURES = tuple(LEAST_WIDTH)
+# Under this pattern a token begins at each single space between other characters.
+PARTED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CODES_BYTES = 40  # of a part's codes in memory, besides the codes
+FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, for sums of hashes
 # Unicode blocks of scripts, first and last code point.
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
@@ -71,6 +76,14 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
+    # Equal windows have equal sums of hashes. Where all sums differ, no window occurs twice.
+    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    sums = hashes[:n]
+    for k in range(1, window):
+        sums = sums * FACTOR + hashes[k : k + n]
+    sums = np.sort(sums)
+    if not (sums[1:] == sums[:-1]).any():
+        return 0
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
     if len(numbers) == len(words):
@@ -104,6 +117,12 @@ def script_of(text: str, table: np.ndarray) -> str:
     return list(SCRIPTS)[int(seen.argmax())] if seen.any() else "none"
 
 
+def ends_in_line(parts: list[str], line: str) -> np.ndarray:
+    """Byte at which each part ends in the line that single spaces join them to, behind a space."""
+    sizes = map(len, parts if line.isascii() else map(str.encode, parts))
+    return np.cumsum(np.fromiter(sizes, np.int64, len(parts)) + 1)
+
+
 class Vocabulary:
     """A byte-level vocabulary given as ranks."""
 
@@ -114,56 +133,136 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = len(ranks)
+        self.length = lengths({i: b for b, i in ranks.items()})
+        self.parted = pattern == PARTED_PATTERN
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
+    def cut_line(self, parts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of parts that a single space can join, each behind a space, and where those of each part end."""
+        line = " ".join(parts)
+        ids = self.encode(" " + line)
+        return ids, np.searchsorted(np.cumsum(self.length[ids]), ends_in_line(parts, line), side="right").tolist()
 
     def measure(self, text: str) -> tuple[float, float, int]:
         """Code points per token, entropy, number of tokens."""
-        ids = self.encoding.encode_to_numpy(text, disallowed_special=())
-        n = len(ids)
+        return self.spread(np.unique(self.encode(text), return_counts=True)[1], len(text))
+
+    def spread(self, times: np.ndarray, length: int) -> tuple[float, float, int]:
+        """`measure` by how often each distinct token occurs, in order of ids."""
+        n = int(times.sum())
         if not n:
             return 0.0, 0.0, 0
-        share = np.unique(ids, return_counts=True)[1] / n
+        share = times / n
         entropy = float(-(share * np.log2(share)).sum())
         most = np.log2(min(n, self.size))
-        return len(text) / n, float(entropy / max(1.0, most)), n
+        return length / n, float(entropy / max(1.0, most)), n
 
 
 class Fallback:
-    """A vocabulary with byte fallback. A text's tokens are those of its parts, which are remembered."""
+    """A vocabulary with byte fallback."""
 
     def __init__(self, model: str):
         self.pieces = Pieces(model)
         library = self.pieces.library
         # Line ends and tabs are bytes too in vocabularies that have no pieces for them.
         self.fallback = {i for i, b in self.pieces.token.items() if library.is_byte(i) and not b.isspace()}
-        self.memo = Memo(self.count, lambda counts: 0)
-
-    def count(self, parts: list[str]) -> list[tuple[int, int]]:
-        """Tokens and fallback bytes of each part."""
-        return [(len(ids), sum(i in self.fallback for i in ids)) for ids in self.pieces.encode(parts)]
+        self.fell = np.isin(np.arange(len(self.pieces.length)), list(self.fallback))
+        self.parted = self.pieces.parted
+
+    def count(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Tokens and fallback bytes of each text."""
+        return [(len(ids), sum(i in self.fallback for i in ids)) for ids in self.pieces.encode(texts)]
+
+    def count_line(self, parts: list[str]) -> list[tuple[int, int]]:
+        """`count` of each of the parts that a single space can join."""
+        line = " ".join(parts)
+        [ids] = self.pieces.encode([line])
+        if b"".join(map(self.pieces.token.__getitem__, ids)) == b" " + line.encode():
+            at = np.array(ids)
+            cuts = np.searchsorted(np.cumsum(self.pieces.length[at]), ends_in_line(parts, line), side="right")
+            fell = np.cumsum(self.fell[at])[cuts - 1]
+            return list(zip(np.diff(cuts, prepend=0).tolist(), np.diff(fell, prepend=0).tolist(), strict=True))
+        if len(parts) == 1:
+            return self.count(parts)
+        middle = len(parts) // 2
+        return self.count_line(parts[:middle]) + self.count_line(parts[middle:])
 
     def measure(self, texts: list[str]) -> list[tuple[float, float]]:
         """Code points per token and share of fallback bytes of each text."""
-        parted = self.memo([PARTING.split(t) for t in texts]) if self.pieces.parted else [[c] for c in self.count(texts)]
+        return [self.shares(len(t), n, fell) for t, (n, fell) in zip(texts, self.count(texts), strict=True)]
+
+    def shares(self, length: int, n: int, fell: int) -> tuple[float, float]:
+        return (length / n, fell / n) if n else (0.0, 0.0)
+
+
+class Coverage:
+    """What both vocabularies measure of texts, by parts that are remembered.
+
+    A part's codes are the first vocabulary's ids, then one code for each piece and another for each fallback byte.
+    Of a text only the first part may stand without a space before it; it is encoded each time.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, fallback: Fallback):
+        self.vocabulary, self.fallback = vocabulary, fallback
+        self.parted = vocabulary.parted and fallback.parted
+        self.piece = len(vocabulary.length)
+        self.type = np.min_scalar_type(self.piece + 1)
+        self.marks = [np.array([self.piece + k], self.type).tobytes() for k in (0, 1)]
+        self.memo = Memo(self.encode, lambda codes: CODES_BYTES + len(codes))
+
+    def codes(self, ids: np.ndarray, ends: list[int], counts: list[tuple[int, int]]) -> list[bytes]:
+        """Codes of each part from the ids of all, where those of each part end, and the counts of pieces."""
+        data, width, (piece, byte) = ids.astype(self.type).tobytes(), self.type.itemsize, self.marks
+        return [
+            data[width * start : width * end] + piece * (n - fell) + byte * fell
+            for start, end, (n, fell) in zip([0, *ends[:-1]], ends, counts, strict=True)
+        ]
+
+    def encode_alone(self, part: str, lead: str = " ") -> bytes:
+        ids = self.vocabulary.encode(lead + part)
+        return self.codes(ids, [len(ids)], self.fallback.count([part]))[0]
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """Codes of each part behind a space, by way of lines of parts that a single space can join."""
+        joined = [p for p in parts if p and p == p.strip()]
+        found = {}
+        for k in range(0, len(joined), LINE_PARTS):
+            line = joined[k : k + LINE_PARTS]
+            found.update(zip(line, self.codes(*self.vocabulary.cut_line(line), self.fallback.count_line(line)), strict=True))
+        return [found[p] if p in found else self.encode_alone(p) for p in parts]
+
+    def measure(self, texts: list[str]) -> list[tuple[float, float, float, float, int]]:
+        """Code points per token and per piece, share of fallback bytes, entropy and number of tokens of each text."""
+        if not self.parted:
+            pairs = zip(map(self.vocabulary.measure, texts), self.fallback.measure(texts), strict=True)
+            return [(per_token, *pieces, entropy, n) for (per_token, entropy, n), pieces in pairs]
+        parted = [PARTING.split(t) if WIDE.search(t) else t.split(" ") for t in texts]
+        leads = [self.encode_alone(parts.pop(0), "") for parts in parted]
         found = []
-        for text, counts in zip(texts, parted, strict=True):
-            n = sum([c[0] for c in counts])
-            found.append((len(text) / n, sum([c[1] for c in counts]) / n) if n else (0.0, 0.0))
+        for text, lead, codes in zip(texts, leads, self.memo(parted), strict=True):
+            seen, times = np.unique(np.frombuffer(lead + b"".join(codes), self.type), return_counts=True)
+            ids = int(np.searchsorted(seen, self.piece))
+            per_token, entropy, n = self.vocabulary.spread(times[:ids], len(text))
+            fell = int(times[-1]) if len(seen) and seen[-1] > self.piece else 0
+            found.append((per_token, *self.fallback.shares(len(text), int(times[ids:].sum()), fell), entropy, n))
         return found
 
 
 def measured(docs: DataFrame, ranks_file: str, pattern: str, pieces_model: str) -> DataFrame:
     """Base counts, script and measures of every text."""
-    pieces_key = ("fallback", file_digest(pieces_model))
+    key = ("coverage", file_digest(ranks_file), pattern, file_digest(pieces_model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(ranks_file, pattern)
-        scripts, fallback = script_table(), of_worker(pieces_key, lambda: Fallback(pieces_model))
+        scripts = script_table()
+        coverage = of_worker(key, lambda: Coverage(Vocabulary(ranks_file, pattern), Fallback(pieces_model)))
         for part in light_slices(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            rows = []
-            for t, (per_piece, share) in zip(texts, fallback.measure(texts), strict=True):
-                per_token, entropy, n = vocabulary.measure(t)
-                rows.append((*base_counts(t), script_of(t, scripts), per_token, per_piece, share, entropy, n))
+            rows = [
+                (*base_counts(t), script_of(t, scripts), *found)
+                for t, found in zip(texts, coverage.measure(texts), strict=True)
+            ]
             columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
             if columns:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
