@@ -24,12 +24,17 @@ def day_columns(p: PlanningTables) -> list[str]:
 def wide_days(p: PlanningTables) -> DataFrame:
     """Sales with one column per day, d_1 the first. A SKU has at most one entry a calendar day."""
     entry = F.struct((F.datediff("date", p.first_day) + 1).alias("n"), "units_sold")
-    by_day = p.sales.groupBy("sku_id").agg(F.map_from_entries(F.collect_list(entry)).alias("sold"))
+    by_day = p.sales.groupBy("sku_id").agg(F.sort_array(F.collect_list(entry)).alias("sold"))
     names = day_columns(p)
     zero = F.lit(0).cast("bigint")
-    filled = F.transform(
-        F.sequence(F.lit(1), F.lit(len(names))), lambda n: F.coalesce(F.try_element_at("sold", n), zero)
-    )
+
+    # One pass over the entries: each one follows its own empty days, so no day is looked up.
+    def with_gap(entry, at):
+        before = F.coalesce(F.get("sold", at - 1)["n"], F.lit(0))
+        return F.concat(F.array_repeat(zero, entry["n"] - before - 1), F.array(F.coalesce(entry["units_sold"], zero)))
+
+    last = F.element_at("sold", -1)["n"]
+    filled = F.concat(F.flatten(F.transform("sold", with_gap)), F.array_repeat(zero, F.lit(len(names)) - last))
     return by_day.select("sku_id", filled.alias("days")).selectExpr(
         "sku_id", *(f"days[{i}] AS {name}" for i, name in enumerate(names))
     )
